@@ -34,10 +34,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_scan import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
+    "op10_piece_scan": op10_piece_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {

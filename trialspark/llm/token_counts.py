@@ -34,7 +34,7 @@ LIMIT_TOKENS = 1024
 
 _UNIT = regex.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space other than the six bytes: a cut after one is not safe, such texts are encoded in one piece.
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+_ODD_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: A stable place stands between the two parts: a change of class after a letter, number or other (no apostrophe).
 _PLACE = regex.compile(r"(?:(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}]))(?=.)", regex.DOTALL)
 _MARGIN = 64  # characters at a slice's edge whose surroundings may be cut off; longer than any added token
