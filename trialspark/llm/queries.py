@@ -16,6 +16,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_file_digest
+
+    return token_file_digest(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -41,6 +47,7 @@ def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
