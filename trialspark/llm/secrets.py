@@ -34,6 +34,8 @@ ENCODINGS = (
 #: Randomness is rejected above this value: the upper 0.1 % point of chi-squared with four degrees of freedom.
 REJECT_ABOVE = 18.47
 FALSE_DISCOVERY = 0.01
+#: Ordinary words assumed besides those of the corpus in each length class, one of them in the lowest bin.
+PRIOR_WORDS = 1000
 #: Lower ends of the length classes.
 LENGTH_CLASSES = (20, 24, 32, 48, 64, 128)
 BINS_PER_UNIT = 4
@@ -120,7 +122,7 @@ def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # at most len(LENGTH_CLASSES) * (MAX_BIN + 1) rows from here to the cut
     counts = scored.groupBy("class", "bin").agg(F.count_if("word").alias("words"), F.count_if(~F.col("word")).alias("tested"))
     up_to, whole = Window.partitionBy("class").orderBy("bin"), Window.partitionBy("class")
-    rate = (F.sum("words").over(up_to) + 1) / (F.sum("words").over(whole) + 1)
+    rate = (F.sum("words").over(up_to) + 1) / (F.sum("words").over(whole) + PRIOR_WORDS)
     expected = rate * F.sum("tested").over(whole) / F.greatest(F.sum("tested").over(up_to), F.lit(1))
     cuts = counts.withColumn("expected", expected).where(F.col("expected") <= false_discovery).groupBy("class").agg(F.max("bin").alias("cut"))
     random = scored.where(~F.col("word") & (F.col("score") <= REJECT_ABOVE)).join(F.broadcast(cuts), "class").where("bin <= cut").select("row", "start", "end")
