@@ -35,6 +35,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import CONTRACT, near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), CONTRACT)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
+    "op4_near_dedup": op4_near_dedup,
     "op5_secrets": op5_secrets,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
