@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 #: Entries of one generation; two generations are kept, about 200 bytes an entry.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 
 
 @lru_cache(maxsize=4)

@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 
 from ._common import materialise
 from ._memo import Memo, piece_library
+from ._words import grouped
 
 SPACE = "▁"
 #: Longer texts are cut into chunks of so many characters.
 CHUNK_CHARS = 65_536
+#: Results leave a Python worker for about so many characters of text at a time.
+OUTPUT_CHARS = 1 << 20
 NEVER = -np.inf
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _BEGIN = re.compile(f"(?<=[^{SPACE}]){SPACE}")
@@ -276,8 +279,10 @@ def encode_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = pieces(path)
         for batch in batches:
-            rows = [finish(i, v.encode(normalise(t or "")), t or "", v) for i, t in zip(batch["doc_id"].astype(object), batch["text"], strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "n_tokens", "ids", "round_trip"]).astype({"doc_id": object})
+            ids, texts = batch["doc_id"].astype(object).tolist(), batch["text"].tolist()
+            for part in grouped(texts, OUTPUT_CHARS):
+                rows = [finish(i, v.encode(normalise(t or "")), t or "", v) for i, t in zip(ids[part], texts[part], strict=True)]
+                yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "n_tokens", "ids", "round_trip"]).astype({"doc_id": object})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = pieces(path)
