@@ -1,15 +1,56 @@
-"""A corpus pipeline over ``documents``."""
+"""A corpus pipeline over ``documents``: filter, deduplicate, mix, encode. Each stage works on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from trialspark.llm import exact_dedup, mixing, near_dedup, piece_scan, quality_rules
+from trialspark.llm._common import materialise, table
+from trialspark.llm.queries import vocabulary
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels")).select(docs.columns)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest id."""
+    return exact_dedup.drop_exact_copies(docs).select(docs.columns)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id."""
+    return near_dedup.drop_near_copies(docs, near_dedup.NearParams()).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed corpus: a document appears as often as the mix takes it."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every row of the mix: ``doc_id, n_chars, n_tokens, ids, round_trip``."""
+    return piece_scan.encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", filter_quality),
+    ("exact dedup", drop_exact),
+    ("near dedup", drop_near),
+    ("mixing", mix_sources),
+    ("piece encoding", encode),
+]
+
+#: Trees, MinHash and piece encoding are no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages in order, each result written to the shared folder and read again as the next stage's input."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialise(docs)
     return docs
