@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Inputs
 
-SECTIONS = ("windows",)
+SECTIONS = ("windows", "names", "align")
 
 
 def _entries() -> dict:
