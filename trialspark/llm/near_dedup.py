@@ -4,9 +4,12 @@ One pass over the texts gives each document the size and a digest of its shingle
 bits of every minimum, packed into bit planes. Documents with equal sets form a class; only class representatives go on.
 
 Representatives that share a band are candidates. Only connections between different texts matter for the groups, so pairs are
-never written out for a whole bucket: first each representative is checked against its most promising bucket leader, then
-against all leaders outside its group; what is left are buckets that still hold several groups, and there all pairs across
-groups are checked. A pair is checked on full sets when the collision-corrected estimate from bit counts does not rule it out.
+never written out for a whole bucket. The leader of a bucket is the member with the fewest shingles of its own (found in no
+other candidate), the one nearest to what the bucket's texts have in common. First each representative is checked against its
+most promising leader, then against all leaders outside its group. In buckets that still hold several groups, the members
+outside the bucket's largest group are then checked against all members of other groups, unless their own shingles alone
+prove that no link is possible: shingles found in no other candidate count in the union only. A pair is checked on full
+sets when the collision-corrected estimate from bit counts does not rule it out.
 Groups are connected components, found by rounds of minimum labels over written tables.
 """
 
@@ -14,10 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise
@@ -121,6 +125,15 @@ def _sets(docs: DataFrame, p: NearParams) -> DataFrame:
     return docs.mapInPandas(run, "id long, items array<long>")
 
 
+def _estimate(p: NearParams) -> Column:
+    """Collision-corrected similarity of the planes a0, a1 and b0, b1: agreeing minima less those that agree by chance."""
+    plane = lambda name, i: F.get(name, F.lit(i))
+    words = range(-(-p.bands * p.rows // 64))
+    differ = reduce(Column.__add__, [F.bit_count(plane("a0", i).bitwiseXOR(plane("b0", i)).bitwiseOR(plane("a1", i).bitwiseXOR(plane("b1", i)))) for i in words])
+    chance = 2.0**-LOW_BITS
+    return (1 - differ / (p.bands * p.rows) - chance) / (1 - chance)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``id, group`` (smallest id reachable) of every id in ``edges(a, b)``; written tables between rounds.
 
@@ -153,21 +166,22 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams(), *, id_col: s
     reps = materialise(linked.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "low0", "low1"))
 
     banded = reps.select("id", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("last > leader").drop("last")
-    shared = materialise(banded.join(leaders, "band"))
+    several = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band")
+    shared = materialise(banded.join(several, "band", "left_semi"))
 
     bits = reps.select("id", "low0", "low1")
     sets = materialise(_sets(narrow.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), p))
+    single = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    core = sets.select("id", F.size("items").alias("n")).join(single.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id", "left")
+    core = materialise(core.select("id", "n", F.coalesce("own", F.lit(0)).alias("own")))
+    shared = shared.join(core.select("id", "own"), "id")
+    leaders = shared.groupBy("band").agg(F.min_by("id", F.struct("own", "id")).alias("leader"))
 
     def estimated(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose estimated similarity comes near the threshold."""
         both = pairs.join(bits.select(F.col("id").alias("a"), F.col("low0").alias("a0"), F.col("low1").alias("a1")), "a")
         both = both.join(bits.select(F.col("id").alias("b"), F.col("low0").alias("b0"), F.col("low1").alias("b1")), "b")
-        words = -(-p.bands * p.rows // 64)
-        differ = sum(F.bit_count(F.get("a0", F.lit(i)).bitwiseXOR(F.get("b0", F.lit(i))).bitwiseOR(F.get("a1", F.lit(i)).bitwiseXOR(F.get("b1", F.lit(i))))) for i in range(words))
-        chance = 2.0**-LOW_BITS
-        same = 1 - differ / (p.bands * p.rows)
-        return both.select("a", "b", ((same - chance) / (1 - chance)).alias("estimate")).where(F.col("estimate") >= p.percent / 100 - p.slack)
+        return both.select("a", "b", _estimate(p).alias("estimate")).where(F.col("estimate") >= p.percent / 100 - p.slack)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that are linked, by their full sets."""
@@ -179,7 +193,7 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams(), *, id_col: s
         found = groups.select(F.col("id").alias(id_name), F.col("group").alias("__g"))
         return rows.join(found, id_name, "left").withColumn(group_name, F.coalesce("__g", id_name)).drop("__g")
 
-    starred = materialise(estimated(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()))
+    starred = materialise(estimated(shared.join(leaders, "band").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()))
     best = starred.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     links = materialise(confirmed(best))
     groups = connected(links)
@@ -188,14 +202,20 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams(), *, id_col: s
     links = links.unionByName(materialise(confirmed(apart)))
     groups = connected(links)
 
-    members = materialise(labelled(shared.select("id", "band"), groups, "id", "group"))
-    several = members.groupBy("band").agg(F.min("group").alias("first"), F.max("group").alias("last")).where("first < last").select("band")
-    members = materialise(members.join(several, "band", "left_semi"))
-    kinds = members.select("band", "group").distinct()
-    crossing = kinds.select("band", F.col("group").alias("ga")).join(kinds.select("band", F.col("group").alias("gb")), "band").where("ga < gb")
-    cross = crossing.join(members.select("band", F.col("group").alias("ga"), F.col("id").alias("a")), ["band", "ga"]).join(members.select("band", F.col("group").alias("gb"), F.col("id").alias("b")), ["band", "gb"])
-    cross = estimated(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = links.unionByName(materialise(confirmed(cross)))
+    # only what its shingles do not rule out alone goes on: a link needs an intersection of percent of its set
+    able = core.where(100 * (F.col("n") - F.col("own")) >= p.percent * F.col("n"))
+    members = materialise(labelled(shared.select("id", "band").join(able, "id"), groups, "id", "group").join(bits, "id"))
+    sizes = members.groupBy("band", "group").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("band").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    members = members.join(mixed, "band").join(sets, "id")
+    side = lambda x: [F.col("id").alias(x), F.col("group").alias(f"g{x}"), (F.col("n") - F.col("own")).alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("low0").alias(f"{x}0"), F.col("low1").alias(f"{x}1"), F.col("items").alias(f"i{x}")]
+    left, right = members.where("group <> main").select("band", "main", *side("a")), members.select("band", *side("b"))
+    most, both = F.least("ca", "cb"), F.size(F.array_intersect("ia", "ib"))
+    linked_sets = lambda common: 100 * common >= p.percent * (F.col("na") + F.col("nb") - common)
+    # of two outsiders one side is enough; all tests are part of the join condition, so that only links are written out
+    once = (F.col("gb") == F.col("main")) | (F.col("ga") < F.col("gb"))
+    cross = left.join(right, (left["band"] == right["band"]) & (F.col("ga") != F.col("gb")) & once & linked_sets(most) & (_estimate(p) >= p.percent / 100 - p.slack) & linked_sets(both))
+    links = links.unionByName(materialise(cross.select("a", "b").distinct()))
     groups = connected(links)
 
     of_class = labelled(classes, groups, "rep", "component_id").select("one", "two", "n_shingles", "component_id")
