@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank, moment_corr
+from .windows import average_rank, clipped, moment_corr
 
 CLIP = 0.999999
 
@@ -21,7 +21,7 @@ def correlations(df: DataFrame, keys: list[str], x: str, y: str, method: str = "
 
 
 def fisher(r: Column) -> Column:
-    return F.atanh(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), r)))
+    return F.atanh(clipped(r, CLIP))
 
 
 def fisher_interval(table: DataFrame, z: float = 1.959963984540054) -> DataFrame:
@@ -161,11 +161,13 @@ def hierarchical_fdr(df: DataFrame, p: str, family: str, tie: list[str], alpha:
 
 
 def holm(df: DataFrame, p: str, keys: list[str], tie: list[str]) -> DataFrame:
-    """Holm-adjusted p inside each family."""
+    """Holm-adjusted p inside each family; a null p has none and is not counted."""
     w = Window.partitionBy(*keys)
-    i, m = F.row_number().over(w.orderBy(p, *tie)), F.count(F.lit(1)).over(w)
-    out = df.withColumn("__h", F.least(F.lit(1.0), (m - i + 1) * F.col(p)))
-    return out.withColumn("p_holm", F.max("__h").over(w.orderBy(p, *tie).rowsBetween(Window.unboundedPreceding, 0))).drop("__h")
+    order = w.orderBy(F.asc_nulls_last(p), *tie)
+    i, m = F.row_number().over(order), F.count(p).over(w)
+    out = df.withColumn("__h", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), (m - i + 1) * F.col(p))))
+    top = F.max("__h").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("p_holm", F.when(F.col(p).isNotNull(), top)).drop("__h")
 
 
 def permuted(df: DataFrame, keys: list[str], order: str, value: str, n_perm: int, seed: int = 1) -> DataFrame:

@@ -83,6 +83,11 @@ def first_sustained(df: DataFrame, flag: Column, keys: list[str], order: str, le
     return islands(df, flag, keys, order).where(F.col("flag") & (F.col("n") >= least)).groupBy(*keys).agg(F.min("first").alias("onset"))
 
 
+def clipped(x: Column, limit: float) -> Column:
+    """``x`` inside [-limit, limit]; null stays null (least and greatest alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), x)))
+
+
 def moment_corr(x: Column, y: Column) -> Column:
     """Pearson r from sums; null where either side is constant (the built-in one raises there)."""
     both = x.isNotNull() & y.isNotNull()
@@ -91,7 +96,7 @@ def moment_corr(x: Column, y: Column) -> Column:
     sx, sy = F.sum(x), F.sum(y)
     vx, vy = F.sum(x * x) - sx * sx / n, F.sum(y * y) - sy * sy / n
     scale = F.sqrt(F.when((vx > 1e-12 * F.sum(x * x)) & (vy > 1e-12 * F.sum(y * y)), vx * vy))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.sum(x * y) - sx * sy / n, scale)))
+    return clipped(F.try_divide(F.sum(x * y) - sx * sy / n, scale), 1.0)
 
 
 def autocorrelation(df: DataFrame, value: str, keys: list[str], order: str, lag: int, least: int = 3) -> DataFrame:

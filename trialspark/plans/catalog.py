@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Inputs
 
-SECTIONS = ("groups", "names", "align", "windows")
+SECTIONS = ("stats", "signal", "models", "groups", "names", "align", "windows")
 
 
 def _entries() -> dict:

@@ -88,7 +88,7 @@ QUERIES = {
     "c13_predictor_residual": (lambda i: i.trials.join(op.simple_regression(i.trials, ["subject"], "predictor", "outcome").select("subject", "slope", "intercept"), "subject").select("subject", "trial_id", rounded(F.col("outcome") - F.col("intercept") - F.col("slope") * F.col("predictor")).alias("residual")), sql(T, f", f AS (SELECT subject, regr_slope(outcome, predictor) AS b, regr_intercept(outcome, predictor) AS a FROM trials GROUP BY subject) SELECT subject, trial_id, {r('outcome - a - b * predictor')} AS residual FROM trials JOIN f USING (subject)")),
     "c15_icc": (lambda i: op.icc(_icc_cells(i), "unit", "run", "value", 7).select("n", *(rounded(c).alias(c) for c in ("icc11", "icc21", "icc31", "icc3k"))), sql("wide", f", c AS (SELECT subject || '-' || condition AS unit, run, avg(quantity) AS v FROM wide GROUP BY ALL), d AS (SELECT * FROM c WHERE unit IN (SELECT unit FROM c GROUP BY unit HAVING count(*) = 7)), g AS (SELECT avg(v) AS g, count(*) AS nn, count(DISTINCT unit) AS n FROM d), ur AS (SELECT 7 * sum((u - g) * (u - g)) AS ssr FROM (SELECT avg(v) AS u FROM d GROUP BY unit), g), cr AS (SELECT any_value(n) * sum((u - g) * (u - g)) AS ssc FROM (SELECT avg(v) AS u FROM d GROUP BY run), g), tt AS (SELECT sum((v - g) * (v - g)) AS sst FROM d, g), m AS (SELECT n, ssr / (n - 1) AS msr, ssc / 6 AS msc, (sst - ssr) / (n * 6) AS msw, (sst - ssr - ssc) / ((n - 1) * 6) AS mse FROM g, ur, cr, tt) SELECT n, {r('(msr - msw) / (msr + 6 * msw)')} AS icc11, {r('(msr - mse) / (msr + 6 * mse + 7 * (msc - mse) / n)')} AS icc21, {r('(msr - mse) / (msr + 6 * mse)')} AS icc31, {r('greatest(-1, least(1, (msr - mse) / msr))')} AS icc3k FROM m")),
     "c16_split_half": (_split_half, sql(T, f", h AS (SELECT *, row_number() OVER (PARTITION BY subject, condition ORDER BY trial_id) % 2 AS odd FROM trials), c AS (SELECT subject, condition, avg(outcome) FILTER (odd = 1) AS a, avg(outcome) FILTER (odd = 0) AS b FROM h GROUP BY ALL), q AS (SELECT condition, corr(a, b) AS r FROM c GROUP BY condition) SELECT condition, {r('r')} AS r, {r('2 * r / (1 + r)')} AS corrected FROM q")),
-    "c18_group_correlation": (lambda i: op.group_correlation(_per(i).withColumn("all", F.lit("all")), ["all"]).select("n_subjects", rounded("r", 8).alias("r")), sql(T, f", {PER} SELECT count(r) AS n_subjects, {r('tanh(avg(atanh(greatest(-0.999999, least(0.999999, r)))))', 8)} AS r FROM c WHERE n >= 3")),
+    "c18_group_correlation": (lambda i: op.group_correlation(_per(i).withColumn("all", F.lit("all")), ["all"]).select("n_subjects", rounded("r", 8).alias("r")), sql(T, f", {PER} SELECT count(r) AS n_subjects, {r('tanh(avg(atanh(greatest(-0.999999, least(0.999999, r)))))', 8)} AS r FROM c WHERE n >= 3 AND r IS NOT NULL")),
     "c22_fit_line": (lambda i: i.wide.groupBy("condition").agg(rounded(F.regr_slope("price", "quantity"), 4).alias("slope"), rounded(F.regr_intercept("price", "quantity"), 4).alias("intercept")), sql("wide", f"SELECT condition, {r('regr_slope(price, quantity)', 4)} AS slope, {r('regr_intercept(price, quantity)', 4)} AS intercept FROM wide GROUP BY condition")),
     "c23_loo_sign_flips": (lambda i: op.leave_one_out(i.trials, "run", "predictor", "outcome").select("run", rounded("r").alias("r"), (F.signum("r") < 0).alias("negative")), sql(T, f"SELECT s.run, {r('corr(predictor, outcome)')} AS r, corr(predictor, outcome) < 0 AS negative FROM (SELECT DISTINCT run FROM trials) s JOIN trials t ON t.run <> s.run GROUP BY s.run")),
     "e1_two_groups": (lambda i: op.two_groups(i.trials, ["subject"], "outcome", F.col("condition") == "click", F.col("condition") == "view").select("subject", "na", "nb", *(rounded(c).alias(c) for c in ("t", "dof", "d", "g"))), sql(T, f", s AS (SELECT subject, count(*) FILTER (condition = 'click') AS na, count(*) FILTER (condition = 'view') AS nb, avg(outcome) FILTER (condition = 'click') AS ma, avg(outcome) FILTER (condition = 'view') AS mb, var_samp(outcome) FILTER (condition = 'click') AS va, var_samp(outcome) FILTER (condition = 'view') AS vb FROM trials GROUP BY subject), d AS (SELECT *, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d FROM s WHERE na >= 2 AND nb >= 2) SELECT subject, na, nb, {r('(ma - mb) / sqrt(va / na + vb / nb)')} AS t, {r('power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1))')} AS dof, {r('d')} AS d, {r('d * (1 - 3 / (4.0 * (na + nb) - 9))')} AS g FROM d")),
