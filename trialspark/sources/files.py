@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BOM = "﻿"
-
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A tab-separated file with a header; ``n/a`` is null. The names come from the schema, so a byte-order mark is harmless."""
