@@ -28,6 +28,8 @@ from ._common import materialise
 from ._words import U, Words, grouped, mix
 
 LOW_BITS = 2
+#: Share of the rows above which a class of equal sets is handled apart.
+HEAVY_SHARE = 0.001
 
 
 @dataclass(frozen=True)
@@ -162,14 +164,14 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams(), *, id_col: s
     signed = materialise(_sign(narrow, p))
 
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = linked.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     reps = materialise(linked.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "low0", "low1"))
 
-    banded = reps.select("id", F.explode("bands").alias("band"))
+    banded = reps.select("id", F.posexplode("bands").alias("k", "band"))
     several = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band")
     shared = materialise(banded.join(several, "band", "left_semi"))
 
-    bits = reps.select("id", "low0", "low1")
+    bits = reps.select("id", "bands", "low0", "low1")
     sets = materialise(_sets(narrow.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), p))
     single = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
     core = sets.select("id", F.size("items").alias("n")).join(single.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id", "left")
@@ -204,22 +206,32 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams(), *, id_col: s
 
     # only what its shingles do not rule out alone goes on: a link needs an intersection of percent of its set
     able = core.where(100 * (F.col("n") - F.col("own")) >= p.percent * F.col("n"))
-    members = materialise(labelled(shared.select("id", "band").join(able, "id"), groups, "id", "group").join(bits, "id"))
+    members = materialise(labelled(shared.select("id", "k", "band").join(able, "id"), groups, "id", "group").join(bits, "id"))
     sizes = members.groupBy("band", "group").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("band").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     members = members.join(mixed, "band").join(sets, "id")
-    side = lambda x: [F.col("id").alias(x), F.col("group").alias(f"g{x}"), (F.col("n") - F.col("own")).alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("low0").alias(f"{x}0"), F.col("low1").alias(f"{x}1"), F.col("items").alias(f"i{x}")]
+    side = lambda x: [F.col("id").alias(x), F.col("group").alias(f"g{x}"), (F.col("n") - F.col("own")).alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("low0").alias(f"{x}0"), F.col("low1").alias(f"{x}1"), F.col("items").alias(f"i{x}"), F.slice("bands", F.lit(1), F.col("k")).alias(f"e{x}")]
     left, right = members.where("group <> main").select("band", "main", *side("a")), members.select("band", *side("b"))
     most, both = F.least("ca", "cb"), F.size(F.array_intersect("ia", "ib"))
-    linked_sets = lambda common: 100 * common >= p.percent * (F.col("na") + F.col("nb") - common)
+    linked_sets = lambda common: (100 + p.percent) * common >= p.percent * (F.col("na") + F.col("nb"))
+    # a pair that shares several bands is looked at in the first of them only (band hashes differ between positions)
+    first = ~F.arrays_overlap("ea", "eb")
     # of two outsiders one side is enough; all tests are part of the join condition, so that only links are written out
     once = (F.col("gb") == F.col("main")) | (F.col("ga") < F.col("gb"))
-    cross = left.join(right, (left["band"] == right["band"]) & (F.col("ga") != F.col("gb")) & once & linked_sets(most) & (_estimate(p) >= p.percent / 100 - p.slack) & linked_sets(both))
+    cross = left.join(right, (left["band"] == right["band"]) & (F.col("ga") != F.col("gb")) & once & linked_sets(most) & (_estimate(p) >= p.percent / 100 - p.slack) & first & linked_sets(both))
     links = links.unionByName(materialise(cross.select("a", "b").distinct()))
     groups = connected(links)
 
-    of_class = labelled(classes, groups, "rep", "component_id").select("one", "two", "n_shingles", "component_id")
-    out = signed.select("doc_id", "n_shingles", "one", "two").join(of_class, ["one", "two", "n_shingles"], "left")
+    # classes with more than HEAVY_SHARE of the rows, at most 1 / HEAVY_SHARE of them, are looked up map-side
+    of_class = labelled(classes, groups, "rep", "component_id").select("one", "two", "n_shingles", "size", "component_id")
+    total = signed.agg(F.count(F.lit(1)).alias("total"))
+    heavy = materialise(of_class.crossJoin(F.broadcast(total)).where(F.col("size") > HEAVY_SHARE * F.col("total")).drop("total", "size"), partitions=1)
+    keys = ["one", "two", "n_shingles"]
+    narrowed = signed.select("doc_id", *keys)
+    hot = narrowed.join(F.broadcast(heavy), keys)
+    rest = narrowed.join(F.broadcast(heavy), keys, "left_anti")
+    no_words = rest.where("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long"))
+    out = hot.unionByName(no_words).unionByName(rest.where("n_shingles > 0").join(of_class.drop("size"), keys, "left"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
