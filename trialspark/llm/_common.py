@@ -54,3 +54,15 @@ def materialise(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
 def crc32_text(column: Column) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(column.cast("string").cast("binary"))
+
+
+def hash_place(key: str) -> Column:
+    """A fixed pseudo-random place in [0, 2^62) for an id."""
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def thinned(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows in the lowest part of the hash range, about a tenth more than ``most``, so that a following ordered limit of
+    ``most`` gathers that many rows in all and not that many from every task."""
+    n = rows.count()
+    return rows.where(hash_place(key) < int(2**62 * 1.1 * most / n)) if n > 1.1 * most else rows

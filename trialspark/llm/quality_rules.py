@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from ._common import materialise
+from ._common import hash_place, materialise, thinned
 from ._words import SPACE, U, Words, grouped, mix, repeated
 
 #: At most so many labelled rows are used to fit the trees, the same rows in every run (lowest hash of the id).
@@ -97,7 +97,7 @@ def features(s: pd.DataFrame) -> np.ndarray:
 def fit_rules(stats: DataFrame, labels: DataFrame, *, max_rows: int = MAX_TRAIN_ROWS) -> boosting.Forest | None:
     """Trees fitted on at most ``max_rows`` labelled rows; None when there are no labels of both kinds."""
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()
+    rows = stats.join(thinned(known, "doc_id", max_rows), "doc_id").orderBy(hash_place("doc_id"), "doc_id").limit(max_rows).toPandas()
     y = rows["quality"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return None
