@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc32_text, materialise
+from ._common import crc32_text, hash_place, materialise, thinned
 from ._words import LOWER, SPACE, U, Words, grouped, mix
 
 BUCKETS = 1 << 14
@@ -165,7 +165,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     table = materialise(narrow.mapInPandas(pooled, f"doc_id {kind}, x array<float>"))
     held = F.coalesce(crc32_text(F.col("doc_id")) % folds == held_fold, F.lit(False))
     known = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("y")).where(crc32_text(F.col("doc_id")) % folds != held_fold)
-    rows = table.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows).select("x", "y").toPandas()
+    rows = table.join(thinned(known, "doc_id", max_train_rows), "doc_id").orderBy(hash_place("doc_id"), "doc_id").limit(max_train_rows).select("x", "y").toPandas()
     y = rows["y"].to_numpy(float)
     model = Network(np.stack(rows["x"].to_list()).astype(float), y) if len(y) and y.min() < y.max() else None
 
