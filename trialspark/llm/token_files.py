@@ -138,7 +138,8 @@ def write_token_shards(docs: DataFrame, path: str, out: str, *, id_col: str = "d
         if held:
             yield close()
 
-    ordered = coded.repartition(len(edges) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
+    # by number, not by hash: no two buckets meet in one task
+    ordered = coded.repartitionById(len(edges) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
     ordered.mapInPandas(shards, "bucket int, part int, tokens long, doc_ids array<long>, block binary").write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(out)
 
 
