@@ -68,6 +68,14 @@ def test_exact_groups_with_null_and_repeated_ids(spark):
     assert exact_dedup.drop_exact_copies(df.where("doc_id > 0")).count() == 2
 
 
+def test_drop_exact_copies_judges_each_text_of_an_id(spark):
+    rows = [(None, "x"), (None, "x"), (None, "y"), (None, "A"), (None, None), (5, "a"), (5, "b"), (9, "A"), (7, "c"), (7, "C"), (7, "c"), (8, ""), (6, "d")]
+    got = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in got) == [(0, "x"), (0, "y"), (5, "b"), (6, "d"), (7, "c"), (8, ""), (9, "a")]
+    again = exact_dedup.drop_exact_copies(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)).collect()
+    assert set(again) == set(got)
+
+
 def test_token_counts_splice_chunks(docs):
     library = bpe_library(BYTE)
     for chunk in (150, 65_536):

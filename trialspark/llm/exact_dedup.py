@@ -51,8 +51,14 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one stays.
 
-    The removal itself joins on the id only (narrow rows), so texts move once.
+    Rows are known by id and text digest together, so rows that share an id, or have none, are judged each by its own text.
+    Of rows that repeat id and text the one with the lowest hash over all columns stays. Texts move once: rows are reduced and
+    joined by the same key.
     """
     groups = exact_groups(docs, id_col=id_col, text_col=text_col, support=support)
-    kept = groups.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    kept = groups.where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias("__key")).distinct()
+    own = F.concat_ws(":", F.sha2(ascii_lower(docs[text_col]).cast("binary"), 256), docs[id_col].cast("string"))
+    place = F.xxhash64(*[docs[f.name].cast("string") if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema])
+    rows = docs.select(own.alias("__key"), place.alias("__place"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    once = rows.groupBy("__key").agg(F.min_by("__row", "__place").alias("__row"))
+    return once.join(kept, "__key", "left_semi").select("__row.*")
