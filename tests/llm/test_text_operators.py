@@ -150,6 +150,20 @@ def test_quality_rules_without_labels_keep_what_passes(docs, labels):
     assert all(r.kept != r.base_failed and r.probability is None for r in got.values())
 
 
+def test_rows_without_or_sharing_an_id_get_their_own_verdict(spark, labels):
+    good = ["The quick brown fox jumps over a lazy dog near the old river bank " + w for w in ("one", "two", "three", "four", "five")]
+    rows = [(None, good[0]), (None, good[1]), (None, "short"), (None, None), (5, good[2]), (5, "too short"), (6, good[3]), (6, good[4]), (7, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(((i or 0, t) for i, t in rows if t in good))
+    kept = quality_rules.keep_good(df, labels.where("doc_id < 0"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == want and kept.columns == df.columns
+    # the stages after it get such rows now: none is lost or multiplied
+    mixed = mixing.mix(kept, shards=4)
+    assert sorted((r.doc_id or 0, r.text) for r in mixed.select("doc_id", "text").collect()) == want
+    coded = piece_scan.encode_pieces(near_dedup.drop_near_copies(mixed.select(df.columns), near_dedup.NearParams(shingle=5, percent=100)), PIECE).collect()
+    assert sorted(r.doc_id or 0 for r in coded) == [0, 0, 5, 6, 6] and all(r.round_trip for r in coded)
+
+
 def test_boosting_is_monotone():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))

@@ -51,6 +51,15 @@ def materialise(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(docs: DataFrame, *columns: str) -> Column:
+    """One string for the values of ``columns`` in a row of ``docs``, never null: equal when all values are, nulls included.
+
+    The last column counts by its SHA-256 (it may be long), where null is not the same as empty.
+    """
+    *short, text = [docs[c].cast("string") for c in columns]
+    return F.concat_ws(":", F.sha2(text.cast("binary"), 256), F.to_json(F.array(*short), {"ignoreNullFields": "false"}))
+
+
 def crc32_text(column: Column) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(column.cast("string").cast("binary"))

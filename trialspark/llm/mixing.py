@@ -15,10 +15,10 @@ import json
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialise
+from ._common import WORD, materialise, row_key
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -73,20 +73,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rep
     return out.withColumn("n_blocks", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_rows") / BLOCK_ROWS)).cast("long")).drop("cap", "level", "weight", "n_rows")
 
 
-def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, shards: int = SHARDS, seed: int = SEED, key: Column | None = None) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies, shards``: what the mix takes of each row, and the shard of each copy.
 
     Whole documents are taken, ``copies`` times each (0 to ``max_repeat``), so a source's taken words differ from its target by
     less than the next document of that block, mostly by a few words. A null text has size 0; a null source is a source of its own, the last one. Sources with no words
     have target 0. Rows that repeat an id are taken one by one. An empty table gives an empty result.
+    With ``key``, a string column of ``docs``, each row also has it as ``row_key``.
     """
     spark = docs.sparkSession
-    sizes = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")))
+    keyed = [] if key is None else ["row_key"]
+    sizes = materialise(docs.select(*([] if key is None else [key.alias("row_key")]), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")))
     sources = materialise(source_targets(sizes, weights, max_repeat), partitions=1)
 
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit("row:"), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     rows = sizes.join(F.broadcast(sources.select("source", "rank", "n_blocks")), sizes["source"].eqNullSafe(sources["source"]))
-    rows = rows.select("doc_id", "size", "rank", F.coalesce(hashed % F.col("n_blocks"), F.lit(0)).alias("block"))
+    rows = rows.select("doc_id", "size", *keyed, "rank", F.coalesce(hashed % F.col("n_blocks"), F.lit(0)).alias("block"))
 
     totals = rows.groupBy("rank", "block").agg(F.sum("size").alias("block_size"))
     order = Window.partitionBy("rank").orderBy(F.md5(F.concat_ws(":", F.lit("block"), "rank", "block").cast("binary")))
@@ -105,13 +107,13 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(plan), "array<struct<rank int, ends array<long>>>")))
 
     placed = rows.join(blocks, ["rank", "block"])
-    inside = Window.partitionBy("rank", "block").orderBy(F.md5(F.concat(F.lit("row:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id", "size")
+    inside = Window.partitionBy("rank", "block").orderBy(F.md5(F.concat(F.lit("row:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id", "size", *keyed)
     at_edge = placed.where("edge").withColumn("until", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     block = Window.partitionBy("rank", "block")
     at_edge = at_edge.withColumn("gap", F.col("room") - F.coalesce(F.max(F.when(F.col("until") <= F.col("room"), F.col("until"))).over(block), F.lit(0)))
     off = F.abs(F.col("size") - F.col("gap"))
     at_edge = at_edge.withColumn("fits", (F.col("until") > F.col("room")) & (off < F.col("gap")))
-    last = F.row_number().over(block.orderBy(F.col("fits").desc(), off, "doc_id", "size")) == 1
+    last = F.row_number().over(block.orderBy(F.col("fits").desc(), off, "doc_id", "size", *keyed)) == 1
     at_edge = at_edge.withColumn("more", ((F.col("until") <= F.col("room")) | (F.col("fits") & last)).cast("long")).drop("until", "gap", "fits")
     rated = at_edge.unionByName(placed.where(~F.col("edge")).withColumn("more", F.col("whole").cast("long")))
 
@@ -119,19 +121,21 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     out = rated.join(known, "rank").withColumn("copies", F.col("passes") + F.col("more"))
     place = lambda c: F.size(F.filter("ends", lambda end: end <= c * F.col("n_blocks") + F.col("place")))
     shard = F.transform(F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<long>")), place)
-    return out.withColumn("shards", shard).select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"), F.size("shards").alias("copies"), "shards")
+    return out.withColumn("shards", shard).select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).cast("long").alias("taken"), F.size("shards").alias("copies"), "shards", *keyed)
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", shard_col: str = "shard", **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it, with its shard, shuffled inside the shard.
 
-    Ids must be unique here: rows that repeat an id would each get all copies of that id.
+    Rows are known by id, source and text together, so ids may be null or repeated; only rows that repeat all three would
+    each get all copies of one another.
     """
     shards = options.get("shards", SHARDS)
-    plan = mix_plan(docs, id_col=id_col, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.posexplode("shards").alias("__copy", shard_col))
-    rows = docs.join(plan, docs[id_col].eqNullSafe(F.col("__id")))
-    local = F.md5(F.concat_ws(":", F.lit("local"), F.col(shard_col), F.col("__copy"), F.col("__id")).cast("binary"))
-    return rows.repartition(shards, shard_col).sortWithinPartitions(shard_col, local).drop("__id", "__copy")
+    key = row_key(docs, id_col, options.get("source_col", "source"), options.get("text_col", "text"))
+    plan = mix_plan(docs, id_col=id_col, key=key, **options).where("copies > 0").select(F.col("row_key").alias("__key"), F.posexplode("shards").alias("__copy", shard_col))
+    rows = docs.join(plan, key == F.col("__key"))
+    local = F.md5(F.concat_ws(":", F.lit("local"), F.col(shard_col), F.col("__copy"), docs[id_col]).cast("binary"))
+    return rows.repartition(shards, shard_col).sortWithinPartitions(shard_col, local, "__key").drop("__key", "__copy")
 
 
 ORACLE = """

@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from ._common import hash_place, materialise, thinned
+from ._common import hash_place, materialise, row_key, thinned
 from ._words import SPACE, U, Words, grouped, mix, repeated
 
 #: At most so many labelled rows are used to fit the trees, the same rows in every run (lowest hash of the id).
@@ -73,18 +73,19 @@ def statistics(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     }
 
 
-def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the counts of ``statistics`` (long), one row per row of ``docs``."""
+def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """``doc_id`` and the counts of ``statistics`` (long), one row per row of ``docs``; with ``key``, a string, also ``row_key``."""
+    keyed = [] if key is None else ["row_key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for part in grouped(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].to_numpy(), **statistics(texts[part])})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].to_numpy(), **statistics(texts[part]), **{c: batch[c].iloc[part].to_numpy() for c in keyed}})
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *([] if key is None else [key.alias("row_key")]))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInPandas(run, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in BASE + EXTRA)]))
+    return narrow.mapInPandas(run, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in BASE + EXTRA), *(f"{c} string" for c in keyed)]))
 
 
 def features(s: pd.DataFrame) -> np.ndarray:
@@ -105,14 +106,16 @@ def fit_rules(stats: DataFrame, labels: DataFrame, *, max_rows: int = MAX_TRAIN_
     return boosting.fit(features(rows), y, monotone=monotone)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_probability: float = MIN_PROBABILITY, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_probability: float = MIN_PROBABILITY, max_train_rows: int = MAX_TRAIN_ROWS, key: Column | None = None) -> DataFrame:
     """Verdict per row: ``doc_id``, the five base counts, ``base_failed``, ``kept``, ``probability``.
 
     ``base_failed``: fewer than 10 words, or more than a fifth of the words in repeated 5-word windows. ``kept`` is false
     for these, else the trees' verdict; without labels of both kinds only the base rules decide (probability null).
-    Null and empty texts have zero counts and fail. Repeated ids give a row each. An empty table gives an empty result.
+    Null and empty texts have zero counts and fail. Null and repeated ids give a row each. An empty table gives an empty
+    result. With ``key``, a string column of ``docs``, each row also has it as ``row_key``.
     """
-    stats = materialise(document_statistics(docs, id_col=id_col, text_col=text_col))
+    keyed = [] if key is None else ["row_key"]
+    stats = materialise(document_statistics(docs, id_col=id_col, text_col=text_col, key=key))
     forest = fit_rules(stats, labels, max_rows=max_train_rows)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,13 +123,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
             p = forest.probability(features(s)) if forest else np.full(len(s), np.nan)
             good = p >= min_probability if forest else True
-            yield s[["doc_id", *BASE]].assign(base_failed=failed, kept=~failed & good, probability=pd.Series(p, index=s.index).astype(object).where(~np.isnan(p), None))
+            yield s[["doc_id", *BASE, *keyed]].assign(base_failed=failed, kept=~failed & good, probability=pd.Series(p, index=s.index).astype(object).where(~np.isnan(p), None))
 
     kind = stats.schema["doc_id"].dataType.simpleString()
-    return stats.mapInPandas(score, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in BASE), "base_failed boolean", "kept boolean", "probability double"]))
+    return stats.mapInPandas(score, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in BASE), *(f"{c} string" for c in keyed), "base_failed boolean", "kept boolean", "probability double"]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose verdict is ``kept``; an id with any rejected row is judged row by row only if ids are unique."""
-    kept = quality_rules(docs, labels, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, docs[id_col] == F.col("__id"), "left_semi")
+    """The rows of ``docs`` whose own verdict is ``kept``, as often as they occur.
+
+    The verdict depends on the text only. Rows are joined to it by id and text digest together, so rows that have no id, or
+    share one, are judged each by its own text.
+    """
+    key = row_key(docs, id_col, text_col)
+    kept = quality_rules(docs, labels, id_col=id_col, text_col=text_col, key=key).where("kept").select(F.col("row_key").alias("__key"))
+    return docs.join(kept, key == F.col("__key"), "left_semi")
