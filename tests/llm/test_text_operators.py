@@ -253,6 +253,24 @@ def test_mixing_targets_caps_and_shards(spark):
     assert mixing.mix(df, shards=8).count() == sum(r.copies for r in got)
 
 
+def test_mixing_meets_targets_past_a_very_long_document(spark):
+    rng = random.Random(8)
+    rows, at = [], 0
+    for k in range(12):  # every source but the last has one document with a third of its words, the last has none
+        short = [rng.randrange(1, 90) for _ in range(2300 if k == 0 else 300)]
+        for n in short + ([sum(short) // 2] if k < 11 else []):
+            rows.append((at, "w " * n, f"s{k:02}"))
+            at += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(df, shards=8, max_repeat=2, weights=(5, 2, 1, 3)).collect()
+    target, taken, name = {}, collections.Counter(), {i: s for i, _, s in rows}
+    for r in plan:
+        target[name[r.doc_id]] = r.target
+        taken[name[r.doc_id]] += r.taken
+        assert r.copies <= 2 and len(r.shards) == r.copies and all(0 <= s < 8 for s in r.shards)
+    assert len(plan) == len(rows) and all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
+
+
 def test_splitting_tree_keeps_quotas():
     out = mixing.split_quotas([100, 7, 0, 33], 8)
     assert out.sum(1).tolist() == [100, 7, 0, 33] and set(out.sum(0)) <= {17, 18}

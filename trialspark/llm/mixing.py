@@ -2,7 +2,9 @@
 
 The corpus is reduced to narrow rows (id, source, size in words). Each source is cut into blocks by a hash of the id; its
 target is met by whole passes over its blocks and one partial pass over its first blocks in a hashed order; in the one block
-where the target falls, documents are taken in a hashed order while they fit, then the one that best fills what is left. The exact block quotas of all sources are then parted among the output shards by a
+where the target falls, documents are taken in a hashed order while they fit, then the one that best fills what is left. Where
+that misses a target by more than ``MISS`` of it (a long document stood in the way), rounds over that block and the later ones
+start again, longest document first, each round without the documents longer than its gap. The exact block quotas of all sources are then parted among the output shards by a
 splitting tree: at each node a multivariate hypergeometric draw gives the left half its share of every source. Shards take
 disjoint runs of the permuted blocks, and rows are shuffled inside their shard.
 
@@ -30,6 +32,9 @@ MAX_BLOCKS = 4096
 MAX_SOURCES = 100_000
 SHARDS = 64
 SEED = 17
+#: A source whose first take misses its target by more than this share of it is filled up in at most so many rounds.
+MISS = 0.01
+ROUNDS = 12
 
 
 def split_quotas(quotas: Sequence[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -73,11 +78,51 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rep
     return out.withColumn("n_blocks", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_rows") / BLOCK_ROWS)).cast("long")).drop("cap", "level", "weight", "n_rows")
 
 
+def _fill_up(rows: DataFrame, missed: DataFrame) -> DataFrame:
+    """The rows of those sources of ``missed`` whose target is met better by rounds, with ``more`` decided anew.
+
+    ``rows`` are all from the block where the target falls onwards. In a round the untaken documents no longer than the gap are
+    taken by running sums: whole blocks, then one part, the longest first.
+    """
+    rows = materialise(rows.withColumn("took", F.lit(False)))
+    named = rows.columns
+    hashed = F.md5(F.concat(F.lit("row:"), F.col("doc_id").cast("string")).cast("binary"))
+    tie = [hashed, "doc_id", "size", *(["row_key"] if "row_key" in named else [])]
+    block = Window.partitionBy("rank", "place")
+
+    def gaps() -> DataFrame:
+        taken = rows.groupBy("rank").agg(F.sum(F.when(F.col("took"), F.col("size")).otherwise(0)).alias("taken"))
+        return materialise(missed.join(taken, "rank").select("rank", "target", "off", (F.col("room") - F.col("taken")).alias("gap")), partitions=1)
+
+    gap, order = gaps(), Window.partitionBy("rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    for _ in range(ROUNDS):
+        can = rows.join(F.broadcast(gap.where(F.col("gap") > MISS * F.col("target")).select("rank", "gap")), "rank", "left")
+        can = can.withColumn("can", F.coalesce(~F.col("took") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")), F.lit(False)))
+        sums = can.where("can").groupBy("rank", "place", "gap").agg(F.sum("size").alias("__size")).withColumn("__until", F.sum("__size").over(order))
+        sums = materialise(sums.where(F.col("__until") - F.col("__size") < F.col("gap")).select("rank", "place", (F.col("gap") - F.col("__until") + F.col("__size")).alias("__room")))
+        if sums.isEmpty():
+            break
+        run = F.sum(F.when(F.col("can"), F.col("size")).otherwise(0)).over(block.orderBy(F.col("size").desc(), *tie).rowsBetween(Window.unboundedPreceding, 0))
+        can = can.join(sums, ["rank", "place"], "left").withColumn("took", F.col("took") | F.coalesce(F.col("can") & (run <= F.col("__room")), F.lit(False)))
+        rows = materialise(can.select(*named))
+        gap = gaps()
+
+    off = F.abs(F.col("size") - F.col("gap"))
+    fits = rows.join(F.broadcast(gap), "rank").where(~F.col("took") & (off < F.col("gap")))
+    best = fits.groupBy("rank").agg(F.min(F.struct(off.alias("off"), "place")).alias("best"))
+    known = gap.join(best, "rank", "left").where(F.least("gap", "best.off") < F.col("off")).select("rank", "gap", F.col("best.off").alias("__off"), F.col("best.place").alias("__at"))
+    out = rows.join(F.broadcast(materialise(known, partitions=1)), "rank")
+    hit = F.coalesce(~F.col("took") & (F.col("place") == F.col("__at")) & (off == F.col("__off")), F.lit(False))
+    first = F.row_number().over(block.orderBy(hit.desc(), *tie)) == 1
+    out = out.withColumn("more", (F.col("took") | (hit & first)).cast("long"))
+    return materialise(out.select(*[c for c in named if c != "took"]))
+
+
 def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, shards: int = SHARDS, seed: int = SEED, key: Column | None = None) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies, shards``: what the mix takes of each row, and the shard of each copy.
 
-    Whole documents are taken, ``copies`` times each (0 to ``max_repeat``), so a source's taken words differ from its target by
-    less than the next document of that block, mostly by a few words. A null text has size 0; a null source is a source of its own, the last one. Sources with no words
+    Whole documents are taken, ``copies`` times each (0 to ``max_repeat``), so a source's taken words differ from its target
+    mostly by a few words, and by more than ``MISS`` of it only where ``ROUNDS`` rounds find no documents that come nearer. A null text has size 0; a null source is a source of its own, the last one. Sources with no words
     have target 0. Rows that repeat an id are taken one by one. An empty table gives an empty result.
     With ``key``, a string column of ``docs``, each row also has it as ``row_key``.
     """
@@ -98,14 +143,6 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     edge = (F.col("rest") > 0) & (F.col("until") > F.col("rest")) & (F.col("until") - F.col("block_size") < F.col("rest"))
     blocks = materialise(blocks.select("rank", "block", "place", whole.alias("whole"), edge.alias("edge"), (F.col("rest") - F.col("until") + F.col("block_size")).alias("room")))
 
-    quota = sources.join(blocks.groupBy("rank").agg(F.count_if(F.col("whole") | F.col("edge")).alias("partial")), "rank")
-    quotas = quota.select("rank", (F.col("passes") * F.col("n_blocks") + F.col("partial")).alias("quota")).orderBy("rank").limit(MAX_SOURCES + 1).collect()
-    if len(quotas) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    ends = np.cumsum(split_quotas([q["quota"] for q in quotas], shards, seed), 1).tolist()
-    plan = json.dumps([{"rank": q["rank"], "ends": e} for q, e in zip(quotas, ends, strict=True)])
-    plan = spark.range(1).select(F.inline(F.from_json(F.lit(plan), "array<struct<rank int, ends array<long>>>")))
-
     placed = rows.join(blocks, ["rank", "block"])
     inside = Window.partitionBy("rank", "block").orderBy(F.md5(F.concat(F.lit("row:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id", "size", *keyed)
     at_edge = placed.where("edge").withColumn("until", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
@@ -115,7 +152,28 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     at_edge = at_edge.withColumn("fits", (F.col("until") > F.col("room")) & (off < F.col("gap")))
     last = F.row_number().over(block.orderBy(F.col("fits").desc(), off, "doc_id", "size", *keyed)) == 1
     at_edge = at_edge.withColumn("more", ((F.col("until") <= F.col("room")) | (F.col("fits") & last)).cast("long")).drop("until", "gap", "fits")
-    rated = at_edge.unionByName(placed.where(~F.col("edge")).withColumn("more", F.col("whole").cast("long")))
+    at_edge = materialise(at_edge)
+    filled = at_edge.groupBy("rank").agg(F.max("place").alias("from"), F.max("room").alias("room"), F.abs(F.max("room") - F.sum(F.col("size") * F.col("more"))).alias("off"))
+    missed = materialise(filled.join(F.broadcast(sources.select("rank", "target")), "rank").where(F.col("off") > MISS * F.col("target")), partitions=1)
+    others = placed.where(~F.col("edge")).withColumn("more", F.col("whole").cast("long"))
+    rated = at_edge.unionByName(others)
+    partial = blocks.groupBy("rank").agg(F.count_if(F.col("whole") | F.col("edge")).alias("partial"))
+    if not missed.isEmpty():
+        later = others.join(F.broadcast(missed.select("rank", "from")), "rank").where(F.col("place") > F.col("from")).drop("from")
+        again = _fill_up(at_edge.join(F.broadcast(missed.select("rank")), "rank", "left_semi").unionByName(later), missed)
+        reach = again.groupBy("rank").agg(F.max(F.when(F.col("more") > 0, F.col("place") + 1)).alias("reach"), F.min("place").alias("from"))
+        reach = F.broadcast(materialise(reach, partitions=1))
+        kept = rated.join(reach, "rank", "left").where(F.col("from").isNull() | (F.col("place") < F.col("from")))
+        rated = kept.drop("reach", "from").unionByName(again)
+        partial = partial.join(reach, "rank", "left").select("rank", F.greatest("partial", "reach").alias("partial"))
+
+    quota = sources.join(partial, "rank")
+    quotas = quota.select("rank", (F.col("passes") * F.col("n_blocks") + F.col("partial")).alias("quota")).orderBy("rank").limit(MAX_SOURCES + 1).collect()
+    if len(quotas) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    ends = np.cumsum(split_quotas([q["quota"] for q in quotas], shards, seed), 1).tolist()
+    plan = json.dumps([{"rank": q["rank"], "ends": e} for q, e in zip(quotas, ends, strict=True)])
+    plan = spark.range(1).select(F.inline(F.from_json(F.lit(plan), "array<struct<rank int, ends array<long>>>")))
 
     known = F.broadcast(sources.select("rank", "source_size", "target", "passes", "n_blocks").join(plan, "rank"))
     out = rated.join(known, "rank").withColumn("copies", F.col("passes") + F.col("more"))
