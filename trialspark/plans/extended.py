@@ -33,7 +33,7 @@ def _points(i):
 
 
 def _votes(i):
-    t = i.wide.where("subject < 60").withColumn("label", (F.col("price") > 40000).cast("int"))
+    t = i.wide.withColumn("label", (F.col("price") > 40000).cast("int"))
     v = op.soft_vote(t, ["quantity", "discount", "tax"], "label", F.col("subject") % 4 > 0)
     return v.groupBy("label").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("p_vote"), 2).alias("p_vote"))
 
@@ -67,7 +67,7 @@ QUERIES = {
     "c19_temporal_correlation": (lambda i: _round(_r_grid(i), "r", keep=("freq", "k", "n")), sql("tfr", GRID + f" SELECT freq, k, n, {r('r')} AS r FROM g")),
     "c20_residual_rank": (lambda i: _round(op.partial_rank(i.trials, ["subject"], "predictor", "outcome", "onset"), "r", keep=("subject", "n")), sql("trials", f", k AS (SELECT subject, rank() OVER (PARTITION BY subject ORDER BY predictor) + (count(*) OVER (PARTITION BY subject, predictor) - 1) / 2.0 AS x, rank() OVER (PARTITION BY subject ORDER BY outcome) + (count(*) OVER (PARTITION BY subject, outcome) - 1) / 2.0 AS y, rank() OVER (PARTITION BY subject ORDER BY onset) + (count(*) OVER (PARTITION BY subject, onset) - 1) / 2.0 AS z FROM trials), c AS (SELECT subject, count(*) AS n, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM k GROUP BY subject) SELECT subject, n, {r('(xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz))')} AS r FROM c")),
     "c24_aperiodic_residuals": (lambda i: _round(signal.residual_spectrum(i.psd, ["trial_id"]), "residual", keep=("trial_id", "freq")), sql("psd", f", l AS (SELECT trial_id, freq, log10(freq) AS lf, log10(power) AS lp FROM psd WHERE power > 0), f AS (SELECT trial_id, regr_slope(lp, lf) AS b, regr_intercept(lp, lf) AS a FROM l GROUP BY trial_id) SELECT trial_id, freq, {r('lp - a - b * lf')} AS residual FROM l JOIN f USING (trial_id)")),
-    "e4_bootstrap_d": (lambda i: _round(op.bootstrap_d(i.trials.where("subject < 30").select("subject", "trial_id", "condition", "outcome"), ["subject"], "trial_id", "outcome", F.col("condition") == "click", F.col("condition") == "view", 20), "low", "high", keep=("subject",)), None),
+    "e4_bootstrap_d": (lambda i: _round(op.bootstrap_d(i.trials.select("subject", "trial_id", "condition", "outcome"), ["subject"], "trial_id", "outcome", F.col("condition") == "click", F.col("condition") == "view", 20), "low", "high", keep=("subject",)), None),
     "e6_primary_p": (lambda i: op.primary_p(i.trials.select("subject", "trial_id", (F.col("outcome") / 500).alias("p_raw"), F.when(F.col("trial_id") % 2 == 0, F.col("predictor") / 100).alias("p_perm")), "perm_if_available").select("subject", "trial_id", rounded("p_primary").alias("p_primary"), "reportable"), sql("trials", f"SELECT subject, trial_id, {r('CASE WHEN trial_id % 2 = 0 THEN predictor / 100 ELSE outcome / 500 END')} AS p_primary, CASE WHEN trial_id % 2 = 0 THEN predictor / 100 ELSE outcome / 500 END < 0.05 AS reportable FROM trials")),
     "e7_region_change": (lambda i: _round(win.change_scores(win.time_mask(i.samples.withColumn("p", F.col("x") * F.col("x")), win.segments(i.spark, [("base", -0.25, 0.0), ("act", 0.0, 0.75)])), ["subject", "channel"], "segment", "p", "base", "act"), "pct_change", keep=("subject", "channel"), digits=4), sql("samples", f", m AS (SELECT subject, channel, avg(x * x) FILTER (t < 0) AS b, avg(x * x) FILTER (t >= 0) AS a FROM samples GROUP BY ALL) SELECT subject, channel, {r('100 * (a - b) / b', 4)} AS pct_change FROM m")),
     "k1_clusters_1d": (lambda i: _round(op.clusters_1d(_r_grid(i).withColumn("r", F.round("r", 9)), ["freq"], "k", "r", 0.1), "mass", keep=("freq", "first", "last", "n")), sql("tfr", GRID + f", s AS (SELECT freq, k, round(r, 9) AS r, CASE WHEN abs(round(r, 9)) > 0.1 THEN sign(r) ELSE 0 END AS s FROM g), i AS (SELECT *, k - row_number() OVER (PARTITION BY freq, s ORDER BY k) AS isl FROM s WHERE s <> 0) SELECT freq, min(k) AS \"first\", max(k) AS \"last\", count(*) AS n, {r('sum(abs(r))')} AS mass FROM i GROUP BY freq, s, isl")),
