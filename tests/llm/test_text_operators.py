@@ -101,13 +101,58 @@ def test_max_plus_product_is_associative():
 
 def test_token_shards_round_trip(docs):
     library, start = bpe_library(WORD), 0
-    got = by_id(token_files.token_file_digest(docs, WORD, shard_tokens=700, bucket_rows=20))
+    got = by_id(token_files.token_file_digest(docs, WORD, shard_tokens=700, part_bytes=20_000))
     for i, t in sorted(source(docs).items()):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
 
 
+def test_token_shards_with_null_repeated_and_huge_ids(spark):
+    library = bpe_library(WORD)
+    rows = [(None, "none one"), (2**53 + 1, "odd"), (2**53 + 3, None), (7, "seven"), (7, "again seven"), (7, ""), (None, "none two")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, bucket int, block string")
+    got = token_files.token_file_digest(df, WORD, shard_tokens=5, part_bytes=100).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((i or 0, len(library.encode(t or "").ids) + 1) for i, t in rows)
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in ordered] == [None, None, 7, 7, 7, 2**53 + 1, 2**53 + 3]
+    assert [r.start for r in ordered] == np.cumsum([0, *(r.n_tokens for r in ordered[:-1])]).tolist()
+    same = spark.createDataFrame([(1, f"text {i % 40}") for i in range(4000)], "doc_id long, text string")
+    got = token_files.token_file_digest(same, WORD, shard_tokens=500, part_bytes=20_000).collect()
+    assert len(got) == 4000 and len({r.start for r in got}) == 4000 and max(r.start + r.n_tokens for r in got) == sum(r.n_tokens for r in got)
+
+
+def test_written_shards_answer_without_decoding(spark, docs, tmp_path):
+    out = f"file://{tmp_path}/shards"
+    token_files.write_token_shards(docs, WORD, out, shard_tokens=900, part_bytes=20_000)
+    every = [r for r in token_files.read_token_shards(spark, out, with_ids=True).orderBy("start").collect()]
+    ids = np.concatenate([r.ids for r in every])
+    for at in np.random.default_rng(1).integers(0, len(ids), 4).tolist():
+        assert token_files.token_at(spark, out, at) == ids[at]
+    symbols = [1, int(ids[100]), int(ids[3000]), 49_000]
+    assert {r.symbol: r.occurrences for r in token_files.count_tokens(spark, out, symbols).collect()} == {s: int((ids == s).sum()) for s in symbols}
+    found = token_files.find_tokens(spark, out, symbols[:2]).collect()
+    assert sorted((r.symbol, r.position) for r in found) == sorted((s, int(p)) for s in dict.fromkeys(symbols[:2]) for p in np.flatnonzero(ids == s))
+    shard = token_files.open_shard(spark, out, 0, 0)
+    shard.access(0)
+    assert shard.opened <= shard.bits
+
+
+def test_token_ids_of_files_that_are_not_split_by_words(spark, docs):
+    library = bpe_library(BYTE)
+    got = by_id(token_files.token_file_digest(docs, BYTE, part_bytes=20_000))
+    for i, t in source(docs).items():
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert got[i].ids_crc32 == zlib.crc32(ids.tobytes())
+
+
+def test_wavelet_opens_few_chunks():
+    ids = (np.arange(400_000) * 7919 % 50_021).astype(np.uint16)
+    m = wavelet.WaveletMatrix(wavelet.build(ids, np.array([len(ids)]), 16))
+    assert m.access(123_456) == ids[123_456] and m.select(int(ids[5]), 3) == np.flatnonzero(ids == ids[5])[3]
+    assert m.opened < 120 < m.bits * m.per_plane and np.array_equal(m.tokens(), ids)
+
+
 def test_wavelet_access_rank_select():
     rng = np.random.default_rng(3)
     ids = rng.zipf(1.3, 5000).clip(max=1000).astype(np.uint16)

@@ -6,10 +6,14 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._words import grouped
+
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -75,3 +79,49 @@ def thinned(rows: DataFrame, key: str, most: int) -> DataFrame:
     ``most`` gathers that many rows in all and not that many from every task."""
     n = rows.count()
     return rows.where(hash_place(key) < int(2**62 * 1.1 * most / n)) if n > 1.1 * most else rows
+
+
+def labelled_sample(ids: DataFrame, labels: DataFrame, label: str, most: int, where: Column | None = None) -> DataFrame:
+    """``doc_id, y``: at most ``most`` labelled ids, the same in every run (lowest hash of the id).
+
+    Only ids of ``ids`` count, so labels of other documents never crowd out the ones at hand. An id labelled twice has its
+    largest label; null ids and null labels are left out.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    known = known if where is None else known.where(where)
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = materialise(known.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return thinned(known, "doc_id", most).orderBy(hash_place("doc_id"), "doc_id").limit(most)
+
+
+#: Arrow types of the columns that workers make, by their Spark names.
+_ARROW = {
+    "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()),
+}
+
+
+def fields(rows: DataFrame, columns: Sequence[str], made: dict[str, str]) -> str:
+    """Schema text: ``columns`` as they are in ``rows``, then the made ones."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), *(f"`{c}` {k}" for c, k in made.items())])
+
+
+def arrow_batch(batch: pa.RecordBatch, columns: Sequence[str], rows: Sequence[int] | None, made: dict[str, str], values: dict[str, object]) -> pa.RecordBatch:
+    """A batch of the passed columns (of the given rows) and the made ones. Passed values stay in Arrow, so ids stay exact."""
+    passed = batch.select(list(columns))
+    passed = passed if rows is None else passed.take(pa.array(rows, pa.int64()))
+    arrays = [values[c] if isinstance(values[c], pa.Array) else pa.array(values[c], _ARROW[k], from_pandas=False) for c, k in made.items()]
+    return pa.RecordBatch.from_arrays([*passed.columns, *arrays], names=[*columns, *made])
+
+
+def map_texts(rows: DataFrame, columns: Sequence[str], made: dict[str, str], work: Callable[[list[bytes | None]], dict[str, object]], text: str = "text") -> DataFrame:
+    """``columns`` of every row, untouched, and the ``made`` columns that ``work`` gives for its text, in groups of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            for part in grouped(texts):
+                yield arrow_batch(batch.slice(part.start, part.stop - part.start), columns, None, made, work(texts[part]))
+
+    return rows.mapInArrow(run, fields(rows, columns, made))

@@ -1,22 +1,22 @@
 """Vectorised words, lines and hashes of a batch of UTF-8 texts (numpy, inside tasks).
 
 Texts are handled as bytes laid end to end with a line feed after each. A word is a maximal run of bytes other than the six
-white-space bytes. Hashes are 64-bit polynomial sums over a fixed byte table, so a hash of any slice comes from two prefix
-sums; they are the same on every machine.
+white-space bytes. Hashes are 64-bit polynomial sums over a fixed byte table; they are the same on every machine.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 
 U = np.uint64
 _P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 1 << 64)
 #: Texts are processed in groups of about so many bytes; a longer text is a group of its own.
 GROUP_BYTES = 1 << 21
+#: Slices are hashed in pieces of about so many bytes, so that a very long text needs about 16 bytes of memory a byte.
+PIECE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,22 +36,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 _TABLE = mix(np.arange(1, 257, dtype=U) * U(_P))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _P, U), np.full(size, _PINV, U)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+@lru_cache(maxsize=4)
+def _powers(size: int) -> np.ndarray:
+    up = np.full(size, _P, U)
+    up[0] = 1
+    return np.multiply.accumulate(up)
 
 
-def grouped(texts: Sequence[bytes | None], limit: int = GROUP_BYTES) -> Iterator[slice]:
-    """Slices of ``texts`` of about ``limit`` bytes."""
-    start = size = 0
+def grouped(texts: Sequence, limit: int = GROUP_BYTES, size: Callable = lambda text: len(text) if text else 0) -> Iterator[slice]:
+    """Slices of ``texts`` (or of their sizes) of about ``limit`` bytes."""
+    start = total = 0
     for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > start and size + n > limit:
+        n = size(text)
+        if i > start and total + n > limit:
             yield slice(start, i)
-            start, size = i, 0
-        size += n
+            start, total = i, 0
+        total += n
     if start < len(texts):
         yield slice(start, len(texts))
 
@@ -73,15 +73,22 @@ class Words:
         self.first_word = first
         self.n_words = np.diff(first, append=len(self.start))
         self.doc = np.repeat(np.arange(len(sizes)), self.n_words)
-        self._sums: np.ndarray | None = None
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of each byte slice ``[start, end)``."""
-        size = 1 << max(12, int(len(self.data)).bit_length())
-        up, down = _powers(size)
-        if self._sums is None:
-            self._sums = np.concatenate([np.zeros(1, U), np.cumsum(_TABLE[self.data] * up[: len(self.data)], dtype=U)])
-        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(U))
+        """Hash of each byte slice ``[start, end)``; the slices are ascending, disjoint and not empty."""
+        out = np.zeros(len(start), U)
+        first = 0
+        while first < len(start):
+            last = max(first + 1, int(np.searchsorted(end, start[first] + PIECE_BYTES, side="right")))
+            s, e = start[first:last], end[first:last]
+            begin, stop = int(s[0]), int(e[-1])
+            sizes = np.diff(s, append=stop)
+            place = np.arange(stop - begin) - np.repeat(s - begin, sizes)
+            parts = _TABLE[self.data[begin:stop]] * _powers(1 << max(12, int(sizes.max()).bit_length()))[place]
+            edges = np.column_stack([s - begin, e - begin]).ravel()[:-1]  # the last slice ends with the piece
+            out[first:last] = mix(np.add.reduceat(parts, edges)[::2] + (e - s).astype(U))
+            first = last
+        return out
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.start, self.end)
