@@ -65,13 +65,33 @@ def test_exact_groups_with_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "x"), (None, "x"), (1, "y"), (1, "y"), (2, "Y"), (3, None), (4, "")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect())
     assert got == [(0, 0, 2, True), (0, 0, 2, True), (1, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (3, 4, 2, False), (4, 4, 2, True)]
-    assert exact_dedup.drop_exact_copies(df.where("doc_id > 0")).count() == 2
+    assert sorted(r.text or "" for r in exact_dedup.drop_exact_copies(df).collect()) == ["", "Y", "x"]
+
+
+def test_heavy_digests_are_found_wherever_they_stand(spark):
+    n = 20_000
+    for hot in (range(n // 10), range(n - n // 10, n), range(0, n, 10)):  # a tenth of the rows: first, last, spread
+        where = set(hot)
+        df = spark.createDataFrame([(i, "hot" if i in where else f"text {i}") for i in range(n)], "doc_id long, text string").coalesce(2)
+        digests = df.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+        want = hashlib.sha256(b"hot").digest()
+        named = exact_dedup.candidates(digests, 0.001).collect()
+        assert len(named) <= 1000 and want in {bytes(r.digest) for r in named}
+        assert [(bytes(r.digest), r.group_size, r.keep_id) for r in exact_dedup.heavy_digests(digests, 0.001).collect()] == [(want, n // 10, max(hot))]
+
+
+def test_drop_exact_copies_moves_texts_once(spark):
+    df = spark.createDataFrame([(i, f"text {i % 50}") for i in range(2000)], "doc_id long, text string")
+    out = exact_dedup.drop_exact_copies(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(r.doc_id for r in out.collect()) == list(range(1950, 2000))
 
 
 def test_drop_exact_copies_judges_each_text_of_an_id(spark):
     rows = [(None, "x"), (None, "x"), (None, "y"), (None, "A"), (None, None), (5, "a"), (5, "b"), (9, "A"), (7, "c"), (7, "C"), (7, "c"), (8, ""), (6, "d")]
     got = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.text.lower()) for r in got) == [(0, "x"), (0, "y"), (5, "b"), (6, "d"), (7, "c"), (8, ""), (9, "a")]
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got) == [(0, "x"), (0, "y"), (5, "b"), (6, "d"), (7, "c"), (8, ""), (9, "a")]
     again = exact_dedup.drop_exact_copies(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)).collect()
     assert set(again) == set(got)
 

@@ -1,9 +1,8 @@
 """Exact duplicates by a heavy-hitter split, with DataFrame functions only.
 
-1. One pass reduces each row to its id and a 32-byte SHA-256 of the normalised text (a narrow table in the shared
-   folder; texts are never shuffled).
-2. A Misra-Gries summary (``DataFrame.freqItems``) names at most ``1 / support`` candidate digests; it holds every digest
-   with more than ``support`` of the rows.
+1. One pass reduces each row to its id and the SHA-256 of the normalised text (a narrow table in the shared folder).
+2. A Misra-Gries summary (``DataFrame.freqItems``, over the digests as strings: it tells byte arrays apart by identity) names at
+   most ``1 / support`` candidates; it holds every digest with more than ``support`` of the rows.
 3. The candidates are counted exactly and those above ``support`` (the verified winners, at most ``1 / support`` rows) are
    broadcast, so their copies are resolved map-side.
 4. All other digests are grouped by an ordinary shuffle; none of them holds more than ``support`` of the rows.
@@ -20,7 +19,28 @@ from ._common import ascii_lower, materialise
 SUPPORT = 0.001
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT, key: Column | None = None) -> DataFrame:
+def _stats() -> list[Column]:
+    return [F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")]
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256))
+
+
+def candidates(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """At most ``1 / support`` digests, among them each one that more than ``support`` of the rows of ``digests`` have."""
+    named = digests.select(F.hex("digest").alias("name"))
+    return named.freqItems(["name"], support).select(F.explode("name_freqItems").alias("name")).select(F.unhex("name").alias("digest"))
+
+
+def heavy_digests(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """``digest, group_size, keep_id`` of exactly those digests that more than ``support`` of the rows have."""
+    counted = digests.join(F.broadcast(candidates(digests, support)), "digest", "left_semi").groupBy("digest").agg(*_stats())
+    total = digests.agg(F.count(F.lit(1)).alias("n_rows"))
+    return materialise(counted.crossJoin(F.broadcast(total)).where(F.col("group_size") > support * F.col("n_rows")).drop("n_rows"), partitions=1)
+
+
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """Group rows of equal text: ``doc_id, keep_id, group_size, kept, text_sha256``, one row per input row.
 
     Texts are equal when identical after lower-casing A-Z; null text counts as empty. The largest id of a group stays.
@@ -28,17 +48,11 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Repeated rows with the same id and text are copies of one another and all carry ``kept`` if the id wins.
     An empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
-    digests = materialise(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2((ascii_lower(F.col(text_col)) if key is None else key).cast("binary"), 256)).alias("digest")))
-    stats = [F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")]
-
-    candidates = digests.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
-    counted = digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(*stats)
-    total = digests.agg(F.count(F.lit(1)).alias("n_rows"))
-    heavy = materialise(counted.crossJoin(F.broadcast(total)).where(F.col("group_size") > support * F.col("n_rows")).drop("n_rows"), partitions=1)
-
+    digests = materialise(docs.select(F.col(id_col).alias("doc_id"), _digest(F.col(text_col)).alias("digest")))
+    heavy = heavy_digests(digests, support)
     hot = digests.join(F.broadcast(heavy), "digest")
     rest = digests.join(F.broadcast(heavy), "digest", "left_anti")
-    cold = rest.join(rest.groupBy("digest").agg(*stats), "digest")
+    cold = rest.join(rest.groupBy("digest").agg(*_stats()), "digest")
     return hot.unionByName(cold).select(
         "doc_id",
         "keep_id",
@@ -49,16 +63,18 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one stays.
+    """The rows of ``docs`` that stay, with all their columns: one for each text.
 
-    Rows are known by id and text digest together, so rows that share an id, or have none, are judged each by its own text.
-    Of rows that repeat id and text the one with the lowest hash over all columns stays. Texts move once: rows are reduced and
-    joined by the same key.
+    The row with the largest id of a group stays; of several such rows, or where a group has null ids only, the one with the
+    lowest hash over all columns. Rows that share an id, or have none, are judged each by its own text. Copies of heavy digests
+    go map-side; of the others each task keeps the best row of a text, and only these rows move, once. An empty table
+    gives an empty result.
     """
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col, support=support)
-    kept = groups.where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias("__key")).distinct()
-    own = F.concat_ws(":", F.sha2(ascii_lower(docs[text_col]).cast("binary"), 256), docs[id_col].cast("string"))
+    digests = materialise(docs.select(F.col(id_col).alias("doc_id"), _digest(F.col(text_col)).alias("digest")))
+    heavy = heavy_digests(digests, support).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__heavy"))
     place = F.xxhash64(*[docs[f.name].cast("string") if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema])
-    rows = docs.select(own.alias("__key"), place.alias("__place"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    once = rows.groupBy("__key").agg(F.min_by("__row", "__place").alias("__row"))
-    return once.join(kept, "__key", "left_semi").select("__row.*")
+    rows = docs.select(_digest(docs[text_col]).alias("__digest"), docs[id_col].alias("__id"), place.alias("__place"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    rows = rows.join(F.broadcast(heavy), "__digest", "left").where(F.col("__heavy").isNull() | F.col("__id").eqNullSafe(F.col("__keep")))
+    # max_by passes over null orderings, hence the flag; -place - 1 reverses the order of the hash without overflow
+    best = F.struct(F.col("__id").isNotNull(), "__id", F.bitwise_not("__place"))
+    return rows.groupBy("__digest").agg(F.max_by("__row", best).alias("__row")).select("__row.*")
