@@ -1,21 +1,21 @@
 """Quality rules: exact base rules plus gradient-boosted trees over document statistics.
 
 One pass over the texts makes a narrow table of statistics; the trees are fitted on a bounded sample of labelled rows and
-score that table in Arrow batches.
+score that table in Arrow batches. Ids stay in Arrow throughout, so nulls and large ids are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from ._common import hash_place, materialise, row_key, thinned
-from ._words import SPACE, U, Words, grouped, mix, repeated
+from ._common import arrow_batch, fields, hash_place, labelled_sample, map_texts, materialise, row_key
+from ._words import U, Words, mix, repeated
 
 #: At most so many labelled rows are used to fit the trees, the same rows in every run (lowest hash of the id).
 MAX_TRAIN_ROWS = 20_000
@@ -75,20 +75,12 @@ def statistics(texts: list[bytes | None]) -> dict[str, np.ndarray]:
 
 def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
     """``doc_id`` and the counts of ``statistics`` (long), one row per row of ``docs``; with ``key``, a string, also ``row_key``."""
-    keyed = [] if key is None else ["row_key"]
+    keyed = [] if key is None else [key.alias("row_key")]
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *keyed)
+    return map_texts(narrow, ["doc_id", *["row_key"] * len(keyed)], dict.fromkeys(BASE + EXTRA, "long"), statistics)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in grouped(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].to_numpy(), **statistics(texts[part]), **{c: batch[c].iloc[part].to_numpy() for c in keyed}})
-
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *([] if key is None else [key.alias("row_key")]))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInPandas(run, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in BASE + EXTRA), *(f"{c} string" for c in keyed)]))
 
-
-def features(s: pd.DataFrame) -> np.ndarray:
+def features(s: Mapping[str, np.ndarray]) -> np.ndarray:
     words, size = np.maximum(s["n_words"], 1), np.maximum(s["n_bytes"], 1)
     lines = np.maximum(s["n_lines"], 1)
     made = [np.log1p(s["n_words"]), s["word_chars"] / words, s["n_symbols"] / size, s["n_dup_lines"] / lines, s["n_repeat_words"] / words, s["n_upper"] / size, s["n_exclaim"] / size, s["n_digits"] / size, s["n_high"] / size, words / lines, s["n_distinct_words"] / words]
@@ -96,10 +88,10 @@ def features(s: pd.DataFrame) -> np.ndarray:
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, *, max_rows: int = MAX_TRAIN_ROWS) -> boosting.Forest | None:
-    """Trees fitted on at most ``max_rows`` labelled rows; None when there are no labels of both kinds."""
-    known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = stats.join(thinned(known, "doc_id", max_rows), "doc_id").orderBy(hash_place("doc_id"), "doc_id").limit(max_rows).toPandas()
-    y = rows["quality"].to_numpy(float)
+    """Trees fitted on at most ``max_rows`` labelled rows of those that ``stats`` holds; None when there are no labels of both kinds."""
+    known = labelled_sample(stats, labels, "quality", max_rows)
+    rows = stats.join(F.broadcast(known), "doc_id").orderBy(hash_place("doc_id"), "doc_id", *BASE, *EXTRA).limit(max_rows).toPandas()
+    y = rows["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return None
     monotone = {i: v for i, v in enumerate(FEATURES.values()) if v}
@@ -114,19 +106,20 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     Null and empty texts have zero counts and fail. Null and repeated ids give a row each. An empty table gives an empty
     result. With ``key``, a string column of ``docs``, each row also has it as ``row_key``.
     """
-    keyed = [] if key is None else ["row_key"]
+    passed = ["doc_id", *BASE, *([] if key is None else ["row_key"])]
+    made = {"base_failed": "boolean", "kept": "boolean", "probability": "double"}
     stats = materialise(document_statistics(docs, id_col=id_col, text_col=text_col, key=key))
     forest = fit_rules(stats, labels, max_rows=max_train_rows)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = {c: batch.column(c).to_numpy() for c in BASE + EXTRA}
             failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
-            p = forest.probability(features(s)) if forest else np.full(len(s), np.nan)
+            p = forest.probability(features(s)) if forest else None
             good = p >= min_probability if forest else True
-            yield s[["doc_id", *BASE, *keyed]].assign(base_failed=failed, kept=~failed & good, probability=pd.Series(p, index=s.index).astype(object).where(~np.isnan(p), None))
+            yield arrow_batch(batch, passed, None, made, {"base_failed": failed, "kept": ~failed & good, "probability": [None] * batch.num_rows if p is None else p})
 
-    kind = stats.schema["doc_id"].dataType.simpleString()
-    return stats.mapInPandas(score, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in BASE), *(f"{c} string" for c in keyed), "base_failed boolean", "kept boolean", "probability double"]))
+    return stats.mapInArrow(score, fields(stats, passed, made))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
