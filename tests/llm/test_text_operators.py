@@ -105,6 +105,18 @@ def test_token_counts_splice_chunks(docs):
             assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), want, want > 1024)
 
 
+def test_token_counts_widen_overlaps_until_they_splice(spark):
+    library = bpe_library(BYTE)
+    # no stable place for 3,000 letters at a time: a cut there needs a wider overlap, or the chunks become one
+    texts = ["word " * 900 + "x" * n + " end" * 700 for n in (0, 90, 500, 3000)] + ["y" * 9000, "z'" * 2000, None, ""]
+    df = spark.createDataFrame([(2**53 + 1 + i if i else None, t, "r") for i, t in enumerate(texts)], "doc_id long, text string, row string")
+    for chunk, overlap in ((400, 1), (1500, 2), (1500, 300)):
+        got = by_id(token_counts.token_counts(df, BYTE, chunk_chars=chunk, overlap=overlap))
+        for i, t in enumerate(texts):
+            assert got[2**53 + 1 + i if i else None].n_tokens == len(library.encode(t or "", add_special_tokens=False).ids)
+    assert token_counts.widened([(10, 2), (20, 2), (30, 8)], [1, 2], 20) == [(10, 2), (20, 8)]
+
+
 def test_pieces_equal_the_library(docs):
     library = piece_library(PIECE)
     for chunk in (90, 65_536):
@@ -285,6 +297,46 @@ def test_near_groups(spark, params):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, component, i == component)
 
 
+def test_near_groups_with_hot_buckets_and_shingles(spark):
+    """One band shared by most documents, unlinked: they hold a common passage and something of their own."""
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(60)]
+    pools = [[f"p{j}_{k}" for k in range(26)] for j in range(12)]
+    rows = []
+    for i in range(900):
+        own = [f"u{i}_{k}" for k in range(25)] if i % 3 else [w for w in pools[i % 12] if rng.random() > 0.08]
+        rows.append(" ".join(common + own) if i % 2 else " ".join(own[:4] + common + own[4:]))
+    rows = dict(enumerate(rows))
+    p = near_dedup.NearParams(shingle=2, percent=80, bands=12, rows=1, slack=1.0, cell=7)
+    want = near_brute(rows, 2, 80)
+    got = by_id(near_dedup.near_groups(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), p))
+    assert {i: (got[i].n_shingles, got[i].component_id) for i in rows} == want
+    assert 1 < len({c for _, c in want.values()}) < 900
+
+
+def test_prefix_pairs_hold_every_link(spark):
+    rng = random.Random(3)
+    sets = {i: sorted(rng.sample(range(40), rng.randrange(8, 13))) for i in range(150)}
+    p = near_dedup.NearParams(percent=70, slack=5.0, cell=5)
+    df = spark.createDataFrame(list(sets.items()), "id long, items array<long>")
+    groups = spark.createDataFrame([(i, i - i % 3) for i in range(0, 60)], "id long, group long")
+    bits = df.select("id", F.array(F.lit(0).cast("long")).alias("low0"), F.array(F.lit(0).cast("long")).alias("low1"))
+    got = {tuple(sorted((r.a, r.b))) for r in near_dedup.prefix_pairs(df, groups, bits, p).collect()}
+    group = lambda i: i - i % 3 if i < 60 else i
+    want = {(i, j) for i in sets for j in sets if i < j and group(i) != group(j) and 100 * len({*sets[i]} & {*sets[j]}) >= 70 * len({*sets[i]} | {*sets[j]})}
+    assert len(want) > 5 and want <= got
+
+
+def test_near_groups_with_null_repeated_and_huge_ids(spark):
+    same, other = " ".join(f"w{k}" for k in range(30)), " ".join(f"v{k}" for k in range(30))
+    rows = [(None, same), (None, same), (2**53 + 1, same), (2**53 + 3, same), (5, other), (5, same), (5, same), (9, other + " more"), (9, None), (7, "lone text here")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, id int, items int")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(df).collect())
+    assert got == collections.Counter({(None, 26, None, True): 2, (2**53 + 1, 26, 5, False): 1, (2**53 + 3, 26, 5, False): 1, (5, 26, 5, True): 3, (9, 27, 5, False): 1, (9, 0, 9, True): 1, (7, 1, 7, True): 1})
+    kept = near_dedup.drop_near_copies(df)
+    assert kept.columns == df.columns and collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter([(None, same)] * 2 + [(5, other), (5, same), (5, same), (9, None), (7, "lone text here")])
+
+
 def fill_brute(sizes, weights=(5, 2, 1), most=3):
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}

@@ -6,30 +6,34 @@ bits of every minimum, packed into bit planes. Documents with equal sets form a
 Representatives that share a band are candidates. Only connections between different texts matter for the groups, so pairs are
 never written out for a whole bucket. The leader of a bucket is the member with the fewest shingles of its own (found in no
 other candidate), the one nearest to what the bucket's texts have in common. First each representative is checked against its
-most promising leader, then against all leaders outside its group. In buckets that still hold several groups, the members
-outside the bucket's largest group are then checked against all members of other groups, unless their own shingles alone
-prove that no link is possible: shingles found in no other candidate count in the union only. A pair is checked on full
-sets when the collision-corrected estimate from bit counts does not rule it out.
+most promising leader, then against all leaders outside its group. A pair is checked on full sets when the collision-corrected
+estimate from bit counts does not rule it out.
+
+What links between groups remain is found by prefixes: two linked sets share one of their rarest shingles, as many of each as a
+link may miss. So candidates meet at the shingles of their prefixes and not in whole buckets; those whose own shingles fill the
+prefix meet nobody. At a shingle, members outside its largest group meet members of other groups; frequent shingles are split
+into cells of bounded size on both sides. Only ids and bit planes move, and sets are fetched for pairs that the estimate leaves.
 Groups are connected components, found by rounds of minimum labels over written tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
-from ._words import U, Words, grouped, mix
+from ._common import map_texts, materialise
+from ._words import U, Words, mix
 
 LOW_BITS = 2
 #: Share of the rows above which a class of equal sets is handled apart.
 HEAVY_SHARE = 0.001
+#: Members of a shingle on each side of a cell; a cell is compared in one task.
+CELL = 500
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,7 @@ class NearParams:
     rows: int = 6
     slack: float = 0.15
     lower: bool = True
+    cell: int = CELL
 
 
 CONTRACT = NearParams(shingle=3, percent=85, bands=32, rows=8)
@@ -105,26 +110,24 @@ def signatures(texts: list[bytes | None], p: NearParams) -> dict[str, object]:
     return {"n_shingles": sizes, "one": one.view(np.int64), "two": two.view(np.int64), "bands": rows(bands.view(np.int64)), **{f"low{b}": rows(plane.view(np.int64)) for b, plane in enumerate(planes)}}
 
 
-def _sign(docs: DataFrame, p: NearParams) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in grouped(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].to_numpy(), **signatures(texts[part], p)})
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]).view(np.int64)))
+
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, one long, two long, bands array<long>, low0 array<long>, low1 array<long>")
+def _sign(rows: DataFrame, p: NearParams) -> DataFrame:
+    def work(texts: list[bytes | None]) -> dict[str, object]:
+        made = signatures(texts, p)
+        return made | {c: _lists(made[c]) for c in ("bands", "low0", "low1")}
 
+    return map_texts(rows, ["doc_id", "text_hash"], {"n_shingles": "long", "one": "long", "two": "long", "bands": "array<long>", "low0": "array<long>", "low1": "array<long>"}, work)
 
-def _sets(docs: DataFrame, p: NearParams) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in grouped(texts):
-                keys, doc = shingle_sets(texts[part], p)
-                cut = np.searchsorted(doc, np.arange(1, part.stop - part.start))
-                yield pd.DataFrame({"id": batch["doc_id"].iloc[part].to_numpy(), "items": np.split(keys.view(np.int64), cut)})
 
-    return docs.mapInPandas(run, "id long, items array<long>")
+def _sets(rows: DataFrame, p: NearParams) -> DataFrame:
+    def work(texts: list[bytes | None]) -> dict[str, object]:
+        keys, doc = shingle_sets(texts, p)
+        return {"items": _lists(np.split(keys.view(np.int64), np.searchsorted(doc, np.arange(1, len(texts)))))}
+
+    return map_texts(rows, ["id"], {"items": "array<long>"}, work)
 
 
 def _estimate(p: NearParams) -> Column:
@@ -153,29 +156,67 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "group")
 
 
+def prefix_pairs(sets: DataFrame, groups: DataFrame, bits: DataFrame, p: NearParams) -> DataFrame:
+    """Pairs ``a, b`` of ``sets(id, items)`` in different groups that may be linked: all linked pairs and few others.
+
+    ``groups(id, group)`` names the groups of some ids; the others are groups of their own. A link may miss at most
+    ``n - ceil(percent * n / 100)`` of the n items of a set, so both sets hold their rarest common item among one more than that.
+    """
+    each = sets.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
+    counts = each.groupBy("item").agg(F.count(F.lit(1)).alias("f"))
+    order = Window.partitionBy("id").orderBy("f", "item")
+    prefix = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1
+    kept = each.join(counts, "item").withColumn("__place", F.row_number().over(order)).where((F.col("__place") <= prefix) & (F.col("f") > 1))
+    kept = kept.join(groups, "id", "left").select("id", "n", "item", F.coalesce("group", "id").alias("group"))
+    kept = materialise(kept)
+
+    sizes = kept.groupBy("item", "group").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("item").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("f"), F.max("size").alias("most"))
+    cells = lambda n: F.ceil(n / p.cell).cast("int")
+    mixed = mixed.where("kinds > 1").select("item", "main", cells(F.col("f") - F.col("most")).alias("rows"), cells(F.col("f")).alias("columns"))
+    members = kept.join(mixed, "item").join(bits.select("id", "low0", "low1"), "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    side = lambda x: [F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("group").alias(f"g{x}"), F.col("low0").alias(f"{x}0"), F.col("low1").alias(f"{x}1")]
+    left = members.where("group <> main").select("item", "main", own(F.col("rows")).alias("row"), every(F.col("columns")).alias("column"), *side("a"))
+    right = members.select("item", own(F.col("columns")).alias("column"), every(F.col("rows")).alias("row"), *side("b"))
+    # of two outsiders one side is enough; all tests are part of the join condition, so only pairs that pass are written out
+    once = (F.col("gb") == F.col("main")) | (F.col("ga") < F.col("gb"))
+    near = (100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb")) & (_estimate(p) >= p.percent / 100 - p.slack)
+    same = reduce(Column.__and__, [left[c] == right[c] for c in ("item", "row", "column")])
+    return left.join(right, same & (F.col("ga") != F.col("gb")) & once & near).select("a", "b").distinct()
+
+
 def near_groups(docs: DataFrame, params: NearParams = NearParams(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``; the smallest id of a component is kept.
+    """``doc_id, n_shingles, component_id, kept, text_hash``, one row per row of ``docs``.
 
-    Ids are integers and unique; a null id is a row of its own (component null, kept). Texts without words have no shingles and
-    are linked with nothing. Equal sets are linked. An empty table gives an empty result. Other columns are ignored.
+    Ids are integers. ``component_id`` is the smallest id among the rows that links reach, the row itself included; ``kept`` says
+    that it is the row's own. Rows that share an id are judged each by its own text. A null id is a row of its own (component
+    null, kept). Texts without words have no shingles and are linked with nothing. Equal sets are linked. ``text_hash``
+    is the row's ``xxhash64`` of the text. An empty table gives an empty result. Other columns are ignored.
     """
     p = params
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash"))
     signed = materialise(_sign(narrow, p))
 
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    reps = materialise(linked.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "low0", "low1"))
+    keys = ["one", "two", "n_shingles"]
+    # a class is known by a number of its own, as several rows may share an id
+    best = F.min_by(F.struct("doc_id", "text_hash", "bands", "low0", "low1"), F.struct("doc_id", "text_hash")).alias("rep")
+    reps = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), best)
+    reps = materialise(reps.select(*keys, "size", "rep.*", F.monotonically_increasing_id().alias("id")))
 
     banded = reps.select("id", F.posexplode("bands").alias("k", "band"))
     several = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band")
     shared = materialise(banded.join(several, "band", "left_semi"))
 
-    bits = reps.select("id", "bands", "low0", "low1")
-    sets = materialise(_sets(narrow.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), p))
+    bits = reps.select("id", "low0", "low1")
+    wanted = reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_hash")
+    # rows that repeat id and text come twice here
+    sets = materialise(_sets(narrow.join(wanted, ["doc_id", "text_hash"]).select("id", "text"), p))
     single = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
     core = sets.select("id", F.size("items").alias("n")).join(single.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id", "left")
-    core = materialise(core.select("id", "n", F.coalesce("own", F.lit(0)).alias("own")))
+    core = materialise(core.distinct().select("id", "n", F.coalesce("own", F.lit(0)).alias("own")))
     shared = shared.join(core.select("id", "own"), "id")
     leaders = shared.groupBy("band").agg(F.min_by("id", F.struct("own", "id")).alias("leader"))
 
@@ -205,38 +246,30 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams(), *, id_col: s
     groups = connected(links)
 
     # only what its shingles do not rule out alone goes on: a link needs an intersection of percent of its set
-    able = core.where(100 * (F.col("n") - F.col("own")) >= p.percent * F.col("n"))
-    members = materialise(labelled(shared.select("id", "k", "band").join(able, "id"), groups, "id", "group").join(bits, "id"))
-    sizes = members.groupBy("band", "group").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("band").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    members = members.join(mixed, "band").join(sets, "id")
-    side = lambda x: [F.col("id").alias(x), F.col("group").alias(f"g{x}"), (F.col("n") - F.col("own")).alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("low0").alias(f"{x}0"), F.col("low1").alias(f"{x}1"), F.col("items").alias(f"i{x}"), F.slice("bands", F.lit(1), F.col("k")).alias(f"e{x}")]
-    left, right = members.where("group <> main").select("band", "main", *side("a")), members.select("band", *side("b"))
-    most, both = F.least("ca", "cb"), F.size(F.array_intersect("ia", "ib"))
-    linked_sets = lambda common: (100 + p.percent) * common >= p.percent * (F.col("na") + F.col("nb"))
-    # a pair that shares several bands is looked at in the first of them only (band hashes differ between positions)
-    first = ~F.arrays_overlap("ea", "eb")
-    # of two outsiders one side is enough; all tests are part of the join condition, so that only links are written out
-    once = (F.col("gb") == F.col("main")) | (F.col("ga") < F.col("gb"))
-    cross = left.join(right, (left["band"] == right["band"]) & (F.col("ga") != F.col("gb")) & once & linked_sets(most) & (_estimate(p) >= p.percent / 100 - p.slack) & first & linked_sets(both))
-    links = links.unionByName(materialise(cross.select("a", "b").distinct()))
+    able = core.where(100 * (F.col("n") - F.col("own")) >= p.percent * F.col("n")).select("id").distinct()
+    pairs = materialise(prefix_pairs(sets.join(able, "id", "left_semi").dropDuplicates(["id"]), groups, bits, p))
+    links = links.unionByName(materialise(confirmed(pairs)))
     groups = connected(links)
 
     # classes with more than HEAVY_SHARE of the rows, at most 1 / HEAVY_SHARE of them, are looked up map-side
-    of_class = labelled(classes, groups, "rep", "component_id").select("one", "two", "n_shingles", "size", "component_id")
+    of_class = labelled(reps.select("id", "doc_id", "size", *keys), groups, "id", "group")
+    least = of_class.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    of_class = materialise(of_class.join(least, "group").select(*keys, "size", "component_id"))
     total = signed.agg(F.count(F.lit(1)).alias("total"))
     heavy = materialise(of_class.crossJoin(F.broadcast(total)).where(F.col("size") > HEAVY_SHARE * F.col("total")).drop("total", "size"), partitions=1)
-    keys = ["one", "two", "n_shingles"]
-    narrowed = signed.select("doc_id", *keys)
+    narrowed = signed.select("doc_id", "text_hash", *keys)
     hot = narrowed.join(F.broadcast(heavy), keys)
     rest = narrowed.join(F.broadcast(heavy), keys, "left_anti")
     no_words = rest.where("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long"))
     out = hot.unionByName(no_words).unionByName(rest.where("n_shingles > 0").join(of_class.drop("size"), keys, "left"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def drop_near_copies(docs: DataFrame, params: NearParams = NearParams(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the rows of ``docs`` whose id is the smallest of its component."""
-    kept = near_groups(docs, params, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` that ``near_groups`` keeps: one document of each group, the one with the smallest id.
+
+    Rows that repeat id and text stay or go together.
+    """
+    kept = near_groups(docs, params, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_semi")

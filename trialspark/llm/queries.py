@@ -38,7 +38,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import CONTRACT, near_groups
 
-    return near_groups(table(spark, sf_dir, "documents"), CONTRACT)
+    return near_groups(table(spark, sf_dir, "documents"), CONTRACT).drop("text_hash")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
