@@ -2,7 +2,9 @@
 
 Documents up to ``chunk_chars`` are counted in one piece. A longer one is cut into overlapping chunks that are encoded by
 different tasks with offsets; neighbours are spliced at a token boundary that both encodings have and that is proven stable,
-that is, a boundary whatever stands around it. The overlap at a cut is widened until it holds such a place.
+that is, a boundary whatever stands around it. Where the overlap at a cut holds none, it is widened fourfold and the document
+goes through another round; an overlap that would reach half a chunk makes the two chunks one. So every document ends spliced,
+at worst as one piece.
 
 Why a place is stable: the pre-tokenizer cuts text into runs of white space (S), letters (L), numbers (N) and others (O), a
 single leading space and the contractions ('s, 't, ...) excepted. Where the class changes from L, N or O, no match can span
@@ -16,18 +18,18 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import arrow_batch, fields, materialise
 from ._memo import Memo, bpe_library
 
 #: Longer texts are cut into chunks of so many characters.
 CHUNK_CHARS = 65_536
-#: First half-width of the overlap at a cut; quadrupled until it holds a stable place.
+#: First half-width of the overlap at a cut; quadrupled while it holds no common stable boundary.
 OVERLAP_CHARS = 256
 #: Context limit of the model that ``over_limit`` reports.
 LIMIT_TOKENS = 1024
@@ -55,20 +57,16 @@ def stable_places(text: str, path: str, lo: int, hi: int) -> list[int]:
     return [p for m in _PLACE.finditer(text, lo, hi) if lo <= (p := m.start()) < hi and p not in inside]
 
 
-def cut_points(text: str, path: str, chunk_chars: int, overlap: int) -> list[tuple[int, int]]:
-    """Cuts of a long text and the half-width of the overlap at each; a cut without a stable place near it is left out."""
-    cuts: list[tuple[int, int]] = []
-    for at in range(chunk_chars, len(text), chunk_chars):
-        half = overlap
-        while True:
-            lo, hi = max(at - half, cuts[-1][0] + cuts[-1][1] if cuts else 0), min(at + half, len(text))
-            if stable_places(text, path, lo, hi):
-                cuts.append((at, half))
-                break
-            if half >= chunk_chars // 2:
-                break
-            half *= 4
-    return cuts
+def cut_points(length: int, chunk_chars: int, overlap: int) -> list[tuple[int, int]]:
+    """Cuts of a long text, evenly spaced, and the half-width of the overlap at each."""
+    chunks = -(-length // chunk_chars)
+    return [(k * length // chunks, min(overlap, chunk_chars // 4)) for k in range(1, chunks)]
+
+
+def widened(cuts: list[tuple[int, int]], failed: list[int], chunk_chars: int) -> list[tuple[int, int]]:
+    """The cuts for another round: failed ones four times as wide, those left out that would then reach half a chunk."""
+    wider = [(at, half * 4 if k in failed else half) for k, (at, half) in enumerate(cuts)]
+    return [(at, half) for k, (at, half) in enumerate(wider) if k not in failed or half < chunk_chars // 2]
 
 
 @lru_cache(maxsize=4)
@@ -99,48 +97,91 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     """``doc_id, n_bytes, n_tokens, over_limit``, one row per row of ``docs``; null text counts as empty.
 
     ``path`` is a tokenizers JSON file of the byte-level BPE kind that every worker can read. Rows may repeat or have null
-    ids; each is counted by itself. An empty table gives an empty result.
+    ids; each is counted by itself. An empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
+    passed = ["doc_id", "n_bytes", "row", "text"]
+    made = {"n_bytes": "long", "row": "string", "n_tokens": "long", "text": "string"}
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].astype(object).tolist(), batch["text"].tolist(), strict=True):
-                text, n = text or "", n + 1
-                size, key = len(text.encode()), f"{part}-{n}"
-                cuts = cut_points(text, path, chunk_chars, overlap) if len(text) > chunk_chars else []
-                if not cuts:
-                    rows.append((doc_id, size, key, 0, 1, count_tokens(text, path), None, None, None, None))
-                    continue
-                edges = [(0, 0), *cuts, (len(text), 0)]
-                for k, ((a, left), (b, right)) in enumerate(zip(edges, edges[1:], strict=False)):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            long = [len(t) > chunk_chars for t in texts]
+            values = {
+                "n_bytes": [len(t.encode()) for t in texts],
+                "row": [f"{part}-{n + k}" for k in range(len(texts))],
+                "n_tokens": [None if g else count_tokens(t, path) for t, g in zip(texts, long, strict=True)],
+                "text": [t if g else None for t, g in zip(texts, long, strict=True)],
+            }
+            n += len(texts)
+            yield arrow_batch(batch, ["doc_id"], None, made, values)
+
+    counted = materialise(narrow.mapInArrow(first, fields(narrow, ["doc_id"], made)))
+    done = [counted.where("n_tokens IS NOT NULL").select("doc_id", "n_bytes", "n_tokens")]
+    plan = {"ats": "array<long>", "halves": "array<long>"}
+
+    def plan_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = [cut_points(len(t), chunk_chars, overlap) for t in batch.column("text").to_pylist()]
+            yield arrow_batch(batch, passed, None, plan, {"ats": [[a for a, _ in c] for c in cuts], "halves": [[h for _, h in c] for c in cuts]})
+
+    def plan_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = [widened(list(zip(a, h, strict=True)), f, chunk_chars) for a, h, f in zip(*(batch.column(c).to_pylist() for c in ("ats", "halves", "failed")), strict=True)]
+            yield arrow_batch(batch, passed, None, plan, {"ats": [[a for a, _ in c] for c in cuts], "halves": [[h for _, h in c] for c in cuts]})
+
+    giants = counted.where("n_tokens IS NULL").select(*passed)
+    giants = materialise(giants.mapInArrow(plan_first, fields(giants, passed, plan)))
+    while not giants.isEmpty():
+        spliced = materialise(_splice(giants, path))
+        done.append(giants.join(spliced.where("n_tokens IS NOT NULL"), "row").select("doc_id", "n_bytes", "n_tokens"))
+        again = giants.join(spliced.where("n_tokens IS NULL").drop("n_tokens"), "row")
+        giants = materialise(again.mapInArrow(plan_again, fields(giants, passed, plan)))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("over_limit", F.col("n_tokens") > limit_tokens)
+
+
+def _splice(giants: DataFrame, path: str) -> DataFrame:
+    """``row, n_tokens, failed`` of each text cut as planned: its tokens, or null and the cuts that found no common boundary."""
+    sliced = {"chunk": "int", "chunks": "int", "slice": "string", "offset": "long", "left": "array<long>", "right": "array<long>"}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text, ats, halves = (batch.column(c)[k].as_py() for c in ("text", "ats", "halves"))
+                edges, values = [(0, 0), *zip(ats, halves, strict=True), (len(text), 0)], {c: [] for c in sliced}
+                for n, ((a, left), (b, right)) in enumerate(zip(edges, edges[1:], strict=False)):
                     # a margin on both sides of the overlaps, so that a place's surroundings are whole
                     lo, hi = max(0, a - left - _MARGIN), min(len(text), b + right + _MARGIN)
-                    rows.append((doc_id, size, key, k, len(edges) - 1, None, text[lo:hi], lo, [max(a - left, 0) - lo, a + left - lo] if k else None, [b - right - lo, min(b + right, len(text)) - lo] if b < len(text) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "row", "chunk", "chunks", "n_tokens", "slice", "offset", "left", "right"]).astype({"doc_id": object, "n_tokens": object, "offset": object})
+                    zones = [max(a - left, 0) - lo, a + left - lo] if n else None, [b - right - lo, min(b + right, len(text)) - lo] if b < len(text) else None
+                    for c, v in zip(sliced, (n, len(edges) - 1, text[lo:hi], lo, *zones), strict=True):
+                        values[c].append(v)
+                yield arrow_batch(batch, ["row"], [k] * len(values["chunk"]), sliced, values)
 
-    counted = materialise(narrow.mapInPandas(first, f"doc_id {kind}, n_bytes long, row string, chunk int, chunks int, n_tokens long, slice string, offset long, left array<long>, right array<long>"))
-    whole = counted.where("chunks = 1").select("doc_id", "n_bytes", "n_tokens")
+    found = {"total": "long", "left_at": "array<long>", "left_before": "array<long>", "right_at": "array<long>", "right_before": "array<long>"}
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                zones = [tuple(z) if z is not None else (0, 0) for z in (r.left, r.right)]
-                total, places, before = chunk_boundaries(r.slice, path, zones)
-                out.append((r.doc_id, r.n_bytes, r.row, r.chunk, r.chunks, total, [p + r.offset for p in places[0]], before[0], [p + r.offset for p in places[1]], before[1]))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "row", "chunk", "chunks", "total", "left_at", "left_before", "right_at", "right_before"]).astype({"doc_id": object})
-
-    chunks = counted.where("chunks > 1").repartition("row", "chunk").mapInPandas(encode, f"doc_id {kind}, n_bytes long, row string, chunk int, chunks int, total long, left_at array<long>, left_before array<long>, right_at array<long>, right_before array<long>")
+            values = {c: [] for c in found}
+            for r in batch.select(["slice", "offset", "left", "right"]).to_pylist():
+                total, places, before = chunk_boundaries(r["slice"], path, [tuple(r[c] or (0, 0)) for c in ("left", "right")])
+                at = [[p + r["offset"] for p in side] for side in places]
+                for c, v in zip(found, (total, at[0], before[0], at[1], before[1]), strict=True):
+                    values[c].append(v)
+            yield arrow_batch(batch, ["row", "chunk", "chunks"], None, found, values)
+
+    slices = giants.select("row", "text", "ats", "halves")
+    slices = slices.mapInArrow(cut, fields(slices, ["row"], sliced))
+    chunks = slices.repartition("row", "chunk").mapInArrow(encode, fields(slices, ["row", "chunk", "chunks"], found))
     order = Window.partitionBy("row").orderBy("chunk")
     joined = chunks.withColumn("cut", F.array_min(F.array_intersect("right_at", F.lead("left_at").over(order))))
     joined = joined.withColumn("cut_before", F.lag("cut").over(order))
-    ends = F.when(F.col("chunk") == F.col("chunks") - 1, F.col("total")).otherwise(F.element_at(F.map_from_arrays("right_at", "right_before"), F.col("cut")))
-    begins = F.when(F.col("chunk") == 0, 0).otherwise(F.element_at(F.map_from_arrays("left_at", "left_before"), F.col("cut_before")))
-    # every overlap was chosen to hold a stable place, so a missing splice is an error and no count is guessed
-    tokens = F.coalesce(ends - begins, F.raise_error(F.lit("no common stable boundary")).cast("long"))
-    spliced = joined.withColumn("n_tokens", tokens).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).drop("row")
-    return whole.unionByName(spliced).withColumn("over_limit", F.col("n_tokens") > limit_tokens)
+    last = F.col("chunk") == F.col("chunks") - 1
+    ends = F.when(last, F.col("total")).otherwise(F.try_element_at(F.map_from_arrays("right_at", "right_before"), F.col("cut")))
+    begins = F.when(F.col("chunk") == 0, 0).otherwise(F.try_element_at(F.map_from_arrays("left_at", "left_before"), F.col("cut_before")))
+    failed = F.sort_array(F.collect_list(F.when(~last & F.col("cut").isNull(), F.col("chunk")))).alias("failed")
+    out = joined.withColumn("__tokens", ends - begins).groupBy("row").agg(F.sum("__tokens").alias("n_tokens"), failed)
+    return out.withColumn("n_tokens", F.when(F.size("failed") == 0, F.col("n_tokens")))
