@@ -6,9 +6,10 @@ encoding is the path of greatest weight. (Greedy merging of the whole text and o
 merge would cross the border between them, so a path is the encoding exactly if all its pairs fit.)
 
 A giant text is cut at any characters. A state at a cut is the piece that holds the character before it. Each chunk gives a
-matrix from the states at its first cut to the states at its last one; matrices combine by max-plus products, which are
-associative; the products of all chunks before and after a cut name the state there, and each chunk then backtraces its own
-pieces. Where the vocabulary proves that no piece can span a place (a word begin), all states meet in one, so the
+matrix from the states at its first cut to the states at its last one. Matrices combine by max-plus products, which are
+associative: they are multiplied in a tree of ``FAN_IN`` children a node, level by level, each node in its own task; on the way
+down every node hands each child the best weights up to it and from it on. At a chunk these name the states at its cuts, and it
+then backtraces its own pieces. Where the vocabulary proves that no piece can span a place (a word begin), all states meet in one, so the
 matrix of a chunk with such places is of rank one and its inner part is encoded by the library, word by word.
 """
 
@@ -20,11 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import arrow_batch, fields, materialise
 from ._memo import Memo, piece_library
 from ._words import grouped
 
@@ -33,6 +35,8 @@ SPACE = "▁"
 CHUNK_CHARS = 65_536
 #: Results leave a Python worker for about so many characters of text at a time.
 OUTPUT_CHARS = 1 << 20
+#: Children of a node in the tree of products.
+FAN_IN = 32
 NEVER = -np.inf
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _BEGIN = re.compile(f"(?<=[^{SPACE}]){SPACE}")
@@ -247,18 +251,64 @@ def chunk_pieces(v: Pieces, text: str, lo: int, hi: int, entry: tuple[int, int]
     return v.ids(v.walk(text, lo, lo, entry, p, None)) + v.encode(text[p:q]) + v.ids(v.walk(text, q, q, None, hi, leave))
 
 
-def scan(matrices: list[np.ndarray]) -> list[int]:
-    """Index of the state at each inner cut: where the best weights up to the cut and from it on add up to the best path."""
-    forward = [matrices[0]]
-    for m in matrices[1:-1]:
-        forward.append(max_plus(forward[-1], m))
-    backward = [matrices[-1]]
-    for m in matrices[-2:0:-1]:
-        backward.append(max_plus(m, backward[-1]))
-    return [int(np.argmax(f[0] + b[:, 0])) for f, b in zip(forward, backward[::-1], strict=True)]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """Max-plus product of some matrices in order."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = max_plus(out, m)
+    return out
 
 
-_CODED = "row string, chunk int, chunks int, ids binary, slice string, lo long, hi long"
+def handed_down(matrices: list[np.ndarray], before: np.ndarray, after: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each child the best weights from the text's begin to its entry states, and from its exit states to the end."""
+    befores, afters = [before], [after]
+    for m in matrices[:-1]:
+        befores.append(max_plus(befores[-1][None, :], m)[0])
+    for m in matrices[:0:-1]:
+        afters.append(max_plus(m, afters[-1][:, None])[:, 0])
+    return list(zip(befores, afters[::-1], strict=True))
+
+
+def states_at(matrix: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[int, int]:
+    """Indices of a chunk's entry and exit state on the best path."""
+    return int(np.argmax(before + max_plus(matrix, after[:, None])[:, 0])), int(np.argmax(max_plus(before[None, :], matrix)[0] + after))
+
+
+_NODE = "row string, node long, states int, matrix array<double>"
+
+
+def _matrix(states: int, matrix) -> np.ndarray:
+    return np.asarray(matrix, float).reshape(states, -1)
+
+
+def _up(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("node")
+    m = product([_matrix(n, x) for n, x in zip(group["states"], group["matrix"], strict=True)])
+    return pd.DataFrame({"row": [group["row"].iloc[0]], "node": [group["node"].iloc[0] // FAN_IN], "states": [m.shape[0]], "matrix": [m.ravel()]})
+
+
+def _down(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("node")
+    before, after = (np.asarray(group[c].iloc[0], float) for c in ("before", "after"))
+    handed = handed_down([_matrix(n, x) for n, x in zip(group["states"], group["matrix"], strict=True)], before, after)
+    return pd.DataFrame({"row": group["row"], "node": group["node"], "before": [b for b, _ in handed], "after": [a for _, a in handed]})
+
+
+def tree_scan(nodes: DataFrame) -> DataFrame:
+    """``row, node, before, after`` of each chunk matrix ``row, node, states, matrix``; nodes of a row are numbered from 0."""
+    levels = [materialise(nodes)]
+    (most,) = levels[0].agg(F.max("node")).first()
+    while most:
+        most //= FAN_IN
+        grouped_nodes = levels[-1].groupBy("row", F.floor(F.col("node") / FAN_IN))
+        levels.append(materialise(grouped_nodes.applyInPandas(_up, _NODE)))
+    ones = F.array(F.lit(0.0))  # a whole text has one entry and one exit state
+    handed = levels[-1].select("row", F.col("node").alias("parent"), ones.alias("before"), ones.alias("after"))
+    for level in levels[-2::-1]:
+        children = level.withColumn("parent", F.floor(F.col("node") / FAN_IN)).join(handed, ["row", "parent"])
+        handed = children.groupBy("row", "parent").applyInPandas(_down, "row string, node long, before array<double>, after array<double>")
+        handed = materialise(handed.withColumnRenamed("node", "parent"))
+    return handed.withColumnRenamed("parent", "node")
 
 
 def encode_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -266,71 +316,80 @@ def encode_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
 
     ``path`` is a SentencePiece model of the BPE kind with identity normalisation that every worker can read. Null text
     counts as empty (no ids, round trip true). U+2581 in a text reads back as a space, which counts as a round trip. Rows
-    may repeat or have null ids. An empty table gives an empty result.
+    may repeat or have null ids. An empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    result = f"doc_id {kind}, n_chars long, n_tokens long, ids array<int>, round_trip boolean"
-
-    def finish(doc_id, coded: bytes, text: str, v: Pieces) -> tuple:
-        ids = np.frombuffer(coded, v.kind)
-        return doc_id, len(text), len(ids), ids.astype(np.int32), v.decode(ids.tolist()) == text.replace(SPACE, " ")
-
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    made = {"n_chars": "long", "n_tokens": "long", "ids": "array<int>", "round_trip": "boolean"}
+
+    def finished(batch: pa.RecordBatch, rows: list[int] | None, coded: list[bytes], texts: list[str], v: Pieces) -> pa.RecordBatch:
+        ids = [np.frombuffer(c, v.kind) for c in coded]
+        values = {
+            "n_chars": list(map(len, texts)),
+            "n_tokens": list(map(len, ids)),
+            "ids": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))),
+            "round_trip": [v.decode(i.tolist()) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)],
+        }
+        return arrow_batch(batch, ["doc_id"], rows, made, values)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path)
         for batch in batches:
-            ids, texts = batch["doc_id"].astype(object).tolist(), batch["text"].tolist()
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             for part in grouped(texts, OUTPUT_CHARS):
-                rows = [finish(i, v.encode(normalise(t or "")), t or "", v) for i, t in zip(ids[part], texts[part], strict=True)]
-                yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "n_tokens", "ids", "round_trip"]).astype({"doc_id": object})
+                yield finished(batch, list(range(part.start, part.stop)), [v.encode(normalise(t)) for t in texts[part]], texts[part], v)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sliced = {"row": "string", "node": "long", "chunks": "int", "slice": "string", "lo": "long", "hi": "long"}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path)
         part, n, margin = TaskContext.get().partitionId(), 0, 2 * v.longest
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 normal, n = normalise(text), n + 1
-                edges = [*range(0, max(1, len(normal) - chunk_chars // 2), chunk_chars), len(normal)]
-                rows = []
+                chunks, values = -(-len(normal) // chunk_chars), {c: [] for c in sliced}
+                edges = [k * len(normal) // chunks for k in range(chunks + 1)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     lo = max(0, a - margin)
-                    rows.append((doc_id, f"{part}-{n}", k, len(edges) - 1, normal[lo : b + margin], a - lo, b - lo))
-                yield pd.DataFrame(rows, columns=["doc_id", "row", "chunk", "chunks", "slice", "lo", "hi"]).astype({"doc_id": object})
+                    for c, x in zip(sliced, (f"{part}-{n}", k, chunks, normal[lo : b + margin], a - lo, b - lo), strict=True):
+                        values[c].append(x)
+                yield arrow_batch(batch, ["doc_id"], [i] * chunks, sliced, values)
 
-    def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path)
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                m = chunk_matrix(v, r.slice, r.lo, r.hi, r.chunk == 0, r.chunk == r.chunks - 1)
-                rows.append((r.row, r.chunk, m.shape[0], m.ravel()))
-            yield pd.DataFrame(rows, columns=["row", "chunk", "states", "matrix"])
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        found = scan([np.asarray(m, float).reshape(n, -1) for n, m in zip(group["states"], group["matrix"], strict=True)]) if len(group) > 1 else []
-        return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "entry": [-1, *found], "leave": [*found, -1]})
-
-    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = [chunk_matrix(v, r["slice"], r["lo"], r["hi"], r["node"] == 0, r["node"] == r["chunks"] - 1) for r in batch.to_pylist()]
+            yield arrow_batch(batch, ["row", "node"], None, {"states": "int", "matrix": "array<double>"}, {"states": [len(m) for m in found], "matrix": [m.ravel() for m in found]})
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path)
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                entry = v.states(r.slice, r.lo)[r.entry] if r.entry >= 0 else None
-                leave = v.states(r.slice, r.hi)[r.leave] if r.leave >= 0 else None
-                rows.append((r.doc_id, r.row, r.chunk, chunk_pieces(v, r.slice, r.lo, r.hi, entry, leave), r.slice[r.lo : r.hi]))
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "chunk", "ids", "slice"]).astype({"doc_id": object})
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            coded, own = [], []
+            for r in batch.select([c for c in batch.schema.names if c != "doc_id"]).to_pylist():
+                text, lo, hi = r["slice"], r["lo"], r["hi"]
+                into, out = states_at(_matrix(r["states"], r["matrix"]), np.array(r["before"]), np.array(r["after"]))
+                entry = v.states(text, lo)[into] if r["node"] > 0 else None
+                leave = v.states(text, hi)[out] if r["node"] < r["chunks"] - 1 else None
+                coded.append(chunk_pieces(v, text, lo, hi, entry, leave))
+                own.append(text[lo:hi])
+            yield arrow_batch(batch, ["doc_id", "row", "node"], None, {"coded": "binary", "own": "string"}, {"coded": coded, "own": own})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path)
         for batch in batches:
-            rows = [finish(i, b"".join(c["ids"] for c in sorted(cs, key=lambda c: c["chunk"])), "".join(c["slice"] for c in sorted(cs, key=lambda c: c["chunk"]))[1:].replace(SPACE, " "), v) for i, cs in zip(batch["doc_id"].astype(object), batch["parts"], strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "n_tokens", "ids", "round_trip"]).astype({"doc_id": object})
+            parts = batch.column("parts").to_pylist()
+            texts = ["".join(p["own"] for p in ps)[1:].replace(SPACE, " ") for ps in parts]
+            if parts:
+                yield finished(batch, None, [b"".join(p["coded"] for p in ps) for ps in parts], texts, v)
 
     giant = F.length("text") > chunk_chars
-    chunks = materialise(narrow.where(giant).mapInPandas(cut, f"doc_id {kind}, row string, chunk int, chunks int, slice string, lo long, hi long"))
-    spread = chunks.repartition("row", "chunk")
-    states = spread.mapInPandas(transfer, "row string, chunk int, states int, matrix array<double>").groupBy("row").applyInPandas(choose, "row string, chunk int, entry int, leave int")
-    traced = chunks.join(states, ["row", "chunk"]).mapInPandas(trace, f"doc_id {kind}, row string, chunk int, ids binary, slice string")
-    parts = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("chunk", "ids", "slice")).alias("parts")).select("doc_id", "parts")
-    return narrow.where(~F.coalesce(giant, F.lit(False))).mapInPandas(short, result).unionByName(parts.mapInPandas(whole, result))
+    chunks = materialise(narrow.where(giant).mapInArrow(cut, fields(narrow, ["doc_id"], sliced)))
+    result = fields(narrow, ["doc_id"], made)
+    out = narrow.where(~F.coalesce(giant, F.lit(False))).mapInArrow(short, result)
+    if chunks.isEmpty():
+        return out
+    spread = chunks.repartition("row", "node")
+    nodes = materialise(spread.mapInArrow(transfer, fields(chunks, ["row", "node"], {"states": "int", "matrix": "array<double>"})))
+    known = chunks.join(nodes, ["row", "node"]).join(tree_scan(nodes), ["row", "node"])
+    traced = known.mapInArrow(trace, fields(chunks, ["doc_id", "row", "node"], {"coded": "binary", "own": "string"}))
+    parts = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("node", "coded", "own"))).alias("parts")).select("doc_id", "parts")
+    return out.unionByName(parts.mapInArrow(whole, result))
