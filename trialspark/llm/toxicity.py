@@ -5,39 +5,57 @@ joined) between two marks. Its features are the subsequences of four letters wit
 inserted after each, weighted down by their gaps, so an inserted or missing letter changes few of them. The kernel of two
 units is the product of their features over their lengths.
 
-Labels mark documents, so labelled sentences are made first: in a bounded sample of labelled documents, a sentence is insulting
-if it holds a unit that is found nearly only in toxic documents. The units of insulting sentences that carry the insult are
-positive, units of other documents negative. Landmarks are chosen by pivoted Cholesky; the machine is linear in the landmark features
-and hence in the subsequences, so scoring a text is a sum of table entries, unit by unit. A document scores as its worst unit,
-calibrated on the same sample.
+Labels mark documents, so labelled sentences are made first, in a bounded sample of labelled documents: all sentences of other
+documents are clean, a sentence of a toxic document is insulting if it holds a unit that is found nearly only in toxic documents
+(other sentences of such documents stay without a label). A sentence is as bad as its worst unit, its witness. The machine is
+fitted on the sentences by their witnesses, each weighed by its sentences: first the marking units against a spread of clean ones,
+then, with that fit, the worst unit of each labelled sentence. Landmarks are chosen by pivoted Cholesky; the machine is linear in
+the landmark features and hence in the subsequences, so scoring a text is a sum of table entries, unit by unit. A document
+scores as its worst sentence, calibrated on the same sample.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc32_text, materialise
+from ._common import arrow_batch, crc32_text, fields, labelled_sample, map_texts, materialise
 from ._words import Words, grouped
 
-#: At most so many labelled documents are used for training, the same ones in every run (lowest hash of the id).
-MAX_TRAIN_ROWS = 20_000
-MAX_UNITS = 20_000
-LANDMARKS = 320
-POOL_UNITS = 800
+
+@dataclass(frozen=True)
+class ToxicParams:
+    """Bounds of the fit; scoring covers all texts whatever they are.
+
+    At most ``max_train_rows`` labelled documents (lowest hash of the id) are cut into sentences. Of their units at most
+    ``max_insults`` that mark or witness insulting sentences and ``max_clean`` of clean ones (half of them spread by hash, a quarter the
+    most frequent, a quarter the worst) are fitted, on ``landmarks`` chosen among the first ``pool`` of either kind. A marking unit
+    stands in at least ``min_toxic_docs`` toxic documents, which are ``min_toxic_share`` of the documents that have it.
+    """
+
+    max_train_rows: int = 20_000
+    max_insults: int = 2_000
+    max_clean: int = 20_000
+    landmarks: int = 320
+    pool: int = 800
+    min_toxic_docs: int = 5
+    min_toxic_share: float = 0.9
+
+
 GAP = 0.6
 #: Distances of the later letters from the first, and the weight of each such subsequence.
 STEPS = [(1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4), (2, 4, 6)]
 WEIGHTS = [GAP ** (last - 3) for *_, last in STEPS]
 LETTERS = 32
 BEGIN, END = 28, 29
-MIN_TOXIC_DOCS = 5
-MIN_TOXIC_SHARE = 0.9
+#: A sentence ends at a line's end or at white space after a full stop, an exclamation or a question mark.
+_SENTENCE = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|[\n\r]+")
 
 _CODE = np.zeros(256, np.int32)
 _CODE[97:123] = np.arange(1, 27)
@@ -126,15 +144,15 @@ def landmarks(words: list[str], count: int) -> list[str]:
     return chosen
 
 
-def fit_weights(found_in: dict[str, int], positive: list[str], negative: list[str], *, count: int = LANDMARKS, reg: float = 1e-6) -> tuple[np.ndarray, float]:
+def fit_weights(found_in: dict[str, int], positive: list[str], negative: list[str], *, count: int, pool: int, reg: float = 1e-6) -> tuple[np.ndarray, float]:
     """A weight for every subsequence and a bias: squared hinge loss over Nystroem features, by Newton steps.
 
-    ``found_in`` has the number of documents of each unit; a unit weighs as the root of it.
-    Half of the landmarks are chosen among the positive units, half among the negative ones (the first POOL_UNITS of each; the
+    ``found_in`` has the number of labelled sentences of each unit; a unit weighs as the root of it.
+    Half of the landmarks are chosen among the positive units, half among the negative ones (the first ``pool`` of each; the
     very first negatives, the hardest, are all landmarks).
     """
     first = negative[: count // 5]
-    chosen = landmarks(positive[:POOL_UNITS], count // 2) + first + landmarks(negative[len(first) : POOL_UNITS], count // 2 - len(first))
+    chosen = landmarks(positive[:pool], count // 2) + first + landmarks(negative[len(first) : pool], count // 2 - len(first))
     numbers = np.unique(sparse_features(chosen)[1])
     z = dense(chosen, numbers)
     value, vector = np.linalg.eigh((z @ z.T).astype(float))
@@ -172,88 +190,110 @@ def worst_units(texts: list[bytes | None], weights: np.ndarray, bias: float) ->
     return out
 
 
-def _unit_words(docs: DataFrame) -> DataFrame:
-    """Distinct units of each text as strings, with its label."""
+def sentences(text: bytes | None) -> list[bytes]:
+    return [s for s in _SENTENCE.split(text or b"") if s]
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sentence_units(train: DataFrame) -> DataFrame:
+    """``doc_id, y, words``: the distinct units of more than two letters of each sentence, with the label of its document."""
+    made = {"words": "array<string>"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = batch.column("text").to_pylist()
             for part in grouped(texts):
-                u = units(texts[part])
+                cut = [(k, s) for k, text in enumerate(texts[part], part.start) for s in sentences(text)]
+                u = units([s for _, s in cut])
                 letters = (u.code + 96).astype(np.uint8).tobytes().decode("ascii").replace("{", "é")
-                seen = {(d, letters[a + 1 : a + n - 1]) for d, a, n in zip(u.doc.tolist(), u.begin.tolist(), u.size.tolist(), strict=True) if n > 4}
-                y = batch["y"].iloc[part].to_numpy()
-                yield pd.DataFrame({"word": [w for _, w in seen], "y": [int(y[d]) for d, _ in seen]})
+                words: list[dict[str, None]] = [{} for _ in cut]
+                for d, a, n in zip(u.doc.tolist(), u.begin.tolist(), u.size.tolist(), strict=True):
+                    if n > 4:
+                        words[d][letters[a + 1 : a + n - 1]] = None
+                yield arrow_batch(batch, ["doc_id", "y"], [k for k, _ in cut], made, {"words": [list(w) for w in words]})
+
+    return train.mapInArrow(run, fields(train, ["doc_id", "y"], made))
 
-    return docs.mapInPandas(run, "word string, y int")
 
+def _witnesses(labelled: DataFrame, marks: frozenset[str], weights: np.ndarray, bias: float) -> DataFrame:
+    """``word, value, insulting, clean``: the worst units of the labelled sentences and how many sentences of each kind they stand for."""
+    made = {"word": "string", "value": "double"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, picked, values = [], [], []
+            ys, lists = batch.column("y").to_pylist(), batch.column("words").to_pylist()
+            known = list({w for words in lists for w in words})
+            value = dict(zip(known, worst_units([w.encode() for w in known], weights, bias).tolist(), strict=True))
+            for k, (y, words) in enumerate(zip(ys, lists, strict=True)):
+                if words and (not y or not marks.isdisjoint(words)):
+                    rows.append(k)
+                    picked.append(max(words, key=lambda w: (value[w], w)))
+                    values.append(value[picked[-1]])
+            yield arrow_batch(batch, ["y"], rows, made, {"word": picked, "value": values})
+
+    found = labelled.mapInArrow(run, fields(labelled, ["y"], made))
+    return found.groupBy("word").agg(F.max("value").alias("value"), F.count_if(F.col("y") == 1).alias("insulting"), F.count_if(F.col("y") == 0).alias("clean"))
+
+
+def fit_sentences(train: DataFrame, p: ToxicParams) -> tuple[np.ndarray, float] | None:
+    """Weights and bias fitted on the sentences of ``train(doc_id, text, y)``; None without sentences of both kinds."""
+    labelled = materialise(_sentence_units(train))
+    per_doc = labelled.select("doc_id", "y", F.explode("words").alias("word")).groupBy("word", "doc_id").agg(F.max("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    counted = per_doc.groupBy("word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("docs"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("insulting"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
+    counted = materialise(counted)
+    found_in: dict[str, int] = {}
+
+    def listed(words: DataFrame, count: str) -> list[str]:
+        rows = words.select("word", F.greatest(count, F.lit(1)).alias("n")).collect()
+        found_in.update((r["word"], r["n"]) for r in rows)
+        return [r["word"] for r in rows]
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    marking = (F.col("toxic") >= p.min_toxic_docs) & (F.col("toxic") >= p.min_toxic_share * F.col("docs"))
+    marks = listed(counted.where(marking).orderBy(F.desc("toxic"), "word").limit(p.max_insults), "insulting")
+    plain = counted.where("toxic <= 0.3 * docs")
+    common = plain.orderBy(F.desc("docs"), "word").limit(p.max_clean // 4)
+    spread = plain.orderBy(F.xxhash64("word"), "word").limit(p.max_clean // 2)
+    negative = listed(common.unionByName(spread).distinct().orderBy(F.xxhash64("word"), "word"), "clean")
+    if not marks or not negative:
+        return None
+    bounds = {"count": p.landmarks, "pool": p.pool}
+    worst = materialise(_witnesses(labelled, frozenset(marks), *fit_weights(found_in, marks, negative, **bounds)))
+    insults = worst.where(F.col("insulting") >= p.min_toxic_share * (F.col("insulting") + F.col("clean")))
+    positive = listed(insults.orderBy(F.desc("insulting"), "word").limit(p.max_insults), "insulting")
+    # the worst units of clean sentences stand in front of the other negatives
+    clean = worst.where("clean > insulting").join(plain.select("word"), "word", "left_semi")
+    hard = listed(clean.orderBy(F.desc("value"), "word").limit(p.max_clean // 4), "clean")
+    return fit_weights(found_in, list(dict.fromkeys(positive + marks)), [w for w in dict.fromkeys(hard + negative)], **bounds)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_fold: int = 0, params: ToxicParams = ToxicParams()) -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row per row of ``docs``.
 
     ``held_out``: crc32 of the id as text leaves ``held_fold`` modulo ``folds``; no label of such a row is used. Null and empty
-    texts have the lowest score. Without insulting units in the sample every score is 0. Null ids are not held out. An empty
-    table gives an empty result.
+    texts have the lowest score. Without insulting sentences in the sample every score is 0. Null ids are not held out; rows
+    may repeat an id. An empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    known = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
+    fold = crc32_text(F.col("doc_id")) % folds
     # the sample has at most max_train_rows ids, which bounds the broadcast
-    sample = known.where(crc32_text(F.col("doc_id")) % folds != held_fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
+    sample = labelled_sample(narrow, labels, label_col, params.max_train_rows, fold != held_fold)
     train = materialise(narrow.join(F.broadcast(sample), "doc_id"))
+    fitted = fit_sentences(train, params)
+    weights, bias = fitted or (np.zeros(LETTERS**4, np.float32), -1.0)
+    slope, shift = _calibrate(train, weights, bias, params.max_train_rows) if fitted else (1.0, -30.0)
 
-    counted = materialise(_unit_words(train).groupBy("word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("docs")))
-    insulting = (F.col("toxic") >= MIN_TOXIC_DOCS) & (F.col("toxic") >= MIN_TOXIC_SHARE * F.col("docs"))
-    found_in: dict[str, int] = {}
+    def score(texts: list[bytes | None]) -> dict[str, object]:
+        return {"score": 1 / (1 + np.exp(-np.clip(slope * worst_units(texts, weights, bias) + shift, -30, 30)))}
 
-    def listed(words: DataFrame) -> list[str]:
-        rows = words.select("word", "docs").collect()
-        found_in.update((r["word"], r["docs"]) for r in rows)
-        return [r["word"] for r in rows]
-
-    positive = listed(counted.where(insulting).orderBy(F.desc("toxic"), "word").limit(2000))
-    clean = counted.where("toxic <= 0.3 * docs").select("word", "docs")
-    common = clean.orderBy(F.desc("docs"), "word").limit(MAX_UNITS // 4)
-    spread = clean.orderBy(F.xxhash64("word"), "word").limit(MAX_UNITS // 2)
-    negative = listed(common.unionByName(spread).distinct().orderBy(F.xxhash64("word"), "word"))
-    weights, bias, slope, shift = np.zeros(LETTERS**4, np.float32), -1.0, 1.0, -30.0
-    if positive and negative:
-        weights, bias = fit_weights(found_in, positive, negative)
-        # the clean units that look most like insults join the negatives, in front, for a second fit
-        hard = listed(_rated(clean, weights, bias).orderBy(F.desc("value"), "word").limit(MAX_UNITS // 4))
-        weights, bias = fit_weights(found_in, positive, list(dict.fromkeys(hard + negative)))
-        slope, shift = _calibrate(train, weights, bias, max_train_rows)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in grouped(texts):
-                value = np.clip(slope * worst_units(texts[part], weights, bias) + shift, -30, 30)
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].to_numpy(), "score": 1 / (1 + np.exp(-value))})
-
-    held = F.coalesce(crc32_text(F.col("doc_id")) % folds == held_fold, F.lit(False))
-    scored = narrow.mapInPandas(score, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
-def _rated(words: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "docs": batch["docs"], "value": worst_units([w.encode() for w in batch["word"]], weights, bias)})
-
-    return words.mapInPandas(run, "word string, docs long, value double")
+    scored = map_texts(narrow, ["doc_id"], {"score": "double"}, score)
+    return scored.select("doc_id", F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def _calibrate(train: DataFrame, weights: np.ndarray, bias: float, max_rows: int) -> tuple[float, float]:
     """Slope and shift of a logistic curve over the worst units of the sample."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in grouped(texts):
-                yield pd.DataFrame({"value": worst_units(texts[part], weights, bias), "y": batch["y"].iloc[part].to_numpy()})
-
-    rows = train.mapInPandas(run, "value double, y int").limit(max_rows).toPandas()
+    values = map_texts(train, ["y"], {"value": "double"}, lambda texts: {"value": worst_units(texts, weights, bias)})
+    rows = values.limit(max_rows).toPandas()
     x, y = np.clip(rows["value"].to_numpy(), -5, 5), rows["y"].to_numpy(float)
     a, b = 2.0, 0.0
     for _ in range(60):
