@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
 from ._common import table
 
 
@@ -18,60 +17,70 @@ def vocabulary(name: str) -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, and the shard of each copy."""
     from .mixing import mix_plan
 
-    return mix_plan(table(spark, sf_dir, "documents")).drop("shards")
+    return mix_plan(table(spark, sf_dir, "documents"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the token files, read back from them."""
     from .token_files import token_file_digest
 
     return token_file_digest(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and verdict of every document."""
     from .quality_rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near copies of every document."""
     from .near_dedup import CONTRACT, near_groups
 
     return near_groups(table(spark, sf_dir, "documents"), CONTRACT).drop("text_hash")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found in every document."""
     from .secrets import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
     from .quality_model import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document."""
     from .exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
     from .token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
     from .toxicity import toxicity_scores
 
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and whether they decode to it."""
     from .piece_scan import encode_pieces
 
     return encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -91,7 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_mixing": mixing.ORACLE,
     "op7_exact_dedup": """
         WITH t AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
