@@ -9,10 +9,10 @@ other candidate), the one nearest to what the bucket's texts have in common. Fir
 most promising leader, then against all leaders outside its group. A pair is checked on full sets when the collision-corrected
 estimate from bit counts does not rule it out.
 
-What links between groups remain is found by prefixes: two linked sets share one of their rarest shingles, as many of each as a
-link may miss. So candidates meet at the shingles of their prefixes and not in whole buckets; those whose own shingles fill the
-prefix meet nobody. At a shingle, members outside its largest group meet members of other groups; frequent shingles are split
-into cells of bounded size on both sides. Only ids and bit planes move, and sets are fetched for pairs that the estimate leaves.
+In buckets that still hold several groups, the members outside the bucket's largest group are then checked against all members of
+other groups, unless their own shingles alone prove that no link is possible: shingles found in no other candidate count in the
+union only. A frequent bucket is split into cells of bounded size on both sides, so no task compares more than a cell; a pair is
+looked at in its first shared bucket, by its estimate and then by its sets, and only links are written out.
 Groups are connected components, found by rounds of minimum labels over written tables.
 """
 
@@ -23,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_texts, materialise
@@ -32,8 +32,8 @@ from ._words import U, Words, mix
 LOW_BITS = 2
 #: Share of the rows above which a class of equal sets is handled apart.
 HEAVY_SHARE = 0.001
-#: Members of a shingle on each side of a cell; a cell is compared in one task.
-CELL = 500
+#: Members of a bucket on each side of a cell; a cell is compared in one task.
+CELL = 4_096
 
 
 @dataclass(frozen=True)
@@ -156,37 +156,6 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "group")
 
 
-def prefix_pairs(sets: DataFrame, groups: DataFrame, bits: DataFrame, p: NearParams) -> DataFrame:
-    """Pairs ``a, b`` of ``sets(id, items)`` in different groups that may be linked: all linked pairs and few others.
-
-    ``groups(id, group)`` names the groups of some ids; the others are groups of their own. A link may miss at most
-    ``n - ceil(percent * n / 100)`` of the n items of a set, so both sets hold their rarest common item among one more than that.
-    """
-    each = sets.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
-    counts = each.groupBy("item").agg(F.count(F.lit(1)).alias("f"))
-    order = Window.partitionBy("id").orderBy("f", "item")
-    prefix = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1
-    kept = each.join(counts, "item").withColumn("__place", F.row_number().over(order)).where((F.col("__place") <= prefix) & (F.col("f") > 1))
-    kept = kept.join(groups, "id", "left").select("id", "n", "item", F.coalesce("group", "id").alias("group"))
-    kept = materialise(kept)
-
-    sizes = kept.groupBy("item", "group").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("item").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("f"), F.max("size").alias("most"))
-    cells = lambda n: F.ceil(n / p.cell).cast("int")
-    mixed = mixed.where("kinds > 1").select("item", "main", cells(F.col("f") - F.col("most")).alias("rows"), cells(F.col("f")).alias("columns"))
-    members = kept.join(mixed, "item").join(bits.select("id", "low0", "low1"), "id")
-    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    side = lambda x: [F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("group").alias(f"g{x}"), F.col("low0").alias(f"{x}0"), F.col("low1").alias(f"{x}1")]
-    left = members.where("group <> main").select("item", "main", own(F.col("rows")).alias("row"), every(F.col("columns")).alias("column"), *side("a"))
-    right = members.select("item", own(F.col("columns")).alias("column"), every(F.col("rows")).alias("row"), *side("b"))
-    # of two outsiders one side is enough; all tests are part of the join condition, so only pairs that pass are written out
-    once = (F.col("gb") == F.col("main")) | (F.col("ga") < F.col("gb"))
-    near = (100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb")) & (_estimate(p) >= p.percent / 100 - p.slack)
-    same = reduce(Column.__and__, [left[c] == right[c] for c in ("item", "row", "column")])
-    return left.join(right, same & (F.col("ga") != F.col("gb")) & once & near).select("a", "b").distinct()
-
-
 def near_groups(docs: DataFrame, params: NearParams = NearParams(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, text_hash``, one row per row of ``docs``.
 
@@ -246,9 +215,28 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams(), *, id_col: s
     groups = connected(links)
 
     # only what its shingles do not rule out alone goes on: a link needs an intersection of percent of its set
-    able = core.where(100 * (F.col("n") - F.col("own")) >= p.percent * F.col("n")).select("id").distinct()
-    pairs = materialise(prefix_pairs(sets.join(able, "id", "left_semi").dropDuplicates(["id"]), groups, bits, p))
-    links = links.unionByName(materialise(confirmed(pairs)))
+    able = core.where(100 * (F.col("n") - F.col("own")) >= p.percent * F.col("n"))
+    members = labelled(shared.select("id", "k", "band").join(able, "id"), groups, "id", "group")
+    members = materialise(members.join(reps.select("id", "bands", "low0", "low1"), "id"))
+    sizes = members.groupBy("band", "group").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("band").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    cells = lambda n: F.ceil(n / p.cell).cast("int")
+    mixed = mixed.where("kinds > 1").select("band", "main", cells(F.col("all") - F.col("most")).alias("rows"), cells(F.col("all")).alias("columns"))
+    members = members.join(mixed, "band").join(sets, "id")
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    side = lambda x: [F.col("id").alias(x), F.col("group").alias(f"g{x}"), (F.col("n") - F.col("own")).alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("low0").alias(f"{x}0"), F.col("low1").alias(f"{x}1"), F.col("items").alias(f"i{x}"), F.slice("bands", F.lit(1), F.col("k")).alias(f"e{x}")]
+    left = members.where("group <> main").select("band", "main", place(F.col("rows")).alias("row"), every(F.col("columns")).alias("column"), *side("a"))
+    right = members.select("band", place(F.col("columns")).alias("column"), every(F.col("rows")).alias("row"), *side("b"))
+    most, both = F.least("ca", "cb"), F.size(F.array_intersect("ia", "ib"))
+    linked_sets = lambda common: (100 + p.percent) * common >= p.percent * (F.col("na") + F.col("nb"))
+    # a pair that shares several bands is looked at in the first of them only (band hashes differ between positions)
+    first = ~F.arrays_overlap("ea", "eb")
+    # of two outsiders one side is enough; all tests are part of the join condition, so that only links are written out
+    once = (F.col("gb") == F.col("main")) | (F.col("ga") < F.col("gb"))
+    same = reduce(Column.__and__, [left[c] == right[c] for c in ("band", "row", "column")])
+    cross = left.join(right, same & (F.col("ga") != F.col("gb")) & once & linked_sets(most) & (_estimate(p) >= p.percent / 100 - p.slack) & first & linked_sets(both))
+    links = links.unionByName(materialise(cross.select("a", "b").distinct()))
     groups = connected(links)
 
     # classes with more than HEAVY_SHARE of the rows, at most 1 / HEAVY_SHARE of them, are looked up map-side
