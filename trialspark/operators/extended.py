@@ -19,7 +19,7 @@ def phase_slope(analytic: DataFrame, keys: list[str], freq: str, a: int, b: int)
     side = lambda c, k: F.max(F.when(F.col("channel") == c, F.col(k)))
     p = analytic.where(F.col("channel").isin(a, b)).groupBy(*keys, freq).agg(*(side(c, k).alias(f"{k}{i}") for i, c in enumerate((a, b)) for k in ("re", "im")))
     mag = F.sqrt((F.col("re0") * F.col("re0") + F.col("im0") * F.col("im0")) * (F.col("re1") * F.col("re1") + F.col("im1") * F.col("im1")))
-    p = p.withColumn("cr", (F.col("re0") * F.col("re1") + F.col("im0") * F.col("im1")) / mag).withColumn("ci", (F.col("im0") * F.col("re1") - F.col("re0") * F.col("im1")) / mag)
+    p = p.withColumn("cr", F.try_divide(F.col("re0") * F.col("re1") + F.col("im0") * F.col("im1"), mag)).withColumn("ci", F.try_divide(F.col("im0") * F.col("re1") - F.col("re0") * F.col("im1"), mag))
     w = Window.partitionBy(*keys).orderBy(freq)
     p = p.withColumn("part", F.col("cr") * F.lead("ci").over(w) - F.col("ci") * F.lead("cr").over(w))
     return p.groupBy(*keys).agg(F.sum("part").alias("psi"))
@@ -139,12 +139,18 @@ def cluster_states(df: DataFrame, columns: list[str], k: int) -> DataFrame:
 
 
 def cv_plus(test: DataFrame, residuals: DataFrame, alpha: float) -> DataFrame:
-    """CV+ interval of each test row: order statistics of fold prediction plus and minus the fold's residuals."""
-    each = test.join(residuals, "fold")
-    s = each.groupBy("row").agg(F.sort_array(F.collect_list(F.col("prediction") - F.col("residual"))).alias("lo"), F.sort_array(F.collect_list(F.col("prediction") + F.col("residual"))).alias("hi"))
-    n = F.size("lo")
-    low, high = F.greatest(F.floor(alpha * (n + 1)).cast("int"), F.lit(1)), F.least(F.ceil((1 - alpha) * (n + 1)).cast("int"), n)
-    return s.select("row", F.element_at("lo", low).alias("low"), F.element_at("hi", high).alias("high"))
+    """Interval of each test row: its prediction less and plus order statistics of the residuals of its own fold.
+
+    The prediction is the same for all residuals of the fold, so two order statistics a fold are enough.
+    """
+    w = Window.partitionBy("fold")
+    n = F.count(F.lit(1)).over(w)
+    placed = residuals.select("fold", "residual", F.row_number().over(w.orderBy("residual")).alias("__k"), n.alias("__n"))
+    # the k-th least of prediction - residual belongs to the k-th greatest residual
+    low = F.col("__n") + 1 - F.greatest(F.floor(alpha * (F.col("__n") + 1)), F.lit(1))
+    high = F.least(F.ceil((1 - alpha) * (F.col("__n") + 1)), F.col("__n"))
+    s = placed.groupBy("fold").agg(F.max(F.when(F.col("__k") == low, F.col("residual"))).alias("__low"), F.max(F.when(F.col("__k") == high, F.col("residual"))).alias("__high"))
+    return test.join(s, "fold").select("row", (F.col("prediction") - F.col("__low")).alias("low"), (F.col("prediction") + F.col("__high")).alias("high"))
 
 
 def partial_rank(df: DataFrame, keys: list[str], x: str, y: str, z: str) -> DataFrame:

@@ -57,7 +57,7 @@ def adjacency(edges: DataFrame, keys: list[str], value: str) -> DataFrame:
 def binned_statistics(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """Mean and standard error of ``y`` in equal-width bins of ``x``."""
     span = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    k = F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))).cast("int")
+    k = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide((F.col(x) - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0)))).cast("int")
     return df.crossJoin(F.broadcast(span)).groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), (F.stddev_samp(y) / F.sqrt(F.count(y))).alias("se"))
 
 

@@ -82,12 +82,14 @@ def classification_metrics(df: DataFrame, keys: list[str], y: str, p: str, bins:
 def split_conformal(df: DataFrame, keys: list[str], y: str, prediction: str, calibration: Column, alpha: float) -> DataFrame:
     """Half-width of the interval: the linear quantile of absolute calibration residuals at ``min(1, ceil((n + 1)(1 - alpha)) / n)``."""
     res = F.abs(F.col(y) - F.col(prediction))
-    s = df.where(calibration).groupBy(*keys).agg(F.sort_array(F.collect_list(res)).alias("r"))
-    n = F.size("r").cast("double")
+    w = Window.partitionBy(*keys)
+    placed = df.where(calibration).select(*keys, res.alias("__r")).where("__r IS NOT NULL")
+    placed = placed.withColumn("__k", F.row_number().over(w.orderBy("__r")) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    n = F.col("__n").cast("double")
     at = F.least(F.lit(1.0), F.ceil((n + 1) * (1 - alpha)) / n) * (n - 1)
-    low = F.floor(at).cast("int")
-    q = F.get("r", low) + (at - low) * (F.coalesce(F.get("r", low + 1), F.get("r", low)) - F.get("r", low))
-    return s.select(*keys, F.size("r").alias("n"), q.alias("half_width"))
+    pick = lambda k: F.max(F.when(F.col("__k") == k, F.col("__r")))
+    s = placed.groupBy(*keys).agg(F.max("__n").cast("int").alias("n"), F.max(at - F.floor(at)).alias("__part"), pick(F.floor(at)).alias("__a"), pick(F.floor(at) + 1).alias("__b"))
+    return s.select(*keys, "n", (F.col("__a") + F.col("__part") * (F.coalesce("__b", "__a") - F.col("__a"))).alias("half_width"))
 
 
 def linear_attribution(df: DataFrame, keys: list[str], coefficients: DataFrame, feature: str, value: str) -> DataFrame:
@@ -107,3 +109,22 @@ def elastic_net(df: DataFrame, features: list[str], y: str, train: Column, reg:
 
 def as_array(column: str) -> Column:
     return vector_to_array(column)
+
+
+def held_out_majority(df: DataFrame, group: str, label: str) -> DataFrame:
+    """Most frequent label of all other groups, for every held-out group; of equal counts the least label."""
+    own = df.where(F.col(label).isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
+    total = own.groupBy(label).agg(F.sum("n").alias("tn"))
+    every = df.select(group).distinct().crossJoin(total)  # groups times labels
+    rest = every.join(own, [group, label], "left").withColumn("rest", F.col("tn") - F.coalesce("n", F.lit(0)))
+    order = Window.partitionBy(group).orderBy(F.desc("rest"), label)
+    return rest.withColumn("__k", F.row_number().over(order)).where("__k = 1 AND rest > 0").select(group, F.col(label).alias("prediction"), F.col("rest").alias("support"))
+
+
+def prepared(df: DataFrame, feature: str, value: str, train: Column, least_variance: float = 0.0) -> DataFrame:
+    """Long features made ready on the training rows: infinities and NaN become null, features without values or with a training
+    variance of at most ``least_variance`` go, null values become the training mean, and all are scaled by it and the spread."""
+    x = F.col(value).cast("double")
+    clean = df.withColumn("__x", F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
+    fit = clean.where(train).groupBy(feature).agg(F.avg("__x").alias("__m"), F.stddev_pop("__x").alias("__s")).where((F.col("__s") > 0) & (F.col("__s") * F.col("__s") > least_variance))
+    return clean.join(fit, feature).withColumn("prepared", (F.coalesce("__x", "__m") - F.col("__m")) / F.col("__s")).drop("__x", "__m", "__s")

@@ -45,7 +45,7 @@ def spectral_shape(psd: DataFrame, keys: list[str]) -> DataFrame:
     mass = psd.withColumn("m", F.col("power") * width)
     whole = Window.partitionBy(*keys)
     t = mass.withColumn("total", F.sum("m").over(whole)).withColumn("running", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("psum", F.sum("power").over(whole))
-    p = F.col("power") / F.col("psum")
+    p = F.try_divide(F.col("power"), F.col("psum"))
     edge = F.min(F.when(F.col("running") >= 0.95 * F.col("total"), F.col("freq")))
     s = t.groupBy(*keys).agg(F.sum(F.col("freq") * p).alias("centre"), F.sum(F.col("freq") * F.col("freq") * p).alias("square"), edge.alias("edge"), (-F.sum(F.when(p > 0, p * F.ln(p))) / F.ln(F.count(F.lit(1)))).alias("entropy"))
     return s.withColumn("bandwidth", F.sqrt(F.greatest(F.col("square") - F.col("centre") * F.col("centre"), F.lit(0.0)))).drop("square")
@@ -102,7 +102,7 @@ def phase_connectivity(analytic: DataFrame, keys: list[str]) -> DataFrame:
     return p.groupBy(*keys, "a", "b").agg(
         F.try_divide(F.abs(F.avg(im)), F.avg(F.abs(im))).alias("wpli"),
         F.abs(F.avg(F.signum(im))).alias("pli"),
-        F.sqrt(F.pow(F.avg(re / mag), F.lit(2.0)) + F.pow(F.avg(im / mag), F.lit(2.0))).alias("plv"),
+        F.sqrt(F.pow(F.avg(F.try_divide(re, mag)), F.lit(2.0)) + F.pow(F.avg(F.try_divide(im, mag)), F.lit(2.0))).alias("plv"),
         F.try_divide(F.avg(im), F.sqrt(power("a") * power("b"))).alias("icoh"),
     )
 
@@ -118,7 +118,7 @@ def envelope_correlation(analytic: DataFrame, keys: list[str]) -> DataFrame:
 def phase_locking(analytic: DataFrame, keys: list[str]) -> DataFrame:
     """Inter-trial coherence and the coherence without each trial: window sums less the own row."""
     mag = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    u = analytic.withColumn("c", F.col("re") / mag).withColumn("s", F.col("im") / mag)
+    u = analytic.withColumn("c", F.try_divide(F.col("re"), mag)).withColumn("s", F.try_divide(F.col("im"), mag))
     w = Window.partitionBy(*keys)
     n, sc, ss = F.count("c").over(w), F.sum("c").over(w), F.sum("s").over(w)
     length = lambda a, b, k: F.try_divide(F.sqrt(a * a + b * b), k)
@@ -237,3 +237,12 @@ def lempel_ziv(samples: DataFrame, keys: list[str]) -> DataFrame:
     rows = samples.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "x"))), lambda s: s["x"]).alias("x"))
     fields = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
     return rows.mapInPandas(batches, f"{fields}, complexity double")
+
+
+def fold_peak(psd: DataFrame, fold: str, low: float, high: float) -> DataFrame:
+    """Frequency of greatest mean power in ``[low, high]`` for each held-out fold, from the rows of all other folds."""
+    own = psd.where(F.col("freq").between(low, high)).groupBy(fold, "freq").agg(F.sum("power").alias("s"), F.count("power").alias("n"))
+    total = own.groupBy("freq").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    every = own.select(fold).distinct().crossJoin(total)  # folds times bins of one band
+    rest = every.join(own, [fold, "freq"], "left").withColumn("mean", F.try_divide(F.col("ts") - F.coalesce("s", F.lit(0.0)), F.col("tn") - F.coalesce("n", F.lit(0))))
+    return rest.where("mean IS NOT NULL").groupBy(fold).agg(F.max_by("freq", F.struct("mean", -F.col("freq"))).alias("peak"))

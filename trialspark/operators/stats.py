@@ -46,13 +46,16 @@ def partial_one(df: DataFrame, keys: list[str], x: str, y: str, z: str) -> DataF
 
 
 def leave_one_out(df: DataFrame, unit: str, x: str, y: str) -> DataFrame:
-    """Correlation without each unit: all moments less the unit's own, in one pass over the rows."""
+    """Correlation without each unit: all moments, about the overall means, less the unit's own; null without other units."""
+    middle = df.agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
+    df = df.crossJoin(F.broadcast(middle)).select(unit, (F.col(x) - F.col("__mx")).alias(x), (F.col(y) - F.col("__my")).alias(y))
     sums = {"n": F.count(F.lit(1)), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(F.col(x) * F.col(x)), "syy": F.sum(F.col(y) * F.col(y)), "sxy": F.sum(F.col(x) * F.col(y))}
     own = df.groupBy(unit).agg(*(v.cast("double").alias(k) for k, v in sums.items()))
     total = own.agg(*(F.sum(k).alias(f"t_{k}") for k in sums))
     rest = own.crossJoin(F.broadcast(total)).select(unit, *((F.col(f"t_{k}") - F.col(k)).alias(k) for k in sums))
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    scale = F.sqrt((F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")))
+    over_n = lambda a, b: F.try_divide(F.col(a) * F.col(b), F.col("n"))
+    cov = F.col("sxy") - over_n("sx", "sy")
+    scale = F.sqrt(F.greatest((F.col("sxx") - over_n("sx", "sx")) * (F.col("syy") - over_n("sy", "sy")), F.lit(0.0)))
     return rest.select(unit, F.try_divide(cov, F.nullif(scale, F.lit(0.0))).alias("r"))
 
 
@@ -81,16 +84,18 @@ def icc(df: DataFrame, unit: str, run: str, value: str, n_runs: int) -> DataFram
     """ICC(1,1), ICC(2,1), ICC(3,1) and ICC(3,k) from mean squares over complete units, clipped to [-1, 1]."""
     w = Window.partitionBy(unit)
     d = df.withColumn("__k", F.count(F.lit(1)).over(w)).where(F.col("__k") == n_runs)
-    rows = d.groupBy(unit).agg(F.sum(value).alias("u"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    middle = d.agg(F.avg(value).alias("__m"))
+    d = d.crossJoin(F.broadcast(middle)).select(F.col(unit).alias("__unit"), F.col(run).alias("__run"), (F.col(value) - F.col("__m")).alias("__x"))
+    rows = d.groupBy("__unit").agg(F.sum("__x").alias("u"), F.sum(F.col("__x") * F.col("__x")).alias("q"))
     r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("g"), F.sum("q").alias("q"), F.sum(F.col("u") * F.col("u")).alias("uu"))
-    c = d.groupBy(run).agg(F.sum(value).alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
+    c = d.groupBy("__run").agg(F.sum("__x").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
     k = float(n_runs)
-    t = r.crossJoin(F.broadcast(c)).withColumn("base", F.col("g") * F.col("g") / (F.col("n") * k))
-    t = t.withColumn("ssr", F.col("uu") / k - F.col("base")).withColumn("ssc", F.col("cc") / F.col("n") - F.col("base")).withColumn("sst", F.col("q") - F.col("base"))
-    t = t.withColumn("msr", F.col("ssr") / (F.col("n") - 1)).withColumn("msc", F.col("ssc") / (k - 1)).withColumn("msw", (F.col("sst") - F.col("ssr")) / (F.col("n") * (k - 1))).withColumn("mse", (F.col("sst") - F.col("ssr") - F.col("ssc")) / ((F.col("n") - 1) * (k - 1)))
+    t = r.crossJoin(F.broadcast(c)).withColumn("base", F.try_divide(F.col("g") * F.col("g"), F.col("n") * k))
+    t = t.withColumn("ssr", F.col("uu") / k - F.col("base")).withColumn("ssc", F.try_divide(F.col("cc"), F.col("n")) - F.col("base")).withColumn("sst", F.col("q") - F.col("base"))
+    t = t.withColumn("msr", F.try_divide(F.col("ssr"), F.col("n") - 1)).withColumn("msc", F.col("ssc") / (k - 1)).withColumn("msw", F.try_divide(F.col("sst") - F.col("ssr"), F.col("n") * (k - 1))).withColumn("mse", F.try_divide(F.col("sst") - F.col("ssr") - F.col("ssc"), (F.col("n") - 1) * (k - 1)))
     msr, msc, msw, mse = (F.col(x) for x in ("msr", "msc", "msw", "mse"))
-    clip = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
-    return t.select("n", clip((msr - msw) / (msr + (k - 1) * msw)).alias("icc11"), clip((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / F.col("n"))).alias("icc21"), clip((msr - mse) / (msr + (k - 1) * mse)).alias("icc31"), clip((msr - mse) / msr).alias("icc3k"))
+    ratio = lambda a, b: clipped(F.try_divide(a, b), 1.0)
+    return t.select("n", ratio(msr - msw, msr + (k - 1) * msw).alias("icc11"), ratio(msr - mse, msr + (k - 1) * mse + k * F.try_divide(msc - mse, F.col("n"))).alias("icc21"), ratio(msr - mse, msr + (k - 1) * mse).alias("icc31"), ratio(msr - mse, msr).alias("icc3k"))
 
 
 def two_groups(df: DataFrame, keys: list[str], value: str, a: Column, b: Column) -> DataFrame:
@@ -199,11 +204,34 @@ def bootstrap_draws(df: DataFrame, keys: list[str], order: str, n_boot: int, see
     return draws.withColumn("place", (hashed % F.col("size")).cast("int")).drop("size", "slot").join(placed.drop("size"), [*keys, "place"])
 
 
-def sign_flip(df: DataFrame, keys: list[str], order: str, value: str, most_exact: int = 12) -> DataFrame:
-    """Exact sign-flip p of a mean for groups of at most ``most_exact`` units: ``(extreme + 1) / (patterns + 1)``."""
+def sign_flip(df: DataFrame, keys: list[str], order: str, value: str, most_exact: int = 12, n_sampled: int = 1000, seed: int = 1) -> DataFrame:
+    """Sign-flip p of a mean, ``(extreme + 1) / (patterns + 1)``: all patterns for groups of at most ``most_exact`` units,
+    ``n_sampled`` hash-drawn ones (and the observed one, pattern 0) for larger groups."""
     w = Window.partitionBy(*keys)
-    placed = df.withColumn("place", (F.row_number().over(w.orderBy(order)) - 1).cast("int")).withColumn("size", F.count(F.lit(1)).over(w)).where(F.col("size") <= most_exact)
-    each = placed.withColumn("pattern", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), most_exact) - 1))).where(F.expr("pattern < shiftleft(1, cast(size AS int))"))
-    sign = F.expr("1 - 2 * (shiftright(pattern, place) & 1)")
+    placed = df.withColumn("__place", (F.row_number().over(w.orderBy(order)) - 1).cast("int")).withColumn("__size", F.count(F.lit(1)).over(w).cast("int"))
+    exact = F.col("__size") <= most_exact
+    last = F.when(exact, F.expr(f"shiftleft(1, least(__size, {most_exact})) - 1")).otherwise(n_sampled)
+    each = placed.withColumn("pattern", F.explode(F.sequence(F.lit(0), last)))
+    drawn = F.when(F.col("pattern") == 0, 0).otherwise(F.pmod(F.xxhash64(F.lit(seed), "pattern", "__place"), F.lit(2)))
+    sign = 1 - 2 * F.when(exact, F.expr("shiftright(pattern, __place) & 1")).otherwise(drawn)
     stats = each.groupBy(*keys, "pattern").agg(F.avg(sign * F.col(value)).alias("stat"))
     return permutation_p(stats.where("pattern = 0"), stats, keys, "stat")
+
+
+def per_group_beta(df: DataFrame, keys: list[str], x: str, y: str, z: str) -> DataFrame:
+    """Least-squares weight of ``x`` for ``y`` beside one nuisance term, per group, from central moments; null when not determined."""
+    c = lambda a, b: F.covar_pop(a, b)
+    s = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), c(x, y).alias("__xy"), c(x, z).alias("__xz"), c(y, z).alias("__yz"), F.var_pop(x).alias("__xx"), F.var_pop(z).alias("__zz"))
+    span = F.col("__xx") * F.col("__zz") - F.col("__xz") * F.col("__xz")
+    known = F.when((F.col("n") > 3) & (span > 1e-12 * F.col("__xx") * F.col("__zz")), span)
+    return s.select(*keys, "n", F.try_divide(F.col("__xy") * F.col("__zz") - F.col("__xz") * F.col("__yz"), known).alias("beta"))
+
+
+def freedman_lane(df: DataFrame, keys: list[str], order: str, x: str, y: str, z: str, n_perm: int, seed: int = 1) -> DataFrame:
+    """Partial correlation of ``x`` and ``y`` given ``z`` and its permutation p: residuals of ``y`` on ``z`` are shuffled inside groups
+    and put back on the fitted values."""
+    fit = df.groupBy(*keys).agg(F.regr_slope(y, z).alias("__b"), F.regr_intercept(y, z).alias("__a"))
+    rows = df.join(fit, keys).withColumn("__fit", F.col("__a") + F.col("__b") * F.col(z)).withColumn("__e", F.col(y) - F.col("__fit"))
+    null = permuted(rows.select(*keys, order, x, z, "__fit", "__e"), keys, order, "__e", n_perm, seed)
+    null = partial_one(null.withColumn("__y", F.col("__fit") + F.col("permuted")), [*keys, "perm"], x, "__y", z)
+    return permutation_p(partial_one(df, keys, x, y, z), null, keys, "r")

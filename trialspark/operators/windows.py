@@ -38,9 +38,9 @@ def bands(frame: DataFrame, table: DataFrame, freq: str = "freq") -> DataFrame:
 
 def average_rank(value: str, keys: list[str]) -> Column:
     """Average rank of a value inside its group; null values rank nowhere."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count(value).over(Window.partitionBy(*keys, value))
-    return F.when(F.col(value).isNotNull(), F.rank().over(w) - F.count(F.when(F.col(value).isNull(), 1)).over(Window.partitionBy(*keys)) + (ties - 1) / 2)
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(value))
+    ties = F.count(value).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2)
 
 
 def rank_normalise(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -89,14 +89,15 @@ def clipped(x: Column, limit: float) -> Column:
 
 
 def moment_corr(x: Column, y: Column) -> Column:
-    """Pearson r from sums; null where either side is constant (the built-in one raises there)."""
+    """Pearson r from central moments, so a large offset costs no digits; null where either side is constant.
+
+    A side is constant when its spread is lost in the rounding of its values (the built-in ``corr`` raises there).
+    """
     both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-    n = F.count(x)
-    sx, sy = F.sum(x), F.sum(y)
-    vx, vy = F.sum(x * x) - sx * sx / n, F.sum(y * y) - sy * sy / n
-    scale = F.sqrt(F.when((vx > 1e-12 * F.sum(x * x)) & (vy > 1e-12 * F.sum(y * y)), vx * vy))
-    return clipped(F.try_divide(F.sum(x * y) - sx * sy / n, scale), 1.0)
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    varies = (sx > 1e-14 * F.abs(F.avg(x))) & (sy > 1e-14 * F.abs(F.avg(y)))
+    return clipped(F.try_divide(F.covar_pop(x, y), F.when(varies, sx * sy)), 1.0)
 
 
 def autocorrelation(df: DataFrame, value: str, keys: list[str], order: str, lag: int, least: int = 3) -> DataFrame:

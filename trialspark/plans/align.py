@@ -39,7 +39,7 @@ OFFSET_SQL = """e AS (SELECT o_custkey AS subject, epoch(o_orderdate) / 86400.0
 QUERIES = {
     "j1_trial_table": (lambda i: op.trial_table(i.wide.select("subject", "trial_id", "run"), i.features, ["subject", "trial_id"], NAMES), sql("wide", "SELECT subject, trial_id, run, quantity, price, discount, tax FROM wide")),
     "j2_align_features": (lambda i: i.trials.select("subject", op.checked_key("trial_id").alias("trial_id"), "outcome").join(i.trials.where("trial_id % 2 = 0").select("subject", "trial_id", F.col("predictor").alias("feature")), ["subject", "trial_id"], "left"), sql("trials", "SELECT subject, trial_id, outcome, CASE WHEN trial_id % 2 = 0 THEN predictor END AS feature FROM trials")),
-    "j3_outer_merge": (lambda i: op.outer_merge(i.trials.where("trial_id <= 6").select("subject", "trial_id", "outcome"), i.trials.where("trial_id >= 4 AND trial_id < 9").select("subject", "trial_id", (F.col("outcome") + 1).alias("outcome"), "run"), ["subject", "trial_id"]), sql("trials", "SELECT subject, trial_id, CASE WHEN trial_id <= 6 THEN outcome ELSE outcome + 1 END AS outcome, CASE WHEN trial_id >= 4 THEN run END AS run FROM trials WHERE trial_id < 9")),
+    "j3_outer_merge": (lambda i: op.outer_merge(i.trials.where("outcome <= 80").select("subject", "trial_id", "outcome"), i.trials.where("outcome >= 20").select("subject", "trial_id", (F.col("outcome") + 1).alias("outcome"), "run"), ["subject", "trial_id"]), sql("trials", "SELECT subject, trial_id, CASE WHEN outcome <= 80 THEN outcome ELSE outcome + 1 END AS outcome, CASE WHEN outcome >= 20 THEN run END AS run FROM trials WHERE outcome IS NOT NULL")),
     "j4_union_blocks": (lambda i: op.union_blocks([i.features.where("feature = 'tax'").drop("condition"), i.features.where("feature = 'price'").drop("run")]).groupBy("feature", "condition", "run").agg(F.count(F.lit(1)).alias("n")), sql("features", "SELECT feature, CASE WHEN feature = 'price' THEN condition END AS condition, CASE WHEN feature = 'tax' THEN run END AS run, count(*) AS n FROM features WHERE feature IN ('tax', 'price') GROUP BY ALL")),
     "j4_overlap": (lambda i: op.overlapping([i.features.where("feature <> 'tax'"), i.features.where("feature <> 'price'")]), sql("features", "SELECT DISTINCT feature, 2 AS blocks FROM features WHERE feature IN ('quantity', 'discount')")),
     "j5_one_to_one": (lambda i: op.one_to_one(i.wide.select("subject", "trial_id", "price", "tax"), i.wide.select("subject", "trial_id", "price", "discount"), ["subject", "trial_id"], ["price"]), sql("wide", "SELECT subject, trial_id, price, tax, discount FROM wide")),
@@ -52,8 +52,8 @@ QUERIES = {
     "j12_subject_union": (lambda i: op.subject_sets([i.trials.where("outcome > 300"), i.trials.where("predictor > 95")], "union"), sql("trials", "SELECT DISTINCT subject FROM trials WHERE outcome > 300 OR predictor > 95")),
     "j12_subject_intersection": (lambda i: op.subject_sets([i.trials.where("outcome > 300"), i.trials.where("predictor > 95")], "intersection"), sql("trials", "SELECT subject FROM trials WHERE outcome > 300 INTERSECT SELECT subject FROM trials WHERE predictor > 95")),
     "j13_finite_in_all": (lambda i: op.in_all_blocks([i.features.where("feature = 'tax' AND value > 0"), i.features.where("feature = 'discount' AND value > 0")], ["subject", "trial_id"], "value"), sql("wide", "SELECT subject, trial_id FROM wide WHERE tax > 0 AND discount > 0")),
-    "j14_single_trial_events": (lambda i: op.single_trial_events(i.trials.where("subject < 40").select("subject", "run", "trial_id", "onset"), ["subject", "run"], "trial_id").groupBy("subject", "run", "role").agg(F.count(F.lit(1)).alias("n")), sql("trials", "SELECT a.subject, a.run, CASE WHEN a.trial_id = b.trial_id THEN 'target' ELSE 'other' END AS role, count(*) AS n FROM trials a JOIN trials b ON a.subject = b.subject AND a.run = b.run WHERE a.subject < 40 GROUP BY ALL")),
-    "j15_common_channels": (lambda i: op.common_to_all(i.samples.where("x > 0.3"), "subject", "channel"), sql("samples", "SELECT channel, count(DISTINCT subject) AS n FROM samples WHERE x > 0.3 GROUP BY channel HAVING count(DISTINCT subject) = (SELECT count(DISTINCT subject) FROM samples WHERE x > 0.3)")),
+    "j14_single_trial_events": (lambda i: op.single_trial_events(i.trials.select("subject", "run", "trial_id", "onset"), ["subject", "run"], "trial_id").groupBy("subject", "run", "role").agg(F.count(F.lit(1)).alias("n")), sql("trials", "SELECT a.subject, a.run, CASE WHEN a.trial_id = b.trial_id THEN 'target' ELSE 'other' END AS role, count(*) AS n FROM trials a JOIN trials b ON a.subject = b.subject AND a.run = b.run GROUP BY ALL")),
+    "j15_common_channels": (lambda i: op.common_to_all(i.samples.where("x > 0.0"), "subject", "channel"), sql("samples", "SELECT channel, count(DISTINCT subject) AS n FROM samples WHERE x > 0.0 GROUP BY channel HAVING count(DISTINCT subject) = (SELECT count(DISTINCT subject) FROM samples WHERE x > 0.0)")),
     "j16_trial_key": (lambda i: i.trials.select("subject", "trial_id", op.trial_key(F.concat(F.lit("run-"), "run", F.lit("_trial-"), "trial_id")).alias("key")), sql("trials", "SELECT subject, trial_id, printf('%d|trial-%03d', run, trial_id) AS key FROM trials")),
     "j17_attach_scores": (lambda i: i.trials.join(i.trials.where("trial_id % 2 = 0").select("subject", "run", "trial_id", F.col("predictor").alias("s1")), ["subject", "run", "trial_id"], "left").join(i.trials.where("trial_id % 3 = 0").select("subject", "run", "trial_id", (-F.col("predictor")).alias("s2")), ["subject", "run", "trial_id"], "left").select("subject", "trial_id", F.coalesce("s1", "s2").alias("score")), sql("trials", "SELECT subject, trial_id, CASE WHEN trial_id % 2 = 0 THEN predictor WHEN trial_id % 3 = 0 THEN -predictor END AS score FROM trials")),
 }

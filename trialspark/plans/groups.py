@@ -31,8 +31,8 @@ def _csv(i):
 
 def _bundle(i):
     path = scratch(i.spark)
-    files.save_features(i.features.where("trial_id <= 20").withColumn("family", F.when(F.col("feature").isin("tax", "discount"), "rate").otherwise("amount")).drop("condition"), path)
-    return files.read_parquet(i.spark, path).where("family = 'rate' AND subject < 10").groupBy("subject", "feature").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value")).alias("total"))
+    files.save_features(i.features.withColumn("family", F.when(F.col("feature").isin("tax", "discount"), "rate").otherwise("amount")).drop("condition"), path)
+    return files.read_parquet(i.spark, path).where("family = 'rate'").groupBy("subject", "feature").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value")).alias("total"))
 
 
 def _manifest(i):
@@ -57,7 +57,7 @@ QUERIES = {
     "s2_parquet": (lambda i: i.raw("orders").select("o_orderkey", "o_custkey", "o_totalprice"), "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"),
     "s3_write_csv": (_csv, sql("trials", "SELECT subject, trial_id, outcome FROM trials")),
     "s6_catalogue": (lambda i: files.catalogue(i.features, ["subject", "run"]), sql("features", 'SELECT subject, run, count(*) AS "rows", count(DISTINCT feature) AS columns FROM features GROUP BY ALL')),
-    "s7_feature_bundle": (_bundle, sql("features", f"SELECT subject, feature, count(*) AS n, {r('sum(value)')} AS total FROM features WHERE feature IN ('tax', 'discount') AND trial_id <= 20 AND subject < 10 GROUP BY ALL")),
+    "s7_feature_bundle": (_bundle, sql("features", f"SELECT subject, feature, count(*) AS n, {r('sum(value)')} AS total FROM features WHERE feature IN ('tax', 'discount') GROUP BY ALL")),
     "s8_identical_columns": (lambda i: files.identical_columns(i.wide.withColumn("copy", F.col("tax")), ["price", "tax", "copy"]), sql("wide", "SELECT 'price' AS \"first\", 'tax' AS \"second\", count(*) FILTER (price IS DISTINCT FROM tax) AS n_different, count(*) FILTER (price IS DISTINCT FROM tax) = 0 AS identical FROM wide UNION ALL SELECT 'price', 'copy', count(*) FILTER (price IS DISTINCT FROM tax), count(*) FILTER (price IS DISTINCT FROM tax) = 0 FROM wide UNION ALL SELECT 'tax', 'copy', 0, true")),
     "s9_dropped_trials": (lambda i: files.dropped(i.trials.select("subject", "trial_id", "outcome"), i.trials.where("outcome < 100"), ["subject", "trial_id"]), sql("trials", "SELECT subject, trial_id, outcome FROM trials WHERE NOT outcome < 100")),
     "s10_manifest": (_manifest, sql("names", "SELECT name, '{\"group\":\"' || split_part(name, '_', 1) || '\",\"segment\":\"' || split_part(name, '_', 2) || '\",\"band\":\"' || split_part(name, '_', 3) || '\",\"scope\":\"' || split_part(name, '_', 4) || '\",\"identifier\":\"' || split_part(name, '_', 5) || '\",\"stat\":\"' || split_part(name, '_', 6) || '\"}' AS parts FROM names")),

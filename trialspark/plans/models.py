@@ -38,12 +38,12 @@ def _frames_time(i):
 
 
 def _matrix(i):
-    f = i.features.where("subject < 40 AND feature <> 'price'")
+    f = i.features.where("feature <> 'price'")
     return f.groupBy("subject", "trial_id").pivot("feature", ["quantity", "discount", "tax"]).agg(F.first("value")).join(i.wide.select("subject", "trial_id", F.col("price").alias("target")), ["subject", "trial_id"])
 
 
 def _shuffled(i):
-    t = i.trials.where("subject < 50").select("subject", "run", "trial_id", "outcome")
+    t = i.trials.select("subject", "run", "trial_id", "outcome")
     return stats.permuted(t, ["subject", "run"], "trial_id", "outcome", 1, 7).select("subject", "run", "trial_id", "permuted")
 
 
@@ -53,6 +53,8 @@ def _elastic(i):
 
 
 QUERIES = {
+    "m18_majority": (lambda i: op.held_out_majority(i.trials, "subject", "condition"), sql("trials", ", f AS (SELECT DISTINCT subject FROM trials), o AS (SELECT subject, condition, count(*) AS n FROM trials GROUP BY ALL), a AS (SELECT condition, sum(n) AS n FROM o GROUP BY condition), g AS (SELECT f.subject, a.condition, (a.n - coalesce(o.n, 0))::BIGINT AS n FROM f CROSS JOIN a LEFT JOIN o ON o.subject = f.subject AND o.condition = a.condition) SELECT subject, condition AS prediction, n AS support FROM g QUALIFY row_number() OVER (PARTITION BY subject ORDER BY n DESC, condition) = 1")),
+    "m6_prepared_features": (lambda i: op.prepared(i.features.withColumn("value", F.when(F.col("value") != 0.05, F.col("value"))), "feature", "value", F.col("subject") % 4 > 0, 0.001).select("subject", "trial_id", "feature", rounded("prepared").alias("prepared")), sql("features", f", x AS (SELECT subject, trial_id, feature, CASE WHEN value <> 0.05 THEN value END AS v FROM features), s AS (SELECT feature, avg(v) AS m, stddev_pop(v) AS s FROM x WHERE subject % 4 > 0 GROUP BY feature HAVING var_pop(v) > 0.001) SELECT subject, trial_id, feature, {r('(coalesce(v, m) - m) / s')} AS prepared FROM x JOIN s USING (feature)")),
     "i1_scrub": (lambda i: im.scrub(i.wide, ["subject", "run"], (F.col("tax") >= 0.07) | (F.col("discount") >= 0.09)).groupBy("subject", "run").agg(F.max("n_kept").alias("n_kept")), sql("wide", "SELECT subject, run, count(*) AS n_kept FROM wide WHERE tax < 0.07 AND discount < 0.09 GROUP BY ALL")),
     "i2_region_correlation": (lambda i: _round(im.region_correlation(i.frames, ["subject", "run"]).where("n > 5"), "r", keep=("subject", "run", "a", "b", "n")), sql("frames", CORR + f" SELECT subject, run, a, b, n, {r('r')} AS r FROM c WHERE n > 5")),
     "i3_average_runs": (lambda i: _round(im.average_runs(im.region_correlation(i.frames, ["subject", "run"]).where("n > 5"), ["subject"]), "r", keep=("subject", "a", "b")), sql("frames", CORR + f" SELECT subject, a, b, {r('tanh(sum(n * atanh(greatest(-0.999999, least(0.999999, r)))) FILTER (r IS NOT NULL) / sum(n) FILTER (r IS NOT NULL))')} AS r FROM c WHERE n > 5 GROUP BY ALL")),
@@ -62,13 +64,13 @@ QUERIES = {
     "i7_max_statistic": (lambda i: _round(im.max_statistic(i.voxels.groupBy("subject", "voxel").agg(F.avg("value").alias("value")), "subject", 30), "t", "p", keep=("voxel",)), sql("voxels", f", v AS (SELECT subject, voxel, avg(value) AS value FROM voxels GROUP BY ALL), s AS (SELECT subject, perm, CASE WHEN perm = 0 THEN 1 ELSE 1 - 2 * (('0x' || substr(md5('1|' || perm || '|' || subject), 1, 8))::BIGINT % 2) END AS sgn FROM (SELECT DISTINCT subject FROM v), (SELECT unnest(range(31)) AS perm)), t AS (SELECT perm, voxel, avg(value * sgn) * sqrt(count(*)) / stddev_samp(value * sgn) AS t FROM v JOIN s USING (subject) GROUP BY ALL), m AS (SELECT perm, max(abs(t)) AS top FROM t WHERE perm > 0 GROUP BY perm) SELECT voxel, {r('t')} AS t, {r('(count(*) FILTER (top >= abs(t)) + 1) / (count(*) + 1)')} AS p FROM t, m WHERE t.perm = 0 GROUP BY voxel, t")),
     "i8_design_qc": (lambda i: _round(im.region_correlation(i.frames.where("roi <> 'tax'"), ["subject", "run"]).groupBy("subject", "run").agg(F.max(F.abs("r")).alias("max_r")), "max_r", keep=("subject", "run")), sql("frames", CORR + f" SELECT subject, run, {r('max(abs(r))')} AS max_r FROM c WHERE a <> 'tax' AND b <> 'tax' GROUP BY ALL")),
     "i9_outlier_share": (lambda i: _round(im.outlier_share(i.features, ["subject", "feature"], "value", 2.0), "outlier_share", keep=("subject", "feature", "n")), sql("features", f", m AS (SELECT *, median(value) OVER (PARTITION BY subject, feature) AS m FROM features), d AS (SELECT *, abs(value - m) AS d, 1.4826 * median(abs(value - m)) OVER (PARTITION BY subject, feature) AS s FROM m) SELECT subject, feature, count(*) AS n, {r('avg(CASE WHEN s > 0 AND d > 2.0 * s THEN 1.0 ELSE 0.0 END)')} AS outlier_share FROM d GROUP BY ALL")),
-    "i11_convolved_confound": (lambda i: _round(im.convolved(i.trials.where("subject < 50").select("subject", "run", "trial_id", "onset"), _frames_time(i), ["subject", "run"], 90000.0), "value", keep=("subject", "run", "trial_id", "n_frames")), sql("trials", f", n AS (SELECT a.subject, a.run, a.trial_id, b.predictor AS v, 1 - abs(2 * (b.onset - a.onset) / 90000.0 - 1) AS w FROM trials a JOIN trials b ON a.subject = b.subject AND a.run = b.run AND b.onset >= a.onset AND b.onset < a.onset + 90000 WHERE a.subject < 50) SELECT subject, run, trial_id, {r('sum(w * v) / nullif(sum(w), 0)')} AS value, count(*) AS n_frames FROM n GROUP BY ALL")),
+    "i11_convolved_confound": (lambda i: _round(im.convolved(i.trials.select("subject", "run", "trial_id", "onset"), _frames_time(i), ["subject", "run"], 90000.0), "value", keep=("subject", "run", "trial_id", "n_frames")), sql("trials", f", n AS (SELECT a.subject, a.run, a.trial_id, b.predictor AS v, 1 - abs(2 * (b.onset - a.onset) / 90000.0 - 1) AS w FROM trials a JOIN trials b ON a.subject = b.subject AND a.run = b.run AND b.onset >= a.onset AND b.onset < a.onset + 90000) SELECT subject, run, trial_id, {r('sum(w * v) / nullif(sum(w), 0)')} AS value, count(*) AS n_frames FROM n GROUP BY ALL")),
     "i12_trial_censoring": (lambda i: im.trial_censoring(i.trials, {"slow": F.col("outcome") > 150, "weak": F.col("predictor") < 5}).groupBy("subject").agg(F.count_if("slow").alias("slow"), F.count_if("weak").alias("weak"), F.count_if("kept").alias("kept")), sql("trials", "SELECT subject, count(*) FILTER (outcome > 150) AS slow, count(*) FILTER (predictor < 5) AS weak, count(*) FILTER (outcome <= 150 AND predictor >= 5) AS kept FROM trials GROUP BY subject")),
-    "i14_shuffle_within_run": (_shuffled, sql("trials", ", k AS (SELECT subject, run, trial_id, outcome, row_number() OVER (PARTITION BY subject, run ORDER BY trial_id) AS place, row_number() OVER (PARTITION BY subject, run ORDER BY md5('7|0|' || trial_id), trial_id) AS drawn FROM trials WHERE subject < 50) SELECT a.subject, a.run, a.trial_id, b.outcome AS permuted FROM k a JOIN k b ON a.subject = b.subject AND a.run = b.run AND a.place = b.drawn")),
+    "i14_shuffle_within_run": (_shuffled, sql("trials", ", k AS (SELECT subject, run, trial_id, outcome, row_number() OVER (PARTITION BY subject, run ORDER BY trial_id) AS place, row_number() OVER (PARTITION BY subject, run ORDER BY md5('7|0|' || trial_id), trial_id) AS drawn FROM trials) SELECT a.subject, a.run, a.trial_id, b.outcome AS permuted FROM k a JOIN k b ON a.subject = b.subject AND a.run = b.run AND a.place = b.drawn")),
     "i17_concordance": (lambda i: i.frames.groupBy("roi").agg(rounded(moment_corr(F.col("value"), F.col("value") * (F.col("run") % 3))).alias("r")), sql("frames", f"SELECT roi, {r('corr(value, value * (run % 3))')} AS r FROM frames GROUP BY roi")),
     "i19_group_statuses": (lambda i: _round(stats.holm(i.trials.groupBy("condition").agg((F.avg("outcome") / 5000).alias("p")).withColumn("all", F.lit(1)), "p", ["all"], ["condition"]).withColumn("status", F.when(F.col("p_holm") < 0.05, "supported").otherwise("not supported")), "p_holm", keep=("condition", "status")), sql("trials", f", p AS (SELECT condition, avg(outcome) / 5000 AS p FROM trials GROUP BY condition), k AS (SELECT *, row_number() OVER (ORDER BY p, condition) AS k, count(*) OVER () AS m FROM p), h AS (SELECT condition, max(least(1.0, (m - k + 1) * p)) OVER (ORDER BY p, condition ROWS UNBOUNDED PRECEDING) AS h FROM k) SELECT condition, {r('h')} AS p_holm, CASE WHEN h < 0.05 THEN 'supported' ELSE 'not supported' END AS status FROM h")),
     "i20_temporal_snr": (lambda i: _round(im.temporal_snr(i.frames, ["subject", "roi"], "run", "value"), "tsnr", keep=("subject", "roi")), sql("frames", f", s AS (SELECT subject, roi, run, coalesce(avg(value) / nullif(stddev_pop(value), 0), 0) AS s FROM frames GROUP BY ALL) SELECT subject, roi, {r('avg(s)')} AS tsnr FROM s GROUP BY ALL")),
-    "m1_design_matrix": (_matrix, sql("wide", "SELECT subject, trial_id, quantity, discount, tax, price AS target FROM wide WHERE subject < 40")),
+    "m1_design_matrix": (_matrix, sql("wide", "SELECT subject, trial_id, quantity, discount, tax, price AS target FROM wide")),
     "m2_channel_means": (lambda i: i.samples.groupBy("trial_id").pivot("channel", list(range(8))).agg(F.avg("x")).select("trial_id", *(rounded(F.col(f"`{k}`")).alias(f"ch{k}") for k in range(8))), sql("samples", "SELECT trial_id, " + ", ".join(f"{r(f'avg(x) FILTER (channel = {k})')} AS ch{k}" for k in range(8)) + " FROM samples GROUP BY trial_id")),
     "m3_loso_folds": (lambda i: i.trials.groupBy("subject").agg(F.count(F.lit(1)).alias("n_test")).withColumn("n_train", F.sum("n_test").over(Window.partitionBy()) - F.col("n_test")), sql("trials", "SELECT subject, count(*) AS n_test, (SELECT count(*) FROM trials) - count(*) AS n_train FROM trials GROUP BY subject")),
     "m4_block_folds": (lambda i: op.block_folds(i.trials, "subject", "run", 2).groupBy("subject", "fold").agg(F.count(F.lit(1)).alias("n")), sql("trials", "SELECT subject, ((dense_rank - 1) % 2)::INT AS fold, count(*) AS n FROM (SELECT subject, dense_rank() OVER (PARTITION BY subject ORDER BY run) AS dense_rank FROM trials) GROUP BY ALL")),

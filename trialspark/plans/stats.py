@@ -19,43 +19,43 @@ def _per(i):
 
 def _pvalues(i):
     # a p-like column in (0, 1) that repeats in both engines
-    return i.trials.where("subject < 60").select("subject", "trial_id", "condition", ((F.col("predictor") + 1) / 102 * F.col("outcome") / 1000).alias("p"))
+    return i.trials.select("subject", "trial_id", "condition", ((F.col("predictor") + 1) / 102 * F.col("outcome") / 1000).alias("p"))
 
 
-PV = ", p AS (SELECT subject, trial_id, condition, (predictor + 1) / 102 * outcome / 1000 AS p FROM trials WHERE subject < 60)"
+PV = ", p AS (SELECT subject, trial_id, condition, (predictor + 1) / 102 * outcome / 1000 AS p FROM trials)"
 BH = "least(1.0, min(p * m / k) OVER (PARTITION BY {k} ORDER BY p, subject, trial_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
 
 
 def _perm_null(i):
-    p = op.permuted(i.trials.where("subject < 50").select("subject", "trial_id", "predictor", "outcome"), ["subject"], "trial_id", "outcome", 20)
+    p = op.permuted(i.trials.select("subject", "trial_id", "predictor", "outcome"), ["subject"], "trial_id", "outcome", 20)
     return p.groupBy("subject", "perm").agg(moment_corr(F.col("predictor"), F.col("permuted")).alias("r"))
 
 
-PERM = """, b AS (SELECT subject, trial_id, predictor, outcome, perm FROM trials, (SELECT unnest(range(20)) AS perm) WHERE subject < 50),
+PERM = """, b AS (SELECT subject, trial_id, predictor, outcome, perm FROM trials, (SELECT unnest(range(20)) AS perm)),
     k AS (SELECT *, row_number() OVER (PARTITION BY subject, perm ORDER BY trial_id) AS place, row_number() OVER (PARTITION BY subject, perm ORDER BY md5('1|' || perm || '|' || trial_id), trial_id) AS drawn FROM b),
     n AS (SELECT a.subject, a.perm, a.trial_id, a.predictor, s.outcome AS permuted, a.condition FROM (SELECT k.*, t.condition FROM k JOIN trials t USING (subject, trial_id)) a JOIN k s ON a.subject = s.subject AND a.perm = s.perm AND a.place = s.drawn)"""
 
 
 def _difference(i):
-    t = i.trials.where("subject < 50").select("subject", "trial_id", "condition", "outcome")
+    t = i.trials.select("subject", "trial_id", "condition", "outcome")
     side = lambda v: F.avg(F.when(F.col("condition") == "click", F.col(v))) - F.avg(F.when(F.col("condition") == "view", F.col(v)))
     null = op.permuted(t, ["subject"], "trial_id", "outcome", 20).groupBy("subject", "perm").agg(side("permuted").alias("stat"))
     return op.permutation_p(t.groupBy("subject").agg(side("outcome").alias("stat")), null, ["subject"], "stat").select("subject", rounded("observed").alias("observed"), "extreme", rounded("p").alias("p"))
 
 
 def _effective(i):
-    t = i.trials.where("subject < 50").select("subject", "run", "trial_id", "outcome")
+    t = i.trials.select("subject", "run", "trial_id", "outcome")
     p = op.permuted(t, ["subject", "run"], "trial_id", "outcome", 5)
     return p.groupBy("subject", "perm").agg(rounded(F.avg((F.col("outcome") != F.col("permuted")).cast("double"))).alias("changed"))
 
 
 def _boot(i):
-    b = op.bootstrap_draws(i.trials.where("subject < 50").select("subject", "trial_id", "outcome"), ["subject"], "trial_id", 40)
+    b = op.bootstrap_draws(i.trials.select("subject", "trial_id", "outcome"), ["subject"], "trial_id", 40)
     m = b.groupBy("subject", "boot").agg(F.avg("outcome").alias("m"))
     return m.groupBy("subject").agg(rounded(F.percentile("m", 0.025)).alias("low"), rounded(F.percentile("m", 0.975)).alias("high"))
 
 
-BOOT = """, p AS (SELECT subject, trial_id, condition, predictor, outcome, row_number() OVER (PARTITION BY subject ORDER BY trial_id) - 1 AS place, count(*) OVER (PARTITION BY subject) AS size FROM trials WHERE subject < 50),
+BOOT = """, p AS (SELECT subject, trial_id, condition, predictor, outcome, row_number() OVER (PARTITION BY subject ORDER BY trial_id) - 1 AS place, count(*) OVER (PARTITION BY subject) AS size FROM trials),
     d AS (SELECT subject, boot, ('0x' || substr(md5('1|' || boot || '|' || place), 1, 8))::BIGINT % size AS place FROM p, (SELECT unnest(range(40)) AS boot)),
     b AS (SELECT d.subject, d.boot, p.outcome, p.predictor, p.condition FROM d JOIN p ON p.subject = d.subject AND p.place = d.place)"""
 
@@ -75,6 +75,13 @@ def _split_half(i):
 
 
 QUERIES = {
+    "c21_subject_beta": (lambda i: op.per_group_beta(i.trials, ["subject"], "predictor", "outcome", "onset").select("subject", "n", rounded("beta").alias("beta")), sql(T, f", s AS (SELECT subject, count(*) AS n, covar_pop(predictor, outcome) AS xy, covar_pop(predictor, onset) AS xz, covar_pop(outcome, onset) AS yz, var_pop(predictor) AS xx, var_pop(onset) AS zz FROM trials GROUP BY subject) SELECT subject, n, CASE WHEN n > 3 AND xx * zz - xz * xz > 1e-12 * xx * zz THEN {r('(xy * zz - xz * yz) / (xx * zz - xz * xz)')} END AS beta FROM s")),
+    "r5_freedman_lane": (lambda i: op.freedman_lane(i.trials.select("subject", "trial_id", "predictor", "outcome", (F.col("onset") / 3600).alias("hours")), ["subject"], "trial_id", "predictor", "outcome", "hours", 20).select("subject", rounded("observed").alias("observed"), "n_perm", "extreme", rounded("p").alias("p")), sql(T, f""", d AS (SELECT subject, trial_id, predictor AS x, outcome AS y, onset / 3600 AS z FROM trials), f AS (SELECT subject, regr_slope(y, z) AS b, regr_intercept(y, z) AS a FROM d GROUP BY subject),
+    e AS (SELECT d.*, a + b * z AS fit, y - a - b * z AS e, perm, row_number() OVER (PARTITION BY subject, perm ORDER BY trial_id) AS place, row_number() OVER (PARTITION BY subject, perm ORDER BY md5('1|' || perm || '|' || trial_id), trial_id) AS drawn FROM d JOIN f USING (subject), (SELECT unnest(range(20)) AS perm)),
+    n AS (SELECT a.subject, a.perm, a.x, a.z, a.fit + s.e AS y FROM e a JOIN e s ON a.subject = s.subject AND a.perm = s.perm AND a.place = s.drawn),
+    c AS (SELECT subject, perm, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM n GROUP BY ALL UNION ALL SELECT subject, -1, corr(x, y), corr(x, z), corr(y, z) FROM d GROUP BY subject),
+    p AS (SELECT subject, perm, (xy - xz * yz) / nullif(sqrt((1 - xz * xz) * (1 - yz * yz)), 0) AS r FROM c)
+    SELECT a.subject, {r('any_value(o.r)')} AS observed, count(a.r) AS n_perm, count(*) FILTER (abs(a.r) >= abs(o.r) - 1e-12) AS extreme, {r('(count(*) FILTER (abs(a.r) >= abs(o.r) - 1e-12) + 1) / (count(a.r) + 1)')} AS p FROM p a JOIN p o ON a.subject = o.subject AND o.perm = -1 WHERE a.perm >= 0 GROUP BY a.subject""")),
     "c1_pearson": (lambda i: _per(i).select("subject", "n", rounded("r").alias("r")), sql(T, f", {PER} SELECT subject, n, {r('r')} AS r FROM c")),
     "c1_spearman": (lambda i: op.correlations(i.trials, ["subject"], "predictor", "outcome", "spearman").select("subject", "n", rounded("r").alias("r")), sql(T, f", k AS (SELECT subject, rank() OVER (PARTITION BY subject ORDER BY predictor) + (count(*) OVER (PARTITION BY subject, predictor) - 1) / 2.0 AS a, rank() OVER (PARTITION BY subject ORDER BY outcome) + (count(*) OVER (PARTITION BY subject, outcome) - 1) / 2.0 AS b FROM trials) SELECT subject, count(*) AS n, {r('corr(a, b)')} AS r FROM k GROUP BY subject")),
     "c2_winsorised": (lambda i: op.winsorised(i.trials, ["subject"], "predictor", "outcome").select("subject", "n", "effective_n", rounded("r").alias("r")), sql(T, f", k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY predictor) AS p, row_number() OVER (PARTITION BY subject ORDER BY outcome) AS q, count(*) OVER (PARTITION BY subject) AS n, floor(count(*) OVER (PARTITION BY subject) * 0.2)::INT AS k FROM trials), l AS (SELECT subject, min(predictor) FILTER (p > k) AS pl, max(predictor) FILTER (p <= n - k) AS ph, min(outcome) FILTER (q > k) AS ql, max(outcome) FILTER (q <= n - k) AS qh FROM k GROUP BY subject) SELECT subject, count(*) AS n, count(*) - 2 * any_value(k) AS effective_n, {r('corr(least(greatest(predictor, pl), ph), least(greatest(outcome, ql), qh))')} AS r FROM k JOIN l USING (subject) GROUP BY subject")),
@@ -82,7 +89,7 @@ QUERIES = {
     "c4_partial_one": (lambda i: op.partial_one(i.trials, ["subject"], "predictor", "outcome", "onset").select("subject", "n", rounded("r").alias("r"), "dof", rounded("t").alias("t")), sql(T, f", c AS (SELECT subject, count(*) AS n, corr(predictor, outcome) AS xy, corr(predictor, onset) AS xz, corr(outcome, onset) AS yz FROM trials GROUP BY subject), p AS (SELECT *, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r FROM c) SELECT subject, n, {r('r')} AS r, n - 3 AS dof, {r('r * sqrt((n - 3) / (1 - r * r))')} AS t FROM p")),
     "c5_collinearity": (lambda i: i.trials.agg(*(rounded(moment_corr(F.col(a), F.col(b))).alias(f"{a}_{b}") for a, b in (("predictor", "outcome"), ("predictor", "onset"), ("outcome", "onset")))), sql(T, f"SELECT {r('corr(predictor, outcome)')} AS predictor_outcome, {r('corr(predictor, onset)')} AS predictor_onset, {r('corr(outcome, onset)')} AS outcome_onset FROM trials")),
     "c6_loso_stability": (lambda i: op.leave_one_out(i.trials, "subject", "predictor", "outcome").select("subject", rounded("r").alias("r")), sql(T, f"SELECT s.subject, {r('corr(predictor, outcome)')} AS r FROM (SELECT DISTINCT subject FROM trials) s JOIN trials t ON t.subject <> s.subject GROUP BY s.subject")),
-    "c8_bootstrap_r": (lambda i: op.bootstrap_draws(i.trials.where("subject < 50").select("subject", "trial_id", "predictor", "outcome"), ["subject"], "trial_id", 40).groupBy("subject", "boot").agg(moment_corr(F.col("predictor"), F.col("outcome")).alias("r")).groupBy("subject").agg(rounded(F.percentile("r", 0.025)).alias("low"), rounded(F.percentile("r", 0.975)).alias("high")), sql(T, BOOT + f", c AS (SELECT subject, boot, corr(predictor, outcome) AS r FROM b GROUP BY ALL) SELECT subject, {r('quantile_cont(r, 0.025)')} AS low, {r('quantile_cont(r, 0.975)')} AS high FROM c GROUP BY subject")),
+    "c8_bootstrap_r": (lambda i: op.bootstrap_draws(i.trials.select("subject", "trial_id", "predictor", "outcome"), ["subject"], "trial_id", 40).groupBy("subject", "boot").agg(moment_corr(F.col("predictor"), F.col("outcome")).alias("r")).groupBy("subject").agg(rounded(F.percentile("r", 0.025)).alias("low"), rounded(F.percentile("r", 0.975)).alias("high")), sql(T, BOOT + f", c AS (SELECT subject, boot, corr(predictor, outcome) AS r FROM b GROUP BY ALL) SELECT subject, {r('quantile_cont(r, 0.025)')} AS low, {r('quantile_cont(r, 0.975)')} AS high FROM c GROUP BY subject")),
     "c9_feature_correlations": (lambda i: op.correlations(i.features.join(i.wide.select("subject", "trial_id", F.col("price").alias("target")), ["subject", "trial_id"]).where("feature <> 'price'"), ["subject", "feature"], "value", "target").select("subject", "feature", "n", rounded("r").alias("r")), sql("features", f"SELECT f.subject, f.feature, count(*) AS n, {r('corr(f.value, w.price)')} AS r FROM features f JOIN wide w USING (subject, trial_id) WHERE f.feature <> 'price' GROUP BY f.subject, f.feature")),
     "c11_trialwise_regression": (lambda i: op.simple_regression(i.trials, ["subject"], "predictor", "outcome").select("subject", "n", *(rounded(c).alias(c) for c in ("slope", "intercept", "r2", "se"))), sql(T, f"SELECT subject, count(*) AS n, {r('regr_slope(outcome, predictor)')} AS slope, {r('regr_intercept(outcome, predictor)')} AS intercept, {r('regr_r2(outcome, predictor)')} AS r2, {r('sqrt((regr_syy(outcome, predictor) - regr_slope(outcome, predictor) * regr_sxy(outcome, predictor)) / (count(*) - 2) / regr_sxx(outcome, predictor))')} AS se FROM trials GROUP BY subject")),
     "c13_predictor_residual": (lambda i: i.trials.join(op.simple_regression(i.trials, ["subject"], "predictor", "outcome").select("subject", "slope", "intercept"), "subject").select("subject", "trial_id", rounded(F.col("outcome") - F.col("intercept") - F.col("slope") * F.col("predictor")).alias("residual")), sql(T, f", f AS (SELECT subject, regr_slope(outcome, predictor) AS b, regr_intercept(outcome, predictor) AS a FROM trials GROUP BY subject) SELECT subject, trial_id, {r('outcome - a - b * predictor')} AS residual FROM trials JOIN f USING (subject)")),
@@ -99,10 +106,10 @@ QUERIES = {
     "h2_hierarchical_fdr": (lambda i: op.hierarchical_fdr(_pvalues(i), "p", "subject", ["trial_id"]).select("subject", "trial_id", rounded("q").alias("q"), rounded("family_q").alias("family_q"), "reject"), sql(T, PV + f", k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY p, trial_id) AS k, count(*) OVER (PARTITION BY subject) AS m FROM p), f AS (SELECT subject, min(p * m / k) AS fp FROM k GROUP BY subject), g AS (SELECT subject, fp, row_number() OVER (ORDER BY fp, subject) AS k, count(*) OVER () AS m FROM f), fq AS (SELECT subject, least(1.0, min(fp * m / k) OVER (ORDER BY fp, subject ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fq FROM g), w AS (SELECT *, {BH.format(k='subject')} AS q FROM k) SELECT subject, trial_id, {r('q')} AS q, {r('fq')} AS family_q, q < 0.05 AND fq < 0.05 AS reject FROM w JOIN fq USING (subject)")),
     "h3_holm": (lambda i: op.holm(_pvalues(i), "p", ["subject"], ["trial_id"]).select("subject", "trial_id", rounded("p_holm").alias("p_holm")), sql(T, PV + f", k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY p, trial_id) AS k, count(*) OVER (PARTITION BY subject) AS m FROM p) SELECT subject, trial_id, {r('max(least(1.0, (m - k + 1) * p)) OVER (PARTITION BY subject ORDER BY p, trial_id ROWS UNBOUNDED PRECEDING)')} AS p_holm FROM k")),
     "h4_significant_edges": (lambda i: op.rank_sum(i.samples.where("condition IN (0, 1)").withColumn("c", F.col("condition").cast("string")), ["channel"], "x", "c", [("0", "1")]).select("channel", "na", "nb", rounded("u").alias("u"), rounded("z").alias("z")), sql("samples", f", k AS (SELECT *, rank() OVER (PARTITION BY channel ORDER BY x) + (count(*) OVER (PARTITION BY channel, x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY channel, x) AS ties FROM samples WHERE condition IN (0, 1)), s AS (SELECT channel, count(*) FILTER (condition = 0) AS na, count(*) FILTER (condition = 1) AS nb, sum(rk) FILTER (condition = 0) AS ra, sum(ties * ties - 1)::DOUBLE AS tie FROM k GROUP BY ALL), u AS (SELECT *, ra - na * (na + 1) / 2.0 AS u, (na + nb)::DOUBLE AS n FROM s) SELECT channel, na, nb, {r('u')} AS u, {r('sign(u - na * nb / 2.0) * greatest(abs(u - na * nb / 2.0) - 0.5, 0) / sqrt(na * nb / 12.0 * ((n + 1) - tie / (n * (n - 1))))')} AS z FROM u")),
-    "r1_permute": (lambda i: op.permuted(i.trials.where("subject < 50").select("subject", "trial_id", "outcome"), ["subject"], "trial_id", "outcome", 3).select("subject", "trial_id", "perm", "permuted"), sql(T, PERM + " SELECT subject, trial_id, perm, permuted FROM n WHERE perm < 3")),
+    "r1_permute": (lambda i: op.permuted(i.trials.select("subject", "trial_id", "outcome"), ["subject"], "trial_id", "outcome", 3).select("subject", "trial_id", "perm", "permuted"), sql(T, PERM + " SELECT subject, trial_id, perm, permuted FROM n WHERE perm < 3")),
     "r2_bootstrap_mean": (_boot, sql(T, BOOT + f", c AS (SELECT subject, boot, avg(outcome) AS m FROM b GROUP BY ALL) SELECT subject, {r('quantile_cont(m, 0.025)')} AS low, {r('quantile_cont(m, 0.975)')} AS high FROM c GROUP BY subject")),
     "r3_sign_flip": (lambda i: op.sign_flip(_flip_units(i), ["subject"], "condition", "d").select("subject", rounded("observed").alias("observed"), "extreme", rounded("p").alias("p")), sql(T, f", u AS (SELECT subject, condition, avg(outcome) - 49 AS d FROM trials GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY condition) - 1 AS place, count(*) OVER (PARTITION BY subject) AS size FROM u), s AS (SELECT subject, pat, avg((1 - 2 * ((pat >> place) & 1)) * d) AS stat FROM p, (SELECT unnest(range(4096)) AS pat) WHERE pat < (1 << size::INT) GROUP BY ALL), o AS (SELECT subject, stat AS observed FROM s WHERE pat = 0) SELECT subject, {r('any_value(observed)')} AS observed, count(*) FILTER (abs(stat) >= abs(observed) - 1e-12) AS extreme, {r('(count(*) FILTER (abs(stat) >= abs(observed) - 1e-12) + 1) / (count(*) + 1)')} AS p FROM s JOIN o USING (subject) GROUP BY subject")),
-    "r4_permutation_r": (lambda i: op.permutation_p(_per(i).where("subject < 50"), _perm_null(i), ["subject"], "r").select("subject", rounded("observed").alias("observed"), "extreme", rounded("p").alias("p")), sql(T, PERM + f", {PER}, z AS (SELECT subject, perm, corr(predictor, permuted) AS s FROM n GROUP BY ALL) SELECT subject, {r('any_value(r)')} AS observed, count(*) FILTER (abs(s) >= abs(r) - 1e-12) AS extreme, {r('(count(*) FILTER (abs(s) >= abs(r) - 1e-12) + 1) / (count(*) + 1)')} AS p FROM z JOIN c USING (subject) GROUP BY subject")),
+    "r4_permutation_r": (lambda i: op.permutation_p(_per(i), _perm_null(i), ["subject"], "r").select("subject", rounded("observed").alias("observed"), "extreme", rounded("p").alias("p")), sql(T, PERM + f", {PER}, z AS (SELECT subject, perm, corr(predictor, permuted) AS s FROM n GROUP BY ALL) SELECT subject, {r('any_value(r)')} AS observed, count(*) FILTER (abs(s) >= abs(r) - 1e-12) AS extreme, {r('(count(*) FILTER (abs(s) >= abs(r) - 1e-12) + 1) / (count(*) + 1)')} AS p FROM z JOIN c USING (subject) GROUP BY subject")),
     "r6_permutation_difference": (_difference, sql(T, PERM + f", o AS (SELECT subject, avg(outcome) FILTER (condition = 'click') - avg(outcome) FILTER (condition = 'view') AS o FROM trials GROUP BY subject), z AS (SELECT subject, perm, avg(permuted) FILTER (condition = 'click') - avg(permuted) FILTER (condition = 'view') AS s FROM n GROUP BY ALL) SELECT subject, {r('any_value(o)')} AS observed, count(*) FILTER (abs(s) >= abs(o) - 1e-12) AS extreme, {r('(count(*) FILTER (abs(s) >= abs(o) - 1e-12) + 1) / (count(*) + 1)')} AS p FROM z JOIN o USING (subject) GROUP BY subject")),
-    "r7_permute_blocks": (_effective, sql(T, f", b AS (SELECT subject, run, trial_id, outcome, perm FROM trials, (SELECT unnest(range(5)) AS perm) WHERE subject < 50), k AS (SELECT *, row_number() OVER (PARTITION BY subject, run, perm ORDER BY trial_id) AS place, row_number() OVER (PARTITION BY subject, run, perm ORDER BY md5('1|' || perm || '|' || trial_id), trial_id) AS drawn FROM b) SELECT a.subject, a.perm, {r('avg((a.outcome <> s.outcome)::INT)')} AS changed FROM k a JOIN k s ON a.subject = s.subject AND a.run = s.run AND a.perm = s.perm AND a.place = s.drawn GROUP BY ALL")),
+    "r7_permute_blocks": (_effective, sql(T, f", b AS (SELECT subject, run, trial_id, outcome, perm FROM trials, (SELECT unnest(range(5)) AS perm)), k AS (SELECT *, row_number() OVER (PARTITION BY subject, run, perm ORDER BY trial_id) AS place, row_number() OVER (PARTITION BY subject, run, perm ORDER BY md5('1|' || perm || '|' || trial_id), trial_id) AS drawn FROM b) SELECT a.subject, a.perm, {r('avg((a.outcome <> s.outcome)::INT)')} AS changed FROM k a JOIN k s ON a.subject = s.subject AND a.run = s.run AND a.perm = s.perm AND a.place = s.drawn GROUP BY ALL")),
 }
