@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from trialspark.operators import align, groups, imaging, models, names, signal, stats, windows
+from trialspark.operators import align, extended, groups, imaging, models, names, signal, stats, windows
 from trialspark.sources import files
 
 
@@ -178,3 +178,50 @@ def test_empty_tables(spark):
     assert stats.correlations(df, ["g"], "x", "y").count() == 0
     assert windows.normalise(df, "x", ["g"], "robust").count() == 0
     assert imaging.one_sample(df.withColumnRenamed("x", "value"), ["g"]).count() == 0
+
+
+def test_correlation_keeps_its_digits_under_a_large_offset(spark):
+    df = spark.range(50).selectExpr("1 AS g", "id + 1e9D AS x", "(id * 37) % 50 + 1e9D AS y", "id + 0D AS u", "(id * 37) % 50 + 0D AS v", "3e9D AS c")
+    r = df.groupBy("g").agg(windows.moment_corr(F.col("x"), F.col("y")).alias("far"), windows.moment_corr(F.col("u"), F.col("v")).alias("near"), windows.moment_corr(F.col("x"), F.col("c")).alias("flat")).first()
+    # doubles near 1e9 lie 1.2e-7 apart, which bounds what the running means can keep
+    assert r.near is not None and abs(r.far - r.near) < 1.2e-7 and r.flat is None
+
+
+def test_nothing_divides_by_zero(spark):
+    one = spark.createDataFrame([(1, 1, 2.0, 3.0), (1, 2, 4.0, 5.0)], "u int, r int, x double, y double")
+    assert stats.leave_one_out(one, "u", "x", "y").first().r is None
+    assert stats.icc(one, "u", "r", "x", 2).first().icc11 is None
+    silent = spark.createDataFrame([(1, c, t, 0.0, 0.0) for c in (0, 1) for t in range(3)], "k int, channel int, t int, re double, im double")
+    assert signal.phase_connectivity(silent, ["k"]).first().plv is None
+    assert signal.phase_locking(silent, ["k"]).count() == 6
+    assert extended.phase_slope(silent, ["k"], "t", 0, 1).first().psi is None
+    assert signal.spectral_shape(spark.createDataFrame([(1, 1.0, 0.0)], "k int, freq double, power double"), ["k"]).count() == 1
+    assert groups.binned_statistics(one.withColumn("x", F.lit(1.0)), "x", "y", 4).first().n == 2
+
+
+def test_sign_flip_samples_patterns_of_large_groups(spark):
+    df = spark.createDataFrame([("big", k, 1.0 + k % 3) for k in range(20)] + [("even", k, 1.0 if k % 2 else -1.0) for k in range(20)] + [("small", k, 1.0) for k in range(4)], "g string, k int, v double")
+    got = {r.g: r for r in stats.sign_flip(df, ["g"], "k", "v", n_sampled=400).collect()}
+    assert got["big"].n_perm == 401 and got["big"].p < 0.02 and got["even"].p == 1.0
+    assert got["small"].n_perm == 16 and got["small"].extreme == 2
+
+
+def test_prepared_features_and_majority(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 0, 3.0), ("a", 1, float("nan")), ("a", 1, 5.0), ("b", 0, 2.0), ("b", 0, 2.0), ("c", 0, None), ("c", 1, 1.0)], "f string, held int, v double")
+    got = sorted((r.f, r.prepared) for r in models.prepared(df, "f", "v", F.col("held") == 0).collect())
+    assert got == [("a", -1.0), ("a", 0.0), ("a", 1.0), ("a", 3.0)]
+    y = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (3, "y"), (3, None)], "g int, y string")
+    assert {r.g: (r.prediction, r.support) for r in models.held_out_majority(y, "g", "y").collect()} == {1: ("y", 2), 2: ("x", 2), 3: ("x", 2)}
+
+
+def test_interval_order_statistics(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(int(k % 3), float(p), float(r)) for k, (p, r) in enumerate(rng.random((60, 2)))]
+    df = spark.createDataFrame([(str(k), *r) for k, r in enumerate(rows)], "row string, fold int, prediction double, residual double")
+    for r in extended.cv_plus(df.drop("residual"), df.select("fold", "residual"), 0.1).collect():
+        fold, p, _ = rows[int(r.row)]
+        res = np.sort([q for f, _, q in rows if f == fold])
+        n = len(res)
+        assert r.low == np.sort(p - res)[max(int(0.1 * (n + 1)), 1) - 1] and r.high == np.sort(p + res)[min(int(np.ceil(0.9 * (n + 1))), n) - 1]
