@@ -79,21 +79,6 @@ def clusters_1d(df: DataFrame, keys: list[str], order: str, r: str, cut_off: flo
     return runs.where("__s <> 0").groupBy(*keys, "cluster").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.abs(r)).alias("mass"))
 
 
-def clusters_grid(cells: DataFrame, keys: list[str], x: str, y: str, value: str) -> DataFrame:
-    """Four-neighbour clusters of the given cells of a grid: least labels spread over neighbours until nothing changes."""
-    node = cells.select(*keys, x, y, value, F.struct(x, y).alias("label"))
-    node = cut(node)
-    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)]
-    while True:
-        near = [node.select(*keys, (F.col(x) + dx).alias(x), (F.col(y) + dy).alias(y), F.col("label").alias("other")) for dx, dy in steps]
-        spread = near[0].unionByName(near[1]).unionByName(near[2]).unionByName(near[3]).groupBy(*keys, x, y).agg(F.min("other").alias("other"))
-        new = node.join(spread, [*keys, x, y], "left").withColumn("next", F.least("label", "other"))
-        new = cut(new.select(*keys, x, y, value, "label", "next"))
-        if new.where("next <> label").isEmpty():
-            return node.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(value)).alias("mass"))
-        node = new.select(*keys, x, y, value, F.col("next").alias("label"))
-
-
 def distance_adjacency(points: DataFrame, limit: float) -> DataFrame:
     """Pairs of channels nearer than ``limit``; the channel table is small by nature."""
     other = points.select(F.col("channel").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))

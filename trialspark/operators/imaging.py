@@ -92,3 +92,21 @@ def trial_censoring(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     for k in reasons:
         kept = kept & ~F.coalesce(F.col(k), F.lit(False))
     return out.withColumn("kept", kept)
+
+
+def group_effects(effects: DataFrame, keys: list[str], unit: str, value: str, n_boot: int = 100) -> DataFrame:
+    """Mean and t of unit effects, percentile interval of the mean over resampled units, sign-flip p, and Holm p over the keys."""
+    from .stats import bootstrap_draws, holm, sign_flip
+
+    ok = effects.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, unit, value)
+    means = bootstrap_draws(ok, keys, unit, n_boot).groupBy(*keys, "boot").agg(F.avg(value).alias("__m"))
+    span = means.groupBy(*keys).agg(F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
+    tested = holm(sign_flip(ok, keys, unit, value).select(*keys, "p").withColumn("__one", F.lit(1)), "p", ["__one"], keys).drop("__one")
+    return one_sample(ok, keys, value).join(span, keys).join(tested, keys)
+
+
+def concordance(primary: DataFrame, other: DataFrame, keys: list[str], region: str, value: str, least: int = 3) -> DataFrame:
+    """Correlation by region of two tables of the same trials; null under ``least`` shared trials."""
+    both = primary.select(*keys, region, F.col(value).alias("__a")).join(other.select(*keys, region, F.col(value).alias("__b")), [*keys, region])
+    s = both.where("__a IS NOT NULL AND __b IS NOT NULL").groupBy(region).agg(F.count(F.lit(1)).alias("n"), moment_corr(F.col("__a"), F.col("__b")).alias("r"))
+    return s.withColumn("r", F.when(F.col("n") >= least, F.col("r")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +129,22 @@ def prepared(df: DataFrame, feature: str, value: str, train: Column, least_varia
     clean = df.withColumn("__x", F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
     fit = clean.where(train).groupBy(feature).agg(F.avg("__x").alias("__m"), F.stddev_pop("__x").alias("__s")).where((F.col("__s") > 0) & (F.col("__s") * F.col("__s") > least_variance))
     return clean.join(fit, feature).withColumn("prepared", (F.coalesce("__x", "__m") - F.col("__m")) / F.col("__s")).drop("__x", "__m", "__s")
+
+
+def forest(df: DataFrame, features: list[str], y: str, train: Column, classes: bool = False, trees: int = 50, depth: int = 6, seed: int = 1) -> DataFrame:
+    """Predictions of a random forest fitted on the training rows, for all other rows."""
+    rows = VectorAssembler(inputCols=features, outputCol="__features").transform(df.withColumn("__train", train))
+    kind = RandomForestClassifier if classes else RandomForestRegressor
+    model = kind(featuresCol="__features", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(rows.where("__train"))
+    return model.transform(rows.where("NOT __train")).drop("__features", "__train", "rawPrediction", "probability")
+
+
+def balanced_logistic(df: DataFrame, features: list[str], label: str, train: Column, reg: float = 0.0) -> DataFrame:
+    """Probability ``p`` of label 1 for the rows outside the training ones; both classes weigh the same in the fit."""
+    rows = VectorAssembler(inputCols=features, outputCol="__features").transform(df.withColumn("__train", train))
+    share = rows.where("__train").agg(F.avg(F.col(label).cast("double")).alias("__p"))
+    weight = F.when(F.col(label) == 1, F.try_divide(F.lit(0.5), F.col("__p"))).otherwise(F.try_divide(F.lit(0.5), 1 - F.col("__p")))
+    fit = rows.where("__train").crossJoin(F.broadcast(share)).withColumn("__w", weight)
+    model = LogisticRegression(featuresCol="__features", labelCol=label, weightCol="__w", regParam=reg, maxIter=200, tol=1e-9).fit(fit)
+    out = model.transform(rows.where("NOT __train")).withColumn("p", vector_to_array("probability")[1])
+    return out.drop("__features", "__train", "rawPrediction", "probability", "prediction")

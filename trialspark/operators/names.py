@@ -108,3 +108,9 @@ def keep_events(events: DataFrame, keys: list[str], pattern: str, trigger: str,
     """Events of a pattern from the first trigger of each run on, with onsets counted from it."""
     zero = F.min(F.when(F.col("condition") == trigger, F.col(onset))).over(Window.partitionBy(*keys))
     return events.withColumn("zero", zero).where(F.col("condition").rlike(pattern) & (F.col(onset) >= F.col("zero"))).withColumn("shifted", F.col(onset) - F.col("zero")).drop("zero")
+
+
+def in_regions(features: DataFrame, allowed: list[str]) -> DataFrame:
+    """Parsed features of the allowed regions (trimmed, any case); others, and features without a region, go."""
+    wanted = [a.strip().lower() for a in allowed if a.strip()]
+    return features.where((F.col("scope") == "roi") & F.lower(F.trim("identifier")).isin(*wanted))

@@ -212,7 +212,8 @@ def sign_flip(df: DataFrame, keys: list[str], order: str, value: str, most_exact
     exact = F.col("__size") <= most_exact
     last = F.when(exact, F.expr(f"shiftleft(1, least(__size, {most_exact})) - 1")).otherwise(n_sampled)
     each = placed.withColumn("pattern", F.explode(F.sequence(F.lit(0), last)))
-    drawn = F.when(F.col("pattern") == 0, 0).otherwise(F.pmod(F.xxhash64(F.lit(seed), "pattern", "__place"), F.lit(2)))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "pattern", "__place").cast("binary")), 1, 8), 16, 10).cast("long")
+    drawn = F.when(F.col("pattern") == 0, 0).otherwise(hashed % 2)
     sign = 1 - 2 * F.when(exact, F.expr("shiftright(pattern, __place) & 1")).otherwise(drawn)
     stats = each.groupBy(*keys, "pattern").agg(F.avg(sign * F.col(value)).alias("stat"))
     return permutation_p(stats.where("pattern = 0"), stats, keys, "stat")

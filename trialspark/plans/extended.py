@@ -71,7 +71,6 @@ QUERIES = {
     "e6_primary_p": (lambda i: op.primary_p(i.trials.select("subject", "trial_id", (F.col("outcome") / 500).alias("p_raw"), F.when(F.col("trial_id") % 2 == 0, F.col("predictor") / 100).alias("p_perm")), "perm_if_available").select("subject", "trial_id", rounded("p_primary").alias("p_primary"), "reportable"), sql("trials", f"SELECT subject, trial_id, {r('CASE WHEN trial_id % 2 = 0 THEN predictor / 100 ELSE outcome / 500 END')} AS p_primary, CASE WHEN trial_id % 2 = 0 THEN predictor / 100 ELSE outcome / 500 END < 0.05 AS reportable FROM trials")),
     "e7_region_change": (lambda i: _round(win.change_scores(win.time_mask(i.samples.withColumn("p", F.col("x") * F.col("x")), win.segments(i.spark, [("base", -0.25, 0.0), ("act", 0.0, 0.75)])), ["subject", "channel"], "segment", "p", "base", "act"), "pct_change", keep=("subject", "channel"), digits=4), sql("samples", f", m AS (SELECT subject, channel, avg(x * x) FILTER (t < 0) AS b, avg(x * x) FILTER (t >= 0) AS a FROM samples GROUP BY ALL) SELECT subject, channel, {r('100 * (a - b) / b', 4)} AS pct_change FROM m")),
     "k1_clusters_1d": (lambda i: _round(op.clusters_1d(_r_grid(i).withColumn("r", F.round("r", 9)), ["freq"], "k", "r", 0.1), "mass", keep=("freq", "first", "last", "n")), sql("tfr", GRID + f", s AS (SELECT freq, k, round(r, 9) AS r, CASE WHEN abs(round(r, 9)) > 0.1 THEN sign(r) ELSE 0 END AS s FROM g), i AS (SELECT *, k - row_number() OVER (PARTITION BY freq, s ORDER BY k) AS isl FROM s WHERE s <> 0) SELECT freq, min(k) AS \"first\", max(k) AS \"last\", count(*) AS n, {r('sum(abs(r))')} AS mass FROM i GROUP BY freq, s, isl")),
-    "k1_clusters_grid": (lambda i: _round(op.clusters_grid(_r_grid(i).where(F.abs("r") > 0.1).withColumn("all", F.lit(1)), ["all"], "freq", "k", "r"), "mass", keep=("label", "n")).select(F.col("label.freq").alias("freq"), F.col("label.k").alias("k"), "n", "mass"), None),
     "k4_distance_adjacency": (lambda i: _round(op.distance_adjacency(_points(i), 1.2), "distance", keep=("channel", "other")), f"SELECT a.s_suppkey AS channel, b.s_suppkey AS other, {r('sqrt(power(a.s_nationkey % 5 - b.s_nationkey % 5, 2) + power(a.s_acctbal / 1000 - b.s_acctbal / 1000, 2))')} AS distance FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE sqrt(power(a.s_nationkey % 5 - b.s_nationkey % 5, 2) + power(a.s_acctbal / 1000 - b.s_acctbal / 1000, 2)) <= 1.2"),
     "m12_soft_vote": (_votes, None),
     "m25_cv_plus": (_cv, sql("trials", f", t AS (SELECT subject || '-' || trial_id AS row, trial_id % 4 AS fold, predictor AS p, abs(outcome - predictor) AS e FROM trials), s AS (SELECT a.row, list(a.p - b.e ORDER BY a.p - b.e) AS lo, list(a.p + b.e ORDER BY a.p + b.e) AS hi, count(*) AS n FROM t a JOIN t b ON a.fold = b.fold GROUP BY a.row) SELECT row, {r('lo[greatest(floor(0.1 * (n + 1))::INT, 1)]')} AS low, {r('hi[least(ceil(0.9 * (n + 1))::INT, n)]')} AS high FROM s")),
@@ -79,5 +78,4 @@ QUERIES = {
     "i10_fail_summary": (lambda i: im.outlier_share(i.features, ["subject", "feature"], "value", 2.0).withColumn("failed", F.col("outlier_share") > 0.02).groupBy("subject").agg(F.count_if("failed").alias("n_failed"), F.count(F.lit(1)).alias("n")).withColumn("status", F.when(F.col("n_failed") > 0, "review").otherwise("ok")), sql("features", ", m AS (SELECT *, median(value) OVER (PARTITION BY subject, feature) AS m FROM features), d AS (SELECT *, abs(value - m) AS d, 1.4826 * median(abs(value - m)) OVER (PARTITION BY subject, feature) AS s FROM m), o AS (SELECT subject, feature, avg(CASE WHEN s > 0 AND d > 2.0 * s THEN 1.0 ELSE 0.0 END) AS o FROM d GROUP BY ALL) SELECT subject, count(*) FILTER (o > 0.02) AS n_failed, count(*) AS n, CASE WHEN count(*) FILTER (o > 0.02) > 0 THEN 'review' ELSE 'ok' END AS status FROM o GROUP BY subject")),
     "i13_artifact_burden": (lambda i: win.normalise(i.trials, "outcome", ["subject", "run"], "robust").groupBy("subject").agg(rounded(F.avg(F.greatest(F.coalesce("scaled", F.lit(0.0)), F.lit(0.0)))).alias("burden")), sql("trials", f", m AS (SELECT *, median(outcome) OVER (PARTITION BY subject, run) AS m FROM trials), z AS (SELECT subject, coalesce((outcome - m) / nullif(1.4826 * median(abs(outcome - m)) OVER (PARTITION BY subject, run), 0), 0) AS z FROM m) SELECT subject, {r('avg(greatest(z, 0))')} AS burden FROM z GROUP BY subject")),
     "i15_subset_factor": (lambda i: i.trials.where("outcome > 50").withColumn("level", F.floor(F.col("predictor") / 25).cast("int")).groupBy("subject").agg(F.countDistinct("level").alias("levels"), F.count(F.lit(1)).alias("n")).where("levels <= 6"), sql("trials", "SELECT subject, count(DISTINCT floor(predictor / 25)) AS levels, count(*) AS n FROM trials WHERE outcome > 50 GROUP BY subject HAVING count(DISTINCT floor(predictor / 25)) <= 6")),
-    "i16_group_effects": (lambda i: _round(im.one_sample(i.trials.groupBy("subject", "condition").agg(F.regr_slope("outcome", "predictor").alias("value")), ["condition"]), "mean", "t", keep=("condition", "n")), sql("trials", f", b AS (SELECT subject, condition, regr_slope(outcome, predictor) AS b FROM trials GROUP BY ALL) SELECT condition, count(b) AS n, {r('avg(b)')} AS mean, {r('avg(b) * sqrt(count(b)) / stddev_samp(b)')} AS t FROM b GROUP BY condition")),
 }

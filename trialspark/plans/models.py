@@ -42,6 +42,22 @@ def _matrix(i):
     return f.groupBy("subject", "trial_id").pivot("feature", ["quantity", "discount", "tax"]).agg(F.first("value")).join(i.wide.select("subject", "trial_id", F.col("price").alias("target")), ["subject", "trial_id"])
 
 
+def _concordance(i):
+    """Run means against run maxima of the regions."""
+    side = lambda f: i.frames.where(F.col("roi").isin("quantity", "discount")).groupBy("subject", "run", "roi").agg(f("value").alias("value"))
+    return _round(im.concordance(side(F.avg), side(F.max), ["subject", "run"], "roi", "value"), "r", keep=("roi", "n"))
+
+
+def _forest(i):
+    p = op.forest(i.wide, ["quantity", "discount", "tax"], "price", F.col("subject") % 4 > 0)
+    return _round(op.regression_errors(p, ["condition"], "price", "prediction"), "r2", keep=("condition", "n"), digits=2)
+
+
+def _logistic(i):
+    p = op.balanced_logistic(i.wide.withColumn("y", (F.col("price") > 40000).cast("int")), ["quantity", "discount", "tax"], "y", F.col("subject") % 4 > 0)
+    return _round(op.classification_metrics(p, ["condition"], "y", "p"), "auc", "balanced", keep=("condition",), digits=3)
+
+
 def _shuffled(i):
     t = i.trials.select("subject", "run", "trial_id", "outcome")
     return stats.permuted(t, ["subject", "run"], "trial_id", "outcome", 1, 7).select("subject", "run", "trial_id", "permuted")
@@ -67,7 +83,7 @@ QUERIES = {
     "i11_convolved_confound": (lambda i: _round(im.convolved(i.trials.select("subject", "run", "trial_id", "onset"), _frames_time(i), ["subject", "run"], 90000.0), "value", keep=("subject", "run", "trial_id", "n_frames")), sql("trials", f", n AS (SELECT a.subject, a.run, a.trial_id, b.predictor AS v, 1 - abs(2 * (b.onset - a.onset) / 90000.0 - 1) AS w FROM trials a JOIN trials b ON a.subject = b.subject AND a.run = b.run AND b.onset >= a.onset AND b.onset < a.onset + 90000) SELECT subject, run, trial_id, {r('sum(w * v) / nullif(sum(w), 0)')} AS value, count(*) AS n_frames FROM n GROUP BY ALL")),
     "i12_trial_censoring": (lambda i: im.trial_censoring(i.trials, {"slow": F.col("outcome") > 150, "weak": F.col("predictor") < 5}).groupBy("subject").agg(F.count_if("slow").alias("slow"), F.count_if("weak").alias("weak"), F.count_if("kept").alias("kept")), sql("trials", "SELECT subject, count(*) FILTER (outcome > 150) AS slow, count(*) FILTER (predictor < 5) AS weak, count(*) FILTER (outcome <= 150 AND predictor >= 5) AS kept FROM trials GROUP BY subject")),
     "i14_shuffle_within_run": (_shuffled, sql("trials", ", k AS (SELECT subject, run, trial_id, outcome, row_number() OVER (PARTITION BY subject, run ORDER BY trial_id) AS place, row_number() OVER (PARTITION BY subject, run ORDER BY md5('7|0|' || trial_id), trial_id) AS drawn FROM trials) SELECT a.subject, a.run, a.trial_id, b.outcome AS permuted FROM k a JOIN k b ON a.subject = b.subject AND a.run = b.run AND a.place = b.drawn")),
-    "i17_concordance": (lambda i: i.frames.groupBy("roi").agg(rounded(moment_corr(F.col("value"), F.col("value") * (F.col("run") % 3))).alias("r")), sql("frames", f"SELECT roi, {r('corr(value, value * (run % 3))')} AS r FROM frames GROUP BY roi")),
+    "i17_concordance": (_concordance, sql("wide", f", s AS (SELECT subject, run, avg(quantity) AS qa, max(quantity) AS qb, avg(discount) AS da, max(discount) AS db FROM wide GROUP BY ALL) SELECT 'quantity' AS roi, count(*) AS n, {r('corr(qa, qb)')} AS r FROM s UNION ALL SELECT 'discount', count(*), {r('corr(da, db)')} FROM s")),
     "i19_group_statuses": (lambda i: _round(stats.holm(i.trials.groupBy("condition").agg((F.avg("outcome") / 5000).alias("p")).withColumn("all", F.lit(1)), "p", ["all"], ["condition"]).withColumn("status", F.when(F.col("p_holm") < 0.05, "supported").otherwise("not supported")), "p_holm", keep=("condition", "status")), sql("trials", f", p AS (SELECT condition, avg(outcome) / 5000 AS p FROM trials GROUP BY condition), k AS (SELECT *, row_number() OVER (ORDER BY p, condition) AS k, count(*) OVER () AS m FROM p), h AS (SELECT condition, max(least(1.0, (m - k + 1) * p)) OVER (ORDER BY p, condition ROWS UNBOUNDED PRECEDING) AS h FROM k) SELECT condition, {r('h')} AS p_holm, CASE WHEN h < 0.05 THEN 'supported' ELSE 'not supported' END AS status FROM h")),
     "i20_temporal_snr": (lambda i: _round(im.temporal_snr(i.frames, ["subject", "roi"], "run", "value"), "tsnr", keep=("subject", "roi")), sql("frames", f", s AS (SELECT subject, roi, run, coalesce(avg(value) / nullif(stddev_pop(value), 0), 0) AS s FROM frames GROUP BY ALL) SELECT subject, roi, {r('avg(s)')} AS tsnr FROM s GROUP BY ALL")),
     "m1_design_matrix": (_matrix, sql("wide", "SELECT subject, trial_id, quantity, discount, tax, price AS target FROM wide")),
@@ -78,6 +94,8 @@ QUERIES = {
     "m5_feature_intersection": (lambda i: op.feature_intersection(i.features.withColumn("value", F.when((F.col("feature") != "tax") | (F.col("subject") % 7 > 0), F.col("value"))), "subject", "feature", "value", F.col("subject") % 5 == 0), sql("features", ", t AS (SELECT subject, feature FROM features WHERE subject % 5 <> 0 AND (feature <> 'tax' OR subject % 7 > 0)) SELECT feature, count(DISTINCT subject) AS n FROM t GROUP BY feature HAVING count(DISTINCT subject) = (SELECT count(DISTINCT subject) FROM features WHERE subject % 5 <> 0)")),
     "m8_deconfound": (lambda i: _round(op.deconfound(i.wide, ["condition"], "price", "quantity", F.col("subject") % 4 > 0), "residual", keep=("subject", "trial_id"), digits=2), sql("wide", f", f AS (SELECT condition, regr_slope(price, quantity) AS b, regr_intercept(price, quantity) AS a FROM wide WHERE subject % 4 > 0 GROUP BY condition) SELECT subject, trial_id, {r('price - a - b * quantity', 2)} AS residual FROM wide JOIN f USING (condition)")),
     "m9_elastic_net": (_elastic, None),
+    "m10_forest": (_forest, None),
+    "m11_balanced_logistic": (_logistic, None),
     "m13_undersample": (lambda i: op.undersample(i.trials, ["run"], "condition", ["subject", "trial_id"]).select("run", "condition", "subject", "trial_id"), sql("trials", ", n AS (SELECT run, min(n) AS n FROM (SELECT run, condition, count(*) AS n FROM trials GROUP BY ALL) GROUP BY run), k AS (SELECT *, row_number() OVER (PARTITION BY run, condition ORDER BY md5('1|' || subject || '|' || trial_id), subject, trial_id) AS k FROM trials) SELECT run, condition, subject, trial_id FROM k JOIN n USING (run) WHERE k <= n")),
     "m15_subject_level_r": (lambda i: _round(op.subject_level_r(_scored(i), "subject", "outcome", "guess"), "r", "low", "high", keep=("n_subjects",)), sql("trials", SCORED + f", c AS (SELECT subject, atanh(greatest(-0.999999, least(0.999999, corr(outcome, guess)))) AS z FROM g GROUP BY subject HAVING count(*) >= 3), s AS (SELECT count(*) AS n, avg(z) AS z, stddev_samp(z) / sqrt(count(*)) AS se FROM c) SELECT n AS n_subjects, {r('tanh(z)')} AS r, {r('tanh(z - 1.96 * se)')} AS low, {r('tanh(z + 1.96 * se)')} AS high FROM s")),
     "m16_regression_errors": (lambda i: _round(op.regression_errors(_scored(i), ["subject"], "outcome", "guess"), "mae", "rmse", "r2", keep=("subject", "n")), sql("trials", SCORED + f" SELECT subject, count(*) AS n, {r('avg(abs(outcome - guess))')} AS mae, {r('sqrt(avg(power(outcome - guess, 2)))')} AS rmse, {r('1 - sum(power(outcome - guess, 2)) / (var_pop(outcome) * count(*))')} AS r2 FROM g GROUP BY subject")),
