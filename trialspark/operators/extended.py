@@ -80,23 +80,36 @@ def clusters_1d(df: DataFrame, keys: list[str], order: str, r: str, cut_off: flo
 
 
 def distance_adjacency(points: DataFrame, limit: float) -> DataFrame:
-    """Pairs of channels nearer than ``limit``; the channel table is small by nature."""
-    other = points.select(F.col("channel").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    """Pairs of channels no further apart than ``limit``, found among the neighbours on a grid of that side."""
+    cell = lambda c, step=0: (F.floor(F.col(c) / limit) + step).cast("long")
+    own = points.withColumn("__cx", cell("x")).withColumn("__cy", cell("y"))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    other = points.select(F.col("channel").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(steps).alias("__s"))
+    other = other.select("other", "x2", "y2", (F.floor(F.col("x2") / limit) + F.col("__s.i")).cast("long").alias("__cx"), (F.floor(F.col("y2") / limit) + F.col("__s.j")).cast("long").alias("__cy"))
     d = F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("y") - F.col("y2"), F.lit(2.0)))
-    return points.join(F.broadcast(other), F.col("channel") < F.col("other")).withColumn("distance", d).where(F.col("distance") <= limit).select("channel", "other", "distance")
+    return own.join(other, ["__cx", "__cy"]).where("channel < other").withColumn("distance", d).where(F.col("distance") <= limit).select("channel", "other", "distance")
+
+
+def _power(x: Column, lam: Column) -> Column:
+    pos = F.when(F.abs(lam) < 1e-9, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / F.nullif(lam, F.lit(0.0)))
+    neg = F.when(F.abs(lam - 2) < 1e-9, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / F.nullif(2 - lam, F.lit(0.0)))
+    return F.when(x >= 0, pos).otherwise(neg)
 
 
 def yeo_johnson(df: DataFrame, y: str, grid: list[float]) -> DataFrame:
     """Log-likelihood of each lambda of a grid; the best one is the transform."""
     x = F.col(y)
-    each = df.select(x, F.explode(F.array(*map(F.lit, grid))).alias("lam"))
-    pos = F.when(F.abs("lam") < 1e-9, F.log1p(x)).otherwise((F.pow(x + 1, F.col("lam")) - 1) / F.col("lam"))
-    neg = F.when(F.abs(F.col("lam") - 2) < 1e-9, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - F.col("lam")) - 1) / (2 - F.col("lam")))
-    t = F.when(x >= 0, pos).otherwise(neg)
-    s = each.withColumn("t", t).withColumn("g", F.signum(x) * F.log1p(F.abs(x))).groupBy("lam").agg(F.count("t").alias("n"), F.var_pop("t").alias("v"), F.sum("g").alias("g"))
+    each = df.select(x, F.explode(F.array(*map(F.lit, grid))).alias("lam")).where(x.isNotNull() & ~F.isnan(x))
+    s = each.withColumn("t", _power(x, F.col("lam"))).withColumn("g", F.signum(x) * F.log1p(F.abs(x))).groupBy("lam").agg(F.count("t").alias("n"), F.var_pop("t").alias("v"), F.sum("g").alias("g"))
     return s.select("lam", (-F.col("n") / 2 * F.ln("v") + (F.col("lam") - 1) * F.col("g")).alias("llf"))
 
 
+def yeo_johnson_transform(df: DataFrame, y: str, grid: list[float]) -> DataFrame:
+    """The target transformed by the likeliest lambda of the grid (of equal ones the least), as ``lam`` and ``transformed``."""
+    best = yeo_johnson(df, y, grid).agg(F.max_by("lam", F.struct(F.col("llf"), -F.col("lam"))).alias("lam"))
+    return df.crossJoin(F.broadcast(best)).withColumn("transformed", _power(F.col(y), F.col("lam")))
+
+
 def soft_vote(df: DataFrame, features: list[str], label: str, train: Column) -> DataFrame:
     """Mean probability of a balanced logistic regression and a random forest fitted on the training rows."""
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.withColumn("__train", train))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,3 +238,90 @@ def freedman_lane(df: DataFrame, keys: list[str], order: str, x: str, y: str, z:
     null = permuted(rows.select(*keys, order, x, z, "__fit", "__e"), keys, order, "__e", n_perm, seed)
     null = partial_one(null.withColumn("__y", F.col("__fit") + F.col("permuted")), [*keys, "perm"], x, "__y", z)
     return permutation_p(partial_one(df, keys, x, y, z), null, keys, "r")
+
+
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+
+
+def _centred(df: DataFrame, keys: list[str], x: str, y: str, scale: float) -> DataFrame:
+    """Both sides less their median over their scaled median deviation (``__zx``, ``__zy``), and whether both vary (``__ok``)."""
+    w = Window.partitionBy(*keys)
+    d = _pairs(df, x, y)
+    for c, z in ((x, "x"), (y, "y")):
+        d = d.withColumn(f"__c{z}", F.col(c) - F.median(c).over(w)).withColumn(f"__d{z}", scale * F.median(F.abs(f"__c{z}")).over(w))
+        d = d.withColumn(f"__z{z}", F.try_divide(f"__c{z}", F.nullif(f"__d{z}", F.lit(0.0))))
+    return d.withColumn("__ok", (F.col("__dx") > 1e-12) & (F.col("__dy") > 1e-12))
+
+
+def percentage_bend(df: DataFrame, keys: list[str], x: str, y: str, beta: float = 0.2) -> DataFrame:
+    """Correlation of the sides in median deviations, each bent at the ``1 - beta`` quantile of its distances; the rank correlation
+    where a median deviation is zero."""
+    w = Window.partitionBy(*keys)
+    d = _centred(df, keys, x, y, 1.0)
+    for c, z in ((x, "x"), (y, "y")):
+        limit = F.percentile(F.abs(f"__z{z}"), 1 - beta).over(w)
+        d = d.withColumn(f"__b{z}", F.greatest(-limit, F.least(limit, F.col(f"__z{z}")))).withColumn(f"__r{z}", average_rank(c, keys))
+    bent = moment_corr(F.when(F.col("__ok"), F.col("__bx")).otherwise(F.col("__rx")), F.when(F.col("__ok"), F.col("__by")).otherwise(F.col("__ry")))
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), bent.alias("r"))
+
+
+def shepherd(df: DataFrame, keys: list[str], x: str, y: str, alpha: float = 0.05, least: int = 4) -> DataFrame:
+    """Rank correlation of the pairs within the ``1 - alpha`` quantile of the distances from the medians; of all pairs where a
+    median deviation is zero or under ``least`` pairs are left."""
+    w = Window.partitionBy(*keys)
+    d = _centred(df, keys, x, y, 1.4826).withColumn("__far", F.sqrt(F.col("__zx") * F.col("__zx") + F.col("__zy") * F.col("__zy")))
+    d = d.withColumn("__in", F.coalesce(F.col("__far") <= F.percentile("__far", 1 - alpha).over(w), F.lit(False)))
+    d = d.withColumn("__use", F.when(F.col("__ok") & (F.count_if("__in").over(w) >= least), F.col("__in")).otherwise(True)).where("__use")
+    return correlations(d, keys, x, y, "spearman")
+
+
+def partial_many(df: DataFrame, keys: list[str], x: str, y: str, covariates: list[str]) -> DataFrame:
+    """Partial correlation given any number of covariates, with ``n - k - 2`` degrees of freedom and t.
+
+    Pairwise correlations are aggregates; only their small matrix, one row a group, is inverted in numpy. Null where a column is
+    constant, the covariates are collinear or no degree of freedom is left.
+    """
+    cols = [x, y, *covariates]
+    size = len(cols)
+    places = [(i, j) for i in range(size) for j in range(i + 1, size)]
+
+    @F.pandas_udf("double")
+    def invert(flat: pd.Series) -> pd.Series:
+        out = np.full(len(flat), np.nan)
+        for row, values in enumerate(flat):
+            m = np.eye(size)
+            for (i, j), v in zip(places, np.array(values, dtype=float), strict=True):
+                m[i, j] = m[j, i] = v
+            if np.isfinite(m).all() and np.linalg.cond(m[2:, 2:]) < 1e12 and np.linalg.cond(m) < 1e15:
+                p = np.linalg.inv(m)
+                out[row] = np.clip(-p[0, 1] / np.sqrt(p[0, 0] * p[1, 1]), -1, 1)
+        return pd.Series(out)
+
+    ok = df.where(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in cols))
+    flat = F.array(*(moment_corr(F.col(cols[i]), F.col(cols[j])) for i, j in places))
+    s = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), flat.alias("__flat")).withColumn("dof", F.col("n") - len(covariates) - 2)
+    s = s.withColumn("r", F.nanvl(invert("__flat"), F.lit(None).cast("double"))).withColumn("r", F.when(F.col("dof") > 0, F.col("r"))).drop("__flat")
+    return s.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("dof"), F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))))
+
+
+def normal_p(z: Column, terms: int = 200) -> Column:
+    """Two-sided p of a normal score, from the all-positive series of the error function; scores over 11 count as 11."""
+    x = F.least(F.abs(z) / F.sqrt(F.lit(2.0)), F.lit(8.0))
+    start = F.struct(x.alias("s"), x.alias("t"))
+
+    def step(acc, k):
+        t = acc["t"] * 2 * x * x / (2 * k + 3)
+        return F.struct((acc["s"] + t).alias("s"), t.alias("t"))
+
+    erf = F.aggregate(F.sequence(F.lit(0), F.lit(terms - 1)), start, step, lambda acc: acc["s"]) * 2 / F.sqrt(F.lit(3.141592653589793)) * F.exp(-x * x)
+    return F.when(z.isNotNull(), F.greatest(1 - erf, F.lit(0.0)))
+
+
+def significant_edges(df: DataFrame, edge: str, value: str, group: str, a: str, b: str, least: int = 3) -> DataFrame:
+    """Rank-sum test of every edge between two groups, p of its normal score, and q over all edges; edges with fewer than
+    ``least`` values on a side have neither."""
+    s = rank_sum(_pairs(df, value, value), [edge], value, group, [(a, b)]).drop("ga", "gb")
+    enough = (F.col("na") >= least) & (F.col("nb") >= least)
+    tested = s.withColumn("p", F.when(enough, normal_p(F.col("z")))).withColumn("__one", F.lit(1))
+    return benjamini_hochberg(tested, "p", ["__one"], [edge]).drop("__one")

@@ -75,6 +75,7 @@ QUERIES = {
     "m12_soft_vote": (_votes, None),
     "m25_cv_plus": (_cv, sql("trials", f", t AS (SELECT subject || '-' || trial_id AS row, trial_id % 4 AS fold, predictor AS p, abs(outcome - predictor) AS e FROM trials), s AS (SELECT a.row, list(a.p - b.e ORDER BY a.p - b.e) AS lo, list(a.p + b.e ORDER BY a.p + b.e) AS hi, count(*) AS n FROM t a JOIN t b ON a.fold = b.fold GROUP BY a.row) SELECT row, {r('lo[greatest(floor(0.1 * (n + 1))::INT, 1)]')} AS low, {r('hi[least(ceil(0.9 * (n + 1))::INT, n)]')} AS high FROM s")),
     "m28_yeo_johnson": (lambda i: _round(op.yeo_johnson(i.trials, "outcome", [0.5, 1.0, 1.5]), "llf", keep=("lam",), digits=3), sql("trials", f", e AS (SELECT l, (power(outcome + 1, l) - 1) / l AS t, ln(1 + outcome) AS g FROM trials, (VALUES (0.5::DOUBLE), (1.0), (1.5)) v(l)) SELECT l::DOUBLE AS lam, {r('-count(*) / 2 * ln(var_pop(t)) + (l - 1) * sum(g)', 3)} AS llf FROM e GROUP BY l")),
+    "m28_transformed_target": (lambda i: op.yeo_johnson_transform(i.trials, "outcome", [0.5, 1.0, 1.5]).select("subject", "trial_id", "lam", rounded("transformed").alias("transformed")), sql("trials", f", e AS (SELECT l::DOUBLE AS l, (power(outcome + 1, l) - 1) / l AS t, ln(1 + outcome) AS g FROM trials, (VALUES (0.5::DOUBLE), (1.0), (1.5)) v(l)), b AS (SELECT arg_max(l, f) AS l FROM (SELECT l, -count(*) / 2 * ln(var_pop(t)) + (l - 1) * sum(g) AS f FROM e GROUP BY l)) SELECT subject, trial_id, l AS lam, {r('(power(outcome + 1, l) - 1) / l')} AS transformed FROM trials, b")),
     "i10_fail_summary": (lambda i: im.outlier_share(i.features, ["subject", "feature"], "value", 2.0).withColumn("failed", F.col("outlier_share") > 0.02).groupBy("subject").agg(F.count_if("failed").alias("n_failed"), F.count(F.lit(1)).alias("n")).withColumn("status", F.when(F.col("n_failed") > 0, "review").otherwise("ok")), sql("features", ", m AS (SELECT *, median(value) OVER (PARTITION BY subject, feature) AS m FROM features), d AS (SELECT *, abs(value - m) AS d, 1.4826 * median(abs(value - m)) OVER (PARTITION BY subject, feature) AS s FROM m), o AS (SELECT subject, feature, avg(CASE WHEN s > 0 AND d > 2.0 * s THEN 1.0 ELSE 0.0 END) AS o FROM d GROUP BY ALL) SELECT subject, count(*) FILTER (o > 0.02) AS n_failed, count(*) AS n, CASE WHEN count(*) FILTER (o > 0.02) > 0 THEN 'review' ELSE 'ok' END AS status FROM o GROUP BY subject")),
     "i13_artifact_burden": (lambda i: win.normalise(i.trials, "outcome", ["subject", "run"], "robust").groupBy("subject").agg(rounded(F.avg(F.greatest(F.coalesce("scaled", F.lit(0.0)), F.lit(0.0)))).alias("burden")), sql("trials", f", m AS (SELECT *, median(outcome) OVER (PARTITION BY subject, run) AS m FROM trials), z AS (SELECT subject, coalesce((outcome - m) / nullif(1.4826 * median(abs(outcome - m)) OVER (PARTITION BY subject, run), 0), 0) AS z FROM m) SELECT subject, {r('avg(greatest(z, 0))')} AS burden FROM z GROUP BY subject")),
     "i15_subset_factor": (lambda i: i.trials.where("outcome > 50").withColumn("level", F.floor(F.col("predictor") / 25).cast("int")).groupBy("subject").agg(F.countDistinct("level").alias("levels"), F.count(F.lit(1)).alias("n")).where("levels <= 6"), sql("trials", "SELECT subject, count(DISTINCT floor(predictor / 25)) AS levels, count(*) AS n FROM trials WHERE outcome > 50 GROUP BY subject HAVING count(DISTINCT floor(predictor / 25)) <= 6")),

@@ -23,6 +23,7 @@ def _pvalues(i):
 
 
 PV = ", p AS (SELECT subject, trial_id, condition, (predictor + 1) / 102 * outcome / 1000 AS p FROM trials)"
+CENTRED = "k AS (SELECT *, outcome - median(outcome) OVER w AS cy, predictor - median(predictor) OVER w AS cx FROM trials WINDOW w AS (PARTITION BY subject)), d AS (SELECT *, median(abs(cx)) OVER w AS dx, median(abs(cy)) OVER w AS dy FROM k WINDOW w AS (PARTITION BY subject))"
 BH = "least(1.0, min(p * m / k) OVER (PARTITION BY {k} ORDER BY p, subject, trial_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
 
 
@@ -85,6 +86,9 @@ QUERIES = {
     "c1_pearson": (lambda i: _per(i).select("subject", "n", rounded("r").alias("r")), sql(T, f", {PER} SELECT subject, n, {r('r')} AS r FROM c")),
     "c1_spearman": (lambda i: op.correlations(i.trials, ["subject"], "predictor", "outcome", "spearman").select("subject", "n", rounded("r").alias("r")), sql(T, f", k AS (SELECT subject, rank() OVER (PARTITION BY subject ORDER BY predictor) + (count(*) OVER (PARTITION BY subject, predictor) - 1) / 2.0 AS a, rank() OVER (PARTITION BY subject ORDER BY outcome) + (count(*) OVER (PARTITION BY subject, outcome) - 1) / 2.0 AS b FROM trials) SELECT subject, count(*) AS n, {r('corr(a, b)')} AS r FROM k GROUP BY subject")),
     "c2_winsorised": (lambda i: op.winsorised(i.trials, ["subject"], "predictor", "outcome").select("subject", "n", "effective_n", rounded("r").alias("r")), sql(T, f", k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY predictor) AS p, row_number() OVER (PARTITION BY subject ORDER BY outcome) AS q, count(*) OVER (PARTITION BY subject) AS n, floor(count(*) OVER (PARTITION BY subject) * 0.2)::INT AS k FROM trials), l AS (SELECT subject, min(predictor) FILTER (p > k) AS pl, max(predictor) FILTER (p <= n - k) AS ph, min(outcome) FILTER (q > k) AS ql, max(outcome) FILTER (q <= n - k) AS qh FROM k GROUP BY subject) SELECT subject, count(*) AS n, count(*) - 2 * any_value(k) AS effective_n, {r('corr(least(greatest(predictor, pl), ph), least(greatest(outcome, ql), qh))')} AS r FROM k JOIN l USING (subject) GROUP BY subject")),
+    "c2_percentage_bend": (lambda i: op.percentage_bend(i.trials, ["subject"], "predictor", "outcome").select("subject", "n", rounded("r").alias("r")), sql(T, f", {CENTRED}, l AS (SELECT subject, quantile_cont(abs(cx / dx), 0.8) AS lx, quantile_cont(abs(cy / dy), 0.8) AS ly FROM d GROUP BY subject) SELECT subject, count(*) AS n, {r('corr(greatest(-lx, least(lx, cx / dx)), greatest(-ly, least(ly, cy / dy)))')} AS r FROM d JOIN l USING (subject) GROUP BY subject")),
+    "c2_shepherd": (lambda i: op.shepherd(i.trials, ["subject"], "predictor", "outcome").select("subject", "n", rounded("r").alias("r")), sql(T, f", {CENTRED}, e AS (SELECT *, sqrt(power(cx / (1.4826 * dx), 2) + power(cy / (1.4826 * dy), 2)) AS far FROM d), q AS (SELECT subject, quantile_cont(far, 0.95) AS top FROM e GROUP BY subject), i AS (SELECT e.subject, predictor, outcome FROM e JOIN q USING (subject) WHERE far <= top), g AS (SELECT subject, rank() OVER (PARTITION BY subject ORDER BY predictor) + (count(*) OVER (PARTITION BY subject, predictor) - 1) / 2.0 AS a, rank() OVER (PARTITION BY subject ORDER BY outcome) + (count(*) OVER (PARTITION BY subject, outcome) - 1) / 2.0 AS b FROM i) SELECT subject, count(*) AS n, {r('corr(a, b)')} AS r FROM g GROUP BY subject")),
+    "c4_partial_many": (lambda i: op.partial_many(i.trials.withColumn("place", F.col("trial_id").cast("double") % 7), ["subject"], "predictor", "outcome", ["onset", "place"]).select("subject", "n", "dof", rounded("r").alias("r"), rounded("t", 5).alias("t")), sql(T, f", e AS (SELECT *, trial_id % 7 AS w FROM trials), c AS (SELECT subject, count(*) AS n, corr(predictor, outcome) AS xy, corr(predictor, onset) AS xz, corr(outcome, onset) AS yz, corr(predictor, w) AS xw, corr(outcome, w) AS yw, corr(onset, w) AS zw FROM e GROUP BY subject), f AS (SELECT subject, n, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS xy, (xw - xz * zw) / sqrt((1 - xz * xz) * (1 - zw * zw)) AS xw, (yw - yz * zw) / sqrt((1 - yz * yz) * (1 - zw * zw)) AS yw FROM c), g AS (SELECT subject, n, (xy - xw * yw) / sqrt((1 - xw * xw) * (1 - yw * yw)) AS r FROM f) SELECT subject, n, n - 4 AS dof, {r('r')} AS r, {r('r * sqrt((n - 4) / (1 - r * r))', 5)} AS t FROM g")),
     "c3_fisher_interval": (lambda i: op.fisher_interval(_per(i)).select("subject", *(rounded(c).alias(c) for c in ("z", "se", "low", "high"))), sql(T, f", {PER}, z AS (SELECT subject, atanh(r) AS z, 1 / sqrt(n - 3.0) AS se FROM c) SELECT subject, {r('z')} AS z, {r('se')} AS se, {r('tanh(z - 1.959963984540054 * se)')} AS low, {r('tanh(z + 1.959963984540054 * se)')} AS high FROM z")),
     "c4_partial_one": (lambda i: op.partial_one(i.trials, ["subject"], "predictor", "outcome", "onset").select("subject", "n", rounded("r").alias("r"), "dof", rounded("t").alias("t")), sql(T, f", c AS (SELECT subject, count(*) AS n, corr(predictor, outcome) AS xy, corr(predictor, onset) AS xz, corr(outcome, onset) AS yz FROM trials GROUP BY subject), p AS (SELECT *, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r FROM c) SELECT subject, n, {r('r')} AS r, n - 3 AS dof, {r('r * sqrt((n - 3) / (1 - r * r))')} AS t FROM p")),
     "c5_collinearity": (lambda i: i.trials.agg(*(rounded(moment_corr(F.col(a), F.col(b))).alias(f"{a}_{b}") for a, b in (("predictor", "outcome"), ("predictor", "onset"), ("outcome", "onset")))), sql(T, f"SELECT {r('corr(predictor, outcome)')} AS predictor_outcome, {r('corr(predictor, onset)')} AS predictor_onset, {r('corr(outcome, onset)')} AS outcome_onset FROM trials")),
@@ -105,7 +109,9 @@ QUERIES = {
     "h1_benjamini_hochberg": (lambda i: op.benjamini_hochberg(_pvalues(i), "p", ["condition"], ["subject", "trial_id"]).select("subject", "trial_id", rounded("q").alias("q")), sql(T, PV + f", k AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY p, subject, trial_id) AS k, count(*) OVER (PARTITION BY condition) AS m FROM p) SELECT subject, trial_id, {r(BH.format(k='condition'))} AS q FROM k")),
     "h2_hierarchical_fdr": (lambda i: op.hierarchical_fdr(_pvalues(i), "p", "subject", ["trial_id"]).select("subject", "trial_id", rounded("q").alias("q"), rounded("family_q").alias("family_q"), "reject"), sql(T, PV + f", k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY p, trial_id) AS k, count(*) OVER (PARTITION BY subject) AS m FROM p), f AS (SELECT subject, min(p * m / k) AS fp FROM k GROUP BY subject), g AS (SELECT subject, fp, row_number() OVER (ORDER BY fp, subject) AS k, count(*) OVER () AS m FROM f), fq AS (SELECT subject, least(1.0, min(fp * m / k) OVER (ORDER BY fp, subject ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fq FROM g), w AS (SELECT *, {BH.format(k='subject')} AS q FROM k) SELECT subject, trial_id, {r('q')} AS q, {r('fq')} AS family_q, q < 0.05 AND fq < 0.05 AS reject FROM w JOIN fq USING (subject)")),
     "h3_holm": (lambda i: op.holm(_pvalues(i), "p", ["subject"], ["trial_id"]).select("subject", "trial_id", rounded("p_holm").alias("p_holm")), sql(T, PV + f", k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY p, trial_id) AS k, count(*) OVER (PARTITION BY subject) AS m FROM p) SELECT subject, trial_id, {r('max(least(1.0, (m - k + 1) * p)) OVER (PARTITION BY subject ORDER BY p, trial_id ROWS UNBOUNDED PRECEDING)')} AS p_holm FROM k")),
-    "h4_significant_edges": (lambda i: op.rank_sum(i.samples.where("condition IN (0, 1)").withColumn("c", F.col("condition").cast("string")), ["channel"], "x", "c", [("0", "1")]).select("channel", "na", "nb", rounded("u").alias("u"), rounded("z").alias("z")), sql("samples", f", k AS (SELECT *, rank() OVER (PARTITION BY channel ORDER BY x) + (count(*) OVER (PARTITION BY channel, x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY channel, x) AS ties FROM samples WHERE condition IN (0, 1)), s AS (SELECT channel, count(*) FILTER (condition = 0) AS na, count(*) FILTER (condition = 1) AS nb, sum(rk) FILTER (condition = 0) AS ra, sum(ties * ties - 1)::DOUBLE AS tie FROM k GROUP BY ALL), u AS (SELECT *, ra - na * (na + 1) / 2.0 AS u, (na + nb)::DOUBLE AS n FROM s) SELECT channel, na, nb, {r('u')} AS u, {r('sign(u - na * nb / 2.0) * greatest(abs(u - na * nb / 2.0) - 0.5, 0) / sqrt(na * nb / 12.0 * ((n + 1) - tie / (n * (n - 1))))')} AS z FROM u")),
+    "h4_significant_edges": (lambda i: op.significant_edges(i.samples.where("condition IN (0, 1)").withColumn("c", F.col("condition").cast("string")), "channel", "x", "c", "0", "1").select("channel", "na", "nb", rounded("u").alias("u"), rounded("z").alias("z"), rounded("p").alias("p"), rounded("q").alias("q")), sql("samples", f""", k AS (SELECT *, rank() OVER (PARTITION BY channel ORDER BY x) + (count(*) OVER (PARTITION BY channel, x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY channel, x) AS ties FROM samples WHERE condition IN (0, 1)), s AS (SELECT channel, count(*) FILTER (condition = 0) AS na, count(*) FILTER (condition = 1) AS nb, sum(rk) FILTER (condition = 0) AS ra, sum(ties * ties - 1)::DOUBLE AS tie FROM k GROUP BY ALL), u AS (SELECT *, ra - na * (na + 1) / 2.0 AS u, (na + nb)::DOUBLE AS n FROM s), s2 AS (SELECT channel, na, nb, u, sign(u - na * nb / 2.0) * greatest(abs(u - na * nb / 2.0) - 0.5, 0) / sqrt(na * nb / 12.0 * ((n + 1) - tie / (n * (n - 1)))) AS z FROM u),
+    p AS (SELECT *, greatest(0, 1 - (SELECT sum(exp(j * ln(2) + (2 * j + 1) * ln(greatest(abs(z) / sqrt(2), 1e-12)) - lgamma(2.0 * j + 2) + j * ln(2) + lgamma(j + 1.0))) FROM (SELECT unnest(range(200)) AS j)) * 2 / sqrt(pi()) * exp(-z * z / 2)) AS p FROM s2),
+    o AS (SELECT *, row_number() OVER (ORDER BY p, channel) AS k, count(*) OVER () AS m FROM p) SELECT channel, na, nb, {r('u')} AS u, {r('z')} AS z, {r('p')} AS p, {r('least(1.0, min(p * m / k) OVER (ORDER BY p, channel ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS q FROM o""")),
     "r1_permute": (lambda i: op.permuted(i.trials.select("subject", "trial_id", "outcome"), ["subject"], "trial_id", "outcome", 3).select("subject", "trial_id", "perm", "permuted"), sql(T, PERM + " SELECT subject, trial_id, perm, permuted FROM n WHERE perm < 3")),
     "r2_bootstrap_mean": (_boot, sql(T, BOOT + f", c AS (SELECT subject, boot, avg(outcome) AS m FROM b GROUP BY ALL) SELECT subject, {r('quantile_cont(m, 0.025)')} AS low, {r('quantile_cont(m, 0.975)')} AS high FROM c GROUP BY subject")),
     "r3_sign_flip": (lambda i: op.sign_flip(_flip_units(i), ["subject"], "condition", "d").select("subject", rounded("observed").alias("observed"), "extreme", rounded("p").alias("p")), sql(T, f", u AS (SELECT subject, condition, avg(outcome) - 49 AS d FROM trials GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY condition) - 1 AS place, count(*) OVER (PARTITION BY subject) AS size FROM u), s AS (SELECT subject, pat, avg((1 - 2 * ((pat >> place) & 1)) * d) AS stat FROM p, (SELECT unnest(range(4096)) AS pat) WHERE pat < (1 << size::INT) GROUP BY ALL), o AS (SELECT subject, stat AS observed FROM s WHERE pat = 0) SELECT subject, {r('any_value(observed)')} AS observed, count(*) FILTER (abs(stat) >= abs(observed) - 1e-12) AS extreme, {r('(count(*) FILTER (abs(stat) >= abs(observed) - 1e-12) + 1) / (count(*) + 1)')} AS p FROM s JOIN o USING (subject) GROUP BY subject")),
