@@ -231,3 +231,41 @@ def test_transform_by_the_likeliest_lambda(spark):
     df = spark.createDataFrame([(float(v),) for v in np.exp(rng.normal(size=200)) - 1], "y double")
     got = extended.yeo_johnson_transform(df, "y", [0.0, 0.5, 1.0, 2.0]).collect()
     assert {r.lam for r in got} == {0.0} and all(r.transformed == pytest.approx(math.log1p(r.y)) for r in got if r.y >= 0)
+
+
+def greedy(x, offset, distance):
+    def extrema(v):
+        at = [i for i in range(1, len(v) - 1) if v[i] > v[i - 1] and v[i] > v[i + 1]]
+        kept = []
+        for i in sorted(at, key=lambda i: (-v[i], -i)):
+            if all(abs(i - k) >= distance for k in kept):
+                kept.append(i)
+        return kept
+
+    def mean(at):
+        return np.mean([abs(x[i] - x[i - offset]) + abs(x[i] - x[i + offset]) for i in at if i >= offset and i + offset < len(x)])
+
+    return math.log(mean(extrema(x)) / mean(extrema([-v for v in x])))
+
+
+@pytest.mark.parametrize("distance", [1, 4])
+def test_sharpness_equals_greedy_extrema(spark, distance):
+    rng = np.random.default_rng(9)
+    series = {"a": rng.normal(size=60).tolist(), "b": np.cumsum(rng.normal(size=80)).tolist()}
+    data = [(k, i, v) for k, x in series.items() for i, v in enumerate(x)] + [("short", i, float(i % 2)) for i in range(5)]
+    got = {r.k: r.sharpness for r in extended.sharpness_ratio(spark.createDataFrame(data, "k string, i int, v double"), ["k"], "i", "v", 3, distance).collect()}
+    assert got.pop("short") is None
+    assert got == {k: pytest.approx(greedy(x, 3, distance)) for k, x in series.items()}
+
+
+def test_signed_rank_leaves_out_zeros(spark):
+    df = spark.createDataFrame([("k", 0.0, 1.0), ("k", 0.0, -2.0), ("k", 0.0, 3.0), ("k", 5.0, 5.0), ("same", 1.0, 1.0)], "k string, a double, b double")
+    r = stats.signed_rank(df, ["k"], "a", "b").collect()
+    assert [(x.k, x.n, x.w) for x in r] == [("k", 3, 4.0)] and r[0].z == pytest.approx((4 - 3) / math.sqrt(3.5))
+
+
+def test_switching_of_a_single_row(spark):
+    df = spark.createDataFrame([("a", 0, 1), ("b", 0, 1), ("b", 1, 2), ("b", 2, 2)], "k string, i int, s int")
+    got = {r.k: (r.switching, r.entropy) for r in extended.state_switching(df, ["k"], "i", "s").collect()}
+    assert got["a"] == (None, 0.0) and got["b"][0] == 0.5 and got["b"][1] == pytest.approx(-(math.log(1 / 3) / 3 + 2 * math.log(2 / 3) / 3))
+    assert [tuple(r) for r in extended.state_transitions(df, ["k"], "i", "s").collect()] == [("b", 1, 2, 1, 1.0)]

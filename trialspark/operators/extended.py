@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -163,3 +164,73 @@ def partial_rank(df: DataFrame, keys: list[str], x: str, y: str, z: str) -> Data
 def windowed_correlation(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     """Correlation of windowed power with a trial-level target in each cell."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), moment_corr(F.col("power"), F.col(target)).alias("r"))
+
+
+def state_switching(df: DataFrame, keys: list[str], order: str, state: str) -> DataFrame:
+    """Share of steps that change the state, and the entropy (nats) of the states' shares; null share for a single row."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    step = df.withColumn("__was", F.lag(state).over(w)).withColumn("__k", F.row_number().over(w))
+    moved = step.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("__k") > 1) & ~F.col("__was").eqNullSafe(F.col(state))).alias("__moves"))
+    share = df.where(F.col(state).isNotNull()).groupBy(*keys, state).agg(F.count(F.lit(1)).alias("__c"))
+    total = share.groupBy(*keys).agg(F.sum("__c").cast("double").alias("__t"), F.sum(F.col("__c") * F.log("__c")).alias("__l"))
+    entropy = F.log("__t") - F.col("__l") / F.col("__t")
+    both = moved.join(total, keys, "left")
+    return both.select(*keys, "n", F.try_divide(F.col("__moves"), F.col("n") - 1).alias("switching"), F.greatest(entropy, F.lit(0.0)).alias("entropy"))
+
+
+def state_transitions(df: DataFrame, keys: list[str], order: str, state: str) -> DataFrame:
+    """Changes from one state to another between neighbouring rows: ``from_state, to_state``, their count and share of all that
+    leave the state."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    pairs = df.withColumn("to_state", F.lead(state).over(w)).where((F.col("to_state") != F.col(state)))
+    s = pairs.groupBy(*keys, F.col(state).alias("from_state"), "to_state").agg(F.count(F.lit(1)).alias("n"))
+    return s.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "from_state")))
+
+
+def _spaced(distance: int):
+    """Places kept when the highest goes first and removes its neighbours nearer than the distance; of equal heights the later."""
+
+    @F.pandas_udf("array<int>")
+    def keep(places: pd.Series, heights: pd.Series) -> pd.Series:
+        out = []
+        for at, high in zip(places, heights, strict=True):
+            kept: list[int] = []
+            for _, p in sorted(zip(high, at, strict=True), reverse=True):
+                if all(abs(p - k) >= distance for k in kept):
+                    kept.append(int(p))
+            out.append(sorted(kept))
+        return pd.Series(out, dtype=object)
+
+    return keep
+
+
+def sharpness_ratio(df: DataFrame, keys: list[str], order: str, value: str, offset: int, distance: int = 1, least: int = 2) -> DataFrame:
+    """Log of mean peak sharpness over mean trough sharpness: an extremum's distance from the samples ``offset`` before and after,
+    the offset at most a quarter of the series. A flat extremum is at its middle; extrema nearer than ``distance`` are thinned,
+    highest first. Null for fewer than ten samples or ``least`` extrema of a kind; a null sample counts as the series' median.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    every = Window.partitionBy(*keys)
+    x = F.when(~F.isnan(value), F.col(value))
+    rows = df.select(*keys, order, F.coalesce(x, F.median(x).over(every)).alias("__x")).withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(every))
+    rows = rows.withColumn("__o", F.greatest(F.lit(1), F.least(F.lit(offset), F.floor((F.col("__n") - 1) / 4))).cast("int"))
+    change = F.when(F.lag("__x").over(w).eqNullSafe(F.col("__x")), 0).otherwise(1)
+    flat = rows.withColumn("__c", change).withColumn("__run", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    flat = flat.groupBy(*keys, "__run").agg(F.first("__x").alias("__x"), F.floor((F.min("__i") + F.max("__i")) / 2).cast("int").alias("__i"), F.first("__o").alias("__o"))
+    v = Window.partitionBy(*keys).orderBy("__run")
+    before, after = F.col("__x") - F.lag("__x").over(v), F.col("__x") - F.lead("__x").over(v)
+    kind = F.when((before > 0) & (after > 0), 1).when((before < 0) & (after < 0), -1)
+    found = flat.withColumn("__kind", kind).where("__kind IS NOT NULL")
+    if distance > 1:
+        # one row a series and kind: its extrema are fewer than its samples
+        packed = found.groupBy(*keys, "__kind").agg(F.sort_array(F.collect_list(F.struct("__i", (F.col("__x") * F.col("__kind")).alias("h")))).alias("e"))
+        kept = packed.select(*keys, "__kind", F.explode(_spaced(distance)("e.__i", "e.h")).alias("__i"))
+        found = found.join(kept, [*keys, "__kind", "__i"])
+    side = lambda s, name: rows.select(*keys, (F.col("__i") + s * F.col("__o")).alias("__i"), F.col("__x").alias(name))
+    near = found.join(side(1, "__before"), [*keys, "__i"], "left").join(side(-1, "__after"), [*keys, "__i"], "left")
+    sharp = F.abs(F.col("__x") - F.col("__before")) + F.abs(F.col("__x") - F.col("__after"))
+    of = lambda k, f, c: f(F.when(F.col("__kind") == k, c))
+    s = near.groupBy(*keys).agg(of(1, F.avg, sharp).alias("__p"), of(-1, F.avg, sharp).alias("__t"), of(1, F.count, F.lit(1)).alias("__np"), of(-1, F.count, F.lit(1)).alias("__nt"))
+    size = rows.groupBy(*keys).agg(F.max("__n").alias("n"))
+    ok = (F.col("n") >= 10) & (F.col("__np") >= least) & (F.col("__nt") >= least) & (F.col("__p") > 0) & (F.col("__t") > 0)
+    return size.join(s, keys, "left").select(*keys, "n", F.when(ok, F.log(F.try_divide(F.col("__p"), F.when(ok, F.col("__t"))))).alias("sharpness"))

@@ -325,3 +325,15 @@ def significant_edges(df: DataFrame, edge: str, value: str, group: str, a: str,
     enough = (F.col("na") >= least) & (F.col("nb") >= least)
     tested = s.withColumn("p", F.when(enough, normal_p(F.col("z")))).withColumn("__one", F.lit(1))
     return benjamini_hochberg(tested, "p", ["__one"], [edge]).drop("__one")
+
+
+def signed_rank(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """Wilcoxon's test of paired differences: rank sum of the positive ones, its tie-corrected normal score and two-sided p.
+    Differences of zero are left out; a group without others has no row."""
+    d = _pairs(df, before, after).withColumn("__d", F.col(after) - F.col(before)).where("__d <> 0").withColumn("__a", F.abs("__d"))
+    ranked = d.withColumn("__r", average_rank("__a", keys)).withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "__a")))
+    s = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0.0)).alias("w"), F.sum(F.col("__t") * F.col("__t") - 1).cast("double").alias("__tie"))
+    n = F.col("n").cast("double")
+    sd = F.sqrt(F.greatest(n * (n + 1) * (2 * n + 1) / 24 - F.col("__tie") / 48, F.lit(0.0)))
+    z = F.try_divide(F.col("w") - n * (n + 1) / 4, F.nullif(sd, F.lit(0.0)))
+    return s.withColumn("z", z).withColumn("p", normal_p(F.col("z"))).drop("__tie")

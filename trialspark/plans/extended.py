@@ -38,9 +38,15 @@ def _votes(i):
     return v.groupBy("label").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("p_vote"), 2).alias("p_vote"))
 
 
+STATES = ", s AS (SELECT subject, trial_id, least(floor(outcome / 40), 2)::INT AS state FROM trials)"
+
+
+def _state_rows(i):
+    return i.trials.withColumn("state", F.least(F.floor(F.col("outcome") / 40), F.lit(2)).cast("int"))
+
+
 def _states(i):
-    t = i.trials.withColumn("state", F.least(F.floor(F.col("outcome") / 40), F.lit(2)).cast("int"))
-    return _round(op.state_metrics(t, ["subject"], "trial_id", "state"), "coverage", "dwell", keep=("subject", "state", "visits"))
+    return _round(op.state_metrics(_state_rows(i), ["subject"], "trial_id", "state"), "coverage", "dwell", keep=("subject", "state", "visits"))
 
 
 def _kmeans(i):
@@ -60,6 +66,9 @@ QUERIES = {
     "f41_condition_contrast": (lambda i: _round(stats.two_groups(i.samples.where("t >= 0").groupBy("trial_id", "channel", "condition").agg(F.avg("x").alias("x")), ["channel"], "x", F.col("condition") == 0, F.col("condition") == 1), "d", "t", keep=("channel", "na", "nb")), sql("samples", f", m AS (SELECT trial_id, channel, condition, avg(x) AS x FROM samples WHERE t >= 0 GROUP BY ALL), s AS (SELECT channel, count(*) FILTER (condition = 0) AS na, count(*) FILTER (condition = 1) AS nb, avg(x) FILTER (condition = 0) AS ma, avg(x) FILTER (condition = 1) AS mb, var_samp(x) FILTER (condition = 0) AS va, var_samp(x) FILTER (condition = 1) AS vb FROM m GROUP BY channel) SELECT channel, na, nb, {r('(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))')} AS d, {r('(ma - mb) / sqrt(va / na + vb / nb)')} AS t FROM s")),
     "f44_source_connectivity": (lambda i: _round(signal.envelope_correlation(i.analytic.withColumn("channel", F.concat(F.lit("roi"), "channel")), ["subject", "trial_id"]), "aec", keep=("trial_id", "a", "b")), sql("analytic", CROSS + f" SELECT trial_id, 'roi' || a AS a, 'roi' || b AS b, {r('atanh(greatest(-0.999999, least(0.999999, corr(sqrt(pa), sqrt(pb)))))')} AS aec FROM p GROUP BY ALL")),
     "f27_state_metrics": (_states, sql("trials", f", s AS (SELECT subject, trial_id, least(floor(outcome / 40), 2)::INT AS state FROM trials), g AS (SELECT *, trial_id - row_number() OVER (PARTITION BY subject, state ORDER BY trial_id) AS g FROM s), i AS (SELECT subject, state, g, count(*) AS n FROM g GROUP BY ALL) SELECT subject, state, count(*) AS visits, {r('sum(n) / any_value(t)')} AS coverage, {r('avg(n)')} AS dwell FROM i JOIN (SELECT subject, count(*) AS t FROM s GROUP BY subject) USING (subject) GROUP BY subject, state")),
+    "f27_switching": (lambda i: _round(op.state_switching(_state_rows(i), ["subject"], "trial_id", "state"), "switching", "entropy", keep=("subject", "n")), sql("trials", STATES + f", l AS (SELECT subject, state, lag(state) OVER (PARTITION BY subject ORDER BY trial_id) AS was FROM s), e AS (SELECT subject, -sum(p * ln(p)) AS e FROM (SELECT subject, count(*) / sum(count(*)) OVER (PARTITION BY subject) AS p FROM s GROUP BY subject, state) GROUP BY subject) SELECT subject, count(*) AS n, {r('count(*) FILTER (was <> state) / nullif(count(*) - 1, 0)')} AS switching, {r('any_value(e)')} AS entropy FROM l JOIN e USING (subject) GROUP BY subject")),
+    "f39_transitions": (lambda i: _round(op.state_transitions(_state_rows(i), ["subject"], "trial_id", "state"), "share", keep=("subject", "from_state", "to_state", "n")), sql("trials", STATES + f", l AS (SELECT subject, state, lead(state) OVER (PARTITION BY subject ORDER BY trial_id) AS nx FROM s), c AS (SELECT subject, state AS from_state, nx AS to_state, count(*) AS n FROM l WHERE nx <> state GROUP BY ALL) SELECT subject, from_state, to_state, n, {r('n / sum(n) OVER (PARTITION BY subject, from_state)')} AS share FROM c")),
+    "f38_sharpness": (lambda i: _round(op.sharpness_ratio(i.dims, ["trial_id"], "dim", "x", 2), "sharpness", keep=("trial_id", "n")), sql("dims", f", b AS (SELECT trial_id, x, lag(x) OVER w AS p, lead(x) OVER w AS q, abs(x - lag(x, 2) OVER w) + abs(x - lead(x, 2) OVER w) AS sh FROM dims WINDOW w AS (PARTITION BY trial_id ORDER BY dim)) SELECT trial_id, count(*) AS n, {r('ln(avg(sh) FILTER (x > p AND x > q) / avg(sh) FILTER (x < p AND x < q))')} AS sharpness FROM b GROUP BY trial_id")),
     "f39_cluster_states": (_kmeans, None),
     "c12_spline_basis": (lambda i: _round(op.spline_basis(i.trials.select("subject", "trial_id", "predictor"), "predictor"), "curve", keep=("subject", "trial_id")), sql("trials", f", k AS (SELECT quantile_cont(predictor, 0.1) AS a, quantile_cont(predictor, 0.5) AS b, quantile_cont(predictor, 0.9) AS c FROM trials) SELECT subject, trial_id, {r('(power(greatest(predictor - a, 0), 3) - power(greatest(predictor - b, 0), 3) * (c - a) / (c - b) + power(greatest(predictor - c, 0), 3) * (b - a) / (c - b)) / power(c - a, 2)')} AS curve FROM trials, k")),
     "c14_crossfit_residual": (lambda i: _round(op.crossfit_residual(i.trials, "run", "predictor", "outcome"), "residual", keep=("subject", "trial_id")), sql("trials", f", f AS (SELECT s.run, regr_slope(t.outcome, t.predictor) AS b, regr_intercept(t.outcome, t.predictor) AS a FROM (SELECT DISTINCT run FROM trials) s JOIN trials t ON t.run <> s.run GROUP BY s.run) SELECT subject, trial_id, {r('outcome - a - b * predictor')} AS residual FROM trials JOIN f USING (run)")),
