@@ -587,3 +587,14 @@ def test_pipeline_stages(spark, tmp_path):
         docs = out
         seen.append(docs.count())
     assert seen[0] >= seen[1] >= seen[2] >= seen[3] > 0 and docs.where("NOT round_trip").count() == 0
+
+
+@pytest.mark.parametrize("name, label, least", [("op6_quality_model", "quality", 0.9), ("op9_toxicity", "toxic", 0.9)])
+def test_models_hold_on_held_out_rows_of_the_given_tables(spark, name, label, least):
+    from trialspark.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col(label).alias("truth")).where("truth IS NOT NULL")
+    scored = queries.QUERIES[name](spark, folder)
+    rows = scored.where("held_out").join(truth, "doc_id").select("truth", "predicted").collect()
+    assert len(rows) > 50 and np.mean([r.truth == r.predicted for r in rows]) >= least
