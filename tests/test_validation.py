@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialspark.operators import clusters, crossval, extended, models, names, stats
+from trialspark.operators import align, clusters, crossval, extended, microstates, models, names, signal, stats
 
 
 def planted(n_groups=6, per=9, seed=3, offset=0.0):
@@ -269,3 +269,155 @@ def test_switching_of_a_single_row(spark):
     got = {r.k: (r.switching, r.entropy) for r in extended.state_switching(df, ["k"], "i", "s").collect()}
     assert got["a"] == (None, 0.0) and got["b"][0] == 0.5 and got["b"][1] == pytest.approx(-(math.log(1 / 3) / 3 + 2 * math.log(2 / 3) / 3))
     assert [tuple(r) for r in extended.state_transitions(df, ["k"], "i", "s").collect()] == [("b", 1, 2, 1, 1.0)]
+
+
+def _peaks(x, distance, most):
+    n, found, i = len(x), [], 1
+    while i < n - 1:
+        j = i
+        while j + 1 < n and x[j + 1] == x[i]:
+            j += 1
+        if j < n - 1 and x[i - 1] < x[i] > x[j + 1]:
+            found.append((i + j) // 2)
+        i = j + 1
+    kept = []
+    for p in sorted(found, key=lambda p: (x[p], p), reverse=True):
+        if all(abs(p - k) >= distance for k in kept):
+            kept.append(p)
+    return sorted(kept[:most]) if kept else [int(np.argmax(x))]
+
+
+def _no_short_runs(states, least):
+    edges = [0] + [i for i in range(1, len(states)) if states[i] != states[i - 1]] + [len(states)]
+    runs, out = list(zip(edges, edges[1:])), list(states)
+    for k, (a, b) in enumerate(runs):
+        if b - a >= least or len(runs) == 1:
+            continue
+        left = runs[k - 1] if k else None
+        right = runs[k + 1] if k + 1 < len(runs) else None
+        for i in range(a, b):
+            if left is None:
+                take = right
+            elif right is None or states[left[0]] == states[right[0]]:
+                take = left
+            elif (left[1] - left[0]) != (right[1] - right[0]):
+                take = left if left[1] - left[0] > right[1] - right[0] else right
+            else:
+                take = left if i < a + (b - a) // 2 else right
+            out[i] = states[take[0]]
+    return out
+
+
+@pytest.mark.parametrize("distance, least, most", [(1, 1, None), (3, 4, None), (1, 3, 2)])
+def test_microstates_by_brute_force(spark, distance, least, most):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(4, 3, 40)), 1)
+    x[0, :, 10:13] = x[0, :, 10:11]  # a flat stretch
+    x[3] = np.arange(40) * np.array([[1.0], [2.0], [4.0]])  # power grows to the end: no peak
+    unit = lambda m: (m - m.mean()) / np.linalg.norm(m - m.mean())
+    templates = np.array([unit(m) for m in rng.normal(size=(3, 3))])
+    want = {}
+    for g in range(4):
+        peaks = _peaks(list(np.std(x[g], axis=0)), distance, most)
+        state = [int(np.argmax(np.abs(templates @ unit(x[g][:, p])))) for p in peaks]
+        borders = [0] + [(a + b) // 2 for a, b in zip(peaks, peaks[1:])]
+        labels = [state[max(k for k, s in enumerate(borders) if s <= i)] for i in range(40)]
+        want.update({(g, i): s for i, s in enumerate(_no_short_runs(labels, least))})
+    rows = [(g, i, c, float(x[g, c, i])) for g in range(4) for c in range(3) for i in range(40)]
+    samples = spark.createDataFrame(rows, "g int, i int, c int, x double")
+    t = spark.createDataFrame([(s, c, float(templates[s, c])) for s in range(3) for c in range(3)], "state int, c int, weight double")
+    got = microstates.microstates(samples, t, ["g"], "i", "c", "x", least, distance, most)
+    assert {(r.g, r.i): r.state for r in got.collect()} == want
+
+
+def test_microstates_without_rows_or_power(spark):
+    empty = spark.createDataFrame([], "g int, i int, c int, x double")
+    t = spark.createDataFrame([(0, 0, 1.0)], "state int, c int, weight double")
+    assert microstates.microstates(empty, t, ["g"], "i", "c", "x", 2).count() == 0
+    nulls = spark.createDataFrame([(1, i, c, None) for i in range(4) for c in range(2)], "g int, i int, c int, x double")
+    assert microstates.microstates(nulls, t, ["g"], "i", "c", "x", 2).count() == 0
+
+
+def test_templates_find_planted_maps(spark):
+    base = np.array([[3.0, -1, -2, 0], [-2, 3.0, 0, -1]])
+    rng = np.random.default_rng(2)
+    rows = [(i, c, float(base[i % 2, c] + rng.normal() * 0.05)) for i in range(60) for c in range(4)]
+    maps = microstates.unit_maps(spark.createDataFrame(rows, "i int, c int, x double"), ["i"], "c", "x")
+    t = microstates.fit_templates(maps, ["i"], "c", [0, 1, 2, 3], 2)
+    states = {r.i: r.state for r in microstates.assign_states(maps, t, ["i"], "c").collect()}
+    assert len({states[i] for i in range(0, 60, 2)}) == len({states[i] for i in range(1, 60, 2)}) == 1 and states[0] != states[1]
+
+
+def test_merges_check_their_keys(spark):
+    a = spark.createDataFrame([("s", 1, 1, 0.5), ("s", 1, 2, 0.6)], "subject string, run_id int, trial int, x double")
+    b = spark.createDataFrame([(1, 2, 7.0), (1, 3, 8.0)], "run_id int, trial int, y double")
+    empty = a.where("false")
+    assert align.unique_keys(a, b) == ["run_id", "trial"]
+    got = {(r.trial, r.x, r.y) for r in align.merge_tables([empty, a, b]).collect()}
+    assert got == {(1, 0.5, None), (2, 0.6, 7.0), (3, None, 8.0)}
+    with pytest.raises(ValueError):
+        align.unique_keys(a, b.unionByName(b))
+    with pytest.raises(ValueError):
+        align.merge_tables([empty])
+    c = spark.createDataFrame([(1, 2, 0.6, "q")], "run_id int, trial int, x double, w string")
+    assert align.merge_one_to_one([a, b, c], ["run_id", "trial"]).collect()[0].asDict() == {"subject": "s", "run_id": 1, "trial": 2, "x": 0.6, "y": 7.0, "w": "q"}
+    with pytest.raises(Exception, match="repeats"):
+        align.merge_one_to_one([a, b.unionByName(b)], ["run_id", "trial"]).collect()
+    with pytest.raises(Exception, match="differs"):
+        align.merge_one_to_one([a, c.withColumn("x", F.lit(9.0))], ["run_id", "trial"]).collect()
+
+
+def test_shifts_turn_each_group(spark):
+    rows = [(g, i, float(10 * g + i)) for g in range(3) for i in range(5 + g)]
+    df = spark.createDataFrame(rows, "g int, i int, v double")
+    out = {}
+    for r in stats.shifted(df, ["g"], "i", "v", 20, least=2).orderBy("i").collect():
+        out.setdefault((r.g, r.perm), []).append(r.permuted)
+    for (g, _), got in out.items():
+        plain = [float(10 * g + i) for i in range(5 + g)]
+        assert got in [plain[-k:] + plain[:-k] if k else plain for k in range(len(plain))]
+    assert len({tuple(v) for (g, _), v in out.items() if g == 2}) > 3
+    with pytest.raises(Exception, match="fewer than"):
+        stats.shifted(df.where("g < 2 OR i = 0"), ["g"], "i", "v", 2, least=2).collect()
+
+
+def test_entropy_counts_every_matching_pair(spark):
+    rng = np.random.default_rng(8)
+    data = {0: np.round(rng.normal(size=60), 1), 1: np.full(10, 2.0), 2: np.arange(3.0), 3: np.arange(40.0) ** 3}
+    df = spark.createDataFrame([(g, i, float(v)) for g, x in data.items() for i, v in enumerate(x)], "g int, i int, v double")
+    got = {(r.g, r.scale): (r.a, r.b) for r in signal.multiscale_entropy(df, ["g"], "v", "i", [1, 2]).collect()}
+    want = {}
+    for g, x in data.items():
+        for s in (1, 2):
+            y = x[: len(x) // s * s].reshape(-1, s).mean(1)
+            if len(y) - 2 < 2:
+                continue
+            near = [[abs(y[i + k] - y[j + k]) <= 0.2 * y.std() + 1e-12 for k in range(3)] for i in range(len(y) - 2) for j in range(i + 1, len(y) - 2)]
+            want[g, s] = (sum(all(n) for n in near), sum(all(n[:2]) for n in near))
+    assert got == want
+
+
+def test_clustering_of_graphs(spark):
+    e = [("full", 0, 1), ("full", 1, 2), ("full", 0, 2), ("full", 2, 0), ("path", 0, 1), ("path", 1, 2), ("kite", 0, 1), ("kite", 1, 2), ("kite", 2, 0), ("kite", 2, 3), ("kite", 3, 3)]
+    got = {r.g: r.clustering for r in extended.graph_clustering(spark.createDataFrame(e, "g string, a int, b int"), "g", 4).collect()}
+    assert got == pytest.approx({"full": 3 / 4, "path": 0.0, "kite": (1 + 1 + 1 / 3) / 4})
+
+
+def test_grid_takes_the_penalty_with_least_error(spark):
+    df = spark.createDataFrame(planted(), SCHEMA).withColumn("fold", F.col("i") % 3)
+    good = models.grid_regression(df, ["a", "b"], "y", F.col("g") < 5, "fold", [0.001, 50.0], [0.0])
+    r = good.select("penalty", "mix").distinct().collect()
+    assert [(x.penalty, x.mix) for x in r] == [(0.001, 0.0)] and good.count() == 9
+    same = models.elastic_net(df, ["a", "b"], "y", F.col("g") < 5, 0.001, 0.0)
+    assert {(x.i, round(x.prediction, 9)) for x in good.collect()} == {(x.i, round(x.prediction, 9)) for x in same.collect()}
+
+
+def test_components_match_a_decomposition(spark):
+    data = planted(per=7)
+    train = np.array([r[0] < 4 for r in data])
+    x = np.array([[r[2], r[3], r[5]] for r in data])
+    z = (x - x[train].mean(0)) / x[train].std(0, ddof=1)
+    _, vectors = np.linalg.eigh(np.cov(z[train].T))
+    want = np.abs(z @ vectors[:, ::-1][:, :2])
+    got = {(r.g, r.i): (abs(r.pc1), abs(r.pc2)) for r in models.principal_components(spark.createDataFrame(data, SCHEMA), ["a", "b", "y"], F.col("g") < 4, 2).collect()}
+    assert all(got[r[0], r[1]] == pytest.approx(tuple(want[k]), abs=1e-8) for k, r in enumerate(data))

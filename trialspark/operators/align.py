@@ -34,6 +34,27 @@ def outer_merge(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return a.join(b, on, "full_outer").select(*pick, *only)
 
 
+# fixed values: the key sets tried in this order when trial tables are merged
+KEY_SETS = (("subject", "task", "run_id", "trial"), ("subject", "run_id", "trial"), ("run_id", "trial"), ("trial",), ("epoch",), ("onset", "duration"))
+
+
+def unique_keys(left: DataFrame, right: DataFrame, key_sets: tuple[tuple[str, ...], ...] = KEY_SETS) -> list[str]:
+    """The first key set whose columns both tables have and which no row repeats in either; none is an error."""
+    shared = set(left.columns) & set(right.columns)
+    for keys in key_sets:
+        if shared.issuperset(keys) and all(repeated_keys(t, list(keys)).isEmpty() for t in (left, right)):
+            return list(keys)
+    raise ValueError("no key set is unique in both tables")
+
+
+def merge_tables(tables: list[DataFrame], key_sets: tuple[tuple[str, ...], ...] = KEY_SETS) -> DataFrame:
+    """Full outer merge of trial tables, each on the first unique key set it shares with those before it; empty tables are passed over."""
+    filled = [t for t in tables if not t.isEmpty()]
+    if not filled:
+        raise ValueError("no rows in any trial table")
+    return reduce(lambda a, b: outer_merge(a, b, unique_keys(a, b, key_sets)), filled)
+
+
 def union_blocks(blocks: list[DataFrame]) -> DataFrame:
     """Union of long feature blocks by name; missing columns become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)
@@ -45,15 +66,28 @@ def overlapping(blocks: list[DataFrame], name: str = "feature") -> DataFrame:
     return reduce(DataFrame.unionByName, tagged).groupBy(name).agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
 
 
+def _once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The table itself; a key that occurs twice is an error. It is counted where the join needs its rows anyway."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    single = F.when(F.col("__n") == 1, True).otherwise(F.raise_error(F.lit(f"{', '.join(keys)} repeats")).cast("boolean"))
+    return df.where(known).withColumn("__n", n).where(single).drop("__n")
+
+
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], agree: list[str]) -> DataFrame:
-    """Inner merge of two unique-key tables whose ``agree`` columns must be equal; a difference is an error."""
-    a, b = left.alias("a"), right.alias("b")
+    """Inner merge of two unique-key tables whose ``agree`` columns must be equal; a repeated key or a difference is an error."""
+    a, b = _once(left, keys).alias("a"), _once(right, keys).alias("b")
     on = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
-    checked = [F.when(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.col(f"a.{c}")).otherwise(F.raise_error(F.lit(f"{c} differs")).cast("double")).alias(c) for c in agree]
+    checked = [F.when(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.col(f"a.{c}")).otherwise(F.raise_error(F.lit(f"{c} differs"))).alias(c) for c in agree]
     rest = [F.col(f"a.{c}") for c in left.columns if c not in agree] + [F.col(f"b.{c}") for c in right.columns if c not in keys and c not in agree]
     return a.join(b, on).select(*rest, *checked)
 
 
+def merge_one_to_one(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Inner merge of several unique-key tables; every other column that two of them share must agree."""
+    return reduce(lambda a, b: one_to_one(a, b, keys, [c for c in a.columns if c in b.columns and c not in keys]), tables)
+
+
 def concatenate_runs(events: DataFrame, key: str, run: str, time: str) -> DataFrame:
     """Runs laid end to end: each run's times are shifted by the summed lengths of the runs before it."""
     spans = events.groupBy(key, run).agg(F.max(time).alias("span"))

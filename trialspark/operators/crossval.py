@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+from .clusters import components
 from .stats import holm, permutation_p, permuted, sign_flip
 from .windows import moment_corr
 
@@ -185,3 +187,18 @@ def generalisation_significance(observed: DataFrame, null: DataFrame) -> DataFra
     top = null.groupBy("perm").agg(F.max(F.abs("r")).alias("m")).agg(F.percentile("m", 0.95).alias("__top"))
     q = benjamini_hochberg(p, "p", ["__one"], ["train", "test"]).crossJoin(F.broadcast(top))
     return q.withColumn("max_stat", F.abs("observed") >= F.col("__top")).drop("__one", "__top")
+
+
+def generalisation_clusters(observed: DataFrame, null: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Clusters of cells whose |r| reaches the ``1 - alpha`` percentile of all null |r|, with ``n`` cells each and whether that reaches
+    the 95th percentile of the largest null clusters; a permutation without any counts as 0. Axes ``train`` and ``test`` are
+    whole numbers; only cells that the observed map has are tested, signs are not told apart."""
+    observed, null = cut(observed), cut(null)
+    tested = observed.where(F.col("r").isNotNull() & ~F.isnan("r"))
+    seen = null.where(F.col("r").isNotNull() & ~F.isnan("r")).join(tested.select("train", "test"), ["train", "test"], "left_semi")
+    bar = F.broadcast(seen.agg(F.percentile(F.abs("r"), 1 - alpha).alias("__bar")))  # one row
+    over = lambda t: t.crossJoin(bar).where(F.abs("r") >= F.col("__bar")).drop("__bar")
+    sizes = lambda t, keys: components(over(t), keys, ["train", "test"], ["r"]).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes(seen, ["perm"]).groupBy("perm").agg(F.max("n").alias("__m"))
+    every = null.select("perm").distinct().join(largest, "perm", "left").agg(F.percentile(F.coalesce("__m", F.lit(0)), 0.95).alias("__top"))
+    return sizes(tested, []).crossJoin(F.broadcast(every)).select("label", "n", (F.col("n") >= F.col("__top")).alias("significant"))

@@ -37,6 +37,19 @@ def global_efficiency(edges: DataFrame, graph: str, n_nodes: int, floor: float =
     return d.groupBy(graph).agg((F.sum(1 / F.col("d")) / (n_nodes * (n_nodes - 1))).alias("efficiency"))
 
 
+def graph_clustering(edges: DataFrame, graph: str, n_nodes: int) -> DataFrame:
+    """Mean over the nodes of a graph of the share of a node's pairs of neighbours that are joined themselves; a node with fewer than
+    two neighbours counts as 0. ``edges`` has one row an edge; direction, repeated edges and loops make no difference."""
+    e = edges.where(F.col("a") != F.col("b")).select(graph, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = e.select(graph, F.col("a").alias("b"), F.col("b").alias("c"))
+    closing = e.select(graph, "a", F.col("b").alias("c"))
+    corners = e.join(second, [graph, "b"]).join(closing, [graph, "a", "c"]).select(graph, F.explode(F.array("a", "b", "c")).alias("node"))
+    degree = e.select(graph, F.explode(F.array("a", "b")).alias("node")).groupBy(graph, "node").agg(F.count(F.lit(1)).alias("k"))
+    shut = corners.groupBy(graph, "node").agg(F.count(F.lit(1)).alias("n"))
+    share = F.coalesce(F.try_divide(2 * F.col("n"), F.col("k") * (F.col("k") - 1)), F.lit(0.0))
+    return degree.join(shut, [graph, "node"], "left").groupBy(graph).agg((F.sum(share) / n_nodes).alias("clustering"))
+
+
 def spline_basis(df: DataFrame, x: str, knots: tuple[float, float, float] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Restricted cubic spline with three quantile knots: the variable and one curved term."""
     k = df.agg(F.percentile(x, list(knots)).alias("k")).select(*(F.get("k", F.lit(i)).alias(f"k{i}") for i in range(3)))

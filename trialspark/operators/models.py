@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +111,39 @@ def elastic_net(df: DataFrame, features: list[str], y: str, train: Column, reg:
     return model.transform(scaled.where("NOT __train")).drop("raw", "features", "__train")
 
 
+def grid_regression(df: DataFrame, features: list[str], y: str, train: Column, fold: str, penalties: list[float], mixes: list[float]) -> DataFrame:
+    """Predictions for the rows outside the training ones by the penalty and mix (0 is ridge, 1 is lasso) of a grid with the least
+    squared error over the training rows' folds ``fold`` (whole numbers from 0), as ``penalty`` and ``mix``; fitted anew on all of them."""
+    rows = VectorAssembler(inputCols=features, outputCol="raw").transform(df.withColumn("__train", train))
+    fit = rows.where("__train").withColumn("__fold", F.col(fold).cast("int"))
+    model = LinearRegression(featuresCol="features", labelCol=y)
+    grid = ParamGridBuilder().addGrid(model.regParam, penalties).addGrid(model.elasticNetParam, mixes).build()
+    scaled = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), model])
+    n_folds = fit.agg(F.max("__fold")).first()[0] + 1
+    search = CrossValidator(estimator=scaled, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="mse"), numFolds=n_folds, foldCol="__fold", parallelism=4)
+    best = search.fit(fit).bestModel
+    chosen = best.stages[-1]
+    out = best.transform(rows.where("NOT __train")).drop("raw", "features", "__train")
+    return out.withColumn("penalty", F.lit(chosen.getRegParam())).withColumn("mix", F.lit(chosen.getElasticNetParam()))
+
+
+def principal_components(df: DataFrame, features: list[str], train: Column, k: int) -> DataFrame:
+    """The first ``k`` principal components ``pc1, pc2, ...`` of the scaled features, fitted on the training rows; rows with a null go."""
+    rows = VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip").transform(df.withColumn("__train", train))
+    steps = Pipeline(stages=[StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True), PCA(k=k, inputCol="__scaled", outputCol="__pc")])
+    out = steps.fit(rows.where("__train")).transform(rows).withColumn("__pc", vector_to_array("__pc"))
+    return out.select("*", *(F.get("__pc", F.lit(j)).alias(f"pc{j + 1}") for j in range(k))).drop("__raw", "__scaled", "__pc", "__train")
+
+
+def best_features(df: DataFrame, feature: str, value: str, y: str, train: Column, percentile: float) -> DataFrame:
+    """Long features whose squared correlation with the target over the training rows is above the percentile of all features' that
+    leaves ``percentile`` of them; features without one go."""
+    r = df.where(train).groupBy(feature).agg(moment_corr(F.col(value), F.col(y)).alias("__r")).select(feature, (F.col("__r") * F.col("__r")).alias("__r2")).where("__r2 IS NOT NULL")
+    bar = r.agg(F.percentile("__r2", 1 - percentile / 100).alias("__bar"))
+    kept = r.crossJoin(F.broadcast(bar)).where((F.col("__r2") > F.col("__bar")) | F.lit(percentile >= 100))
+    return df.join(kept.select(feature), feature, "left_semi")
+
+
 def as_array(column: str) -> Column:
     return vector_to_array(column)
 

@@ -158,13 +158,33 @@ def permutation_entropy(df: DataFrame, keys: list[str], value: str, order: str)
 
 
 def sample_entropy(df: DataFrame, keys: list[str], value: str, order: str, factor: float = 0.2) -> DataFrame:
-    """-ln(A / B) of matching pairs of length 3 and 2 inside one signal; a signal's length bounds the self join."""
+    """-ln(A / B) of matching pairs of length 3 and 2 inside one signal, the tolerance a share of its spread.
+
+    Pairs are looked for only among neighbours on a grid of the tolerance's side, so the join grows with the pairs near in their
+    first two values. A signal needs two vectors to have a row; its entropy is null when nothing matches.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    x = df.select(*keys, F.col(order).alias("i"), F.col(value).alias("x0"), F.lead(value, 1).over(w).alias("x1"), F.lead(value, 2).over(w).alias("x2"), (F.stddev_pop(value).over(Window.partitionBy(*keys)) * factor).alias("r")).where("x2 IS NOT NULL")
-    other = x.select(*keys, F.col("i").alias("j"), *(F.col(f"x{k}").alias(f"y{k}") for k in range(3)))
-    near = lambda k: F.abs(F.col(f"x{k}") - F.col(f"y{k}")) <= F.col("r")
-    m = x.join(other, keys).where("i < j").groupBy(*keys).agg(F.count_if(near(0) & near(1)).alias("b"), F.count_if(near(0) & near(1) & near(2)).alias("a"))
-    return m.withColumn("entropy", F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.col("a") / F.col("b"))))
+    x = df.select(*keys, F.col(order).alias("__i"), F.col(value).alias("__x0"), F.lead(value, 1).over(w).alias("__x1"), F.lead(value, 2).over(w).alias("__x2"), (F.stddev_pop(value).over(Window.partitionBy(*keys)) * factor).alias("__r")).where("__x2 IS NOT NULL AND __x1 IS NOT NULL AND __x0 IS NOT NULL")
+    side = F.col("__r") * (1 + 1e-9)  # a little wider, so that rounding cannot put a match two cells away
+    cell = lambda k: F.coalesce(F.floor(F.try_divide(F.col(f"__x{k}"), F.nullif(side, F.lit(0.0)))), F.lit(0))
+    own = x.withColumn("__c0", cell(0)).withColumn("__c1", cell(1))
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    other = own.select(*keys, F.col("__i").alias("__j"), *(F.col(f"__x{k}").alias(f"__y{k}") for k in range(3)), "__c0", "__c1", F.explode(steps).alias("__s"))
+    other = other.withColumn("__c0", F.col("__c0") + F.col("__s.a")).withColumn("__c1", F.col("__c1") + F.col("__s.b")).drop("__s")
+    near = lambda k: F.abs(F.col(f"__x{k}") - F.col(f"__y{k}")) <= F.col("__r")
+    m = own.join(other, [*keys, "__c0", "__c1"]).where(F.col("__i") < F.col("__j")).where(near(0) & near(1)).groupBy(*keys).agg(F.count(F.lit(1)).alias("b"), F.count_if(near(2)).alias("a"))
+    every = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n").join(m, keys, "left").fillna(0, ["a", "b"])
+    return every.withColumn("entropy", F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.try_divide(F.col("a"), F.col("b")))))
+
+
+def multiscale_entropy(df: DataFrame, keys: list[str], value: str, order: str, scales: list[int], factor: float = 0.2) -> DataFrame:
+    """Sample entropy of the signal averaged over blocks of each scale; what is left over at the end of a signal is not used and
+    values that are not finite are passed over. The tolerance is of the averaged signal. Column ``scale``."""
+    x = F.col(value).cast("double")
+    good = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = good.select(*keys, x.alias("__x"), (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).alias("__at")).withColumn("scale", F.explode(F.array(*map(F.lit, scales))))
+    block = rows.groupBy(*keys, "scale", F.floor(F.col("__at") / F.col("scale")).alias("__block")).agg(F.avg("__x").alias("__x"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") == F.col("scale"))
+    return sample_entropy(block, [*keys, "scale"], "__x", "__block", factor)
 
 
 def harmonic_overlap(bands: DataFrame, most: int, tolerance: float) -> DataFrame:

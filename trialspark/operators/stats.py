@@ -190,6 +190,19 @@ def permuted(df: DataFrame, keys: list[str], order: str, value: str, n_perm: int
     return ranked.drop("drawn").join(source, [*keys, "perm", "place"])
 
 
+def shifted(df: DataFrame, keys: list[str], order: str, value: str, n_perm: int, seed: int = 1, least: int = 1) -> DataFrame:
+    """``n_perm`` circular shifts of a value inside groups: each group of each permutation is turned by a hash of its key.
+    A group of fewer than ``least`` rows is an error."""
+    w = Window.partitionBy(*keys)
+    rows = df.select("*", F.row_number().over(w.orderBy(order)).alias("place"), F.count(F.lit(1)).over(w).alias("__n"))
+    enough = F.when(F.col("__n") >= least, True).otherwise(F.raise_error(F.lit(f"a group has fewer than {least} rows")).cast("boolean"))
+    each = rows.where(enough).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    mark = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "perm", *keys).cast("binary")), 1, 8), 16, 10).cast("long")
+    moved = (F.col("place") - 1 + mark % F.col("__n")) % F.col("__n") + 1
+    source = each.select(*keys, "perm", moved.cast("int").alias("place"), F.col(value).alias("permuted"))
+    return each.drop("__n").join(source, [*keys, "perm", "place"])
+
+
 def permutation_p(observed: DataFrame, null: DataFrame, keys: list[str], stat: str) -> DataFrame:
     """``(extreme + 1) / (n + 1)``, two-sided."""
     both = null.join(observed.select(*keys, F.col(stat).alias("observed")), keys)

@@ -11,6 +11,10 @@ from ..sources.tables import r, rounded, sql
 NAMES = ["quantity", "price", "discount", "tax"]
 
 
+def _trial_part(i, column, kept):
+    return i.trials.where(kept).select("subject", F.col("run").alias("run_id"), F.col("trial_id").alias("trial"), column)
+
+
 def _numbered(i):
     o = i.raw("orders").select(F.col("o_custkey").alias("subject"), "o_orderkey", F.unix_date(F.to_date("o_orderdate")).cast("double").alias("onset"), F.col("o_totalprice").alias("price"))
     return o
@@ -40,9 +44,11 @@ QUERIES = {
     "j1_trial_table": (lambda i: op.trial_table(i.wide.select("subject", "trial_id", "run"), i.features, ["subject", "trial_id"], NAMES), sql("wide", "SELECT subject, trial_id, run, quantity, price, discount, tax FROM wide")),
     "j2_align_features": (lambda i: i.trials.select("subject", op.checked_key("trial_id").alias("trial_id"), "outcome").join(i.trials.where("trial_id % 2 = 0").select("subject", "trial_id", F.col("predictor").alias("feature")), ["subject", "trial_id"], "left"), sql("trials", "SELECT subject, trial_id, outcome, CASE WHEN trial_id % 2 = 0 THEN predictor END AS feature FROM trials")),
     "j3_outer_merge": (lambda i: op.outer_merge(i.trials.where("outcome <= 80").select("subject", "trial_id", "outcome"), i.trials.where("outcome >= 20").select("subject", "trial_id", (F.col("outcome") + 1).alias("outcome"), "run"), ["subject", "trial_id"]), sql("trials", "SELECT subject, trial_id, CASE WHEN outcome <= 80 THEN outcome ELSE outcome + 1 END AS outcome, CASE WHEN outcome >= 20 THEN run END AS run FROM trials WHERE outcome IS NOT NULL")),
+    "j3_merge_tables": (lambda i: op.merge_tables([_trial_part(i, "outcome", F.col("outcome") <= 80), _trial_part(i, "predictor", F.col("outcome") >= 20), _trial_part(i, "onset", F.col("predictor") >= 50)]), sql("trials", "SELECT subject, run AS run_id, trial_id AS trial, CASE WHEN outcome <= 80 THEN outcome END AS outcome, CASE WHEN outcome >= 20 THEN predictor END AS predictor, CASE WHEN predictor >= 50 THEN onset END AS onset FROM trials WHERE outcome <= 80 OR outcome >= 20 OR predictor >= 50")),
     "j4_union_blocks": (lambda i: op.union_blocks([i.features.where("feature = 'tax'").drop("condition"), i.features.where("feature = 'price'").drop("run")]).groupBy("feature", "condition", "run").agg(F.count(F.lit(1)).alias("n")), sql("features", "SELECT feature, CASE WHEN feature = 'price' THEN condition END AS condition, CASE WHEN feature = 'tax' THEN run END AS run, count(*) AS n FROM features WHERE feature IN ('tax', 'price') GROUP BY ALL")),
     "j4_overlap": (lambda i: op.overlapping([i.features.where("feature <> 'tax'"), i.features.where("feature <> 'price'")]), sql("features", "SELECT DISTINCT feature, 2 AS blocks FROM features WHERE feature IN ('quantity', 'discount')")),
     "j5_one_to_one": (lambda i: op.one_to_one(i.wide.select("subject", "trial_id", "price", "tax"), i.wide.select("subject", "trial_id", "price", "discount"), ["subject", "trial_id"], ["price"]), sql("wide", "SELECT subject, trial_id, price, tax, discount FROM wide")),
+    "j5_three_tables": (lambda i: op.merge_one_to_one([i.wide.select("subject", "trial_id", "condition", "price", "tax"), i.wide.where("tax > 0").select("subject", "trial_id", "price", "discount"), i.wide.where("discount > 0").select("subject", "trial_id", "condition", "tax", "quantity")], ["subject", "trial_id"]), sql("wide", "SELECT subject, trial_id, condition, price, tax, discount, quantity FROM wide WHERE tax > 0 AND discount > 0")),
     "j6_concatenate_runs": (lambda i: op.concatenate_runs(i.trials, "subject", "run", "onset").select("subject", "trial_id", rounded("time", 3).alias("time")), sql("trials", f", s AS (SELECT subject, run, max(onset) AS m FROM trials GROUP BY ALL), o AS (SELECT subject, run, coalesce(sum(m) OVER (PARTITION BY subject ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM s) SELECT subject, trial_id, {r('onset + o', 3)} AS time FROM trials JOIN o USING (subject, run)")),
     "j7_kept_trials": (lambda i: op.kept_trials(i.trials, i.trials.where("outcome < 60"), ["subject", "trial_id"], ["subject"], ["trial_id"]).select("subject", "trial_id", "dense_id"), sql("trials", "SELECT subject, trial_id, (row_number() OVER (PARTITION BY subject ORDER BY trial_id) - 1)::INT AS dense_id FROM trials WHERE outcome < 60")),
     "j8_by_position": (lambda i: _positions(i).select("subject", "place", "o_orderkey", "k2"), sql("", "SELECT o_custkey AS subject, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place, o_orderkey, o_orderkey AS k2 FROM orders")),

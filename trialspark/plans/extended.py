@@ -63,6 +63,7 @@ def _cv(i):
 QUERIES = {
     "f29_phase_slope": (lambda i: _round(op.phase_slope(i.analytic, ["trial_id"], "t", 0, 1), "psi", keep=("trial_id",)), sql("analytic", CROSS + f", q AS (SELECT trial_id, t, re / sqrt(pa * pb) AS cr, im / sqrt(pa * pb) AS ci FROM p WHERE a = 0 AND b = 1), z AS (SELECT trial_id, cr * lead(ci) OVER w - ci * lead(cr) OVER w AS z FROM q WINDOW w AS (PARTITION BY trial_id ORDER BY t)) SELECT trial_id, {r('sum(z)')} AS psi FROM z GROUP BY trial_id")),
     "f31_global_efficiency": (lambda i: _round(op.global_efficiency(signal.phase_connectivity(i.analytic, ["trial_id"]).select("trial_id", "a", "b", F.col("plv").alias("w")), "trial_id", 4), "efficiency", keep=("trial_id",)), None),
+    "f31_clustering": (lambda i: _round(op.graph_clustering(signal.phase_connectivity(i.analytic, ["trial_id"]).where("round(plv, 9) >= 0.2"), "trial_id", 4), "clustering", keep=("trial_id",)), sql("analytic", CROSS + f", w AS (SELECT trial_id, a, b, round(sqrt(power(avg(re / sqrt(re * re + im * im)), 2) + power(avg(im / sqrt(re * re + im * im)), 2)), 9) AS plv FROM p GROUP BY ALL), e AS (SELECT trial_id, a, b FROM w WHERE plv >= 0.2), d AS (SELECT trial_id, a, b FROM e UNION ALL SELECT trial_id, b, a FROM e), k AS (SELECT trial_id, a, count(*) AS k FROM d GROUP BY ALL), t AS (SELECT x.trial_id, x.a, count(*) AS n FROM d x JOIN d y ON x.trial_id = y.trial_id AND x.a = y.a AND x.b < y.b JOIN e ON e.trial_id = x.trial_id AND e.a = x.b AND e.b = y.b GROUP BY ALL) SELECT trial_id, {r('sum(coalesce(2.0 * n / (k * (k - 1)), 0)) / 4')} AS clustering FROM k LEFT JOIN t USING (trial_id, a) GROUP BY trial_id")),
     "f41_condition_contrast": (lambda i: _round(stats.two_groups(i.samples.where("t >= 0").groupBy("trial_id", "channel", "condition").agg(F.avg("x").alias("x")), ["channel"], "x", F.col("condition") == 0, F.col("condition") == 1), "d", "t", keep=("channel", "na", "nb")), sql("samples", f", m AS (SELECT trial_id, channel, condition, avg(x) AS x FROM samples WHERE t >= 0 GROUP BY ALL), s AS (SELECT channel, count(*) FILTER (condition = 0) AS na, count(*) FILTER (condition = 1) AS nb, avg(x) FILTER (condition = 0) AS ma, avg(x) FILTER (condition = 1) AS mb, var_samp(x) FILTER (condition = 0) AS va, var_samp(x) FILTER (condition = 1) AS vb FROM m GROUP BY channel) SELECT channel, na, nb, {r('(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))')} AS d, {r('(ma - mb) / sqrt(va / na + vb / nb)')} AS t FROM s")),
     "f44_source_connectivity": (lambda i: _round(signal.envelope_correlation(i.analytic.withColumn("channel", F.concat(F.lit("roi"), "channel")), ["subject", "trial_id"]), "aec", keep=("trial_id", "a", "b")), sql("analytic", CROSS + f" SELECT trial_id, 'roi' || a AS a, 'roi' || b AS b, {r('atanh(greatest(-0.999999, least(0.999999, corr(sqrt(pa), sqrt(pb)))))')} AS aec FROM p GROUP BY ALL")),
     "f27_state_metrics": (_states, sql("trials", f", s AS (SELECT subject, trial_id, least(floor(outcome / 40), 2)::INT AS state FROM trials), g AS (SELECT *, trial_id - row_number() OVER (PARTITION BY subject, state ORDER BY trial_id) AS g FROM s), i AS (SELECT subject, state, g, count(*) AS n FROM g GROUP BY ALL) SELECT subject, state, count(*) AS visits, {r('sum(n) / any_value(t)')} AS coverage, {r('avg(n)')} AS dwell FROM i JOIN (SELECT subject, count(*) AS t FROM s GROUP BY subject) USING (subject) GROUP BY subject, state")),

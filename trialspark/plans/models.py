@@ -63,6 +63,12 @@ def _shuffled(i):
     return stats.permuted(t, ["subject", "run"], "trial_id", "outcome", 1, 7).select("subject", "run", "trial_id", "permuted")
 
 
+def _grid(i):
+    t = i.wide.withColumn("fold", F.pmod("run", F.lit(3)))
+    p = op.grid_regression(t, ["quantity", "discount", "tax"], "price", F.col("subject") % 4 > 0, "fold", [0.01, 100.0, 10000.0], [0.0, 0.5])
+    return p.groupBy("penalty", "mix").agg(F.count("prediction").alias("n"), rounded(F.avg("prediction"), 0).alias("prediction"))
+
+
 def _elastic(i):
     p = op.elastic_net(i.wide, ["quantity", "discount", "tax"], "price", F.col("subject") % 4 > 0)
     return _round(op.regression_errors(p, ["condition"], "price", "prediction"), "r2", keep=("condition", "n"), digits=2)
@@ -94,6 +100,9 @@ QUERIES = {
     "m5_feature_intersection": (lambda i: op.feature_intersection(i.features.withColumn("value", F.when((F.col("feature") != "tax") | (F.col("subject") % 7 > 0), F.col("value"))), "subject", "feature", "value", F.col("subject") % 5 == 0), sql("features", ", t AS (SELECT subject, feature FROM features WHERE subject % 5 <> 0 AND (feature <> 'tax' OR subject % 7 > 0)) SELECT feature, count(DISTINCT subject) AS n FROM t GROUP BY feature HAVING count(DISTINCT subject) = (SELECT count(DISTINCT subject) FROM features WHERE subject % 5 <> 0)")),
     "m8_deconfound": (lambda i: _round(op.deconfound(i.wide, ["condition"], "price", "quantity", F.col("subject") % 4 > 0), "residual", keep=("subject", "trial_id"), digits=2), sql("wide", f", f AS (SELECT condition, regr_slope(price, quantity) AS b, regr_intercept(price, quantity) AS a FROM wide WHERE subject % 4 > 0 GROUP BY condition) SELECT subject, trial_id, {r('price - a - b * quantity', 2)} AS residual FROM wide JOIN f USING (condition)")),
     "m9_elastic_net": (_elastic, None),
+    "m9_grid_regression": (_grid, None),
+    "m6_principal_components": (lambda i: op.principal_components(i.wide, ["quantity", "price"], F.col("subject") % 4 > 0, 2).select("subject", "trial_id", rounded(F.abs("pc1"), 5).alias("pc1"), rounded(F.abs("pc2"), 5).alias("pc2")), sql("wide", f", s AS (SELECT avg(quantity) AS mq, stddev_samp(quantity) AS sq, avg(price) AS mp, stddev_samp(price) AS sp, CASE WHEN corr(quantity, price) < 0 THEN -1 ELSE 1 END AS d FROM wide WHERE subject % 4 > 0), z AS (SELECT subject, trial_id, (quantity - mq) / sq AS q, d * (price - mp) / sp AS p FROM wide, s) SELECT subject, trial_id, {r('abs(q + p) / sqrt(2)', 5)} AS pc1, {r('abs(q - p) / sqrt(2)', 5)} AS pc2 FROM z")),
+    "m6_best_features": (lambda i: op.best_features(i.features.where("feature <> 'price'").join(i.wide.select("subject", "trial_id", "price"), ["subject", "trial_id"]), "feature", "value", "price", F.col("subject") % 4 > 0, 50.0).select("subject", "trial_id", "feature", rounded("value").alias("value")), sql("features", f", f AS (SELECT a.*, b.price FROM features a JOIN wide b USING (subject, trial_id) WHERE feature <> 'price'), q AS (SELECT feature, power(corr(value, price), 2) AS r2 FROM f WHERE subject % 4 > 0 GROUP BY feature) SELECT subject, trial_id, feature, {r('value')} AS value FROM f WHERE feature IN (SELECT feature FROM q WHERE r2 > (SELECT quantile_cont(r2, 0.5) FROM q))")),
     "m10_forest": (_forest, None),
     "m11_balanced_logistic": (_logistic, None),
     "m13_undersample": (lambda i: op.undersample(i.trials, ["run"], "condition", ["subject", "trial_id"]).select("run", "condition", "subject", "trial_id"), sql("trials", ", n AS (SELECT run, min(n) AS n FROM (SELECT run, condition, count(*) AS n FROM trials GROUP BY ALL) GROUP BY run), k AS (SELECT *, row_number() OVER (PARTITION BY run, condition ORDER BY md5('1|' || subject || '|' || trial_id), subject, trial_id) AS k FROM trials) SELECT run, condition, subject, trial_id FROM k JOIN n USING (run) WHERE k <= n")),

@@ -95,6 +95,7 @@ QUERIES = {
     "f18_bursts": (lambda i: _round(op.bursts(i.trials, ["subject"], "outcome", "trial_id", 0.5, 2), "mean_length", "fraction", keep=("subject", "bursts")), sql("trials", f", a AS (SELECT subject, trial_id, outcome > avg(outcome) OVER w + 0.5 * stddev_pop(outcome) OVER w AS f FROM trials WINDOW w AS (PARTITION BY subject)), g AS (SELECT *, trial_id - row_number() OVER (PARTITION BY subject, f ORDER BY trial_id) AS g FROM a), i AS (SELECT subject, f, count(*) AS n FROM g GROUP BY subject, f, g) SELECT subject, count(*) FILTER (f AND n >= 2) AS bursts, {r('avg(n) FILTER (f AND n >= 2)')} AS mean_length, {r('coalesce(sum(n) FILTER (f), 0) / sum(n)')} AS fraction FROM i GROUP BY subject")),
     "f19_permutation_entropy": (lambda i: _round(op.permutation_entropy(i.trials, ["subject"], "outcome", "trial_id"), "entropy", keep=("subject",)), sql("trials", f", e AS (SELECT subject, outcome AS x, lead(outcome, 1) OVER w AS y, lead(outcome, 2) OVER w AS z FROM trials WINDOW w AS (PARTITION BY subject ORDER BY trial_id)), c AS (SELECT subject, x <= y AS a, y <= z AS b, x <= z AS c, count(*) AS n FROM e WHERE z IS NOT NULL GROUP BY ALL), p AS (SELECT subject, n / sum(n) OVER (PARTITION BY subject) AS p FROM c) SELECT subject, {r('-sum(p * ln(p)) / ln(6.0)')} AS entropy FROM p GROUP BY subject")),
     "f20_sample_entropy": (lambda i: _round(op.sample_entropy(i.trials, ["subject"], "outcome", "trial_id"), "entropy", keep=("subject", "a", "b")), sql("trials", f", e AS (SELECT subject, trial_id AS i, outcome AS x0, lead(outcome, 1) OVER w AS x1, lead(outcome, 2) OVER w AS x2, stddev_pop(outcome) OVER (PARTITION BY subject) * 0.2 AS r FROM trials WINDOW w AS (PARTITION BY subject ORDER BY trial_id)), f AS (SELECT * FROM e WHERE x2 IS NOT NULL), m AS (SELECT f.subject, count(*) FILTER (abs(f.x0 - g.x0) <= f.r AND abs(f.x1 - g.x1) <= f.r AND abs(f.x2 - g.x2) <= f.r) AS a, count(*) FILTER (abs(f.x0 - g.x0) <= f.r AND abs(f.x1 - g.x1) <= f.r) AS b FROM f JOIN f g ON f.subject = g.subject AND f.i < g.i GROUP BY f.subject) SELECT subject, a, b, CASE WHEN a > 0 AND b > 0 THEN {r('-ln(a / b)')} END AS entropy FROM m")),
+    "f20_multiscale_entropy": (lambda i: _round(op.multiscale_entropy(i.trials, ["subject"], "outcome", "trial_id", [1, 2, 3]), "entropy", keep=("subject", "scale", "a", "b")), sql("trials", f", g AS (SELECT subject, s AS scale, (trial_id - 1) // s AS i, avg(outcome) AS x FROM trials, (SELECT unnest([1, 2, 3]) AS s) GROUP BY ALL HAVING count(*) = s), e AS (SELECT subject, scale, i, x AS x0, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2, stddev_pop(x) OVER (PARTITION BY subject, scale) * 0.2 AS r FROM g WINDOW w AS (PARTITION BY subject, scale ORDER BY i)), f AS (SELECT * FROM e WHERE x2 IS NOT NULL), m AS (SELECT f.subject, f.scale, count(*) FILTER (abs(f.x0 - g.x0) <= f.r AND abs(f.x1 - g.x1) <= f.r AND abs(f.x2 - g.x2) <= f.r) AS a, count(*) FILTER (abs(f.x0 - g.x0) <= f.r AND abs(f.x1 - g.x1) <= f.r) AS b FROM f JOIN f g ON f.subject = g.subject AND f.scale = g.scale AND f.i < g.i GROUP BY ALL) SELECT subject, scale, a, b, CASE WHEN a > 0 AND b > 0 THEN {r('-ln(a / b)')} END AS entropy FROM m")),
     "f21_lempel_ziv": (lambda i: _round(op.lempel_ziv(i.samples, ["trial_id", "channel"]), "complexity", keep=("trial_id", "channel")), None),
     "f22_quality": (_quality, sql("samples", f"SELECT trial_id, channel, {r('var_pop(x)')} AS variance, {r('max(x) - min(x)')} AS ptp, 1.0::DOUBLE AS finite, {r('sqrt(avg(x * x))')} AS rms FROM samples GROUP BY ALL")),
     "f23_artifact_correlation": (_artifact, sql("samples", f", c AS (SELECT a.trial_id, a.channel, corr(a.x, b.x) AS r FROM samples a JOIN samples b ON a.trial_id = b.trial_id AND a.t = b.t AND b.channel = 7 WHERE a.channel < 7 GROUP BY ALL) SELECT trial_id, {r('avg(abs(r))')} AS mean_abs_r FROM c GROUP BY trial_id")),

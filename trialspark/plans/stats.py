@@ -119,6 +119,7 @@ QUERIES = {
     "h4_significant_edges": (lambda i: op.significant_edges(i.samples.where("condition IN (0, 1)").withColumn("c", F.col("condition").cast("string")), "channel", "x", "c", "0", "1").select("channel", "na", "nb", rounded("u").alias("u"), rounded("z").alias("z"), rounded("p").alias("p"), rounded("q").alias("q")), sql("samples", f""", k AS (SELECT *, rank() OVER (PARTITION BY channel ORDER BY x) + (count(*) OVER (PARTITION BY channel, x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY channel, x) AS ties FROM samples WHERE condition IN (0, 1)), s AS (SELECT channel, count(*) FILTER (condition = 0) AS na, count(*) FILTER (condition = 1) AS nb, sum(rk) FILTER (condition = 0) AS ra, sum(ties * ties - 1)::DOUBLE AS tie FROM k GROUP BY ALL), u AS (SELECT *, ra - na * (na + 1) / 2.0 AS u, (na + nb)::DOUBLE AS n FROM s), s2 AS (SELECT channel, na, nb, u, sign(u - na * nb / 2.0) * greatest(abs(u - na * nb / 2.0) - 0.5, 0) / sqrt(na * nb / 12.0 * ((n + 1) - tie / (n * (n - 1)))) AS z FROM u),
     p AS (SELECT *, greatest(0, 1 - (SELECT sum(exp(j * ln(2) + (2 * j + 1) * ln(greatest(abs(z) / sqrt(2), 1e-12)) - lgamma(2.0 * j + 2) + j * ln(2) + lgamma(j + 1.0))) FROM (SELECT unnest(range(200)) AS j)) * 2 / sqrt(pi()) * exp(-z * z / 2)) AS p FROM s2),
     o AS (SELECT *, row_number() OVER (ORDER BY p, channel) AS k, count(*) OVER () AS m FROM p) SELECT channel, na, nb, {r('u')} AS u, {r('z')} AS z, {r('p')} AS p, {r('least(1.0, min(p * m / k) OVER (ORDER BY p, channel ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS q FROM o""")),
+    "r1_circular_shift": (lambda i: op.shifted(i.trials.select("subject", "trial_id", "outcome"), ["subject"], "trial_id", "outcome", 3).select("subject", "trial_id", "perm", "permuted"), sql(T, ", p AS (SELECT subject, trial_id, outcome, perm, count(*) OVER (PARTITION BY subject, perm) AS n FROM trials, (SELECT unnest(range(3)) AS perm)), s AS (SELECT *, (trial_id - 1 + ('0x' || substr(md5('1|' || perm || '|' || subject), 1, 8))::BIGINT % n) % n + 1 AS place FROM p) SELECT subject, perm, place AS trial_id, outcome AS permuted FROM s")),
     "r1_permute": (lambda i: op.permuted(i.trials.select("subject", "trial_id", "outcome"), ["subject"], "trial_id", "outcome", 3).select("subject", "trial_id", "perm", "permuted"), sql(T, PERM + " SELECT subject, trial_id, perm, permuted FROM n WHERE perm < 3")),
     "r2_bootstrap_mean": (_boot, sql(T, BOOT + f", c AS (SELECT subject, boot, avg(outcome) AS m FROM b GROUP BY ALL) SELECT subject, {r('quantile_cont(m, 0.025)')} AS low, {r('quantile_cont(m, 0.975)')} AS high FROM c GROUP BY subject")),
     "r3_sign_flip": (lambda i: op.sign_flip(_flip_units(i), ["subject"], "condition", "d").select("subject", rounded("observed").alias("observed"), "extreme", rounded("p").alias("p")), sql(T, f", u AS (SELECT subject, condition, avg(outcome) - 49 AS d FROM trials GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY condition) - 1 AS place, count(*) OVER (PARTITION BY subject) AS size FROM u), s AS (SELECT subject, pat, avg((1 - 2 * ((pat >> place) & 1)) * d) AS stat FROM p, (SELECT unnest(range(4096)) AS pat) WHERE pat < (1 << size::INT) GROUP BY ALL), o AS (SELECT subject, stat AS observed FROM s WHERE pat = 0) SELECT subject, {r('any_value(observed)')} AS observed, count(*) FILTER (abs(stat) >= abs(observed) - 1e-12) AS extreme, {r('(count(*) FILTER (abs(stat) >= abs(observed) - 1e-12) + 1) / (count(*) + 1)')} AS p FROM s JOIN o USING (subject) GROUP BY subject")),

@@ -72,6 +72,14 @@ def _significance(i):
     return op.generalisation_significance(observed, null).select("train", "test", rounded("p").alias("p"), rounded("q").alias("q"), "max_stat")
 
 
+def _generalisation_clusters(i):
+    nine = lambda t: t.withColumn("r", F.round("r", 9))
+    observed = op.time_generalisation(_windows(i), [], "subject", "window", ["x"], "y", ALPHA)
+    null = op.time_generalisation(_shuffled_windows(i, 10), ["perm"], "subject", "window", ["x"], "y", ALPHA)
+    found = op.generalisation_clusters(nine(observed), nine(null), 0.4)
+    return found.select((F.col("label.train") * 1000 + F.col("label.test")).cast("int").alias("label"), "n", "significant")
+
+
 # sums of the other groups, about no mean: the columns are small
 REST = """, o AS (SELECT subject, count(*)::DOUBLE AS n, sum(predictor) AS sx, sum(outcome) AS sy, sum(predictor * predictor) AS sxx, sum(predictor * outcome) AS sxy FROM trials GROUP BY subject),
     t AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM o),
@@ -112,6 +120,11 @@ QUERIES = {
     "m27_generalisation_significance": (_significance, sql("samples", TG + """, m AS (SELECT quantile_cont(m, 0.95) AS top FROM (SELECT max(abs(r)) AS m FROM g WHERE perm >= 0 GROUP BY perm)),
     p AS (SELECT o.train, o.test, any_value(o.r) AS o, (count(*) FILTER (abs(g.r) >= abs(o.r) - 1e-12) + 1) / (count(g.r) + 1) AS p FROM g JOIN g o ON o.perm = -1 AND g.train = o.train AND g.test = o.test WHERE g.perm >= 0 GROUP BY ALL),
     h AS (SELECT *, row_number() OVER (ORDER BY p, train, test) AS k, count(*) OVER () AS m FROM p)""" + f" SELECT train, test, {r('p')} AS p, {r('least(1.0, min(p * m / k) OVER (ORDER BY p, train, test ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS q, abs(o) >= (SELECT top FROM m) AS max_stat FROM h")),
+    "m27_generalisation_clusters": (_generalisation_clusters, sql("samples", TG + """, h AS (SELECT perm, train, test, round(r, 9) AS r FROM g), n AS (SELECT perm, train AS a, test AS b FROM h WHERE abs(r) >= (SELECT quantile_cont(abs(r), 0.6) FROM h WHERE perm >= 0)),
+    reach AS (SELECT perm, a, b, a AS a2, b AS b2 FROM n UNION SELECT q.perm, q.a, q.b, n.a, n.b FROM reach q JOIN n ON n.perm = q.perm AND abs(n.a - q.a2) + abs(n.b - q.b2) = 1),
+    lab AS (SELECT perm, a, b, min(a2 * 1000 + b2)::INT AS l FROM reach GROUP BY ALL), size AS (SELECT perm, l, count(*) AS n FROM lab GROUP BY ALL),
+    top AS (SELECT quantile_cont(coalesce(m, 0), 0.95) AS top FROM (SELECT DISTINCT perm FROM g WHERE perm >= 0) LEFT JOIN (SELECT perm, max(n) AS m FROM size GROUP BY perm) USING (perm))
+    SELECT l AS label, n, n >= top AS significant FROM size, top WHERE perm = -1""").replace("WITH ", "WITH RECURSIVE ", 1)),
     "m29_regression_run": (lambda i: _round(models.subject_level_r(_loso(i), "subject", "outcome", "prediction"), "r", "low", "high", keep=("n_subjects",)), sql("trials", REST + f", c AS (SELECT subject, atanh(greatest(-0.999999, least(0.999999, corr(outcome, guess)))) AS z FROM p GROUP BY subject HAVING count(*) >= 3), s AS (SELECT count(*) AS n, avg(z) AS z, stddev_samp(z) / sqrt(count(*)) AS se FROM c) SELECT n AS n_subjects, {r('tanh(z)')} AS r, {r('tanh(z - 1.96 * se)')} AS low, {r('tanh(z + 1.96 * se)')} AS high FROM s")),
     "m29_within_subject_run": (_within, sql("trials", f", u AS (SELECT DISTINCT subject, run FROM trials), l AS (SELECT u.subject, u.run, CASE WHEN var_pop(predictor) > 0 THEN regr_slope(outcome, predictor) ELSE 0 END * count(*) / (count(*) + 10) AS b, avg(outcome) AS my, avg(predictor) AS mx FROM u JOIN trials t ON t.subject = u.subject AND t.run <> u.run GROUP BY ALL), p AS (SELECT t.*, my + b * (predictor - mx) AS guess FROM trials t LEFT JOIN l USING (subject, run)) SELECT subject, count(guess) AS n, {r('avg(abs(outcome - guess))')} AS mae, {r('sqrt(avg(power(outcome - guess, 2)))')} AS rmse, {r('1 - sum(power(outcome - guess, 2)) / nullif(var_pop(outcome) * count(outcome), 0)')} AS r2 FROM p GROUP BY subject")),
 }
