@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Inputs
 
-SECTIONS = ("stats", "signal", "models", "extended", "clusters", "states", "validation", "groups", "names", "align", "windows")
+SECTIONS = ("stats", "signal", "models", "extended", "clusters", "curves", "states", "validation", "groups", "names", "align", "windows")
 
 
 def _entries() -> dict:
