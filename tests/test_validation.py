@@ -421,3 +421,15 @@ def test_components_match_a_decomposition(spark):
     want = np.abs(z @ vectors[:, ::-1][:, :2])
     got = {(r.g, r.i): (abs(r.pc1), abs(r.pc2)) for r in models.principal_components(spark.createDataFrame(data, SCHEMA), ["a", "b", "y"], F.col("g") < 4, 2).collect()}
     assert all(got[r[0], r[1]] == pytest.approx(tuple(want[k]), abs=1e-8) for k, r in enumerate(data))
+
+
+def test_connectivity_states_find_planted_windows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, w, e, float((e == w % 2) * scale + rng.normal() * 0.01 * scale)) for g in range(4) for w in range(10) for e, scale in ((0, 1.0), (1, 1000.0))]
+    df = spark.createDataFrame(rows, "g int, w int, edge int, v double")
+    got = extended.connectivity_states(df, ["g"], ["w"], "edge", [0, 1], "v", 2).collect()
+    assert len(got) == 40 and all(r.place == r.w + 1 for r in got)
+    state = {(r.g, r.w): r.state for r in got}
+    assert all(state[g, w] == state[0, w % 2] for g, w in state) and state[0, 0] != state[0, 1]
+    m = {r.g: (r.switching, r.entropy) for r in extended.state_switching(extended.connectivity_states(df, ["g"], ["w"], "edge", [0, 1], "v", 2), ["g"], "place", "state").collect()}
+    assert m[0] == pytest.approx((1.0, math.log(2)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,10 +144,20 @@ def state_metrics(df: DataFrame, keys: list[str], order: str, state: str) -> Dat
     return runs.withColumn("__t", total).groupBy(*keys, F.col("flag").alias("state")).agg((F.sum("n") / F.first("__t")).alias("coverage"), F.avg("n").alias("dwell"), F.count(F.lit(1)).alias("visits"))
 
 
-def cluster_states(df: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """k-means state of each row's vector."""
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df)
-    return KMeans(k=k, seed=1, maxIter=20).fit(rows).transform(rows).withColumnRenamed("prediction", "state").drop("features")
+def cluster_states(df: DataFrame, columns: list[str], k: int, scaled: bool = False, seed: int = 1) -> DataFrame:
+    """k-means state of each row's vector, its columns scaled to one spread if asked; rows with a null go."""
+    rows = VectorAssembler(inputCols=columns, outputCol="__raw", handleInvalid="skip").transform(df)
+    rows = StandardScaler(inputCol="__raw", outputCol="__features", withMean=True).fit(rows).transform(rows) if scaled else rows.withColumnRenamed("__raw", "__features")
+    return KMeans(featuresCol="__features", k=k, seed=seed, maxIter=20).fit(rows).transform(rows).withColumnRenamed("prediction", "state").drop("__features", "__raw")
+
+
+def connectivity_states(windows: DataFrame, keys: list[str], order: list[str], edge: str, edges: list, value: str, k: int) -> DataFrame:
+    """State of each window from the vector of its edges' values (a null is 0), by k-means over the scaled vectors of all windows:
+    ``keys, order, state`` and the window's ``place`` in the sequence of its keys. ``edges`` is the fixed list of edges."""
+    wide = windows.groupBy(*keys, *order).pivot(edge, edges).agg(F.first(value)).na.fill(0.0, [str(e) for e in edges])
+    named = wide.select(*keys, *order, *(F.col(f"`{e}`").alias(f"__e{j}") for j, e in enumerate(edges)))
+    states = cluster_states(named, [f"__e{j}" for j in range(len(edges))], k, scaled=True)
+    return states.select(*keys, *order, "state", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("place"))
 
 
 def cv_plus(test: DataFrame, residuals: DataFrame, alpha: float) -> DataFrame:

@@ -55,6 +55,13 @@ def _kmeans(i):
     return s.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _window_states(i):
+    w = signal.phase_connectivity(i.analytic.withColumn("w", F.floor(F.col("t") / 4).cast("int")), ["subject", "trial_id", "w"])
+    edges = w.select("subject", "trial_id", "w", F.concat("a", F.lit("_"), "b").alias("edge"), "wpli")
+    s = op.connectivity_states(edges, ["subject"], ["trial_id", "w"], "edge", [f"{a}_{b}" for a in range(4) for b in range(a + 1, 4)], "wpli", 3)
+    return _round(op.state_switching(s, ["subject"], "place", "state"), "switching", "entropy", keep=("subject", "n"))
+
+
 def _cv(i):
     t = i.trials.select(F.concat_ws("-", "subject", "trial_id").alias("row"), (F.col("trial_id") % 4).alias("fold"), F.col("predictor").alias("prediction"), F.abs(F.col("outcome") - F.col("predictor")).alias("residual"))
     return _round(op.cv_plus(t.select("row", "fold", "prediction"), t.select("fold", "residual"), 0.1), "low", "high", keep=("row",))
@@ -68,6 +75,7 @@ QUERIES = {
     "f44_source_connectivity": (lambda i: _round(signal.envelope_correlation(i.analytic.withColumn("channel", F.concat(F.lit("roi"), "channel")), ["subject", "trial_id"]), "aec", keep=("trial_id", "a", "b")), sql("analytic", CROSS + f" SELECT trial_id, 'roi' || a AS a, 'roi' || b AS b, {r('atanh(greatest(-0.999999, least(0.999999, corr(sqrt(pa), sqrt(pb)))))')} AS aec FROM p GROUP BY ALL")),
     "f27_state_metrics": (_states, sql("trials", f", s AS (SELECT subject, trial_id, least(floor(outcome / 40), 2)::INT AS state FROM trials), g AS (SELECT *, trial_id - row_number() OVER (PARTITION BY subject, state ORDER BY trial_id) AS g FROM s), i AS (SELECT subject, state, g, count(*) AS n FROM g GROUP BY ALL) SELECT subject, state, count(*) AS visits, {r('sum(n) / any_value(t)')} AS coverage, {r('avg(n)')} AS dwell FROM i JOIN (SELECT subject, count(*) AS t FROM s GROUP BY subject) USING (subject) GROUP BY subject, state")),
     "f27_switching": (lambda i: _round(op.state_switching(_state_rows(i), ["subject"], "trial_id", "state"), "switching", "entropy", keep=("subject", "n")), sql("trials", STATES + f", l AS (SELECT subject, state, lag(state) OVER (PARTITION BY subject ORDER BY trial_id) AS was FROM s), e AS (SELECT subject, -sum(p * ln(p)) AS e FROM (SELECT subject, count(*) / sum(count(*)) OVER (PARTITION BY subject) AS p FROM s GROUP BY subject, state) GROUP BY subject) SELECT subject, count(*) AS n, {r('count(*) FILTER (was <> state) / nullif(count(*) - 1, 0)')} AS switching, {r('any_value(e)')} AS entropy FROM l JOIN e USING (subject) GROUP BY subject")),
+    "f27_connectivity_states": (_window_states, None),
     "f39_transitions": (lambda i: _round(op.state_transitions(_state_rows(i), ["subject"], "trial_id", "state"), "share", keep=("subject", "from_state", "to_state", "n")), sql("trials", STATES + f", l AS (SELECT subject, state, lead(state) OVER (PARTITION BY subject ORDER BY trial_id) AS nx FROM s), c AS (SELECT subject, state AS from_state, nx AS to_state, count(*) AS n FROM l WHERE nx <> state GROUP BY ALL) SELECT subject, from_state, to_state, n, {r('n / sum(n) OVER (PARTITION BY subject, from_state)')} AS share FROM c")),
     "f38_sharpness": (lambda i: _round(op.sharpness_ratio(i.dims, ["trial_id"], "dim", "x", 2), "sharpness", keep=("trial_id", "n")), sql("dims", f", b AS (SELECT trial_id, x, lag(x) OVER w AS p, lead(x) OVER w AS q, abs(x - lag(x, 2) OVER w) + abs(x - lead(x, 2) OVER w) AS sh FROM dims WINDOW w AS (PARTITION BY trial_id ORDER BY dim)) SELECT trial_id, count(*) AS n, {r('ln(avg(sh) FILTER (x > p AND x > q) / avg(sh) FILTER (x < p AND x < q))')} AS sharpness FROM b GROUP BY trial_id")),
     "f39_cluster_states": (_kmeans, None),
