@@ -6,6 +6,7 @@ classes, a runs test around the alphabet's middle and a lag-one serial correlati
 that is small for random strings (chi-squared with four degrees of freedom). A token becomes a finding when randomness is not
 rejected and the expected share of false findings is small: the rate at which ordinary long words of the same length class
 score as low, taken over the whole corpus, is the null distribution for a Benjamini-Hochberg cut per class.
+Tokens of letters only are those words: they are the null sample and never findings, however random they look.
 """
 
 from __future__ import annotations
