@@ -94,6 +94,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in packed sequences."""
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of the anchor vectors, every fiftieth; each seventh label is first moved on by one."""
     from .hard_negatives import hard_negatives
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_piece_scan": op10_piece_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op12_packing": op12_packing,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
