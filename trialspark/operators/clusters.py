@@ -96,23 +96,6 @@ def largest_cluster(cells: DataFrame, keys: list[str], axes: list[str], stat: st
     return node.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").alias("n"))
 
 
-def peak_runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Runs of positive values as peaks: ``center`` and ``height`` of the greatest value (of equal ones the first) and the run's width."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    up = F.col(value) > 0
-    change = F.when(F.lag(up).over(w).eqNullSafe(up), 0).otherwise(1)
-    runs = df.withColumn("__up", up).withColumn("__change", change).withColumn("__run", F.sum("__change").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__up")
-    s = runs.groupBy(*keys, "__run").agg(F.max_by(order, F.struct(F.col(value), -F.col(order))).alias("center"), F.max(value).alias("height"), (F.max(order) - F.min(order)).alias("width"))
-    return s.drop("__run")
-
-
-def band_peak(peaks: DataFrame, keys: list[str], f0: float, f1: float, least_width: float = 0.5) -> DataFrame:
-    """Highest peak whose centre lies in a closed band; of equal ones the lowest centre. Widths have a floor."""
-    best = F.max_by(F.struct("center", "height", "width"), F.struct(F.col("height"), -F.col("center")))
-    s = peaks.where(F.col("center").between(f0, f1)).groupBy(*keys).agg(best.alias("__p"))
-    return s.select(*keys, "__p.center", "__p.height", F.greatest("__p.width", F.lit(least_width)).alias("width"))
-
-
 def laterality(df: DataFrame, keys: list[str], t: str, value: str, onset: float, rebound: float, latency: float, least: int) -> DataFrame:
     """Desynchronisation of a percent trace: trough, its magnitude, the first sustained run at or under ``-onset``, and the rebound
     from ``latency`` after the trough on, given only where a run of ``least`` samples reaches ``rebound``."""

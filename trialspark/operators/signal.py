@@ -51,18 +51,6 @@ def spectral_shape(psd: DataFrame, keys: list[str]) -> DataFrame:
     return s.withColumn("bandwidth", F.sqrt(F.greatest(F.col("square") - F.col("centre") * F.col("centre"), F.lit(0.0)))).drop("square")
 
 
-def aperiodic(psd: DataFrame, keys: list[str], rounds: int = 2, z: float = 3.5) -> DataFrame:
-    """Log-log line with rounds of peak rejection: bins whose residual lies over the median by ``z`` scaled MADs are left out."""
-    kept = psd.where("power > 0").withColumn("lf", F.log10("freq")).withColumn("lp", F.log10("power"))
-    for _ in range(rounds):
-        w = Window.partitionBy(*keys)
-        line = kept.groupBy(*keys).agg(F.regr_slope("lp", "lf").alias("b"), F.regr_intercept("lp", "lf").alias("a"))
-        rest = kept.join(line, keys).withColumn("res", F.col("lp") - F.col("a") - F.col("b") * F.col("lf"))
-        rest = rest.withColumn("m", F.median("res").over(w)).withColumn("mad", F.median(F.abs(F.col("res") - F.col("m"))).over(w))
-        kept = rest.where(F.col("res") - F.col("m") <= z * 1.4826 * F.col("mad")).drop("a", "b", "res", "m", "mad")
-    return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_intercept("lp", "lf").alias("offset"), (-F.regr_slope("lp", "lf")).alias("exponent"), F.regr_r2("lp", "lf").alias("r2"))
-
-
 def residual_spectrum(psd: DataFrame, keys: list[str]) -> DataFrame:
     """log10 power less the fitted line."""
     x = psd.where("power > 0").withColumn("lf", F.log10("freq")).withColumn("lp", F.log10("power"))
@@ -70,12 +58,6 @@ def residual_spectrum(psd: DataFrame, keys: list[str]) -> DataFrame:
     return x.join(line, keys).withColumn("residual", F.col("lp") - F.col("a") - F.col("b") * F.col("lf"))
 
 
-def peak_frequency(psd: DataFrame, keys: list[str], f0: float, f1: float) -> DataFrame:
-    """Frequency of the greatest residual in a band, and its height."""
-    band = residual_spectrum(psd, keys).where(F.col("freq").between(f0, f1))
-    return band.groupBy(*keys).agg(F.max(F.struct("residual", -F.col("freq"))).alias("p")).select(*keys, (-F.col("p.col2")).alias("peak_freq"), F.col("p.residual").alias("height"))
-
-
 def global_field_power(samples: DataFrame) -> DataFrame:
     return samples.groupBy("trial_id", "t").agg(F.stddev_pop("x").alias("gfp"))
 
@@ -257,12 +239,3 @@ def lempel_ziv(samples: DataFrame, keys: list[str]) -> DataFrame:
     rows = samples.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "x"))), lambda s: s["x"]).alias("x"))
     fields = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
     return rows.mapInPandas(batches, f"{fields}, complexity double")
-
-
-def fold_peak(psd: DataFrame, fold: str, low: float, high: float) -> DataFrame:
-    """Frequency of greatest mean power in ``[low, high]`` for each held-out fold, from the rows of all other folds."""
-    own = psd.where(F.col("freq").between(low, high)).groupBy(fold, "freq").agg(F.sum("power").alias("s"), F.count("power").alias("n"))
-    total = own.groupBy("freq").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    every = own.select(fold).distinct().crossJoin(total)  # folds times bins of one band
-    rest = every.join(own, [fold, "freq"], "left").withColumn("mean", F.try_divide(F.col("ts") - F.coalesce("s", F.lit(0.0)), F.col("tn") - F.coalesce("n", F.lit(0))))
-    return rest.where("mean IS NOT NULL").groupBy(fold).agg(F.max_by("freq", F.struct("mean", -F.col("freq"))).alias("peak"))

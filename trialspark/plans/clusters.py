@@ -65,11 +65,6 @@ def _voxels(i):
     return op.voxel_clusters(t, ["condition"], "t", 3, z_cut=0.8).select("condition", "x", "y", "z_axis", rounded("t").alias("t"), "cluster_size")
 
 
-def _peaks(i):
-    runs = op.peak_runs(signal.residual_spectrum(i.psd, ["trial_id"]), ["trial_id"], "freq", "residual")
-    return _round(op.band_peak(runs, ["trial_id"], 8.0, 30.0), "center", "height", "width", keep=("trial_id",))
-
-
 def _laterality(i):
     contra = i.samples.where((F.col("channel") >= 4) == (F.col("condition") % 2 == 0)).groupBy("trial_id", "t").agg(F.avg(F.col("x") * F.col("x")).alias("power"))
     trace = win.baseline_correct(contra, "power", ["trial_id"], F.col("t") < 0, "percent").where("t >= 0")
@@ -105,8 +100,6 @@ QUERIES = {
     "k3_two_condition_test": (_two_condition, _recursive("samples", T_CELLS + REACH + MASS_P + f" SELECT s::INT AS sign, l AS label, n, {r('mass')} AS mass, {r('(e + 1) / 11.0::DOUBLE')} AS p FROM o")),
     "i21_voxel_clusters": (_voxels, _recursive("voxels", """, n AS (SELECT condition, voxel % 4 AS x, voxel // 4 % 4 AS y, voxel // 16 AS z, avg(value) * sqrt(count(*)) / stddev_samp(value) AS t FROM voxels GROUP BY condition, voxel HAVING abs(avg(value) * sqrt(count(*)) / stddev_samp(value)) >= 0.8),
     reach AS (SELECT condition, x, y, z, x AS x2, y AS y2, z AS z2 FROM n UNION SELECT q.condition, q.x, q.y, q.z, n.x, n.y, n.z FROM reach q JOIN n ON n.condition = q.condition AND abs(n.x - q.x2) + abs(n.y - q.y2) + abs(n.z - q.z2) = 1)""" + f" SELECT n.condition, n.x::INT AS x, n.y::INT AS y, n.z::INT AS z_axis, {r('any_value(t)')} AS t, count(*) AS cluster_size FROM n JOIN reach q ON n.condition = q.condition AND n.x = q.x AND n.y = q.y AND n.z = q.z GROUP BY n.condition, n.x, n.y, n.z HAVING count(*) >= 3")),
-    "f8_periodic_peaks": (_peaks, sql("psd", """, l AS (SELECT trial_id, freq, log10(freq) AS lf, log10(power) AS lp FROM psd WHERE power > 0), f AS (SELECT trial_id, regr_slope(lp, lf) AS b, regr_intercept(lp, lf) AS a FROM l GROUP BY trial_id), e AS (SELECT trial_id, freq, lp - a - b * lf AS e, row_number() OVER (PARTITION BY trial_id ORDER BY freq) AS k FROM l JOIN f USING (trial_id)),
-    g AS (SELECT *, k - row_number() OVER (PARTITION BY trial_id ORDER BY freq) AS g FROM e WHERE e > 0), p AS (SELECT trial_id, arg_max(freq, e) AS center, max(e) AS height, max(freq) - min(freq) AS width FROM g GROUP BY trial_id, g.g)""" + f" SELECT trial_id, {r('center')} AS center, {r('height')} AS height, {r('greatest(width, 0.5)')} AS width FROM p WHERE center BETWEEN 8 AND 30 QUALIFY row_number() OVER (PARTITION BY trial_id ORDER BY height DESC, center) = 1")),
     "f13_laterality": (_laterality, sql("samples", """, c AS (SELECT trial_id, t, avg(x * x) AS p FROM samples WHERE (channel >= 4) = (condition % 2 = 0) GROUP BY ALL), b AS (SELECT trial_id, t, 100 * (p / (avg(p) FILTER (t < 0) OVER (PARTITION BY trial_id)) - 1) AS v FROM c), a AS (SELECT * FROM b WHERE t >= 0),
     k AS (SELECT trial_id, arg_min(t, v) AS pt, greatest(-min(v), 0) AS mag FROM a GROUP BY trial_id),
     o AS (SELECT trial_id, min(t) AS onset FROM (SELECT trial_id, t, v, lead(v) OVER (PARTITION BY trial_id ORDER BY t) AS nx FROM a) WHERE v <= -20 AND nx <= -20 GROUP BY trial_id),

@@ -77,15 +77,11 @@ def _comodulogram(i):
 PAC = "SELECT x.trial_id, x.channel AS phase, y.channel AS amplitude, sum(sqrt(y.re * y.re + y.im * y.im) * x.c) AS c, sum(sqrt(y.re * y.re + y.im * y.im) * x.s) AS s, sum(sqrt(y.re * y.re + y.im * y.im)) AS m, count(*) AS n FROM u x JOIN analytic y ON x.trial_id = y.trial_id AND x.t = y.t"
 
 QUERIES = {
-    "f10_fold_peak": (lambda i: op.fold_peak(i.psd, "subject", 8.0, 13.0), sql("psd", ", f AS (SELECT DISTINCT subject FROM psd), m AS (SELECT f.subject, freq, avg(power) AS m FROM f JOIN psd ON psd.subject <> f.subject WHERE freq BETWEEN 8 AND 13 GROUP BY ALL) SELECT subject, arg_max(freq, m) AS peak FROM m GROUP BY subject")),
     "f1_welch": (lambda i: op.welch(i.samples, ["trial_id", "channel"], 8.0, 4).groupBy("trial_id", "freq").agg(rounded(F.avg("power")).alias("power")), None),
     "f2_analytic_band": (lambda i: op.analytic_band(i.samples, ["trial_id", "channel"], 8.0, 1.0, 3.0).select("trial_id", "channel", "sample_idx", rounded("re").alias("re"), rounded("im").alias("im")), None),
     "f3_band_power": (lambda i: _round(op.band_power(i.psd, band_table(i.spark), ["trial_id"]), "power", keep=("trial_id", "band")), sql("psd", BP + f" SELECT trial_id, band, {r('power')} AS power FROM p")),
     "f4_relative_power": (lambda i: _round(op.relative_power(_tfr_segments(i), ["trial_id", "freq"], "segment", "base"), "logratio", "db", "log10raw", keep=("trial_id", "freq", "segment")), sql("tfr", f", m AS (SELECT trial_id, freq, greatest(avg(power) FILTER (t < 0), 1e-20) AS b, greatest(avg(power) FILTER (t >= 0 AND t < 0.375), 1e-20) AS p FROM tfr GROUP BY ALL) SELECT trial_id, freq, 'early' AS segment, {r('log10(p / b)')} AS logratio, {r('10 * log10(p / b)')} AS db, {r('log10(p)')} AS log10raw FROM m")),
     "f5_spectral_shape": (lambda i: _round(op.spectral_shape(i.psd, ["trial_id"]), "centre", "edge", "entropy", "bandwidth", keep=("trial_id",)), sql("psd", f", m AS (SELECT *, power * (CASE WHEN freq IN (1, 64) THEN 1.0 ELSE 1.0 END) AS m, sum(power) OVER (PARTITION BY trial_id) AS s, sum(power) OVER (PARTITION BY trial_id ORDER BY freq) AS acc FROM psd) SELECT trial_id, {r('sum(freq * power / s)')} AS centre, {r('min(freq) FILTER (acc >= 0.95 * s)')} AS edge, {r('-sum(power / s * ln(power / s)) / ln(64)')} AS entropy, {r('sqrt(sum(freq * freq * power / s) - power(sum(freq * power / s), 2))')} AS bandwidth FROM m GROUP BY trial_id")),
-    "f6_peak_frequency": (lambda i: _round(op.peak_frequency(i.psd, ["trial_id"], 8.0, 20.0), "peak_freq", "height", keep=("trial_id",)), sql("psd", f", l AS (SELECT trial_id, freq, log10(freq) AS lf, log10(power) AS lp FROM psd WHERE power > 0), f AS (SELECT trial_id, regr_slope(lp, lf) AS b, regr_intercept(lp, lf) AS a FROM l GROUP BY trial_id), q AS (SELECT trial_id, freq, lp - a - b * lf AS res FROM l JOIN f USING (trial_id) WHERE freq BETWEEN 8 AND 20) SELECT trial_id, {r('freq')} AS peak_freq, {r('res')} AS height FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY res DESC, freq) AS k FROM q) WHERE k = 1")),
-    "f7_aperiodic": (lambda i: _round(op.aperiodic(i.psd, ["trial_id"], 1), "offset", "exponent", "r2", keep=("trial_id", "n")), sql("psd", f", l AS (SELECT trial_id, log10(freq) AS lf, log10(power) AS lp FROM psd WHERE power > 0), f AS (SELECT trial_id, regr_slope(lp, lf) AS b, regr_intercept(lp, lf) AS a FROM l GROUP BY trial_id), q AS (SELECT l.*, lp - a - b * lf AS res FROM l JOIN f USING (trial_id)), m AS (SELECT *, median(res) OVER (PARTITION BY trial_id) AS m FROM q), d AS (SELECT *, median(abs(res - m)) OVER (PARTITION BY trial_id) AS mad FROM m) SELECT trial_id, count(*) AS n, {r('regr_intercept(lp, lf)')} AS \"offset\", {r('-regr_slope(lp, lf)')} AS exponent, {r('regr_r2(lp, lf)')} AS r2 FROM d WHERE res - m <= 3.5 * 1.4826 * mad GROUP BY trial_id")),
-    "f9_subject_alpha": (lambda i: _round(op.peak_frequency(i.psd.groupBy("subject", "freq").agg(F.avg("power").alias("power")), ["subject"], 8.0, 13.0), "peak_freq", "height", keep=("subject",)), sql("psd", f", g AS (SELECT subject, freq, avg(power) AS power FROM psd GROUP BY ALL), l AS (SELECT subject, freq, log10(freq) AS lf, log10(power) AS lp FROM g), f AS (SELECT subject, regr_slope(lp, lf) AS b, regr_intercept(lp, lf) AS a FROM l GROUP BY subject), q AS (SELECT subject, freq, lp - a - b * lf AS res FROM l JOIN f USING (subject) WHERE freq BETWEEN 8 AND 13) SELECT subject, {r('freq')} AS peak_freq, {r('res')} AS height FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY res DESC, freq) AS k FROM q) WHERE k = 1")),
     "f11_erp": (_erp, sql("samples", f", b AS (SELECT *, x - avg(x) FILTER (t < 0) OVER (PARTITION BY trial_id, channel) AS c FROM samples) SELECT trial_id, channel, {r('avg(c)')} AS mean, {r('max(c)')} AS peak, {r('min(c)')} AS trough FROM b WHERE t >= 0 GROUP BY ALL")),
     "f12_erds": (_erds, sql("tfr", f", b AS (SELECT *, 100 * (power / avg(power) FILTER (t < 0) OVER (PARTITION BY trial_id, freq) - 1) AS c FROM tfr) SELECT trial_id, freq, {r('avg(c)', 3)} AS erds, {r('regr_slope(c, t)', 2)} AS slope FROM b WHERE t >= 0 GROUP BY ALL")),
     "f14_band_ratios": (_ratios, sql("psd", BP + f", q AS (SELECT trial_id, max(power) FILTER (band = 'low') AS l, max(power) FILTER (band = 'high') AS h FROM p GROUP BY trial_id) SELECT trial_id, {r('l / h')} AS ratio, {r('ln(l / h)')} AS log_ratio FROM q")),
