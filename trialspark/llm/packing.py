@@ -17,6 +17,7 @@ so small pieces don't need a round each.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,23 +42,39 @@ END_ID = 2
 #: Pieces and rooms in a range, about.
 RANGE_ROWS = 1 << 17
 #: Texts are encoded in groups of about so many bytes.
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 24
 #: Longer units are encoded each time they occur.
 MEMO_BYTES = 64
+#: Distinct units are encoded in strings of about so many bytes.
+JOINT_BYTES = 1 << 16
 #: White space other than the six bytes: a cut at a space is not safe there, such texts are encoded in one piece.
 ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
+#: Class of a byte: 1 white space, 2 letter, 3 digit, 4 another ASCII sign, 0 a part of any other character or a control character.
+WHITE, APOSTROPHE = 1, ord("'")
+KIND = np.zeros(256, np.uint8)
+KIND[33:127] = 4
+KIND[48:58] = 3
+KIND[65:91] = KIND[97:123] = 2
+KIND[SPACE] = WHITE
+
 
 class ByteIds:
     """Ids of whole texts for a byte-level BPE file, each followed by the end id.
 
-    A text is cut before white space that follows something else. A cut there is a boundary of the pre-tokenizer whatever stands
-    around it, so each distinct unit is encoded once.
+    A text is cut before white space that follows something else and where its ASCII letters, digits and signs change, but not
+    after an apostrophe. A cut there is a boundary of the pre-tokenizer whatever stands around it, so each distinct unit is
+    encoded once. Texts with other white space or the string of an added token are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
         self.library, self.end_id = bpe_library(path), end_id
         self.memo = Memo(self._whole)
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a letter a byte
+        self.whole = "|".join([ODD_SPACE, *added])
 
     def _whole(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
@@ -69,10 +86,11 @@ class ByteIds:
         at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         letters = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8)
         at -= at[0]
-        space = SPACE[letters]
+        kind = KIND[letters]
         begins = np.zeros(len(letters) + 1, bool)
-        begins[1:-1] = space[1:] & ~space[:-1]
-        for k in np.flatnonzero(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)):
+        before, after = kind[:-1], kind[1:]
+        begins[1:-1] = (before != after) & (before > 0) & (after > 0) & (before != WHITE) & (letters[:-1] != APOSTROPHE) | (after == WHITE) & (before != WHITE)
+        for k in np.flatnonzero(pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)):
             begins[at[k] : at[k + 1]] = False
         begins[at[:-1][np.diff(at) > 0]] = True
         starts = np.flatnonzero(begins[:-1])
@@ -85,14 +103,38 @@ class ByteIds:
         return flat, np.diff(np.append(0, np.cumsum(sizes))[ends], prepend=0)
 
     def _unit_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct units: short ones are remembered."""
-        short = pc.less_equal(pc.binary_length(units), MEMO_BYTES).to_numpy(zero_copy_only=False)
-        lists = np.empty(len(units), object)
+        """Ids of distinct units.
+
+        Units from white space to something else may follow each other without changing: they are encoded in long strings and told
+        apart by the bytes that each id stands for. The few others are encoded one by one, short ones remembered.
+        """
+        ends = np.cumsum(pc.binary_length(units).to_numpy().astype(np.int64))
+        letters = np.frombuffer(b"".join(units.cast(pa.binary()).to_pylist()), np.uint8) if len(units) else np.zeros(0, np.uint8)
+        starts = np.append(0, ends)[:-1]
+        joint = (KIND[letters[starts]] == WHITE) & (KIND[letters[ends - 1]] != WHITE)
+        flat, sizes = self._joint_ids(units.filter(pa.array(joint)))
+        others = units.filter(pa.array(~joint))
+        short = pc.less_equal(pc.binary_length(others), MEMO_BYTES).to_numpy(zero_copy_only=False)
+        lists = np.empty(len(others), object)
         for some, encode in ((short, self.memo.lookup), (~short, self._whole)):
             if some.any():
-                lists[some] = np.fromiter(encode(units.filter(pa.array(some)).to_pylist()), object, int(some.sum()))
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+                lists[some] = np.fromiter(encode(others.filter(pa.array(some)).to_pylist()), object, int(some.sum()))
+        more = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(more.sum()))])
+        order = np.argsort(np.concatenate([np.flatnonzero(joint), np.flatnonzero(~joint)]), kind="stable")
+        return _gathered(flat, np.concatenate([sizes, more]), order[:, None])
+
+    def _joint_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole = b"".join(units.cast(pa.binary()).to_pylist())
+        ends = np.cumsum(pc.binary_length(units).to_numpy().astype(np.int64))
+        cuts = np.unique(np.append(0, ends[np.searchsorted(ends, np.arange(JOINT_BYTES, len(whole) + JOINT_BYTES, JOINT_BYTES)).clip(max=len(ends) - 1)])) if len(ends) else np.zeros(1, np.int64)
+        texts = [whole[a:b].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]])
+        at = np.cumsum(self.width[ids])
+        last = np.searchsorted(at, ends)
+        if len(ends) and (len(at) <= last[-1] or (at[last] != ends).any()):
+            raise ValueError("the tokenizer file joins words across white space")
+        return ids, np.diff(last, prepend=-1)
 
 
 @lru_cache(maxsize=2)
