@@ -64,6 +64,14 @@ def row_key(docs: DataFrame, *columns: str) -> Column:
     return F.concat_ws(":", F.sha2(text.cast("binary"), 256), F.to_json(F.array(*short), {"ignoreNullFields": "false"}))
 
 
+def unused(name: str, taken: Sequence[str]) -> str:
+    """``name``, with as many underscores in front as make it differ from all of ``taken`` (Spark takes no notice of case)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def crc32_text(column: Column) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialise, row_key
+from ._common import WORD, materialise, row_key, unused
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -220,12 +220,22 @@ def plan_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def mix(docs: DataFrame, *, id_col: str = "doc_id", shard_col: str = "shard", **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it, with its shard, shuffled inside the shard.
 
-    Partition k holds shard k, so a written result has a file for each shard. Rows are known by id, source and text together,
-    so ids may be null or repeated; only rows that repeat all three would each get all copies of one another.
+    Partition k holds shard k, so a written result has a file for each shard. Rows are known by all their columns, so ids may be
+    null or repeated; of rows that repeat all columns one stands for the others and comes as often as all of them together are
+    taken. A column of ``docs`` named ``shard_col`` is replaced. An empty table gives an empty result.
     """
-    key = row_key(docs, id_col, options.get("source_col", "source"), options.get("text_col", "text"))
+    text_col = options.get("text_col", "text")
+    key = row_key(docs, *[c for c in docs.columns if c != text_col], text_col)
     plan, shards = plan_shards(docs, id_col=id_col, key=key, **options)
-    plan = plan.where("copies > 0").select(F.col("row_key").alias("__key"), F.posexplode("shards").alias("__copy", shard_col))
-    rows = docs.join(plan, key == F.col("__key"))
-    local = F.md5(F.concat_ws(":", F.lit("local"), F.col(shard_col), F.col("__copy"), docs[id_col]).cast("binary"))
-    return rows.repartitionById(shards, F.col(shard_col)).sortWithinPartitions(local, "__key").drop("__key", "__copy")
+    plan = materialise(plan.select("row_key", "shards"))
+    own, copy = (unused(name, [*docs.columns, shard_col]) for name in ("__key", "__copy"))
+    rows = docs.withColumn(own, key)
+    repeated = materialise(plan.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row_key").alias(own)))
+    if not repeated.isEmpty():
+        one = rows.join(repeated, own, "left_semi").groupBy(own).agg(F.any_value(F.struct(*[rows[c] for c in docs.columns])).alias("row"))
+        rows = rows.join(repeated, own, "left_anti").select(*docs.columns, own).unionByName(one.select("row.*", own))
+    drawn = plan.select(F.col("row_key").alias(own), F.posexplode("shards").alias(copy, unused("__shard", docs.columns)))
+    held = drawn.columns[-1]
+    rows = rows.drop(shard_col).join(drawn, own).withColumnRenamed(held, shard_col)
+    local = F.md5(F.concat_ws(":", F.lit("local"), F.col(shard_col), F.col(copy), F.col(id_col).cast("string")).cast("binary"))
+    return rows.repartitionById(shards, F.col(shard_col)).sortWithinPartitions(local, own).drop(own, copy)

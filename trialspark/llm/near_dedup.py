@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_texts, materialise
+from ._common import map_texts, materialise, unused
 from ._words import U, Words, mix
 
 LOW_BITS = 2
@@ -259,5 +259,7 @@ def drop_near_copies(docs: DataFrame, params: NearParams = NearParams(), *, id_c
 
     Rows that repeat id and text stay or go together.
     """
-    kept = near_groups(docs, params, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_semi")
+    kept = near_groups(docs, params, id_col=id_col, text_col=text_col).where("kept")
+    own, text = unused("__id", docs.columns), unused("__hash", docs.columns)
+    kept = kept.select(F.col("doc_id").alias(own), F.col("text_hash").alias(text))
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text_col]) == F.col(text)), "left_semi")

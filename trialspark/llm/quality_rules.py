@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from ._common import arrow_batch, fields, hash_place, labelled_sample, map_texts, materialise, row_key
+from ._common import arrow_batch, fields, hash_place, labelled_sample, map_texts, materialise, row_key, unused
 from ._words import U, Words, mix, repeated
 
 #: At most so many labelled rows are used to fit the trees, the same rows in every run (lowest hash of the id).
@@ -129,5 +129,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     share one, are judged each by its own text.
     """
     key = row_key(docs, id_col, text_col)
-    kept = quality_rules(docs, labels, id_col=id_col, text_col=text_col, key=key).where("kept").select(F.col("row_key").alias("__key"))
-    return docs.join(kept, key == F.col("__key"), "left_semi")
+    kept = quality_rules(docs, labels, id_col=id_col, text_col=text_col, key=key).where("kept")
+    own = unused("__key", docs.columns)
+    return docs.join(kept.select(F.col("row_key").alias(own)), key == F.col(own), "left_semi")
