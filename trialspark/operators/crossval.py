@@ -1,7 +1,9 @@
-"""Ridge regression over held-out groups from sums of products: one pass over the rows serves all folds and penalties."""
+"""Ridge regression and elastic nets over held-out groups from sums of products: one pass over the rows serves all folds and penalties."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,27 +48,125 @@ def _ridge(g: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     return np.concatenate([(mean[:, -1] - (w * mean[:, :-1]).sum(axis=1))[:, None], w], axis=1)
 
 
-def _fit(n_features: int):
+def _shrunk(x: np.ndarray, by: float) -> np.ndarray:
+    return np.sign(x) * np.maximum(np.abs(x) - by, 0.0)
+
+
+def _descended(cov: np.ndarray, c: np.ndarray, start: np.ndarray, l1: float, l2: float, tol: float = 1e-11, most: int = 20_000) -> np.ndarray:
+    """Coordinate descent for a batch of scaled problems from ``start``: sweeps over the active weights, and over all of them
+    whenever those are at rest, until such a sweep moves nothing."""
+    w, own = start.copy(), np.einsum("bii->bi", cov)
+    full = True
+    for _ in range(most):
+        moved = 0.0
+        for j in range(w.shape[1]) if full else np.flatnonzero((w != 0).any(axis=0)):
+            rho = c[:, j] - np.einsum("bk,bk->b", cov[:, j], w) + own[:, j] * w[:, j]
+            new = np.where(own[:, j] > 0, _shrunk(rho, l1) / np.where(own[:, j] > 0, own[:, j] + l2, 1.0), 0.0)
+            moved = max(moved, float(np.abs(new - w[:, j]).max(initial=0.0)))
+            w[:, j] = new
+        if moved <= tol * (1 + float(np.abs(w).max(initial=0.0))):
+            if full:
+                break
+            full = True
+        else:
+            full = False
+    return w
+
+
+def _net(g: np.ndarray, grid: list[tuple[float, float]]) -> np.ndarray:
+    """Weights (intercept first) of elastic nets on scaled features for each ``(penalty, mix)``: the least of
+    squares / 2n + penalty (mix |w| + (1 - mix) w^2 / 2). A mix's penalties are a path from the largest, each started from the last."""
+    n = np.maximum(g[:, 0, 0], 1.0)
+    mean = g[:, 0, 1:] / n[:, None]
+    cov = g[:, 1:, 1:] / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+    sd = np.sqrt(np.maximum(np.einsum("bii->bi", cov)[:, :-1], 0.0))
+    scale = np.where(sd > 1e-12 * (1 + np.abs(mean[:, :-1])), sd, np.inf)
+    left, right = cov[:, :-1, :-1] / scale[:, :, None] / scale[:, None, :], cov[:, :-1, -1] / scale
+    out = np.zeros((len(g), len(grid), left.shape[1] + 1))
+    for mix in dict.fromkeys(m for _, m in grid):
+        w = np.zeros_like(right)
+        for place in sorted((k for k, (_, m) in enumerate(grid) if m == mix), key=lambda k: -grid[k][0]):
+            penalty = grid[place][0]
+            w = _descended(left, right, w, penalty * mix, penalty * (1 - mix))
+            out[:, place, 1:] = w / scale
+    out[:, :, 0] = mean[:, -1:] - np.einsum("bpk,bk->bp", out[:, :, 1:], mean[:, :-1])
+    return out
+
+
+def _ridges(g: np.ndarray, grid: list[tuple[float, float]]) -> np.ndarray:
+    return np.stack([_ridge(g, np.full(len(g), p)) for p, _ in grid], axis=1)
+
+
+def _fit(n_features: int, grid: list[tuple[float, float]], solve: Callable):
     @F.pandas_udf("array<double>")
-    def fit(flat: pd.Series, penalty: pd.Series) -> pd.Series:
-        return pd.Series(list(_ridge(_matrices(flat, n_features + 2), penalty.to_numpy(dtype=float))), dtype=object)
+    def fit(flat: pd.Series, place: pd.Series) -> pd.Series:
+        every = solve(_matrices(flat, n_features + 2), grid)
+        return pd.Series(list(every[np.arange(len(flat)), place.to_numpy(dtype=int)]), index=flat.index, dtype=object)
 
     return fit
 
 
-def _errors(n_features: int, penalties: list[float]):
+def _errors(n_features: int, grid: list[tuple[float, float]], solve: Callable):
     @F.pandas_udf("array<double>")
     def errors(train: pd.Series, valid: pd.Series) -> pd.Series:
         t, v = _matrices(train, n_features + 2), _matrices(valid, n_features + 2)
-        each = []
-        for p in penalties:
-            off = np.concatenate([_ridge(t, np.full(len(t), p)), np.full((len(t), 1), -1.0)], axis=1)
-            each.append(np.einsum("bi,bij,bj->b", off, v, off))
-        return pd.Series(list(np.stack(each, axis=1)), dtype=object)
+        off = solve(t, grid)
+        off = np.concatenate([off, np.full((*off.shape[:2], 1), -1.0)], axis=2)
+        return pd.Series(list(np.einsum("bpi,bij,bpj->bp", off, v, off)), index=train.index, dtype=object)
 
     return errors
 
 
+def _usable(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.where(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in columns))
+
+
+def product_sums(df: DataFrame, by: list[str], cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Sums of products of 1 and the columns less their overall means, by the keys, as ``__g<i>_<j>``; and those means."""
+    middle = df.agg(*(F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)))
+    z = [F.lit(1.0), *(F.col(c) - F.col(f"__m{i}") for i, c in enumerate(cols))]
+    rows = df.crossJoin(F.broadcast(middle))  # one row
+    return rows.groupBy(*by).agg(*(F.sum(z[i] * z[j]).alias(f"__g{i}_{j}") for i in range(len(z)) for j in range(i, len(z)))), middle
+
+
+def _as_array(d: DataFrame, names: list[str], name: str) -> DataFrame:
+    return d.withColumn(name, F.array(*names)).drop(*names)
+
+
+def _less(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda u, v: u - v)
+
+
+def _in_units(w: DataFrame, middle: DataFrame, k: int) -> DataFrame:
+    """``weights`` for the columns as given from ``__w`` for deviations from the means."""
+    slopes = [F.get("__w", F.lit(i + 1)) for i in range(k)]
+    start = F.get("__w", F.lit(0)) + F.col(f"__m{k}")
+    for i, b in enumerate(slopes):
+        start = start - b * F.col(f"__m{i}")
+    return w.crossJoin(F.broadcast(middle)).withColumn("weights", F.array(start, *slopes))
+
+
+def _nested(df: DataFrame, keys: list[str], group: str, features: list[str], y: str, grid: list[tuple[float, float]], inner: Column | None, solve: Callable) -> DataFrame:
+    """``keys, group, __place, weights``: refits on all other groups of the same keys with the grid's place of least inner error."""
+    if len(grid) > 1 and inner is None:
+        raise ValueError("a grid of penalties needs inner folds")
+    k, cols = len(features), [*features, y]
+    flat = _names(k)
+    own, middle = product_sums(_usable(df, cols).withColumn("__fold", F.lit(0) if inner is None else inner), [*keys, group, "__fold"], cols)
+    total = _as_array(own.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in flat)), flat, "__all")
+    rest = _beside(_as_array(own, flat, "__own"), total, keys).withColumn("__rest", _less("__all", "__own")).where(F.get("__rest", F.lit(0)) > 0.5)
+    if len(grid) == 1:
+        chosen = rest.withColumn("__place", F.lit(0))
+    else:
+        folds = _as_array(own.withColumnRenamed("__fold", "__f").groupBy(*keys, "__f").agg(*(F.sum(c).alias(c) for c in flat)), flat, "__valid")
+        pairs = _beside(rest, folds, keys).withColumn("__valid", F.when(F.col("__f").eqNullSafe(F.col("__fold")), _less("__valid", "__own")).otherwise(F.col("__valid")))
+        pairs = pairs.withColumn("__train", _less("__rest", "__valid")).where((F.get("__valid", F.lit(0)) > 0.5) & (F.get("__train", F.lit(0)) > 0.5))
+        scored = pairs.select(*keys, group, F.posexplode(_errors(k, grid, solve)("__train", "__valid")).alias("__p", "__sse"))
+        best = scored.groupBy(*keys, group, "__p").agg(F.sum("__sse").alias("__sse")).groupBy(*keys, group).agg(F.min_by("__p", F.struct("__sse", "__p")).alias("__place"))
+        chosen = rest.join(best, [*keys, group])
+    return _in_units(chosen.withColumn("__w", _fit(k, grid, solve)("__rest", "__place")), middle, k)
+
+
 def nested_ridge(df: DataFrame, keys: list[str], group: str, features: list[str], y: str, penalties: list[float], inner: Column | None = None) -> DataFrame:
     """Weights of a ridge regression for every held-out group: ``keys, group, penalty, weights`` (intercept first), refitted on
     all other groups of the same keys.
@@ -75,38 +175,38 @@ def nested_ridge(df: DataFrame, keys: list[str], group: str, features: list[str]
     of the other groups is taken, of equal ones the first. All sums are the total less the group's own, about overall means.
     Rows with a null feature or target are left out; a group without any other has no row.
     """
-    if len(penalties) > 1 and inner is None:
-        raise ValueError("a grid of penalties needs inner folds")
-    k, cols = len(features), [*features, y]
-    ok = df.where(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in cols))
-    middle = ok.agg(*(F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)))
-    z = [F.lit(1.0), *(F.col(c) - F.col(f"__m{i}") for i, c in enumerate(cols))]
-    fold = F.lit(0) if inner is None else inner
+    w = _nested(df, keys, group, features, y, [(float(p), 0.0) for p in penalties], inner, _ridges)
+    return w.select(*keys, group, F.get(F.array(*(F.lit(float(p)) for p in penalties)), F.col("__place")).alias("penalty"), "weights")
+
+
+def nested_net(df: DataFrame, keys: list[str], group: str, features: list[str], y: str, grid: list[tuple[float, float]], inner: Column | None = None) -> DataFrame:
+    """``nested_ridge`` for elastic nets: ``keys, group, penalty, mix, weights``, chosen from a grid of ``(penalty, mix)``.
+
+    A mix of 0 is ridge, 1 is lasso; the objective is that of ``_net``. Coordinate descent runs on the sums of products, so all
+    folds, penalties and mixes come from one pass over the rows.
+    """
+    grid = [(float(p), float(m)) for p, m in grid]
+    w = _nested(df, keys, group, features, y, grid, inner, _net)
+    pick = lambda k: F.get(F.array(*(F.lit(g[k]) for g in grid)), F.col("__place"))
+    return w.select(*keys, group, pick(0).alias("penalty"), pick(1).alias("mix"), "weights")
+
+
+def net_over_folds(df: DataFrame, features: list[str], y: str, fold: str, grid: list[tuple[float, float]]) -> DataFrame:
+    """``penalty, mix, weights``: the elastic net of a grid with the least squared error over the folds, fitted anew on all rows.
+
+    One row, from one pass. Folds may be of any type and have gaps; a null fold is one more fold. With one grid point, or one
+    fold, the first point is taken.
+    """
+    k, cols, grid = len(features), [*features, y], [(float(p), float(m)) for p, m in grid]
     flat = _names(k)
-    rows = ok.crossJoin(F.broadcast(middle)).withColumn("__fold", fold)
-    sums = [F.sum(z[i] * z[j]).alias(f"__g{i}_{j}") for i in range(k + 2) for j in range(i, k + 2)]
-    own = rows.groupBy(*keys, group, "__fold").agg(*sums)
-    as_array = lambda d, name: d.withColumn(name, F.array(*flat)).drop(*flat)
-    less = lambda a, b: F.zip_with(a, b, lambda u, v: u - v)
-    total = as_array(own.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in flat)), "__all")
-    rest = _beside(as_array(own, "__own"), total, keys).withColumn("__rest", less("__all", "__own")).where(F.get("__rest", F.lit(0)) > 0.5)
-    if len(penalties) == 1:
-        chosen = rest.withColumn("penalty", F.lit(float(penalties[0])))
-    else:
-        folds = as_array(own.withColumnRenamed("__fold", "__f").groupBy(*keys, "__f").agg(*(F.sum(c).alias(c) for c in flat)), "__valid")
-        pairs = _beside(rest, folds, keys).withColumn("__valid", F.when(F.col("__f") == F.col("__fold"), less("__valid", "__own")).otherwise(F.col("__valid")))
-        pairs = pairs.withColumn("__train", less("__rest", "__valid")).where((F.get("__valid", F.lit(0)) > 0.5) & (F.get("__train", F.lit(0)) > 0.5))
-        scored = pairs.select(*keys, group, F.posexplode(_errors(k, [float(p) for p in penalties])("__train", "__valid")).alias("__p", "__sse"))
-        best = scored.groupBy(*keys, group, "__p").agg(F.sum("__sse").alias("__sse")).groupBy(*keys, group).agg(F.min_by("__p", F.struct("__sse", "__p")).alias("__p"))
-        grid = F.array(*(F.lit(float(p)) for p in penalties))
-        chosen = rest.join(best, [*keys, group]).withColumn("penalty", F.get(grid, F.col("__p")))
-    # back from deviations to the given units
-    w = chosen.withColumn("__w", _fit(k)("__rest", "penalty")).crossJoin(F.broadcast(middle))
-    slopes = [F.get("__w", F.lit(i + 1)) for i in range(k)]
-    start = F.get("__w", F.lit(0)) + F.col(f"__m{k}")
-    for i, b in enumerate(slopes):
-        start = start - b * F.col(f"__m{i}")
-    return w.select(*keys, group, "penalty", F.array(start, *slopes).alias("weights"))
+    own, middle = product_sums(_usable(df, cols).withColumn("__fold", F.col(fold)), ["__fold"], cols)
+    total = _as_array(own.agg(*(F.sum(c).alias(c) for c in flat)), flat, "__all").where(F.get("__all", F.lit(0)) > 0)
+    pairs = _as_array(own, flat, "__valid").crossJoin(F.broadcast(total)).withColumn("__train", _less("__all", "__valid")).where(F.get("__train", F.lit(0)) > 0.5)
+    scored = pairs.select(F.posexplode(_errors(k, grid, _net)("__train", "__valid")).alias("__p", "__sse")).groupBy("__p").agg(F.sum("__sse").alias("__sse"))
+    best = scored.agg(F.coalesce(F.min_by("__p", F.struct("__sse", "__p")), F.lit(0)).alias("__place"))
+    w = total.crossJoin(F.broadcast(best)).withColumn("__w", _fit(k, grid, _net)("__all", "__place"))
+    pick = lambda j: F.get(F.array(*(F.lit(g[j]) for g in grid)), F.col("__place"))
+    return _in_units(w, middle, k).select(pick(0).alias("penalty"), pick(1).alias("mix"), "weights")
 
 
 def predicted(df: DataFrame, weights: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -118,10 +218,16 @@ def predicted(df: DataFrame, weights: DataFrame, keys: list[str], features: list
     return df.join(named, keys, "left").withColumn("prediction", total).drop("__w")
 
 
-def label_permutation(df: DataFrame, group: str, blocks: list[str], order: str, features: list[str], y: str, penalty: float, n_perm: int) -> DataFrame:
-    """Permutation p of the pooled correlation of held-out predictions: labels are shuffled inside the blocks and the model refitted."""
+def label_permutation(df: DataFrame, group: str, blocks: list[str], order: str, features: list[str], y: str, penalty: float, n_perm: int, fit: Callable[[DataFrame, list[str], str], DataFrame] | None = None) -> DataFrame:
+    """Permutation p of the pooled correlation of held-out predictions: labels are shuffled inside the blocks and the model refitted.
+
+    ``fit(rows, keys, y)`` gives ``keys, group, weights`` of any linear model, such as ``nested_net`` with its grid; without it
+    the model is the ridge regression of ``penalty``.
+    """
+    fit = fit or (lambda rows, keys, target: nested_ridge(rows, keys, group, features, target, [penalty]))
+
     def pooled(rows: DataFrame, keys: list[str]) -> DataFrame:
-        w = nested_ridge(rows, keys, group, features, "__y", [penalty])
+        w = fit(rows, keys, "__y")
         return predicted(rows, w, [*keys, group], features).groupBy(*keys).agg(moment_corr(F.col("__y"), F.col("prediction")).alias("r"))
 
     base = df.select(*dict.fromkeys([group, *blocks, order, *features]), F.col(y).alias("__y"))
@@ -131,16 +237,17 @@ def label_permutation(df: DataFrame, group: str, blocks: list[str], order: str,
     return both.drop("__one")
 
 
-def fold_scores(df: DataFrame, group: str, y: str, prediction: str, model: str) -> DataFrame:
-    """``group, model, mse`` of one model on the shared held-out groups."""
+def fold_scores(df: DataFrame, group: str, y: str, prediction: str, model: str, metric: str = "mse") -> DataFrame:
+    """``group, model, <metric>`` of one model on the shared held-out groups: ``mse``, ``mae``, ``r2`` or ``r`` (null where undefined)."""
     e = F.col(y) - F.col(prediction)
-    return df.groupBy(group).agg(F.avg(e * e).alias("mse")).select(group, F.lit(model).alias("model"), "mse")
+    measures = {"mse": F.avg(e * e), "mae": F.avg(F.abs(e)), "r2": 1 - F.try_divide(F.sum(e * e), F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))), "r": moment_corr(F.col(y), F.col(prediction))}
+    return df.groupBy(group).agg(measures[metric].alias(metric)).select(group, F.lit(model).alias("model"), metric)
 
 
-def compare_models(scores: DataFrame, group: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Mean difference of the errors of each pair of models over shared folds, its sign-flip p and the Holm p over pairs."""
-    a = scores.select(group, F.col("model").alias("ma"), F.col("mse").alias("__a"))
-    b = scores.select(group, F.col("model").alias("mb"), F.col("mse").alias("__b"))
+def compare_models(scores: DataFrame, group: str, pairs: list[tuple[str, str]], metric: str = "mse") -> DataFrame:
+    """Mean difference of a metric of each pair of models over shared folds, its sign-flip p and the Holm p over pairs."""
+    a = scores.select(group, F.col("model").alias("ma"), F.col(metric).alias("__a"))
+    b = scores.select(group, F.col("model").alias("mb"), F.col(metric).alias("__b"))
     wanted = scores.sparkSession.createDataFrame(pairs, "ma string, mb string")
     d = a.join(F.broadcast(wanted), "ma").join(b, [group, "mb"]).select(group, "ma", "mb", (F.col("__a") - F.col("__b")).alias("__d")).where("__d IS NOT NULL")
     tested = sign_flip(d, ["ma", "mb"], group, "__d").withColumn("__one", F.lit(1))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .crossval import net_over_folds, product_sums
 from .stats import fisher
 from .windows import average_rank, moment_corr
 
@@ -103,36 +102,52 @@ def linear_attribution(df: DataFrame, keys: list[str], coefficients: DataFrame,
     return x.groupBy(*keys, feature).agg(F.avg(F.abs("phi")).alias("importance"))
 
 
+def _net_predictions(df: DataFrame, features: list[str], y: str, train: Column, fold: str, grid: list[tuple[float, float]]) -> DataFrame:
+    rows = df.withColumn("__train", train)
+    w = net_over_folds(rows.where("__train"), features, y, fold, grid).select("penalty", "mix", F.col("weights").alias("__w"))
+    total = F.get("__w", F.lit(0))
+    for i, c in enumerate(features):
+        total = total + F.get("__w", F.lit(i + 1)) * F.col(c)
+    return rows.where("NOT __train").drop("__train").crossJoin(F.broadcast(w)).withColumn("prediction", total).drop("__w")  # one row
+
+
 def elastic_net(df: DataFrame, features: list[str], y: str, train: Column, reg: float = 0.01, mix: float = 0.5) -> DataFrame:
-    """Predictions of an elastic net fitted on the scaled training rows."""
-    rows = VectorAssembler(inputCols=features, outputCol="raw").transform(df.withColumn("__train", train))
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows.where("__train")).transform(rows)
-    model = LinearRegression(featuresCol="features", labelCol=y, regParam=reg, elasticNetParam=mix).fit(scaled.where("__train"))
-    return model.transform(scaled.where("NOT __train")).drop("raw", "features", "__train")
+    """Predictions of an elastic net fitted on the scaled training rows, for the others."""
+    rows = df.withColumn("__one", F.lit(0))
+    return _net_predictions(rows, features, y, train, "__one", [(reg, mix)]).drop("__one", "penalty", "mix")
 
 
 def grid_regression(df: DataFrame, features: list[str], y: str, train: Column, fold: str, penalties: list[float], mixes: list[float]) -> DataFrame:
     """Predictions for the rows outside the training ones by the penalty and mix (0 is ridge, 1 is lasso) of a grid with the least
-    squared error over the training rows' folds ``fold`` (whole numbers from 0), as ``penalty`` and ``mix``; fitted anew on all of them."""
-    rows = VectorAssembler(inputCols=features, outputCol="raw").transform(df.withColumn("__train", train))
-    fit = rows.where("__train").withColumn("__fold", F.col(fold).cast("int"))
-    model = LinearRegression(featuresCol="features", labelCol=y)
-    grid = ParamGridBuilder().addGrid(model.regParam, penalties).addGrid(model.elasticNetParam, mixes).build()
-    scaled = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), model])
-    n_folds = fit.agg(F.max("__fold")).first()[0] + 1
-    search = CrossValidator(estimator=scaled, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="mse"), numFolds=n_folds, foldCol="__fold", parallelism=4)
-    best = search.fit(fit).bestModel
-    chosen = best.stages[-1]
-    out = best.transform(rows.where("NOT __train")).drop("raw", "features", "__train")
-    return out.withColumn("penalty", F.lit(chosen.getRegParam())).withColumn("mix", F.lit(chosen.getElasticNetParam()))
+    squared error over the training rows' folds ``fold``, as ``penalty`` and ``mix``; fitted anew on all of them. The rows are read
+    once for all folds and grid points, and once for the predictions."""
+    return _net_predictions(df, features, y, train, fold, [(p, m) for p in penalties for m in mixes])
 
 
 def principal_components(df: DataFrame, features: list[str], train: Column, k: int) -> DataFrame:
-    """The first ``k`` principal components ``pc1, pc2, ...`` of the scaled features, fitted on the training rows; rows with a null go."""
-    rows = VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip").transform(df.withColumn("__train", train))
-    steps = Pipeline(stages=[StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True), PCA(k=k, inputCol="__scaled", outputCol="__pc")])
-    out = steps.fit(rows.where("__train")).transform(rows).withColumn("__pc", vector_to_array("__pc"))
-    return out.select("*", *(F.get("__pc", F.lit(j)).alias(f"pc{j + 1}") for j in range(k))).drop("__raw", "__scaled", "__pc", "__train")
+    """The first ``k`` principal components ``pc1, pc2, ...`` of the scaled features, fitted on the training rows; rows with a null go.
+
+    The fit is one pass of sums of products; features squared numbers reach the driver. A component's largest loading is positive; a
+    feature without spread weighs nothing. Without training rows the components are null.
+    """
+    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in features))
+    n = len(features)
+    sums, middle = product_sums(rows.where(train), [], features)
+    *flat, count = sums.select(*[f"__g{i}_{j}" for i in range(n + 1) for j in range(i, n + 1)], F.col("__g0_0")).first() or [None]
+    if not count:
+        return rows.withColumns({f"pc{c + 1}": F.lit(None).cast("double") for c in range(k)})
+    products = np.zeros((n + 1, n + 1))
+    products[np.triu_indices(n + 1)] = flat
+    mean = products[0, 1:] / count
+    cov = (np.triu(products[1:, 1:]) + np.triu(products[1:, 1:], 1).T) / count - np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(cov), 0.0) * count / max(count - 1, 1))
+    scale = np.where(spread > 0, spread, np.inf)
+    _, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
+    vectors = vectors[:, ::-1][:, :k]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
+    centre = np.array(middle.first()) + mean
+    parts = lambda c: sum((F.lit(float(vectors[i, c] / scale[i])) * (F.col(x) - float(centre[i])) for i, x in enumerate(features)), F.lit(0.0))
+    return rows.withColumns({f"pc{c + 1}": parts(c) for c in range(k)})
 
 
 def best_features(df: DataFrame, feature: str, value: str, y: str, train: Column, percentile: float) -> DataFrame:

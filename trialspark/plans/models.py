@@ -63,17 +63,6 @@ def _shuffled(i):
     return stats.permuted(t, ["subject", "run"], "trial_id", "outcome", 1, 7).select("subject", "run", "trial_id", "permuted")
 
 
-def _grid(i):
-    t = i.wide.withColumn("fold", F.pmod("run", F.lit(3)))
-    p = op.grid_regression(t, ["quantity", "discount", "tax"], "price", F.col("subject") % 4 > 0, "fold", [0.01, 100.0, 10000.0], [0.0, 0.5])
-    return p.groupBy("penalty", "mix").agg(F.count("prediction").alias("n"), rounded(F.avg("prediction"), 0).alias("prediction"))
-
-
-def _elastic(i):
-    p = op.elastic_net(i.wide, ["quantity", "discount", "tax"], "price", F.col("subject") % 4 > 0)
-    return _round(op.regression_errors(p, ["condition"], "price", "prediction"), "r2", keep=("condition", "n"), digits=2)
-
-
 QUERIES = {
     "m18_majority": (lambda i: op.held_out_majority(i.trials, "subject", "condition"), sql("trials", ", f AS (SELECT DISTINCT subject FROM trials), o AS (SELECT subject, condition, count(*) AS n FROM trials GROUP BY ALL), a AS (SELECT condition, sum(n) AS n FROM o GROUP BY condition), g AS (SELECT f.subject, a.condition, (a.n - coalesce(o.n, 0))::BIGINT AS n FROM f CROSS JOIN a LEFT JOIN o ON o.subject = f.subject AND o.condition = a.condition) SELECT subject, condition AS prediction, n AS support FROM g QUALIFY row_number() OVER (PARTITION BY subject ORDER BY n DESC, condition) = 1")),
     "m6_prepared_features": (lambda i: op.prepared(i.features.withColumn("value", F.when(F.col("value") != 0.05, F.col("value"))), "feature", "value", F.col("subject") % 4 > 0, 0.001).select("subject", "trial_id", "feature", rounded("prepared").alias("prepared")), sql("features", f", x AS (SELECT subject, trial_id, feature, CASE WHEN value <> 0.05 THEN value END AS v FROM features), s AS (SELECT feature, avg(v) AS m, stddev_pop(v) AS s FROM x WHERE subject % 4 > 0 GROUP BY feature HAVING var_pop(v) > 0.001) SELECT subject, trial_id, feature, {r('(coalesce(v, m) - m) / s')} AS prepared FROM x JOIN s USING (feature)")),
@@ -99,8 +88,11 @@ QUERIES = {
     "m4_ordered_folds": (lambda i: op.ordered_folds(i.trials, "subject", "run").groupBy("subject", "test_block").agg(F.count(F.lit(1)).alias("n_train")), sql("trials", ", d AS (SELECT subject, dense_rank() OVER (PARTITION BY subject ORDER BY run) - 1 AS b FROM trials), t AS (SELECT DISTINCT subject, b AS test_block FROM d WHERE b > 0) SELECT subject, test_block::INT AS test_block, count(*) AS n_train FROM d JOIN t USING (subject) WHERE b < test_block GROUP BY ALL")),
     "m5_feature_intersection": (lambda i: op.feature_intersection(i.features.withColumn("value", F.when((F.col("feature") != "tax") | (F.col("subject") % 7 > 0), F.col("value"))), "subject", "feature", "value", F.col("subject") % 5 == 0), sql("features", ", t AS (SELECT subject, feature FROM features WHERE subject % 5 <> 0 AND (feature <> 'tax' OR subject % 7 > 0)) SELECT feature, count(DISTINCT subject) AS n FROM t GROUP BY feature HAVING count(DISTINCT subject) = (SELECT count(DISTINCT subject) FROM features WHERE subject % 5 <> 0)")),
     "m8_deconfound": (lambda i: _round(op.deconfound(i.wide, ["condition"], "price", "quantity", F.col("subject") % 4 > 0), "residual", keep=("subject", "trial_id"), digits=2), sql("wide", f", f AS (SELECT condition, regr_slope(price, quantity) AS b, regr_intercept(price, quantity) AS a FROM wide WHERE subject % 4 > 0 GROUP BY condition) SELECT subject, trial_id, {r('price - a - b * quantity', 2)} AS residual FROM wide JOIN f USING (condition)")),
-    "m9_elastic_net": (_elastic, None),
-    "m9_grid_regression": (_grid, None),
+    "m6_first_component": (lambda i: op.principal_components(i.wide, ["quantity", "price", "discount", "tax"], F.col("subject") % 4 > 0, 1).select("subject", "trial_id", rounded("pc1", 5).alias("pc1")), sql("wide", f""", s AS (SELECT avg(quantity) AS m1, stddev_samp(quantity) AS s1, avg(price) AS m2, stddev_samp(price) AS s2, avg(discount) AS m3, stddev_samp(discount) AS s3, avg(tax) AS m4, stddev_samp(tax) AS s4,
+        corr(quantity, price) AS r12, corr(quantity, discount) AS r13, corr(quantity, tax) AS r14, corr(price, discount) AS r23, corr(price, tax) AS r24, corr(discount, tax) AS r34 FROM wide WHERE subject % 4 > 0),
+    p AS (SELECT 0 AS k, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.1::DOUBLE AS c, 0.1::DOUBLE AS d
+        UNION ALL SELECT k + 1, a / n, b / n, c / n, d / n FROM (SELECT *, sqrt(a * a + b * b + c * c + d * d) AS n FROM (SELECT k, a + r12 * b + r13 * c + r14 * d AS a, r12 * a + b + r23 * c + r24 * d AS b, r13 * a + r23 * b + c + r34 * d AS c, r14 * a + r24 * b + r34 * c + d AS d FROM p, s WHERE k < 400)))
+    SELECT subject, trial_id, {r('a * (quantity - m1) / s1 + b * (price - m2) / s2 + c * (discount - m3) / s3 + d * (tax - m4) / s4', 5)} AS pc1 FROM wide, s, p WHERE k = 400""").replace("WITH ", "WITH RECURSIVE ", 1)),
     "m6_principal_components": (lambda i: op.principal_components(i.wide, ["quantity", "price"], F.col("subject") % 4 > 0, 2).select("subject", "trial_id", rounded(F.abs("pc1"), 5).alias("pc1"), rounded(F.abs("pc2"), 5).alias("pc2")), sql("wide", f", s AS (SELECT avg(quantity) AS mq, stddev_samp(quantity) AS sq, avg(price) AS mp, stddev_samp(price) AS sp, CASE WHEN corr(quantity, price) < 0 THEN -1 ELSE 1 END AS d FROM wide WHERE subject % 4 > 0), z AS (SELECT subject, trial_id, (quantity - mq) / sq AS q, d * (price - mp) / sp AS p FROM wide, s) SELECT subject, trial_id, {r('abs(q + p) / sqrt(2)', 5)} AS pc1, {r('abs(q - p) / sqrt(2)', 5)} AS pc2 FROM z")),
     "m6_best_features": (lambda i: op.best_features(i.features.where("feature <> 'price'").join(i.wide.select("subject", "trial_id", "price"), ["subject", "trial_id"]), "feature", "value", "price", F.col("subject") % 4 > 0, 50.0).select("subject", "trial_id", "feature", rounded("value").alias("value")), sql("features", f", f AS (SELECT a.*, b.price FROM features a JOIN wide b USING (subject, trial_id) WHERE feature <> 'price'), q AS (SELECT feature, power(corr(value, price), 2) AS r2 FROM f WHERE subject % 4 > 0 GROUP BY feature) SELECT subject, trial_id, feature, {r('value')} AS value FROM f WHERE feature IN (SELECT feature FROM q WHERE r2 > (SELECT quantile_cont(r2, 0.5) FROM q))")),
     "m10_forest": (_forest, None),
