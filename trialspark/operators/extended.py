@@ -51,23 +51,37 @@ def graph_clustering(edges: DataFrame, graph: str, n_nodes: int) -> DataFrame:
 
 
 def spline_basis(df: DataFrame, x: str, knots: tuple[float, float, float] = (0.1, 0.5, 0.9)) -> DataFrame:
-    """Restricted cubic spline with three quantile knots: the variable and one curved term."""
-    k = df.agg(F.percentile(x, list(knots)).alias("k")).select(*(F.get("k", F.lit(i)).alias(f"k{i}") for i in range(3)))
+    """Restricted cubic spline with three quantile knots: the variable and one curved term, 0 where the upper knots coincide."""
+    k = df.agg(F.percentile(x, list(knots)).alias("__k")).select(*(F.get("__k", F.lit(i)).alias(f"__k{i}") for i in range(3)))
     cube = lambda c: F.pow(F.greatest(F.col(x) - F.col(c), F.lit(0.0)), F.lit(3.0))
-    span = F.col("k2") - F.col("k1")
-    term = (cube("k0") - cube("k1") * (F.col("k2") - F.col("k0")) / span + cube("k2") * (F.col("k1") - F.col("k0")) / span) / F.pow(F.col("k2") - F.col("k0"), F.lit(2.0))
-    return df.crossJoin(F.broadcast(k)).withColumn("curve", term).drop("k0", "k1", "k2")
+    k0, k1, k2 = (F.col(f"__k{i}") for i in range(3))
+    share = lambda a: F.try_divide(a, F.nullif(k2 - k1, F.lit(0.0)))
+    term = F.try_divide(cube("__k0") - cube("__k1") * share(k2 - k0) + cube("__k2") * share(k1 - k0), F.nullif(F.pow(k2 - k0, F.lit(2.0)), F.lit(0.0)))
+    curve = F.when(F.col(x).isNotNull(), F.coalesce(term, F.lit(0.0)))
+    return df.crossJoin(F.broadcast(k)).withColumn("curve", curve).drop("__k0", "__k1", "__k2")  # one row of knots
 
 
 def crossfit_residual(df: DataFrame, fold: str, x: str, y: str) -> DataFrame:
-    """Residual after the line of all other folds: their sums are the total less the fold's own."""
-    own = df.groupBy(fold).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
-    names = ["n", "sx", "sy", "sxx", "sxy"]
-    total = own.agg(*(F.sum(c).alias(f"t_{c}") for c in names))
-    rest = own.crossJoin(F.broadcast(total)).select(fold, *((F.col(f"t_{c}") - F.col(c)).alias(c) for c in names))
-    slope = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.nullif(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.lit(0.0)))
-    line = rest.withColumn("slope", slope).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).select(fold, "slope", "intercept")
-    return df.join(line, fold).withColumn("residual", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
+    """Residual after the line of all other folds: their sums are the total less the fold's own, about overall means.
+
+    Null where there is no other fold or ``x`` is constant in the others; pairs with a null side are not fitted. A null fold is a
+    fold of its own.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    middle = df.agg(F.avg(F.when(both, F.col(x))).alias("__mx"), F.avg(F.when(both, F.col(y))).alias("__my"))
+    rows = df.crossJoin(F.broadcast(middle))  # one row of means
+    u, v = F.when(both, F.col(x) - F.col("__mx")), F.when(both, F.col(y) - F.col("__my"))
+    terms = {"n": F.count(u).cast("double"), "u": F.sum(u), "v": F.sum(v), "uu": F.sum(u * u), "uv": F.sum(u * v)}
+    own = rows.groupBy(F.col(fold).alias("__fold")).agg(*(F.coalesce(t, F.lit(0.0)).alias(f"__{c}") for c, t in terms.items()))
+    total = own.agg(*(F.sum(f"__{c}").alias(f"__t_{c}") for c in terms))
+    rest = own.crossJoin(F.broadcast(total)).select("__fold", *((F.col(f"__t_{c}") - F.col(f"__{c}")).alias(f"__{c}") for c in terms))
+    share = lambda c: F.try_divide(F.col(f"__{c}"), F.nullif("__n", F.lit(0.0)))
+    spread = F.col("__uu") - F.col("__u") * share("u")
+    slope = F.try_divide(F.col("__uv") - F.col("__u") * share("v"), F.when(spread > 1e-12 * F.col("__uu"), spread))
+    line = rest.withColumn("__slope", slope).select("__fold", "__slope", share("u").alias("__u"), share("v").alias("__v"))
+    out = rows.join(line, F.col(fold).eqNullSafe(F.col("__fold")))
+    residual = F.col(y) - F.col("__my") - F.col("__v") - F.col("__slope") * (F.col(x) - F.col("__mx") - F.col("__u"))
+    return out.withColumn("residual", residual).withColumnRenamed("__slope", "slope").drop("__fold", "__u", "__v", "__mx", "__my")
 
 
 def bootstrap_d(df: DataFrame, keys: list[str], order: str, value: str, a: Column, b: Column, n_boot: int) -> DataFrame:

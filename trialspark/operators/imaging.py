@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import fisher
-from .windows import moment_corr
+from .windows import distinct_names, moment_corr
 
 
 def scrub(frames: DataFrame, keys: list[str], flag: Column) -> DataFrame:
@@ -41,16 +41,20 @@ def one_sample(voxels: DataFrame, keys: list[str], value: str = "value") -> Data
 
 
 def repeated_measures(cells: DataFrame, keys: list[str], unit: str, condition: str, value: str) -> DataFrame:
-    """Omnibus F over conditions of complete units, with its degrees of freedom."""
-    n_cond = F.size(F.collect_set(condition).over(Window.partitionBy(*keys)))
-    d = cells.withColumn("k", n_cond).withColumn("have", F.count(F.lit(1)).over(Window.partitionBy(*keys, unit))).where("have = k")
-    total = d.groupBy(*keys).agg(F.first("k").alias("k"), F.countDistinct(unit).alias("n"), F.sum(value).alias("g"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    su = d.groupBy(*keys, unit).agg(F.sum(value).alias("u")).groupBy(*keys).agg(F.sum(F.col("u") * F.col("u")).alias("uu"))
-    sc = d.groupBy(*keys, condition).agg(F.sum(value).alias("c")).groupBy(*keys).agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
-    t = total.join(su, keys).join(sc, keys).withColumn("base", F.col("g") * F.col("g") / (F.col("n") * F.col("k")))
-    t = t.withColumn("ssc", F.col("cc") / F.col("n") - F.col("base")).withColumn("sse", F.col("q") - F.col("uu") / F.col("k") - F.col("cc") / F.col("n") + F.col("base"))
-    t = t.withColumn("dof1", F.col("k") - 1).withColumn("dof2", (F.col("k") - 1) * (F.col("n") - 1))
-    return t.select(*keys, "dof1", "dof2", F.try_divide(F.col("ssc") / F.col("dof1"), F.nullif(F.try_divide(F.col("sse"), F.col("dof2")), F.lit(0.0))).alias("f"))
+    """Omnibus F over conditions of complete units, with its degrees of freedom. Sums are about each key's mean."""
+    distinct_names(keys, "dof1", "dof2", "f")
+    rows = cells.select(*keys, F.col(unit).alias("__unit"), F.col(condition).alias("__condition"), F.col(value).alias("__value"))
+    whole = Window.partitionBy(*keys)
+    d = rows.withColumn("__k", F.size(F.collect_set("__condition").over(whole))).withColumn("__have", F.count(F.lit(1)).over(Window.partitionBy(*keys, "__unit"))).where("__have = __k")
+    d = d.withColumn("__x", F.col("__value") - F.avg("__value").over(whole))
+    total = d.groupBy(*keys).agg(F.first("__k").alias("__k"), F.countDistinct("__unit").alias("__n"), F.sum("__x").alias("__g"), F.sum(F.col("__x") * F.col("__x")).alias("__q"))
+    side = lambda c, name: d.groupBy(*keys, c).agg(F.sum("__x").alias("__s")).groupBy(*keys).agg(F.sum(F.col("__s") * F.col("__s")).alias(name))
+    t = total.join(side("__unit", "__uu"), keys).join(side("__condition", "__cc"), keys)
+    k, n = F.col("__k"), F.col("__n")
+    base, between, units = F.try_divide(F.col("__g") * F.col("__g"), n * k), F.try_divide(F.col("__cc"), n), F.try_divide(F.col("__uu"), k)
+    t = t.withColumn("__ssc", between - base).withColumn("__sse", F.col("__q") - units - between + base)
+    t = t.withColumn("dof1", k - 1).withColumn("dof2", (k - 1) * (n - 1))
+    return t.select(*keys, "dof1", "dof2", F.try_divide(F.try_divide("__ssc", "dof1"), F.nullif(F.try_divide(F.col("__sse"), F.col("dof2")), F.lit(0.0))).alias("f"))
 
 
 def max_statistic(voxels: DataFrame, unit: str, n_perm: int, seed: int = 1) -> DataFrame:

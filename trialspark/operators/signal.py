@@ -38,7 +38,7 @@ def relative_power(table: DataFrame, keys: list[str], segment: str, base: str) -
 
 
 def spectral_shape(psd: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre, bandwidth, 95 % edge and normalised entropy of a spectrum."""
+    """Centre, bandwidth, 95 % edge and normalised entropy of a spectrum; one bin has no entropy."""
     w = Window.partitionBy(*keys).orderBy("freq")
     # differences as in a gradient: one-sided at the ends, half the span inside
     width = (F.coalesce(F.lead("freq").over(w), F.col("freq")) - F.coalesce(F.lag("freq").over(w), F.col("freq"))) / F.when(F.lead("freq").over(w).isNull() | F.lag("freq").over(w).isNull(), 1).otherwise(2)
@@ -47,7 +47,7 @@ def spectral_shape(psd: DataFrame, keys: list[str]) -> DataFrame:
     t = mass.withColumn("total", F.sum("m").over(whole)).withColumn("running", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("psum", F.sum("power").over(whole))
     p = F.try_divide(F.col("power"), F.col("psum"))
     edge = F.min(F.when(F.col("running") >= 0.95 * F.col("total"), F.col("freq")))
-    s = t.groupBy(*keys).agg(F.sum(F.col("freq") * p).alias("centre"), F.sum(F.col("freq") * F.col("freq") * p).alias("square"), edge.alias("edge"), (-F.sum(F.when(p > 0, p * F.ln(p))) / F.ln(F.count(F.lit(1)))).alias("entropy"))
+    s = t.groupBy(*keys).agg(F.sum(F.col("freq") * p).alias("centre"), F.sum(F.col("freq") * F.col("freq") * p).alias("square"), edge.alias("edge"), F.try_divide(-F.sum(F.when(p > 0, p * F.ln(p))), F.nullif(F.ln(F.count(F.lit(1))), F.lit(0.0))).alias("entropy"))
     return s.withColumn("bandwidth", F.sqrt(F.greatest(F.col("square") - F.col("centre") * F.col("centre"), F.lit(0.0)))).drop("square")
 
 
@@ -105,16 +105,16 @@ def phase_locking(analytic: DataFrame, keys: list[str]) -> DataFrame:
     n, sc, ss = F.count("c").over(w), F.sum("c").over(w), F.sum("s").over(w)
     length = lambda a, b, k: F.try_divide(F.sqrt(a * a + b * b), k)
     u = u.withColumn("itpc", length(sc, ss, n)).withColumn("loo", F.when(n > 1, length(sc - F.col("c"), ss - F.col("s"), n - 1)))
-    return u.withColumn("alignment", (F.col("c") * sc + F.col("s") * ss) / F.sqrt(sc * sc + ss * ss))
+    return u.withColumn("alignment", F.try_divide(F.col("c") * sc + F.col("s") * ss, F.nullif(F.sqrt(sc * sc + ss * ss), F.lit(0.0))))
 
 
 def phase_amplitude(analytic: DataFrame, keys: list[str], phase: int, amplitude: int) -> DataFrame:
-    """Mean vector length of one channel's amplitude at another's phase: normalised and raw."""
+    """Mean vector length of one channel's amplitude at another's phase: normalised and raw. Samples of size 0 have no phase."""
     mag = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    side = F.when(F.col("channel") == phase, F.struct((F.col("re") / mag).alias("c"), (F.col("im") / mag).alias("s")))
+    side = F.when(F.col("channel") == phase, F.struct(F.try_divide(F.col("re"), mag).alias("c"), F.try_divide(F.col("im"), mag).alias("s")))
     both = analytic.where(F.col("channel").isin(phase, amplitude)).groupBy(*keys, "t").agg(F.max(side).alias("u"), F.max(F.when(F.col("channel") == amplitude, mag)).alias("amp"))
     x, y = F.sum(F.col("amp") * F.col("u.c")), F.sum(F.col("amp") * F.col("u.s"))
-    return both.groupBy(*keys).agg(F.try_divide(F.sqrt(x * x + y * y), F.sum("amp")).alias("pac"), (F.sqrt(x * x + y * y) / F.count("amp")).alias("pac_raw"))
+    return both.groupBy(*keys).agg(F.try_divide(F.sqrt(x * x + y * y), F.sum("amp")).alias("pac"), F.try_divide(F.sqrt(x * x + y * y), F.count("amp")).alias("pac_raw"))
 
 
 def bursts(df: DataFrame, keys: list[str], value: str, order: str, z: float, least: int) -> DataFrame:

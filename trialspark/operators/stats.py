@@ -7,13 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank, clipped, moment_corr
+from .windows import average_rank, clipped, distinct_names, moment_corr
 
 CLIP = 0.999999
 
 
 def correlations(df: DataFrame, keys: list[str], x: str, y: str, method: str = "pearson", least: int = 3) -> DataFrame:
     """``keys, n, r`` over finite pairs; null under ``least`` pairs or when a side is constant."""
+    distinct_names(keys, "n", "r")
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     if method == "spearman":
         both = both.withColumn("__x", average_rank(x, keys)).withColumn("__y", average_rank(y, keys))
@@ -77,6 +78,7 @@ def winsorised(df: DataFrame, keys: list[str], x: str, y: str, trim: float = 0.2
 
 def simple_regression(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Slope, intercept, r squared and standard error of the slope; null when ``x`` is constant."""
+    distinct_names(keys, "n", "slope", "intercept", "sxx", "syy", "sxy", "r2", "rss", "se")
     s = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
     rss = F.col("syy") - F.col("slope") * F.col("sxy")
     return s.withColumn("r2", F.try_divide(F.col("sxy") * F.col("sxy"), F.nullif(F.col("sxx") * F.col("syy"), F.lit(0.0)))).withColumn("rss", rss).withColumn("se", F.when(F.col("n") > 2, F.sqrt(F.try_divide(F.greatest(F.col("rss"), F.lit(0.0)) / (F.col("n") - 2), F.nullif(F.col("sxx"), F.lit(0.0))))))
@@ -102,6 +104,7 @@ def icc(df: DataFrame, unit: str, run: str, value: str, n_runs: int) -> DataFram
 
 def two_groups(df: DataFrame, keys: list[str], value: str, a: Column, b: Column) -> DataFrame:
     """Welch t with its degrees of freedom, Cohen d and Hedges g of A against B."""
+    distinct_names(keys, "na", "nb", "ma", "mb", "va", "vb", "t", "dof", "d", "g")
     x, y = F.when(a, F.col(value)), F.when(b, F.col(value))
     s = df.groupBy(*keys).agg(F.count(x).alias("na"), F.count(y).alias("nb"), F.avg(x).alias("ma"), F.avg(y).alias("mb"), F.var_samp(x).alias("va"), F.var_samp(y).alias("vb"))
     ea, eb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
@@ -114,6 +117,7 @@ def two_groups(df: DataFrame, keys: list[str], value: str, a: Column, b: Column)
 
 def paired(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
     """Cohen dz of the differences, its small-sample form and the paired t."""
+    distinct_names(keys, "n", "m", "s", "dz", "gz", "t")
     d = F.col(after) - F.col(before)
     s = df.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
     s = s.withColumn("dz", F.try_divide(F.col("m"), F.nullif("s", F.lit(0.0))))
@@ -121,17 +125,18 @@ def paired(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame
 
 
 def rank_sum(df: DataFrame, keys: list[str], value: str, group: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Mann-Whitney U and its normal score (tie-corrected, continuity-corrected) for each pair of groups."""
+    """Mann-Whitney U and its normal score (tie-corrected, continuity-corrected) for each pair of groups; no score for a lone value."""
+    distinct_names(keys, "ga", "gb", "na", "nb", "u", "z")
     table = df.sparkSession.createDataFrame(pairs, "ga string, gb string")
     both = df.join(F.broadcast(table), (F.col(group) == F.col("ga")) | (F.col(group) == F.col("gb")))
     k = [*keys, "ga", "gb"]
-    ranked = both.withColumn("rank", average_rank(value, k)).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*k, value)))
+    ranked = both.withColumn("__rank", average_rank(value, k)).withColumn("__ties", F.count(F.lit(1)).over(Window.partitionBy(*k, value)))
     is_a = F.col(group) == F.col("ga")
-    s = ranked.groupBy(*k).agg(F.count_if(is_a).alias("na"), F.count_if(~is_a).alias("nb"), F.sum(F.when(is_a, F.col("rank"))).alias("ra"), F.sum(F.col("ties") * F.col("ties") - 1).cast("double").alias("tie"))
+    s = ranked.groupBy(*k).agg(F.count_if(is_a).alias("na"), F.count_if(~is_a).alias("nb"), F.sum(F.when(is_a, F.col("__rank"))).alias("__ra"), F.sum(F.col("__ties") * F.col("__ties") - 1).cast("double").alias("__tie"))
     na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
     n = na + nb
-    s = s.withColumn("u", F.col("ra") - na * (na + 1) / 2)
-    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("tie") / (n * (n - 1))))
+    s = s.withColumn("u", F.col("__ra") - na * (na + 1) / 2)
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.try_divide(F.col("__tie"), n * (n - 1))))
     off = F.col("u") - na * nb / 2
     return s.withColumn("z", F.try_divide(F.signum(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)), F.nullif(sd, F.lit(0.0)))).select(*k, "na", "nb", "u", "z")
 

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def distinct_names(keys: list[str], *made: str) -> None:
+    """ValueError if a key has the name of a column that is made (Spark takes no notice of case): it would be overwritten."""
+    if clash := sorted({k.lower() for k in keys} & {m.lower() for m in made}):
+        raise ValueError(f"keys have the names of result columns: {', '.join(clash)}")
+
+
 def segments(spark: SparkSession, rows: list[tuple[str, float, float]]) -> DataFrame:
     """A small table of named half-open windows."""
     return spark.createDataFrame(rows, "segment string, t0 double, t1 double")

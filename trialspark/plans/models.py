@@ -71,7 +71,7 @@ QUERIES = {
     "i3_average_runs": (lambda i: _round(im.average_runs(im.region_correlation(i.frames, ["subject", "run"]).where("n > 5"), ["subject"]), "r", keep=("subject", "a", "b")), sql("frames", CORR + f" SELECT subject, a, b, {r('tanh(sum(n * atanh(greatest(-0.999999, least(0.999999, r)))) FILTER (r IS NOT NULL) / sum(n) FILTER (r IS NOT NULL))')} AS r FROM c WHERE n > 5 GROUP BY ALL")),
     "i4_pattern_expression": (lambda i: _round(im.pattern_expression(i.voxels, _weights(i), ["trial_id"]), "dot", "cosine", "r", keep=("trial_id", "n_voxels")), sql("voxels", f", w AS (SELECT voxel, avg(value) AS weight FROM voxels WHERE condition = 0 GROUP BY voxel) SELECT trial_id, count(*) AS n_voxels, {r('sum(value * weight)')} AS dot, {r('sum(value * weight) / sqrt(sum(value * value) * sum(weight * weight))')} AS cosine, {r('corr(value, weight)')} AS r FROM voxels JOIN w USING (voxel) GROUP BY trial_id")),
     "i5_second_level": (lambda i: _round(im.one_sample(i.voxels, ["condition", "voxel"]), "mean", "t", keep=("condition", "voxel", "n")), sql("voxels", f"SELECT condition, voxel, count(*) AS n, {r('avg(value)')} AS mean, {r('avg(value) * sqrt(count(*)) / stddev_samp(value)')} AS t FROM voxels GROUP BY ALL")),
-    "i6_repeated_measures": (lambda i: _round(im.repeated_measures(i.voxels.where("condition < 3").groupBy("voxel", "subject", "condition").agg(F.avg("value").alias("value")), ["voxel"], "subject", "condition", "value"), "f", keep=("voxel", "dof1", "dof2")), sql("voxels", f", c AS (SELECT voxel, subject, condition, avg(value) AS v FROM voxels WHERE condition < 3 GROUP BY ALL), d AS (SELECT * FROM c WHERE (voxel, subject) IN (SELECT (voxel, subject) FROM c GROUP BY voxel, subject HAVING count(*) = 3)), g AS (SELECT voxel, avg(v) AS g, count(DISTINCT subject) AS n FROM d GROUP BY voxel), u AS (SELECT voxel, 3 * sum(power(m - g, 2)) AS s FROM (SELECT voxel, subject, avg(v) AS m FROM d GROUP BY ALL) JOIN g USING (voxel) GROUP BY voxel), k AS (SELECT voxel, any_value(n) * sum(power(m - g, 2)) AS s FROM (SELECT voxel, condition, avg(v) AS m FROM d GROUP BY ALL) JOIN g USING (voxel) GROUP BY voxel), t AS (SELECT voxel, sum(power(v - g, 2)) AS s FROM d JOIN g USING (voxel) GROUP BY voxel) SELECT voxel, 2 AS dof1, 2 * (n - 1) AS dof2, {r('(k.s / 2) / ((t.s - u.s - k.s) / (2 * (n - 1)))')} AS f FROM g JOIN u USING (voxel) JOIN k USING (voxel) JOIN t USING (voxel)")),
+    "i6_repeated_measures": (lambda i: _round(im.repeated_measures(i.voxels.withColumn("condition", F.col("condition") % 3).groupBy("voxel", "subject", "condition").agg(F.avg("value").alias("value")), ["voxel"], "subject", "condition", "value"), "f", keep=("voxel", "dof1", "dof2")), sql("voxels", f", c AS (SELECT voxel, subject, condition % 3 AS condition, avg(value) AS v FROM voxels GROUP BY ALL), d AS (SELECT * FROM c WHERE (voxel, subject) IN (SELECT (voxel, subject) FROM c GROUP BY voxel, subject HAVING count(*) = 3)), g AS (SELECT voxel, avg(v) AS g, count(DISTINCT subject) AS n FROM d GROUP BY voxel), u AS (SELECT voxel, 3 * sum(power(m - g, 2)) AS s FROM (SELECT voxel, subject, avg(v) AS m FROM d GROUP BY ALL) JOIN g USING (voxel) GROUP BY voxel), k AS (SELECT voxel, any_value(n) * sum(power(m - g, 2)) AS s FROM (SELECT voxel, condition, avg(v) AS m FROM d GROUP BY ALL) JOIN g USING (voxel) GROUP BY voxel), t AS (SELECT voxel, sum(power(v - g, 2)) AS s FROM d JOIN g USING (voxel) GROUP BY voxel) SELECT voxel, 2 AS dof1, 2 * (n - 1) AS dof2, {r('(k.s / 2) / ((t.s - u.s - k.s) / (2 * (n - 1)))')} AS f FROM g JOIN u USING (voxel) JOIN k USING (voxel) JOIN t USING (voxel)")),
     "i7_max_statistic": (lambda i: _round(im.max_statistic(i.voxels.groupBy("subject", "voxel").agg(F.avg("value").alias("value")), "subject", 30), "t", "p", keep=("voxel",)), sql("voxels", f", v AS (SELECT subject, voxel, avg(value) AS value FROM voxels GROUP BY ALL), s AS (SELECT subject, perm, CASE WHEN perm = 0 THEN 1 ELSE 1 - 2 * (('0x' || substr(md5('1|' || perm || '|' || subject), 1, 8))::BIGINT % 2) END AS sgn FROM (SELECT DISTINCT subject FROM v), (SELECT unnest(range(31)) AS perm)), t AS (SELECT perm, voxel, avg(value * sgn) * sqrt(count(*)) / stddev_samp(value * sgn) AS t FROM v JOIN s USING (subject) GROUP BY ALL), m AS (SELECT perm, max(abs(t)) AS top FROM t WHERE perm > 0 GROUP BY perm) SELECT voxel, {r('t')} AS t, {r('(count(*) FILTER (top >= abs(t)) + 1) / (count(*) + 1)')} AS p FROM t, m WHERE t.perm = 0 GROUP BY voxel, t")),
     "i8_design_qc": (lambda i: _round(im.region_correlation(i.frames.where("roi <> 'tax'"), ["subject", "run"]).groupBy("subject", "run").agg(F.max(F.abs("r")).alias("max_r")), "max_r", keep=("subject", "run")), sql("frames", CORR + f" SELECT subject, run, {r('max(abs(r))')} AS max_r FROM c WHERE a <> 'tax' AND b <> 'tax' GROUP BY ALL")),
     "i9_outlier_share": (lambda i: _round(im.outlier_share(i.features, ["subject", "feature"], "value", 2.0), "outlier_share", keep=("subject", "feature", "n")), sql("features", f", m AS (SELECT *, median(value) OVER (PARTITION BY subject, feature) AS m FROM features), d AS (SELECT *, abs(value - m) AS d, 1.4826 * median(abs(value - m)) OVER (PARTITION BY subject, feature) AS s FROM m) SELECT subject, feature, count(*) AS n, {r('avg(CASE WHEN s > 0 AND d > 2.0 * s THEN 1.0 ELSE 0.0 END)')} AS outlier_share FROM d GROUP BY ALL")),
@@ -88,11 +88,6 @@ QUERIES = {
     "m4_ordered_folds": (lambda i: op.ordered_folds(i.trials, "subject", "run").groupBy("subject", "test_block").agg(F.count(F.lit(1)).alias("n_train")), sql("trials", ", d AS (SELECT subject, dense_rank() OVER (PARTITION BY subject ORDER BY run) - 1 AS b FROM trials), t AS (SELECT DISTINCT subject, b AS test_block FROM d WHERE b > 0) SELECT subject, test_block::INT AS test_block, count(*) AS n_train FROM d JOIN t USING (subject) WHERE b < test_block GROUP BY ALL")),
     "m5_feature_intersection": (lambda i: op.feature_intersection(i.features.withColumn("value", F.when((F.col("feature") != "tax") | (F.col("subject") % 7 > 0), F.col("value"))), "subject", "feature", "value", F.col("subject") % 5 == 0), sql("features", ", t AS (SELECT subject, feature FROM features WHERE subject % 5 <> 0 AND (feature <> 'tax' OR subject % 7 > 0)) SELECT feature, count(DISTINCT subject) AS n FROM t GROUP BY feature HAVING count(DISTINCT subject) = (SELECT count(DISTINCT subject) FROM features WHERE subject % 5 <> 0)")),
     "m8_deconfound": (lambda i: _round(op.deconfound(i.wide, ["condition"], "price", "quantity", F.col("subject") % 4 > 0), "residual", keep=("subject", "trial_id"), digits=2), sql("wide", f", f AS (SELECT condition, regr_slope(price, quantity) AS b, regr_intercept(price, quantity) AS a FROM wide WHERE subject % 4 > 0 GROUP BY condition) SELECT subject, trial_id, {r('price - a - b * quantity', 2)} AS residual FROM wide JOIN f USING (condition)")),
-    "m6_first_component": (lambda i: op.principal_components(i.wide, ["quantity", "price", "discount", "tax"], F.col("subject") % 4 > 0, 1).select("subject", "trial_id", rounded("pc1", 5).alias("pc1")), sql("wide", f""", s AS (SELECT avg(quantity) AS m1, stddev_samp(quantity) AS s1, avg(price) AS m2, stddev_samp(price) AS s2, avg(discount) AS m3, stddev_samp(discount) AS s3, avg(tax) AS m4, stddev_samp(tax) AS s4,
-        corr(quantity, price) AS r12, corr(quantity, discount) AS r13, corr(quantity, tax) AS r14, corr(price, discount) AS r23, corr(price, tax) AS r24, corr(discount, tax) AS r34 FROM wide WHERE subject % 4 > 0),
-    p AS (SELECT 0 AS k, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.1::DOUBLE AS c, 0.1::DOUBLE AS d
-        UNION ALL SELECT k + 1, a / n, b / n, c / n, d / n FROM (SELECT *, sqrt(a * a + b * b + c * c + d * d) AS n FROM (SELECT k, a + r12 * b + r13 * c + r14 * d AS a, r12 * a + b + r23 * c + r24 * d AS b, r13 * a + r23 * b + c + r34 * d AS c, r14 * a + r24 * b + r34 * c + d AS d FROM p, s WHERE k < 400)))
-    SELECT subject, trial_id, {r('a * (quantity - m1) / s1 + b * (price - m2) / s2 + c * (discount - m3) / s3 + d * (tax - m4) / s4', 5)} AS pc1 FROM wide, s, p WHERE k = 400""").replace("WITH ", "WITH RECURSIVE ", 1)),
     "m6_principal_components": (lambda i: op.principal_components(i.wide, ["quantity", "price"], F.col("subject") % 4 > 0, 2).select("subject", "trial_id", rounded(F.abs("pc1"), 5).alias("pc1"), rounded(F.abs("pc2"), 5).alias("pc2")), sql("wide", f", s AS (SELECT avg(quantity) AS mq, stddev_samp(quantity) AS sq, avg(price) AS mp, stddev_samp(price) AS sp, CASE WHEN corr(quantity, price) < 0 THEN -1 ELSE 1 END AS d FROM wide WHERE subject % 4 > 0), z AS (SELECT subject, trial_id, (quantity - mq) / sq AS q, d * (price - mp) / sp AS p FROM wide, s) SELECT subject, trial_id, {r('abs(q + p) / sqrt(2)', 5)} AS pc1, {r('abs(q - p) / sqrt(2)', 5)} AS pc2 FROM z")),
     "m6_best_features": (lambda i: op.best_features(i.features.where("feature <> 'price'").join(i.wide.select("subject", "trial_id", "price"), ["subject", "trial_id"]), "feature", "value", "price", F.col("subject") % 4 > 0, 50.0).select("subject", "trial_id", "feature", rounded("value").alias("value")), sql("features", f", f AS (SELECT a.*, b.price FROM features a JOIN wide b USING (subject, trial_id) WHERE feature <> 'price'), q AS (SELECT feature, power(corr(value, price), 2) AS r2 FROM f WHERE subject % 4 > 0 GROUP BY feature) SELECT subject, trial_id, feature, {r('value')} AS value FROM f WHERE feature IN (SELECT feature FROM q WHERE r2 > (SELECT quantile_cont(r2, 0.5) FROM q))")),
     "m10_forest": (_forest, None),
