@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import carried, numbered
 from .windows import average_rank, clipped, distinct_names, moment_corr
 
 CLIP = 0.999999
@@ -147,21 +148,17 @@ def effect_words(d: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, keys: list[str], tie: list[str]) -> DataFrame:
-    """q values inside each family; null and NaN p have none. The families bound the windows."""
-    ok = F.col(p).isNotNull() & ~F.isnan(p)
-    w = Window.partitionBy(*keys, ok).orderBy(F.col(p), *tie)
-    m = F.count(F.when(ok, F.col(p))).over(Window.partitionBy(*keys, ok))
-    raw = F.col(p) * m / F.row_number().over(w)
-    out = df.withColumn("__raw", F.when(ok, raw))
-    q = F.min("__raw").over(Window.partitionBy(*keys, ok).orderBy(F.col(p), *tie).rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return out.withColumn("q", F.when(ok, F.least(F.lit(1.0), q))).drop("__raw")
+    """q values inside each family; null and NaN p have none. A family of any size spreads over ranges of its p values."""
+    ok = F.coalesce(F.col(p).isNotNull() & ~F.isnan(p), F.lit(False))
+    rows = numbered(df.where(ok), keys, [p, *tie]).withColumn("__raw", F.col(p) * F.col("__size") / F.col("__place"))
+    out = carried(rows, keys, "__raw", "q", least_after=True).withColumn("q", F.least(F.lit(1.0), F.col("q")))
+    return out.select(*df.columns, "q").unionByName(df.where(~ok).withColumn("q", F.lit(None).cast("double")))
 
 
 def simes(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
     """Simes p of each family: the least of p * m / rank."""
-    w = Window.partitionBy(*keys)
-    ok = df.where(F.col(p).isNotNull() & ~F.isnan(p))
-    return ok.withColumn("__s", F.col(p) * F.count(F.lit(1)).over(w) / F.row_number().over(w.orderBy(p))).groupBy(*keys).agg(F.min("__s").alias("family_p"))
+    rows = numbered(df.where(F.col(p).isNotNull() & ~F.isnan(p)), keys, [p])
+    return rows.groupBy(*keys).agg(F.min(F.col(p) * F.col("__size") / F.col("__place")).alias("family_p"))
 
 
 def hierarchical_fdr(df: DataFrame, p: str, family: str, tie: list[str], alpha: float = 0.05) -> DataFrame:
@@ -174,12 +171,10 @@ def hierarchical_fdr(df: DataFrame, p: str, family: str, tie: list[str], alpha:
 
 def holm(df: DataFrame, p: str, keys: list[str], tie: list[str]) -> DataFrame:
     """Holm-adjusted p inside each family; a null p has none and is not counted."""
-    w = Window.partitionBy(*keys)
-    order = w.orderBy(F.asc_nulls_last(p), *tie)
-    i, m = F.row_number().over(order), F.count(p).over(w)
-    out = df.withColumn("__h", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), (m - i + 1) * F.col(p))))
-    top = F.max("__h").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("p_holm", F.when(F.col(p).isNotNull(), top)).drop("__h")
+    rows = numbered(df.where(F.col(p).isNotNull()), keys, [p, *tie])
+    rows = rows.withColumn("__h", F.least(F.lit(1.0), (F.col("__size") - F.col("__place") + 1) * F.col(p)))
+    out = carried(rows, keys, "__h", "p_holm", least_after=False)
+    return out.select(*df.columns, "p_holm").unionByName(df.where(F.col(p).isNull()).withColumn("p_holm", F.lit(None).cast("double")))
 
 
 def permuted(df: DataFrame, keys: list[str], order: str, value: str, n_perm: int, seed: int = 1) -> DataFrame:

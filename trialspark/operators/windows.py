@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scans import average_ranks
+
 
 def distinct_names(keys: list[str], *made: str) -> None:
     """ValueError if a key has the name of a column that is made (Spark takes no notice of case): it would be overwritten."""
@@ -51,8 +53,8 @@ def average_rank(value: str, keys: list[str]) -> Column:
 
 def rank_normalise(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """``(average rank - 1) / (n - 1)``; null for groups of one."""
-    n = F.count(value).over(Window.partitionBy(*keys))
-    return df.withColumn("scaled", F.try_divide(average_rank(value, keys) - 1, n - 1))
+    ranked = average_ranks(df, keys, value, "__rank")
+    return ranked.select(*df.columns, F.try_divide(F.col("__rank") - 1, F.col("__size") - 1).alias("scaled"))
 
 
 def normalise(df: DataFrame, value: str, keys: list[str], method: str, where: Column | None = None) -> DataFrame:

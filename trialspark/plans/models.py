@@ -44,7 +44,7 @@ def _matrix(i):
 
 def _concordance(i):
     """Run means against run maxima of the regions."""
-    side = lambda f: i.frames.where(F.col("roi").isin("quantity", "discount")).groupBy("subject", "run", "roi").agg(f("value").alias("value"))
+    side = lambda f: i.frames.groupBy("subject", "run", "roi").agg(f("value").alias("value"))
     return _round(im.concordance(side(F.avg), side(F.max), ["subject", "run"], "roi", "value"), "r", keep=("roi", "n"))
 
 
@@ -78,7 +78,7 @@ QUERIES = {
     "i11_convolved_confound": (lambda i: _round(im.convolved(i.trials.select("subject", "run", "trial_id", "onset"), _frames_time(i), ["subject", "run"], 90000.0), "value", keep=("subject", "run", "trial_id", "n_frames")), sql("trials", f", n AS (SELECT a.subject, a.run, a.trial_id, b.predictor AS v, 1 - abs(2 * (b.onset - a.onset) / 90000.0 - 1) AS w FROM trials a JOIN trials b ON a.subject = b.subject AND a.run = b.run AND b.onset >= a.onset AND b.onset < a.onset + 90000) SELECT subject, run, trial_id, {r('sum(w * v) / nullif(sum(w), 0)')} AS value, count(*) AS n_frames FROM n GROUP BY ALL")),
     "i12_trial_censoring": (lambda i: im.trial_censoring(i.trials, {"slow": F.col("outcome") > 150, "weak": F.col("predictor") < 5}).groupBy("subject").agg(F.count_if("slow").alias("slow"), F.count_if("weak").alias("weak"), F.count_if("kept").alias("kept")), sql("trials", "SELECT subject, count(*) FILTER (outcome > 150) AS slow, count(*) FILTER (predictor < 5) AS weak, count(*) FILTER (outcome <= 150 AND predictor >= 5) AS kept FROM trials GROUP BY subject")),
     "i14_shuffle_within_run": (_shuffled, sql("trials", ", k AS (SELECT subject, run, trial_id, outcome, row_number() OVER (PARTITION BY subject, run ORDER BY trial_id) AS place, row_number() OVER (PARTITION BY subject, run ORDER BY md5('7|0|' || trial_id), trial_id) AS drawn FROM trials) SELECT a.subject, a.run, a.trial_id, b.outcome AS permuted FROM k a JOIN k b ON a.subject = b.subject AND a.run = b.run AND a.place = b.drawn")),
-    "i17_concordance": (_concordance, sql("wide", f", s AS (SELECT subject, run, avg(quantity) AS qa, max(quantity) AS qb, avg(discount) AS da, max(discount) AS db FROM wide GROUP BY ALL) SELECT 'quantity' AS roi, count(*) AS n, {r('corr(qa, qb)')} AS r FROM s UNION ALL SELECT 'discount', count(*), {r('corr(da, db)')} FROM s")),
+    "i17_concordance": (_concordance, sql("frames", f", s AS (SELECT subject, run, roi, avg(value) AS a, max(value) AS b FROM frames GROUP BY ALL) SELECT roi, count(*) AS n, CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN {r('corr(a, b)')} END AS r FROM s GROUP BY roi")),
     "i19_group_statuses": (lambda i: _round(stats.holm(i.trials.groupBy("condition").agg((F.avg("outcome") / 5000).alias("p")).withColumn("all", F.lit(1)), "p", ["all"], ["condition"]).withColumn("status", F.when(F.col("p_holm") < 0.05, "supported").otherwise("not supported")), "p_holm", keep=("condition", "status")), sql("trials", f", p AS (SELECT condition, avg(outcome) / 5000 AS p FROM trials GROUP BY condition), k AS (SELECT *, row_number() OVER (ORDER BY p, condition) AS k, count(*) OVER () AS m FROM p), h AS (SELECT condition, max(least(1.0, (m - k + 1) * p)) OVER (ORDER BY p, condition ROWS UNBOUNDED PRECEDING) AS h FROM k) SELECT condition, {r('h')} AS p_holm, CASE WHEN h < 0.05 THEN 'supported' ELSE 'not supported' END AS status FROM h")),
     "i20_temporal_snr": (lambda i: _round(im.temporal_snr(i.frames, ["subject", "roi"], "run", "value"), "tsnr", keep=("subject", "roi")), sql("frames", f", s AS (SELECT subject, roi, run, coalesce(avg(value) / nullif(stddev_pop(value), 0), 0) AS s FROM frames GROUP BY ALL) SELECT subject, roi, {r('avg(s)')} AS tsnr FROM s GROUP BY ALL")),
     "m1_design_matrix": (_matrix, sql("wide", "SELECT subject, trial_id, quantity, discount, tax, price AS target FROM wide")),
