@@ -77,8 +77,15 @@ def outlier_share(df: DataFrame, keys: list[str], value: str, z: float) -> DataF
 
 
 def convolved(trials: DataFrame, frames: DataFrame, keys: list[str], span: float) -> DataFrame:
-    """Kernel-weighted mean of a frame series after each trial's onset: a triangle over ``span`` seconds."""
-    near = trials.join(frames, keys).where((F.col("time") >= F.col("onset")) & (F.col("time") < F.col("onset") + span))
+    """Kernel-weighted mean of a frame series after each trial's onset: a triangle over ``span`` seconds.
+
+    Frames lie in buckets of ``span`` seconds; a trial meets only the two or so buckets that its kernel reaches, so work grows with
+    the frames under the kernels and not with the length of a run.
+    """
+    bucket = lambda t: F.floor(t / F.lit(float(span))).cast("long")
+    reach = F.explode(F.sequence(bucket(F.col("onset")), bucket(F.col("onset") + span)))  # rounding never puts a frame beyond
+    own = trials.where(F.col("onset").isNotNull()).withColumn("__bucket", reach)
+    near = own.join(frames.withColumn("__bucket", bucket(F.col("time"))), [*keys, "__bucket"]).where((F.col("time") >= F.col("onset")) & (F.col("time") < F.col("onset") + span))
     w = 1 - F.abs(2 * (F.col("time") - F.col("onset")) / span - 1)
     return near.groupBy(*keys, "trial_id").agg(F.try_divide(F.sum(w * F.col("value")), F.nullif(F.sum(w), F.lit(0.0))).alias("value"), F.count(F.lit(1)).alias("n_frames"))
 

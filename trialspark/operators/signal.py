@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import clipped, moment_corr
 
 FLOOR = 1e-20
+#: Samples of the signals whose tries are held at once.
+TRIE_CELLS = 1 << 21
 
 
 def bin_widths(psd: DataFrame, keys: list[str]) -> DataFrame:
@@ -184,58 +186,94 @@ def threshold_graph(edges: DataFrame, keys: list[str], top: float) -> DataFrame:
     return edges.join(cut, keys).where("w >= cut").drop("cut")
 
 
+def _stacked(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """``keys, __i, __x``: each signal as two arrays in ascending order; null values are left out."""
+    points = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("i"), F.col(value).cast("double").alias("x")))))
+    rows = samples.groupBy(*keys).agg(points.alias("__s"))
+    return rows.select(*keys, F.transform("__s", lambda s: s["i"]).alias("__i"), F.transform("__s", lambda s: s["x"]).alias("__x"))
+
+
+def _by_length(signals: DataFrame, kept: list[str], made: dict[str, str], work: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """``kept`` columns and what ``work`` makes of all signals of one length in a batch at once: a row of numbers (or a number) each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("__x")
+            sizes = listed.value_lengths().to_numpy()
+            flat, ends = listed.flatten().to_numpy(), np.cumsum(sizes)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                values = work(flat[(ends[at] - n)[:, None] + np.arange(n)])
+                arrays = [pa.array(list(v) if v.ndim > 1 else v, pa.list_(pa.float64()) if v.ndim > 1 else pa.float64(), from_pandas=True) for v in (values[c] for c in made)]
+                yield pa.RecordBatch.from_arrays([*batch.select(kept).take(pa.array(at)).columns, *arrays], names=[*kept, *made])
+
+    kinds = {f.name: f.dataType.simpleString() for f in signals.schema}
+    return signals.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in kept), *(f"`{c}` {t}" for c, t in made.items())]))
+
+
 def welch(samples: DataFrame, keys: list[str], rate: float, size: int) -> DataFrame:
-    """Power spectrum by averaged windowed segments; one signal a group, numpy inside the task."""
-    half = size // 2
+    """Power spectrum by averaged windowed segments of ``size`` samples, half overlapping: ``keys, freq, power``.
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("sample_idx")["x"].to_numpy()
-        window = np.hanning(size + 1)[:-1]
-        starts = range(0, len(x) - size + 1, half)
-        parts = [np.abs(np.fft.rfft((x[s : s + size] - x[s : s + size].mean()) * window)) ** 2 for s in starts]
-        power = np.mean(parts, axis=0) / (rate * (window**2).sum()) if parts else np.zeros(0)
-        if len(power):
-            power[1 : -1 if size % 2 == 0 else None] *= 2
-        head = {k: group[k].iloc[0] for k in keys}
-        return pd.DataFrame(head | {"freq": np.fft.rfftfreq(size, 1 / rate)[: len(power)], "power": power}, columns=[*keys, "freq", "power"])
+    All signals of one length in a batch are transformed at once. A signal shorter than a segment has no rows.
+    """
+    half, window = size // 2, np.hanning(size + 1)[:-1]
+
+    def spectra(x: np.ndarray) -> dict[str, np.ndarray]:
+        starts = np.arange(0, x.shape[1] - size + 1, max(1, half))
+        if not len(starts):
+            return {"__power": np.zeros((len(x), 0))}
+        parts = x[:, starts[:, None] + np.arange(size)]
+        power = (np.abs(np.fft.rfft((parts - parts.mean(axis=2, keepdims=True)) * window)) ** 2).mean(axis=1) / (rate * (window**2).sum())
+        power[:, 1 : -1 if size % 2 == 0 else None] *= 2
+        return {"__power": power}
 
-    fields = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-    return samples.groupBy(*keys).applyInPandas(one, f"{fields}, freq double, power double")
+    out = _by_length(_stacked(samples, keys, "sample_idx", "x"), keys, {"__power": "array<double>"}, spectra)
+    bins = F.posexplode("__power").alias("__k", "power")
+    return out.select(*keys, bins).select(*keys, (F.col("__k") * (rate / size)).alias("freq"), "power")
 
 
 def analytic_band(samples: DataFrame, keys: list[str], rate: float, f0: float, f1: float) -> DataFrame:
-    """Band-limited analytic signal by a mask over positive frequencies."""
+    """Band-limited analytic signal by a mask over positive frequencies: ``keys, sample_idx, re, im``; stacked like ``welch``."""
+
+    def band(x: np.ndarray) -> dict[str, np.ndarray]:
+        f = np.fft.fftfreq(x.shape[1], 1 / rate) if x.shape[1] else np.zeros(0)
+        z = np.fft.ifft(np.where((f >= f0) & (f <= f1), 2 * np.fft.fft(x), 0)) if x.shape[1] else x.astype(complex)
+        return {"__re": z.real, "__im": z.imag}
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sample_idx")
-        spectrum = np.fft.fft(group["x"].to_numpy())
-        f = np.fft.fftfreq(len(group), 1 / rate)
-        z = np.fft.ifft(np.where((f >= f0) & (f <= f1), 2 * spectrum, 0))
-        return group[[*keys, "sample_idx"]].assign(re=z.real, im=z.imag)
+    signals = _stacked(samples, keys, "sample_idx", "x")
+    out = _by_length(signals, [*keys, "__i"], {"__re": "array<double>", "__im": "array<double>"}, band)
+    return out.select(*keys, F.explode(F.arrays_zip("__i", "__re", "__im")).alias("__z")).select(*keys, F.col("__z.__i").alias("sample_idx"), F.col("__z.__re").alias("re"), F.col("__z.__im").alias("im"))
 
-    fields = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-    return samples.groupBy(*keys).applyInPandas(one, f"{fields}, sample_idx int, re double, im double")
+
+def phrase_counts(bits: np.ndarray) -> np.ndarray:
+    """Phrases of the greedy parse of each row of bits, an unfinished one included.
+
+    Every row has a trie of integer nodes; one step moves all rows on by one bit, and a row that leaves its trie adds a node and
+    goes back to the root.
+    """
+    rows, n = bits.shape
+    child = np.zeros((rows, n + 1, 2), np.int32)
+    made, node, each = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.arange(rows)
+    for t in range(n):
+        bit = bits[:, t]
+        to = child[each, node, bit]
+        new = to == 0
+        made += new
+        child[each[new], node[new], bit[new]] = made[new]
+        node = np.where(new, 0, to)
+    return made + (node > 0)
 
 
 def lempel_ziv(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy phrase count of the signal over its median, over ``n / log2 n``."""
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = []
-            for x in frame["x"]:
-                x = np.asarray(x, float)
-                bits = "".join("1" if v > np.median(x) else "0" for v in x)
-                seen, phrase, n = set(), "", 0
-                for b in bits:
-                    phrase += b
-                    if phrase not in seen:
-                        seen.add(phrase)
-                        n, phrase = n + 1, ""
-                n += bool(phrase)
-                values.append(n / (len(x) / np.log2(len(x))) if len(x) > 1 else None)
-            yield frame[keys].assign(complexity=values)
-
-    rows = samples.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", "x"))), lambda s: s["x"]).alias("x"))
-    fields = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInPandas(batches, f"{fields}, complexity double")
+    """Greedy phrase count of the signal over its median, over ``n / log2 n``; null for signals of one sample."""
+
+    def complexity(x: np.ndarray) -> dict[str, np.ndarray]:
+        n = x.shape[1]
+        if n < 2:
+            return {"complexity": np.full(len(x), np.nan)}
+        step = max(1, TRIE_CELLS // n)
+        bits = (x > np.median(x, axis=1, keepdims=True)).astype(np.int8)
+        counts = np.concatenate([phrase_counts(bits[a : a + step]) for a in range(0, len(x), step)])
+        return {"complexity": counts / (n / np.log2(n))}
+
+    return _by_length(_stacked(samples, keys, "sample_idx", "x"), keys, {"complexity": "double"}, complexity)

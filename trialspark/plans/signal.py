@@ -76,9 +76,22 @@ def _comodulogram(i):
 
 PAC = "SELECT x.trial_id, x.channel AS phase, y.channel AS amplitude, sum(sqrt(y.re * y.re + y.im * y.im) * x.c) AS c, sum(sqrt(y.re * y.re + y.im * y.im) * x.s) AS s, sum(sqrt(y.re * y.re + y.im * y.im)) AS m, count(*) AS n FROM u x JOIN analytic y ON x.trial_id = y.trial_id AND x.t = y.t"
 
+# segments 0-3, 2-5 and 4-7 less their mean under a periodic Hann window of 4 (0, 0.5, 1, 0.5), by the plain transform
+WELCH = """, g AS (SELECT trial_id, channel, s, x - avg(x) OVER (PARTITION BY trial_id, channel, s) AS x, sample_idx - s AS n FROM samples, (SELECT unnest([0, 2, 4]) AS s) WHERE sample_idx >= s AND sample_idx < s + 4),
+    d AS (SELECT trial_id, channel, s, k, sum(x * [0.0, 0.5, 1.0, 0.5][n + 1] * cos(2 * pi() * k * n / 4)) AS re, sum(x * [0.0, 0.5, 1.0, 0.5][n + 1] * sin(2 * pi() * k * n / 4)) AS im FROM g, (SELECT unnest(range(3)) AS k) GROUP BY ALL)"""
+# eight samples at 8 Hz: whole frequencies k, of which 1 to 3 are kept twofold
+BAND = """, d AS (SELECT trial_id, channel, k, sum(x * cos(2 * pi() * k * sample_idx / 8)) AS a, -sum(x * sin(2 * pi() * k * sample_idx / 8)) AS b FROM samples, (SELECT unnest([1, 2, 3]) AS k) GROUP BY ALL),
+    z AS (SELECT trial_id, channel, n AS sample_idx, sum(a * cos(2 * pi() * k * n / 8) - b * sin(2 * pi() * k * n / 8)) / 4 AS re, sum(a * sin(2 * pi() * k * n / 8) + b * cos(2 * pi() * k * n / 8)) / 4 AS im FROM d, (SELECT unnest(range(8)) AS n) GROUP BY ALL)"""
+# the parse, one bit a step: the phrase so far and the list of those seen
+PHRASES = f""", m AS (SELECT trial_id, channel, sample_idx AS i, CASE WHEN x > median(x) OVER (PARTITION BY trial_id, channel) THEN '1' ELSE '0' END AS bit FROM samples),
+    w AS (SELECT trial_id, channel, string_agg(bit, '' ORDER BY i) AS bits FROM m GROUP BY ALL),
+    p AS (SELECT trial_id, channel, bits, 0 AS i, '' AS phrase, []::VARCHAR[] AS seen FROM w
+        UNION ALL SELECT trial_id, channel, bits, i + 1, CASE WHEN list_contains(seen, phrase || bits[i + 1]) THEN phrase || bits[i + 1] ELSE '' END, CASE WHEN list_contains(seen, phrase || bits[i + 1]) THEN seen ELSE list_append(seen, phrase || bits[i + 1]) END FROM p WHERE i < length(bits))
+    SELECT trial_id, channel, {r('(len(seen) + (length(phrase) > 0)::INT) / (length(bits) / log2(length(bits)))')} AS complexity FROM p WHERE i = length(bits)"""
+
 QUERIES = {
-    "f1_welch": (lambda i: op.welch(i.samples, ["trial_id", "channel"], 8.0, 4).groupBy("trial_id", "freq").agg(rounded(F.avg("power")).alias("power")), None),
-    "f2_analytic_band": (lambda i: op.analytic_band(i.samples, ["trial_id", "channel"], 8.0, 1.0, 3.0).select("trial_id", "channel", "sample_idx", rounded("re").alias("re"), rounded("im").alias("im")), None),
+    "f1_welch": (lambda i: op.welch(i.samples, ["trial_id", "channel"], 8.0, 4).select("trial_id", "channel", "freq", rounded("power").alias("power")), sql("samples", WELCH + f" SELECT trial_id, channel, k * 2.0::DOUBLE AS freq, {r('avg(re * re + im * im) / (8 * 1.5) * CASE WHEN k = 1 THEN 2 ELSE 1 END')} AS power FROM d GROUP BY trial_id, channel, k")),
+    "f2_analytic_band": (lambda i: op.analytic_band(i.samples, ["trial_id", "channel"], 8.0, 1.0, 3.0).select("trial_id", "channel", "sample_idx", rounded("re").alias("re"), rounded("im").alias("im")), sql("samples", BAND + f" SELECT trial_id, channel, sample_idx::INT AS sample_idx, {r('re')} AS re, {r('im')} AS im FROM z")),
     "f3_band_power": (lambda i: _round(op.band_power(i.psd, band_table(i.spark), ["trial_id"]), "power", keep=("trial_id", "band")), sql("psd", BP + f" SELECT trial_id, band, {r('power')} AS power FROM p")),
     "f4_relative_power": (lambda i: _round(op.relative_power(_tfr_segments(i), ["trial_id", "freq"], "segment", "base"), "logratio", "db", "log10raw", keep=("trial_id", "freq", "segment")), sql("tfr", f", m AS (SELECT trial_id, freq, greatest(avg(power) FILTER (t < 0), 1e-20) AS b, greatest(avg(power) FILTER (t >= 0 AND t < 0.375), 1e-20) AS p FROM tfr GROUP BY ALL) SELECT trial_id, freq, 'early' AS segment, {r('log10(p / b)')} AS logratio, {r('10 * log10(p / b)')} AS db, {r('log10(p)')} AS log10raw FROM m")),
     "f5_spectral_shape": (lambda i: _round(op.spectral_shape(i.psd, ["trial_id"]), "centre", "edge", "entropy", "bandwidth", keep=("trial_id",)), sql("psd", f", m AS (SELECT *, power * (CASE WHEN freq IN (1, 64) THEN 1.0 ELSE 1.0 END) AS m, sum(power) OVER (PARTITION BY trial_id) AS s, sum(power) OVER (PARTITION BY trial_id ORDER BY freq) AS acc FROM psd) SELECT trial_id, {r('sum(freq * power / s)')} AS centre, {r('min(freq) FILTER (acc >= 0.95 * s)')} AS edge, {r('-sum(power / s * ln(power / s)) / ln(64)')} AS entropy, {r('sqrt(sum(freq * freq * power / s) - power(sum(freq * power / s), 2))')} AS bandwidth FROM m GROUP BY trial_id")),
@@ -92,7 +105,7 @@ QUERIES = {
     "f19_permutation_entropy": (lambda i: _round(op.permutation_entropy(i.trials, ["subject"], "outcome", "trial_id"), "entropy", keep=("subject",)), sql("trials", f", e AS (SELECT subject, outcome AS x, lead(outcome, 1) OVER w AS y, lead(outcome, 2) OVER w AS z FROM trials WINDOW w AS (PARTITION BY subject ORDER BY trial_id)), c AS (SELECT subject, x <= y AS a, y <= z AS b, x <= z AS c, count(*) AS n FROM e WHERE z IS NOT NULL GROUP BY ALL), p AS (SELECT subject, n / sum(n) OVER (PARTITION BY subject) AS p FROM c) SELECT subject, {r('-sum(p * ln(p)) / ln(6.0)')} AS entropy FROM p GROUP BY subject")),
     "f20_sample_entropy": (lambda i: _round(op.sample_entropy(i.trials, ["subject"], "outcome", "trial_id"), "entropy", keep=("subject", "a", "b")), sql("trials", f", e AS (SELECT subject, trial_id AS i, outcome AS x0, lead(outcome, 1) OVER w AS x1, lead(outcome, 2) OVER w AS x2, stddev_pop(outcome) OVER (PARTITION BY subject) * 0.2 AS r FROM trials WINDOW w AS (PARTITION BY subject ORDER BY trial_id)), f AS (SELECT * FROM e WHERE x2 IS NOT NULL), m AS (SELECT f.subject, count(*) FILTER (abs(f.x0 - g.x0) <= f.r AND abs(f.x1 - g.x1) <= f.r AND abs(f.x2 - g.x2) <= f.r) AS a, count(*) FILTER (abs(f.x0 - g.x0) <= f.r AND abs(f.x1 - g.x1) <= f.r) AS b FROM f JOIN f g ON f.subject = g.subject AND f.i < g.i GROUP BY f.subject) SELECT subject, a, b, CASE WHEN a > 0 AND b > 0 THEN {r('-ln(a / b)')} END AS entropy FROM m")),
     "f20_multiscale_entropy": (lambda i: _round(op.multiscale_entropy(i.trials, ["subject"], "outcome", "trial_id", [1, 2, 3]), "entropy", keep=("subject", "scale", "a", "b")), sql("trials", f", g AS (SELECT subject, s AS scale, (trial_id - 1) // s AS i, avg(outcome) AS x FROM trials, (SELECT unnest([1, 2, 3]) AS s) GROUP BY ALL HAVING count(*) = s), e AS (SELECT subject, scale, i, x AS x0, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2, stddev_pop(x) OVER (PARTITION BY subject, scale) * 0.2 AS r FROM g WINDOW w AS (PARTITION BY subject, scale ORDER BY i)), f AS (SELECT * FROM e WHERE x2 IS NOT NULL), m AS (SELECT f.subject, f.scale, count(*) FILTER (abs(f.x0 - g.x0) <= f.r AND abs(f.x1 - g.x1) <= f.r AND abs(f.x2 - g.x2) <= f.r) AS a, count(*) FILTER (abs(f.x0 - g.x0) <= f.r AND abs(f.x1 - g.x1) <= f.r) AS b FROM f JOIN f g ON f.subject = g.subject AND f.scale = g.scale AND f.i < g.i GROUP BY ALL) SELECT subject, scale, a, b, CASE WHEN a > 0 AND b > 0 THEN {r('-ln(a / b)')} END AS entropy FROM m")),
-    "f21_lempel_ziv": (lambda i: _round(op.lempel_ziv(i.samples, ["trial_id", "channel"]), "complexity", keep=("trial_id", "channel")), None),
+    "f21_lempel_ziv": (lambda i: _round(op.lempel_ziv(i.samples, ["trial_id", "channel"]), "complexity", keep=("trial_id", "channel")), sql("samples", PHRASES).replace("WITH ", "WITH RECURSIVE ", 1)),
     "f22_quality": (_quality, sql("samples", f"SELECT trial_id, channel, {r('var_pop(x)')} AS variance, {r('max(x) - min(x)')} AS ptp, 1.0::DOUBLE AS finite, {r('sqrt(avg(x * x))')} AS rms FROM samples GROUP BY ALL")),
     "f23_artifact_correlation": (_artifact, sql("samples", f", c AS (SELECT a.trial_id, a.channel, corr(a.x, b.x) AS r FROM samples a JOIN samples b ON a.trial_id = b.trial_id AND a.t = b.t AND b.channel = 7 WHERE a.channel < 7 GROUP BY ALL) SELECT trial_id, {r('avg(abs(r))')} AS mean_abs_r FROM c GROUP BY trial_id")),
     "f24_phase_connectivity": (lambda i: _round(op.phase_connectivity(i.analytic, ["trial_id"]), "wpli", "pli", "plv", "icoh", keep=("trial_id", "a", "b")), sql("analytic", CROSS + f" SELECT trial_id, a, b, {r('abs(avg(im)) / avg(abs(im))')} AS wpli, {r('abs(avg(sign(im)))')} AS pli, {r('sqrt(power(avg(re / sqrt(re * re + im * im)), 2) + power(avg(im / sqrt(re * re + im * im)), 2))')} AS plv, {r('avg(im) / sqrt(avg(pa) * avg(pb))')} AS icoh FROM p GROUP BY ALL")),
