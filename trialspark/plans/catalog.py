@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Inputs
 
-SECTIONS = ("stats", "signal", "spectra", "models", "extended", "clusters", "curves", "states", "validation", "nets", "groups", "names", "align", "windows")
+SECTIONS = ("stats", "signal", "spectra", "traces", "models", "extended", "clusters", "curves", "states", "validation", "nets", "groups", "names", "align", "windows")
 
 
 def _entries() -> dict:
