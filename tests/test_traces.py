@@ -82,3 +82,19 @@ def test_artifact_metrics_with_a_constant_channel(spark):
     x = [1.0, 2.0, 4.0, 2.0, 2.0, 2.0]
     assert (r.rms, r.variance) == pytest.approx((math.sqrt(sum(a * a for a in x) / 6), statistics.pvariance(x)))
     assert r.mean_abs_r == pytest.approx(abs(statistics.correlation([1.0, 2.0, 4.0], [3.0, 1.0, 0.0])) / 2)
+
+
+def test_fold_phase_locking(spark):
+    rng = random.Random(1)
+    rows = [(k, i, rng.gauss(0, 1), rng.gauss(0, 1)) for k in range(3) for i in range(6)] + [(0, 6, 0.0, 0.0), (1, 6, 0.0, 0.0), (9, 0, 1.0, 1.0)]
+    train = {(k, i): i % 2 == 0 and k != 2 for k, i, *_ in rows}
+    df = spark.createDataFrame(rows, "k int, i int, re double, im double")
+    got = {(r.k, r.i): r for r in traces.fold_phase_locking(df, ["k"], (F.col("i") % 2 == 0) & (F.col("k") != 2)).collect()}
+    unit = {(k, i): complex(a, b) / abs(complex(a, b)) for k, i, a, b in rows if a or b}
+    for k, i, *_ in rows:
+        fit = [j for q, j, *_ in rows if q == k and (train[k, j] or not any(train[k, m] for p, m, *_ in rows if p == k))]
+        use = [unit[k, j] for j in fit if (k, j) in unit]
+        whole = abs(sum(use)) / len(use)
+        others = [unit[k, j] for j in fit if j != i and (k, j) in unit]
+        alone = i in fit and (k, i) in unit and len(use) > 1
+        assert got[k, i].itpc == pytest.approx(whole) and got[k, i].loo == pytest.approx(abs(sum(others)) / len(others) if alone else whole)

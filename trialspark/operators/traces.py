@@ -83,3 +83,23 @@ def artifact_metrics(samples: DataFrame, keys: list[str], t: str, channel: str,
     right = samples.where(secondary).select(*keys, t, F.col(channel).alias("__b"), F.col(x).alias("__y"))
     r = left.join(right, [*keys, t]).groupBy(*keys, "__a", "__b").agg(F.coalesce(moment_corr(F.col("__x"), F.col("__y")), F.lit(0.0)).alias("__r"))
     return sizes.join(r.groupBy(*keys).agg(F.avg(F.abs("__r")).alias("mean_abs_r")), keys, "left")
+
+
+def fold_phase_locking(analytic: DataFrame, keys: list[str], train: Column) -> DataFrame:
+    """Inter-trial coherence for a fold: ``itpc`` of the training trials at each place of ``keys``, and ``loo``, what each trial may be
+    measured by without itself: a training trial that of the other training trials, any other that of all of them.
+
+    Without training trials all trials count as such. A sample of size 0 has no phase and counts in no sum; a lone training trial
+    has the coherence of itself. ``keys`` may hold the condition for the coherence of each condition.
+    """
+    mag = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    w = Window.partitionBy(*keys)
+    rows = analytic.withColumn("__c", F.try_divide(F.col("re"), mag)).withColumn("__s", F.try_divide(F.col("im"), mag)).withColumn("__train", F.coalesce(train, F.lit(False)))
+    rows = rows.withColumn("__fit", F.col("__train") | ~F.max("__train").over(w))
+    part = lambda c: F.coalesce(F.sum(F.when(F.col("__fit"), F.col(c))).over(w), F.lit(0.0))
+    rows = rows.withColumn("__n", F.count(F.when(F.col("__fit"), F.col("__c"))).over(w)).withColumn("__tc", part("__c")).withColumn("__ts", part("__s"))
+    length = lambda a, b, n: F.try_divide(F.sqrt(a * a + b * b), n)
+    whole = length(F.col("__tc"), F.col("__ts"), F.col("__n"))
+    other = length(F.col("__tc") - F.col("__c"), F.col("__ts") - F.col("__s"), F.col("__n") - 1)
+    own = F.col("__fit") & F.col("__c").isNotNull() & (F.col("__n") > 1)
+    return rows.withColumn("itpc", whole).withColumn("loo", F.when(own, other).otherwise(whole)).drop("__c", "__s", "__train", "__fit", "__n", "__tc", "__ts")

@@ -56,11 +56,18 @@ def burst_sql(method: str) -> str:
     SELECT subject, count(*) FILTER (f AND n >= 2) AS bursts, {r('count(*) FILTER (f AND n >= 2) * 4 / sum(n)')} AS rate, {r('avg(n) FILTER (f AND n >= 2) / 4')} AS duration, {r('avg(top) FILTER (f AND n >= 2)')} AS amplitude, {r('coalesce(sum(n) FILTER (f), 0) / sum(n)')} AS fraction FROM i GROUP BY subject""")
 
 
+# where a place has no training trial, all its trials count
+FOLD = """, u AS (SELECT *, re / sqrt(re * re + im * im) AS c, im / sqrt(re * re + im * im) AS s, trial_id % 4 > 0 AS fit FROM analytic),
+    o AS (SELECT *, fit OR NOT bool_or(fit) OVER (PARTITION BY {by}) AS own FROM u),
+    f AS (SELECT *, count(*) FILTER (own) OVER w AS n, sum(c) FILTER (own) OVER w AS c1, sum(s) FILTER (own) OVER w AS s1 FROM o WINDOW w AS (PARTITION BY {by}))"""
+
 QUERIES = {
     "f11_erp_component": (_erp, sql("samples", ERP + f" SELECT trial_id, channel, {r('mean')} AS mean, {r('coalesce(best.v, top)')} AS peak, {r('coalesce(best.freq, top_t)')} AS latency, {r('area')} AS area FROM a JOIN z USING (k) LEFT JOIN best USING (k)")),
     "f11_peak_pair": (_pair, sql("samples", BASE + f" SELECT trial_id, channel, {r('max(v) - min(v)')} AS ptp, {r('arg_max(freq, v) - arg_min(freq, v)')} AS latency_diff FROM e GROUP BY trial_id, channel")),
     "f18_burst_zscore": (lambda i: _bursts(i, "zscore"), burst_sql("zscore")),
     "f18_burst_mad": (lambda i: _bursts(i, "mad"), burst_sql("mad")),
     "f18_burst_percentile": (lambda i: _bursts(i, "percentile"), burst_sql("percentile")),
+    "f32_fold_phase_locking": (lambda i: _round(op.fold_phase_locking(i.analytic, ["subject", "channel", "t"], F.col("trial_id") % 4 > 0), "itpc", "loo", keep=("trial_id", "channel", "t")), sql("analytic", FOLD.format(by="subject, channel, t") + f" SELECT trial_id, channel, t, {r('sqrt(c1 * c1 + s1 * s1) / n')} AS itpc, {r('CASE WHEN own AND n > 1 THEN sqrt(power(c1 - c, 2) + power(s1 - s, 2)) / (n - 1) ELSE sqrt(c1 * c1 + s1 * s1) / n END')} AS loo FROM f")),
+    "f32_condition_phase_locking": (lambda i: _round(op.fold_phase_locking(i.analytic, ["condition", "channel", "t"], F.lit(True)), "itpc", "loo", keep=("trial_id", "channel", "t")), sql("analytic", FOLD.replace("trial_id % 4 > 0", "true").format(by="condition, channel, t") + f" SELECT trial_id, channel, t, {r('sqrt(c1 * c1 + s1 * s1) / n')} AS itpc, {r('CASE WHEN n > 1 THEN sqrt(power(c1 - c, 2) + power(s1 - s, 2)) / (n - 1) ELSE sqrt(c1 * c1 + s1 * s1) / n END')} AS loo FROM f")),
     "f23_artifact_metrics": (lambda i: _round(op.artifact_metrics(i.samples, ["trial_id"], "t", "channel", "x", F.col("channel") < 6, F.col("channel") >= 6), "rms", "variance", "mean_abs_r", keep=("trial_id",)), sql("samples", f", c AS (SELECT a.trial_id, a.channel, b.channel AS other, coalesce(corr(a.x, b.x), 0) AS r FROM samples a JOIN samples b ON a.trial_id = b.trial_id AND a.t = b.t AND b.channel >= 6 WHERE a.channel < 6 GROUP BY ALL), m AS (SELECT trial_id, avg(abs(r)) AS r FROM c GROUP BY trial_id), s AS (SELECT trial_id, sqrt(avg(x * x)) AS q, var_pop(x) AS v FROM samples WHERE channel < 6 GROUP BY trial_id) SELECT trial_id, {r('q')} AS rms, {r('v')} AS variance, {r('r')} AS mean_abs_r FROM s JOIN m USING (trial_id)")),
 }
