@@ -50,10 +50,12 @@ def robust_lines(spectra: DataFrame, bins: str = "__s", *, low: float = 2.0, hig
     df = df.withColumn("__last", F.expr("cast(null AS struct<slope: double, intercept: double>)"))
     for _ in range(rounds):
         df = _with_line(df.drop("__last"), "__kept", "__last").withColumn("__r", F.expr(_residuals("__kept", "__last")))
-        df = df.withColumn("__mid", F.expr(_median("__r"))).withColumn("__off", F.expr("transform(__r, r -> abs(r - __mid))")).withColumn("__mad", F.expr(f"{MAD_SCALE}D * {_median('__off')}"))
+        # the median is bound once: a column used in one place only would be put into the lambda and sorted anew for every bin
+        off = f"get(transform(array({_median('__r')}), m -> transform(__r, r -> abs(r - m))), 0)"
+        df = df.withColumn("__off", F.expr(off)).withColumn("__mad", F.expr(f"{MAD_SCALE}D * {_median('__off')}"))
         df = df.withColumn("__next", F.expr(f"filter(__kept, p -> p.y - __last.intercept - __last.slope * p.x <= {z}D * __mad)"))
         able = f"coalesce(exists(__r, r -> r > 0) AND __mad >= {LEAST_MAD}D AND size(__next) >= {least}, false)"
-        df = df.withColumn("__kept", F.expr(f"if({able}, __next, __kept)")).drop("__r", "__mid", "__off", "__mad", "__next")
+        df = df.withColumn("__kept", F.expr(f"if({able}, __next, __kept)")).drop("__r", "__off", "__mad", "__next")
     return _with_line(df, "__kept", "__line")
 
 
