@@ -156,7 +156,7 @@ def sample_entropy(df: DataFrame, keys: list[str], value: str, order: str, facto
     other = own.select(*keys, F.col("__i").alias("__j"), *(F.col(f"__x{k}").alias(f"__y{k}") for k in range(3)), "__c0", "__c1", F.explode(steps).alias("__s"))
     other = other.withColumn("__c0", F.col("__c0") + F.col("__s.a")).withColumn("__c1", F.col("__c1") + F.col("__s.b")).drop("__s")
     near = lambda k: F.abs(F.col(f"__x{k}") - F.col(f"__y{k}")) <= F.col("__r")
-    m = own.join(other, [*keys, "__c0", "__c1"]).where(F.col("__i") < F.col("__j")).where(near(0) & near(1)).groupBy(*keys).agg(F.count(F.lit(1)).alias("b"), F.count_if(near(2)).alias("a"))
+    m = own.join(other.hint("merge"), [*keys, "__c0", "__c1"]).where(F.col("__i") < F.col("__j")).where(near(0) & near(1)).groupBy(*keys).agg(F.count(F.lit(1)).alias("b"), F.count_if(near(2)).alias("a"))
     every = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n").join(m, keys, "left").fillna(0, ["a", "b"])
     return every.withColumn("entropy", F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.try_divide(F.col("a"), F.col("b")))))
 
