@@ -58,11 +58,10 @@ def carried(rows: DataFrame, keys: list[str], value: str, name: str, *, least_af
     """``name`` for rows of ``numbered``: the least ``value`` from a row to its group's end, or the greatest up to the row."""
     fold = F.min if least_after else F.max
     parts = rows.groupBy(*keys, "__part").agg(fold(value).alias("__m"))
-    along = Window.partitionBy(*keys).orderBy("__part")
-    others = along.rowsBetween(1, Window.unboundedFollowing) if least_after else along.rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, "__part", fold("__m").over(others).alias("__rest"))
-    here = Window.partitionBy(*keys, "__part").orderBy("__place")
-    here = here.rowsBetween(Window.currentRow, Window.unboundedFollowing) if least_after else here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    way = F.desc if least_after else F.asc  # towards the row: Spark folds a frame that grows once, but one that shrinks anew for each row
+    along = Window.partitionBy(*keys).orderBy(way("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "__part", fold("__m").over(along).alias("__rest"))
+    here = Window.partitionBy(*keys, "__part").orderBy(way("__place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = _beside(rows.withColumn("__here", fold(value).over(here)), parts, keys)
     pick: Column = F.least("__here", "__rest") if least_after else F.greatest("__here", "__rest")  # both pass over null
     return out.withColumn(name, pick).drop("__here", "__rest")
