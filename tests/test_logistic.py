@@ -88,3 +88,18 @@ def test_separable_classes_stay_finite(spark):
     w = logistic.nested_logistic(df, "s", ["a"], "y", [100.0])
     p = logistic.probabilities(df, w, "s", ["a"]).collect()
     assert w.count() == 4 and all(0 <= r.p <= 1 and (r.p > 0.5) == r.y for r in p)
+
+
+@pytest.mark.parametrize("scoring", ["log_loss", "balanced_accuracy"])
+def test_counts_of_equal_rows_give_the_fits_of_the_rows(rows, monkeypatch, scoring):
+    coarse = rows.withColumn("a", F.round("a", 1)).withColumn("b", F.round("b", -1))
+    fit = lambda: {r.s: (r.strength, r.weights) for r in logistic.nested_logistic(coarse, "s", ["a", "b", "c"], "y", [0.001, 0.1, 3.0], F.col("k") % 3, scoring=scoring).collect()}
+    counted = fit()
+    monkeypatch.setattr(logistic, "_over_rows", None)  # counts take no pass over the rows
+    assert fit() == counted
+    monkeypatch.undo()
+    monkeypatch.setattr(logistic, "MOST_DISTINCT", 1)
+    passed = fit()
+    assert counted.keys() == passed.keys() and len(counted) == 7
+    for s, (strength, w) in passed.items():
+        assert counted[s][0] == strength and np.allclose(counted[s][1], w, rtol=1e-6, atol=1e-6)
