@@ -70,7 +70,12 @@ def _icc_cells(i):
 
 
 def _sides(i):
-    side = lambda c: F.round(F.avg(F.when(F.col("condition") == c, F.col("outcome"))), 1)
+    # mean in tenths, halves up, from whole millionths: rounding a mean of doubles leaves its halves to the order of the sum
+    def side(c):
+        x = F.when(F.col("condition") == c, F.round(F.col("outcome") * 1e6).cast("long"))
+        top, under = 2 * F.sum(x) + 100000 * F.count(x), 200000 * F.count(x)
+        return F.when(F.count(x) > 0, ((top - F.pmod(top, under)) / under).cast("double"))
+
     return i.trials.groupBy("subject", "run").agg(side("click").alias("a"), side("view").alias("b"))
 
 
@@ -110,7 +115,7 @@ QUERIES = {
     "e1_two_groups": (lambda i: op.two_groups(i.trials, ["subject"], "outcome", F.col("condition") == "click", F.col("condition") == "view").select("subject", "na", "nb", *(rounded(c).alias(c) for c in ("t", "dof", "d", "g"))), sql(T, f", s AS (SELECT subject, count(*) FILTER (condition = 'click') AS na, count(*) FILTER (condition = 'view') AS nb, avg(outcome) FILTER (condition = 'click') AS ma, avg(outcome) FILTER (condition = 'view') AS mb, var_samp(outcome) FILTER (condition = 'click') AS va, var_samp(outcome) FILTER (condition = 'view') AS vb FROM trials GROUP BY subject), d AS (SELECT *, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d FROM s WHERE na >= 2 AND nb >= 2) SELECT subject, na, nb, {r('(ma - mb) / sqrt(va / na + vb / nb)')} AS t, {r('power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1))')} AS dof, {r('d')} AS d, {r('d * (1 - 3 / (4.0 * (na + nb) - 9))')} AS g FROM d")),
     "e2_paired": (lambda i: op.paired(i.trials.groupBy("subject", "run").agg(F.avg(F.when(F.col("condition") == "click", F.col("outcome"))).alias("a"), F.avg(F.when(F.col("condition") == "view", F.col("outcome"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL"), ["run"], "a", "b").select("run", "n", *(rounded(c).alias(c) for c in ("dz", "gz", "t"))), sql(T, f", c AS (SELECT subject, run, avg(outcome) FILTER (condition = 'click') AS a, avg(outcome) FILTER (condition = 'view') AS b FROM trials GROUP BY ALL), s AS (SELECT run, count(*) AS n, avg(b - a) / stddev_samp(b - a) AS dz FROM c WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY run) SELECT run, n, {r('dz')} AS dz, {r('dz * (1 - 3 / (4.0 * n - 5))')} AS gz, {r('dz * sqrt(n)')} AS t FROM s")),
     "e3_rank_sum": (lambda i: op.rank_sum(i.trials, ["run"], "outcome", "condition", [("click", "view"), ("click", "error")]).select("run", "ga", "gb", "na", "nb", rounded("u").alias("u"), rounded("z").alias("z")), sql(T, f", b AS (SELECT t.*, ga, gb FROM trials t JOIN (VALUES ('click', 'view'), ('click', 'error')) p(ga, gb) ON condition IN (ga, gb)), k AS (SELECT *, rank() OVER (PARTITION BY run, ga, gb ORDER BY outcome) + (count(*) OVER (PARTITION BY run, ga, gb, outcome) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY run, ga, gb, outcome) AS ties FROM b), s AS (SELECT run, ga, gb, count(*) FILTER (condition = ga) AS na, count(*) FILTER (condition = gb) AS nb, sum(rk) FILTER (condition = ga) AS ra, sum(ties * ties - 1)::DOUBLE AS tie FROM k GROUP BY ALL), u AS (SELECT *, ra - na * (na + 1) / 2.0 AS u, (na + nb)::DOUBLE AS n FROM s) SELECT run, ga, gb, na, nb, {r('u')} AS u, {r('sign(u - na * nb / 2.0) * greatest(abs(u - na * nb / 2.0) - 0.5, 0) / sqrt(na * nb / 12.0 * ((n + 1) - tie / (n * (n - 1))))')} AS z FROM u")),
-    "e3_signed_rank": (lambda i: op.signed_rank(_sides(i), ["run"], "a", "b").select("run", "n", rounded("w").alias("w"), rounded("z").alias("z"), rounded("p").alias("p")), sql(T, """, c AS (SELECT subject, run, round(avg(outcome) FILTER (condition = 'view'), 1) - round(avg(outcome) FILTER (condition = 'click'), 1) AS d FROM trials GROUP BY ALL), k AS (SELECT run, d, rank() OVER (PARTITION BY run ORDER BY abs(d)) + (count(*) OVER (PARTITION BY run, abs(d)) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY run, abs(d)) AS t FROM c WHERE d <> 0),
+    "e3_signed_rank": (lambda i: op.signed_rank(_sides(i), ["run"], "a", "b").select("run", "n", rounded("w").alias("w"), rounded("z").alias("z"), rounded("p").alias("p")), sql(T, """, m AS (SELECT subject, run, condition, 2 * sum(round(outcome * 1e6)::BIGINT) + 100000 * count(outcome) AS top, 200000 * count(outcome) AS under FROM trials WHERE outcome IS NOT NULL GROUP BY ALL), t AS (SELECT subject, run, condition, ((top - ((top % under) + under) % under) // under)::DOUBLE AS tenths FROM m), c AS (SELECT subject, run, max(tenths) FILTER (condition = 'view') - max(tenths) FILTER (condition = 'click') AS d FROM t GROUP BY ALL), k AS (SELECT run, d, rank() OVER (PARTITION BY run ORDER BY abs(d)) + (count(*) OVER (PARTITION BY run, abs(d)) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY run, abs(d)) AS t FROM c WHERE d <> 0),
     s AS (SELECT run, count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN k ELSE 0 END) AS w, sum(t * t - 1) AS tie FROM k GROUP BY run), z AS (SELECT run, n, w, (w - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48.0), 0) AS z FROM s)""" + f" SELECT run, n::BIGINT AS n, {r('w')} AS w, {r('z')} AS z, {r('greatest(0, 1 - (SELECT sum(exp(j * ln(2) + (2 * j + 1) * ln(greatest(abs(z) / sqrt(2), 1e-12)) - lgamma(2.0 * j + 2) + j * ln(2) + lgamma(j + 1.0))) FROM (SELECT unnest(range(200)) AS j)) * 2 / sqrt(pi()) * exp(-z * z / 2))')} AS p FROM z")),
     "e5_effect_words": (lambda i: op.two_groups(i.trials, ["subject"], "outcome", F.col("condition") == "click", F.col("condition") == "view").select("subject", op.effect_words(F.round("d", 6)).alias("size")), sql(T, ", s AS (SELECT subject, count(*) FILTER (condition = 'click') AS na, count(*) FILTER (condition = 'view') AS nb, avg(outcome) FILTER (condition = 'click') AS ma, avg(outcome) FILTER (condition = 'view') AS mb, var_samp(outcome) FILTER (condition = 'click') AS va, var_samp(outcome) FILTER (condition = 'view') AS vb FROM trials GROUP BY subject), d AS (SELECT subject, abs(round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6)) AS d FROM s WHERE na >= 2 AND nb >= 2) SELECT subject, CASE WHEN d < 0.2 THEN 'negligible' WHEN d < 0.5 THEN 'small' WHEN d < 0.8 THEN 'medium' ELSE 'large' END AS size FROM d")),
     "h1_benjamini_hochberg": (lambda i: op.benjamini_hochberg(_pvalues(i), "p", ["condition"], ["subject", "trial_id"]).select("subject", "trial_id", rounded("q").alias("q")), sql(T, PV + f", k AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY p, subject, trial_id) AS k, count(*) OVER (PARTITION BY condition) AS m FROM p) SELECT subject, trial_id, {r(BH.format(k='condition'))} AS q FROM k")),
