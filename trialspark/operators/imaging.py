@@ -17,9 +17,14 @@ def scrub(frames: DataFrame, keys: list[str], flag: Column) -> DataFrame:
 
 def region_correlation(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Correlation of every pair of regions over the frames; the number of regions bounds the fan-out."""
-    a = frames.select(*keys, "frame", F.col("roi").alias("a"), F.col("value").alias("x"))
-    b = frames.select(*keys, "frame", F.col("roi").alias("b"), F.col("value").alias("y"))
-    return a.join(b, [*keys, "frame"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"), moment_corr(F.col("x"), F.col("y")).alias("r"))
+    known = frames.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "frame"]))
+    rows = known.select(*keys, "frame", F.struct(F.col("roi").alias("roi"), F.col("value").alias("value")).alias("__s"))
+    # one shuffle by the keys serves the frames and the pairs
+    at_once = (rows.repartition(*keys) if keys else rows).groupBy(*keys, "frame").agg(F.collect_list("__s").alias("__all"))
+    each = at_once.select(*keys, F.explode("__all").alias("__a"), "__all")
+    pairs = each.select(*keys, "__a", F.explode(F.filter("__all", lambda s: s["roi"] > F.col("__a.roi"))).alias("__b"))
+    pairs = pairs.select(*keys, F.col("__a.roi").alias("a"), F.col("__b.roi").alias("b"), F.col("__a.value").alias("x"), F.col("__b.value").alias("y"))
+    return pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"), moment_corr(F.col("x"), F.col("y")).alias("r"))
 
 
 def average_runs(matrices: DataFrame, keys: list[str]) -> DataFrame:
