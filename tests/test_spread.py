@@ -3,12 +3,14 @@
 import contextlib
 import io
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from trialspark.operators import scans, stats
+from trialspark.operators import imaging, scans, stats
 from trialspark.plans import catalog
+from trialspark.plans import stats as plans
 
 
 def plan(df):
@@ -49,3 +51,23 @@ def test_carried_minima_use_a_growing_frame(series):
     rows = scans.numbered(series.where("s IS NOT NULL"), ["s"], ["v"])
     text = plan(scans.carried(rows, ["s"], "v", "m", least_after=True)).lower()
     assert not re.search(r"(?<!unboundedpreceding\$\(\), )unboundedfollowing", text)  # Spark folds a frame that shrinks anew for each row
+
+
+def test_sign_patterns_of_one_group_spread(spark):
+    units = spark.range(3000).select(F.lit("a").alias("g"), "id", (F.col("id") % 7 - 2.5).alias("v"))
+    got = stats.sign_flip(units, ["g"], "id", "v", n_sampled=50).first()
+    assert got.n_perm == 51 and got.observed == pytest.approx(sum(k % 7 - 2.5 for k in range(3000)) / 3000)
+    assert re.search(r"__block#\d+L?, \d+\), REPARTITION_BY_NUM", plan(stats.sign_flip(units, ["g"], "id", "v")))
+
+
+def test_region_pairs_take_no_join(spark):
+    frames = spark.createDataFrame([(1, f, r, v) for f in range(9) for r, v in (("x", f * f % 5), ("y", f % 3), ("z", f))] + [(None, 1, "x", 1)], "s int, frame int, roi string, value int")
+    got = imaging.region_correlation(frames, ["s"])
+    assert "Join" not in plan(got)
+    assert sorted((r.s, r.a, r.b, r.n) for r in got.collect()) == [(1, "x", "y", 9), (1, "x", "z", 9), (1, "y", "z", 9)]
+
+
+def test_halves_do_not_hang_on_the_order_of_a_sum(spark):
+    rows = [(1, 1, "click", v) for v in (0.1, 0.2, 0.3, 0.4, 0.5, 0.0)] + [(1, 1, "view", v) for v in (1.1, 1.2, 1.3, 1.4)]
+    trials = lambda k: SimpleNamespace(trials=spark.createDataFrame(rows[::k], "subject int, run int, condition string, outcome double").coalesce(1))
+    assert [tuple(r) for r in plans._sides(trials(1)).collect()] == [tuple(r) for r in plans._sides(trials(-1)).collect()] == [(1, 1, 3.0, 13.0)]
