@@ -71,3 +71,14 @@ def test_halves_do_not_hang_on_the_order_of_a_sum(spark):
     rows = [(1, 1, "click", v) for v in (0.1, 0.2, 0.3, 0.4, 0.5, 0.0)] + [(1, 1, "view", v) for v in (1.1, 1.2, 1.3, 1.4)]
     trials = lambda k: SimpleNamespace(trials=spark.createDataFrame(rows[::k], "subject int, run int, condition string, outcome double").coalesce(1))
     assert [tuple(r) for r in plans._sides(trials(1)).collect()] == [tuple(r) for r in plans._sides(trials(-1)).collect()] == [(1, 1, 3.0, 13.0)]
+
+
+def test_small_groups_are_resampled_as_large_ones(spark, monkeypatch):
+    rows = spark.createDataFrame([(s, t, None if t == 3 else t * 1.5) for s, n in ((1, 5), (2, 30)) for t in range(n)] + [(None, 1, 1.0)], "s int, t int, v double")
+    take = lambda: sorted((r.s, r.boot, r.place, r.t, r.v or -1.0) for r in stats.bootstrap_draws(rows, ["s"], "t", 7).collect())
+    listed = take()
+    assert len(listed) == 35 * 7 and len({r[:2] for r in listed}) == 14
+    monkeypatch.setattr(stats, "MOST_LISTED", 10)
+    assert take() == listed
+    monkeypatch.setattr(stats, "MOST_LISTED", 0)
+    assert take() == listed
