@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from trialspark.operators import imaging, scans, stats
+from trialspark.operators import extended, scans, stats
 from trialspark.plans import catalog
 from trialspark.plans import stats as plans
 
@@ -82,3 +82,14 @@ def test_small_groups_are_resampled_as_large_ones(spark, monkeypatch):
     assert take() == listed
     monkeypatch.setattr(stats, "MOST_LISTED", 0)
     assert take() == listed
+
+
+def test_a_crowded_cell_is_dealt_to_many_tasks(spark):
+    spots = [(i, (i % 3) * 0.4, (i % 5) * 0.3) for i in range(600)] + [(None, 0.0, 0.0), (600, None, 0.0)]
+    points = spark.createDataFrame(spots, "channel int, x double, y double")
+    found = extended.distance_adjacency(points, 1.2, block=64)
+    want = {(a[0], b[0]) for a in spots[:600] for b in spots[:600] if a[0] < b[0] and ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 <= 1.2}
+    got = found.collect()
+    assert len(got) == len(want) and {(r.channel, r.other) for r in got} == want
+    text = plan(found)
+    assert "SortMergeJoin [__cx" in text and re.search(r"SortMergeJoin \[[^\]]*__b2", text)  # a block a key, not a cell a key

@@ -107,15 +107,40 @@ def clusters_1d(df: DataFrame, keys: list[str], order: str, r: str, cut_off: flo
     return runs.where("__s <> 0").groupBy(*keys, "cluster").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.abs(r)).alias("mass"))
 
 
-def distance_adjacency(points: DataFrame, limit: float) -> DataFrame:
-    """Pairs of channels no further apart than ``limit``, found among the neighbours on a grid of that side."""
-    cell = lambda c, step=0: (F.floor(F.col(c) / limit) + step).cast("long")
-    own = points.withColumn("__cx", cell("x")).withColumn("__cy", cell("y"))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    other = points.select(F.col("channel").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(steps).alias("__s"))
-    other = other.select("other", "x2", "y2", (F.floor(F.col("x2") / limit) + F.col("__s.i")).cast("long").alias("__cx"), (F.floor(F.col("y2") / limit) + F.col("__s.j")).cast("long").alias("__cy"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("y") - F.col("y2"), F.lit(2.0)))
-    return own.join(other, ["__cx", "__cy"]).where("channel < other").withColumn("distance", d).where(F.col("distance") <= limit).select("channel", "other", "distance")
+_HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # a cell and half its neighbours: the other half see it as theirs
+
+
+def distance_adjacency(points: DataFrame, limit: float, block: int = 2048) -> DataFrame:
+    """Pairs of channels no further apart than ``limit``, found among the neighbours on a grid of that side.
+
+    The members of a cell are dealt into blocks of about ``block`` by their hash, and each two blocks of neighbouring cells meet once,
+    so a crowded cell spreads over the tasks and no task holds more than one block; the tests stay quadratic in a cell's members.
+    """
+    cell = lambda c: F.floor(F.col(c) / limit).cast("long")
+    own = points.select("channel", "x", "y").where("channel IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").withColumn("__cx", cell("x")).withColumn("__cy", cell("y"))
+    cells = cut(own.groupBy("__cx", "__cy").agg(F.count(F.lit(1)).alias("__n")).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int")))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _HALF))
+    here = cells.select("__cx", "__cy", F.col("__n").alias("__n1"), F.col("__blocks").alias("__k1"), F.explode(steps).alias("__s"))
+    there = cells.select(F.col("__cx").alias("__ox"), F.col("__cy").alias("__oy"), F.col("__n").alias("__n2"), F.col("__blocks").alias("__k2"))
+    met = cut(here.withColumns({"__ox": F.col("__cx") + F.col("__s.i"), "__oy": F.col("__cy") + F.col("__s.j")}).join(there, ["__ox", "__oy"]))
+    tests = met.agg(F.sum(F.col("__n1").cast("double") * F.col("__n2"))).first()[0] or 0.0
+    tasks = int(min(max(tests / 2**21, 1), 20_000))  # rows are few and tests many, so the size of the rows is no guide
+
+    same = F.col("__cx").eqNullSafe(F.col("__ox")) & F.col("__cy").eqNullSafe(F.col("__oy"))
+    dealt = own.join(cells.drop("__n"), ["__cx", "__cy"]).withColumn("__b", F.pmod(F.xxhash64("channel"), F.col("__blocks")).cast("int")).drop("__blocks")
+    place = ["__cx", "__cy", "__ox", "__oy", "__b", "__b2"]
+    from_first = F.explode(F.sequence(F.when(same, F.col("__b")).otherwise(F.lit(0)), F.col("__k2") - 1))  # in one cell, blocks b <= b2
+    to_last = F.explode(F.sequence(F.lit(0), F.when(same, F.col("__b2")).otherwise(F.col("__k1") - 1)))
+    left = dealt.join(met.select("__cx", "__cy", "__ox", "__oy", "__k2"), ["__cx", "__cy"]).withColumn("__b2", from_first).withColumn("__one", same & (F.col("__b") == F.col("__b2"))).drop("__k2")
+    right = dealt.select(F.col("channel").alias("__c2"), F.col("x").alias("__x2"), F.col("y").alias("__y2"), F.col("__cx").alias("__ox"), F.col("__cy").alias("__oy"), F.col("__b").alias("__b2"))
+    right = right.join(met.select("__cx", "__cy", "__ox", "__oy", "__k1"), ["__ox", "__oy"]).withColumn("__b", to_last).drop("__k1")
+
+    dx, dy = F.col("x") - F.col("__x2"), F.col("y") - F.col("__y2")
+    distance = F.sqrt(dx * dx + dy * dy)
+    once = (F.col("channel") < F.col("__c2")) | (~F.col("__one") & (F.col("channel") > F.col("__c2")))
+    pairs = left.repartition(tasks, *place).join(right.repartition(tasks, *place).hint("merge"), place).where((distance <= limit) & once)
+    pairs = pairs.withColumn("distance", distance)
+    return pairs.select(F.least("channel", "__c2").alias("channel"), F.greatest("channel", "__c2").alias("other"), "distance")
 
 
 def _power(x: Column, lam: Column) -> Column:
