@@ -93,3 +93,18 @@ def test_a_crowded_cell_is_dealt_to_many_tasks(spark):
     assert len(got) == len(want) and {(r.channel, r.other) for r in got} == want
     text = plan(found)
     assert "SortMergeJoin [__cx" in text and re.search(r"SortMergeJoin \[[^\]]*__b2", text)  # a block a key, not a cell a key
+
+
+@pytest.mark.parametrize(
+    ("name", "key"), [("m6_prepared_features", "feature"), ("m6_best_features", "feature"), ("m8_deconfound", "condition"), ("m23_linear_attribution", "condition")]
+)
+def test_rows_meet_what_few_groups_gave_where_they_lie(spark, name, key):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")  # less than what Spark guesses for the fits, more than they are
+    try:
+        text = plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    sides = re.findall(rf"(?:SortMergeJoin|ShuffledHashJoin|Window) \[[^\]]*\b{key}#", text)
+    assert not sides, text  # else all rows of a group go to one task
+    assert "BroadcastHashJoin" in text

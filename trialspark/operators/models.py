@@ -1,7 +1,13 @@
-"""Design matrices, folds, baselines, metrics and intervals for models on trial tables."""
+"""Design matrices, folds, baselines, metrics and intervals for models on trial tables.
+
+What is fitted for each group or feature is written before it meets the rows again: then Spark knows its size, sends few groups to
+the rows where they are, and shuffles the rows by group only where groups are many.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -10,6 +16,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .crossval import net_over_folds, product_sums
 from .stats import fisher
 from .windows import average_rank, moment_corr
@@ -44,7 +51,7 @@ def feature_intersection(df: DataFrame, group: str, feature: str, value: str, he
 
 def deconfound(df: DataFrame, keys: list[str], value: str, covariate: str, train: Column) -> DataFrame:
     """Residual of every row after a line fitted on the training rows of its group."""
-    fit = df.where(train).groupBy(*keys).agg(F.regr_slope(value, covariate).alias("b"), F.regr_intercept(value, covariate).alias("a"))
+    fit = cut(df.where(train).groupBy(*keys).agg(F.regr_slope(value, covariate).alias("b"), F.regr_intercept(value, covariate).alias("a")))
     return df.join(fit, keys, "left").withColumn("residual", F.col(value) - F.col("a") - F.col("b") * F.col(covariate)).drop("a", "b")
 
 
@@ -96,10 +103,13 @@ def split_conformal(df: DataFrame, keys: list[str], y: str, prediction: str, cal
 
 
 def linear_attribution(df: DataFrame, keys: list[str], coefficients: DataFrame, feature: str, value: str) -> DataFrame:
-    """Mean absolute ``coefficient * (value - mean)`` of each feature."""
-    mean = F.avg(value).over(Window.partitionBy(*keys, feature))
-    x = df.join(F.broadcast(coefficients), feature).withColumn("phi", F.col("coefficient") * (F.col(value) - mean))
-    return x.groupBy(*keys, feature).agg(F.avg(F.abs("phi")).alias("importance"))
+    """Mean absolute ``coefficient * (value - mean)`` of each feature; null keys are groups too."""
+    names = [*keys, feature]
+    mean = df.groupBy(*names).agg(F.avg(value).alias("__m")).join(coefficients.select(feature, F.col("coefficient").alias("__c")), feature)
+    fit = cut(mean.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(names)), "__m", "__c"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(names)])
+    x = df.join(fit, same).withColumn("__phi", F.col("__c") * (F.col(value) - F.col("__m")))
+    return x.groupBy(*names).agg(F.avg(F.abs("__phi")).alias("importance"))
 
 
 def _net_predictions(df: DataFrame, features: list[str], y: str, train: Column, fold: str, grid: list[tuple[float, float]]) -> DataFrame:
@@ -156,7 +166,7 @@ def best_features(df: DataFrame, feature: str, value: str, y: str, train: Column
     r = df.where(train).groupBy(feature).agg(moment_corr(F.col(value), F.col(y)).alias("__r")).select(feature, (F.col("__r") * F.col("__r")).alias("__r2")).where("__r2 IS NOT NULL")
     bar = r.agg(F.percentile("__r2", 1 - percentile / 100).alias("__bar"))
     kept = r.crossJoin(F.broadcast(bar)).where((F.col("__r2") > F.col("__bar")) | F.lit(percentile >= 100))
-    return df.join(kept.select(feature), feature, "left_semi")
+    return df.join(cut(kept.select(feature)), feature, "left_semi")
 
 
 def as_array(column: str) -> Column:
@@ -179,7 +189,7 @@ def prepared(df: DataFrame, feature: str, value: str, train: Column, least_varia
     x = F.col(value).cast("double")
     clean = df.withColumn("__x", F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
     fit = clean.where(train).groupBy(feature).agg(F.avg("__x").alias("__m"), F.stddev_pop("__x").alias("__s")).where((F.col("__s") > 0) & (F.col("__s") * F.col("__s") > least_variance))
-    return clean.join(fit, feature).withColumn("prepared", (F.coalesce("__x", "__m") - F.col("__m")) / F.col("__s")).drop("__x", "__m", "__s")
+    return clean.join(cut(fit), feature).withColumn("prepared", (F.coalesce("__x", "__m") - F.col("__m")) / F.col("__s")).drop("__x", "__m", "__s")
 
 
 def forest(df: DataFrame, features: list[str], y: str, train: Column, classes: bool = False, trees: int = 50, depth: int = 6, seed: int = 1) -> DataFrame:
