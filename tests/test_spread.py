@@ -8,9 +8,10 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from trialspark.operators import extended, scans, stats
+from trialspark.operators import align, extended, models, scans, stats
 from trialspark.plans import catalog
 from trialspark.plans import stats as plans
+from trialspark.sources import files
 
 
 def plan(df):
@@ -108,3 +109,32 @@ def test_rows_meet_what_few_groups_gave_where_they_lie(spark, name, key):
     sides = re.findall(rf"(?:SortMergeJoin|ShuffledHashJoin|Window) \[[^\]]*\b{key}#", text)
     assert not sides, text  # else all rows of a group go to one task
     assert "BroadcastHashJoin" in text
+
+
+@pytest.mark.parametrize("name", ["m1_design_matrix", "j13_finite_in_all"])
+def test_the_trial_table_is_grouped_once(spark, name):
+    text = plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert "Join" not in text and "pivotfirst" not in text.lower() and len(re.findall(r"Window \[", text)) == 1
+
+
+def test_keys_finite_in_every_block(spark):
+    rows = [(1, "a", 1.0), (1, "b", 2.0), (2, "a", 1.0), (2, "b", float("nan")), (3, "a", 1.0), (3, "b", None), (None, "a", 1.0), (None, "b", 1.0), (4, "c", 1.0), (5, "b", 1.0), (5, "a", 3.0), (5, "a", float("inf"))]
+    long = spark.createDataFrame(rows, "k int, block string, v double")
+    assert sorted(r.k for r in align.in_every_block(long, "block", ["a", "b"], ["k"], "v").collect()) == [1, 5]
+    blocks = [long.where(f"block = '{b}'") for b in "ab"]
+    assert sorted(r.k for r in align.in_all_blocks(blocks, ["k"], "v").collect()) == [1, 5]
+
+
+def test_folders_of_a_bundle_do_not_grow_with_subjects(spark, tmp_path):
+    df = spark.range(400).selectExpr("id % 50 AS subject", "IF(id % 2 = 0, 'x', 'y') AS family", "'f' AS feature", "CAST(id AS double) AS value")
+    files.save_features(df.repartition(2), str(tmp_path / "bundle"))
+    assert sorted(p.name for p in (tmp_path / "bundle").iterdir() if p.is_dir()) == ["family=x", "family=y"]
+    assert len(list((tmp_path / "bundle").rglob("*.parquet"))) == 4
+    back = files.read_parquet(spark, str(tmp_path / "bundle"))
+    assert sorted(back.select("subject", "family", "value").collect()) == sorted(df.select("subject", "family", "value").collect())
+
+
+def test_forest_rows_are_dealt_evenly(spark):
+    got = models._dealt_evenly(spark.range(1000).coalesce(1), 100)
+    assert [len(p) for p in got.rdd.glom().collect()] == [100] * 10
+    assert models._dealt_evenly(spark.range(0), 100).rdd.getNumPartitions() == 1

@@ -192,12 +192,23 @@ def prepared(df: DataFrame, feature: str, value: str, train: Column, least_varia
     return clean.join(cut(fit), feature).withColumn("prepared", (F.coalesce("__x", "__m") - F.col("__m")) / F.col("__s")).drop("__x", "__m", "__s")
 
 
+def _dealt_evenly(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Rows in partitions of about ``most`` each, whatever files or shuffles they come from; costs a count."""
+    return df.repartition(max(1, -(-df.count() // most)))
+
+
 def forest(df: DataFrame, features: list[str], y: str, train: Column, classes: bool = False, trees: int = 50, depth: int = 6, seed: int = 1) -> DataFrame:
-    """Predictions of a random forest fitted on the training rows, for all other rows."""
-    rows = VectorAssembler(inputCols=features, outputCol="__features").transform(df.withColumn("__train", train))
+    """Predictions of a random forest fitted on the training rows, for all other rows.
+
+    MLlib keeps a partition's rows as one block with their draws for all trees, some 300 bytes a row, which each level reads whole; so
+    the training rows are dealt into partitions of a bounded number of rows.
+    """
+    vectors = VectorAssembler(inputCols=features, outputCol="__features")
+    rows = df.withColumn("__train", train)
     kind = RandomForestClassifier if classes else RandomForestRegressor
-    model = kind(featuresCol="__features", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(rows.where("__train"))
-    return model.transform(rows.where("NOT __train")).drop("__features", "__train", "rawPrediction", "probability")
+    learnt = vectors.transform(_dealt_evenly(rows.where("__train").select(*features, y)))
+    model = kind(featuresCol="__features", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(learnt)
+    return model.transform(vectors.transform(rows.where("NOT __train"))).drop("__features", "__train", "rawPrediction", "probability")
 
 
 def balanced_logistic(df: DataFrame, features: list[str], label: str, train: Column, reg: float = 0.0) -> DataFrame:
