@@ -138,9 +138,17 @@ def subject_sets(sources: list[DataFrame], policy: str) -> DataFrame:
 
 
 def in_all_blocks(blocks: list[DataFrame], keys: list[str], value: str) -> DataFrame:
-    """Keys with a finite value in every block."""
-    good = [b.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(*keys).distinct() for b in blocks]
-    return reduce(lambda a, b: a.join(b, keys, "left_semi"), good)
+    """Keys with a finite value in every block; a null key is in none."""
+    each = [b.select(*keys, F.col(value).cast("double").alias("__v"), F.lit(n).alias("__block")) for n, b in enumerate(blocks)]
+    return in_every_block(reduce(DataFrame.unionByName, each), "__block", list(range(len(blocks))), keys, "__v")
+
+
+def in_every_block(df: DataFrame, block: str, names: list, keys: list[str], value: str) -> DataFrame:
+    """Keys with a finite value in every one of the named blocks of a long table, which is grouped once; a null key is in none."""
+    x = F.col(value).cast("double")
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], ~F.isnan(x) & (F.abs(x) < float("inf")))
+    has = df.where(known & F.col(block).isin(names)).groupBy(*keys).agg(*(F.bool_or(F.col(block) == n).alias(f"__in{i}") for i, n in enumerate(names)))
+    return has.where(" AND ".join(f"__in{i}" for i in range(len(names)))).select(*keys)
 
 
 def single_trial_events(trials: DataFrame, keys: list[str], trial: str) -> DataFrame:

@@ -57,7 +57,7 @@ QUERIES = {
     "j11_bad_channels": (lambda i: op.union_flag(i.samples, ["subject", "channel"], F.abs("x") > 0.35), sql("samples", "SELECT subject, channel, bool_or(abs(x) > 0.35) AS bad FROM samples GROUP BY ALL")),
     "j12_subject_union": (lambda i: op.subject_sets([i.trials.where("outcome > 300"), i.trials.where("predictor > 95")], "union"), sql("trials", "SELECT DISTINCT subject FROM trials WHERE outcome > 300 OR predictor > 95")),
     "j12_subject_intersection": (lambda i: op.subject_sets([i.trials.where("outcome > 300"), i.trials.where("predictor > 95")], "intersection"), sql("trials", "SELECT subject FROM trials WHERE outcome > 300 INTERSECT SELECT subject FROM trials WHERE predictor > 95")),
-    "j13_finite_in_all": (lambda i: op.in_all_blocks([i.features.where("feature = 'tax' AND value > 0"), i.features.where("feature = 'discount' AND value > 0")], ["subject", "trial_id"], "value"), sql("wide", "SELECT subject, trial_id FROM wide WHERE tax > 0 AND discount > 0")),
+    "j13_finite_in_all": (lambda i: op.in_every_block(i.features.where("value > 0"), "feature", ["tax", "discount"], ["subject", "trial_id"], "value"), sql("wide", "SELECT subject, trial_id FROM wide WHERE tax > 0 AND discount > 0")),
     "j14_single_trial_events": (lambda i: op.single_trial_events(i.trials.select("subject", "run", "trial_id", "onset"), ["subject", "run"], "trial_id").groupBy("subject", "run", "role").agg(F.count(F.lit(1)).alias("n")), sql("trials", "SELECT a.subject, a.run, CASE WHEN a.trial_id = b.trial_id THEN 'target' ELSE 'other' END AS role, count(*) AS n FROM trials a JOIN trials b ON a.subject = b.subject AND a.run = b.run GROUP BY ALL")),
     "j15_common_channels": (lambda i: op.common_to_all(i.samples.where("x > 0.0"), "subject", "channel"), sql("samples", "SELECT channel, count(DISTINCT subject) AS n FROM samples WHERE x > 0.0 GROUP BY channel HAVING count(DISTINCT subject) = (SELECT count(DISTINCT subject) FROM samples WHERE x > 0.0)")),
     "j16_trial_key": (lambda i: i.trials.select("subject", "trial_id", op.trial_key(F.concat(F.lit("run-"), "run", F.lit("_trial-"), "trial_id")).alias("key")), sql("trials", "SELECT subject, trial_id, printf('%d|trial-%03d', run, trial_id) AS key FROM trials")),
