@@ -38,8 +38,9 @@ def _frames_time(i):
 
 
 def _matrix(i):
-    f = i.features.where("feature <> 'price'")
-    return f.groupBy("subject", "trial_id").pivot("feature", ["quantity", "discount", "tax"]).agg(F.first("value")).join(i.wide.select("subject", "trial_id", F.col("price").alias("target")), ["subject", "trial_id"])
+    """The features of a trial side by side, the price as target: one row a trial leaves the first grouping, where a pivot sends all."""
+    of = lambda c: F.max(F.when(F.col("feature") == c, F.col("value")))
+    return i.features.groupBy("subject", "trial_id").agg(*(of(c).alias(c) for c in ("quantity", "discount", "tax")), of("price").alias("target"))
 
 
 def _concordance(i):
