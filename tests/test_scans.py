@@ -86,3 +86,42 @@ def test_nothing_to_scan(made):
     assert windows.rank_normalise(empty, "p", ["family"]).count() == 0
     only = df.where("p IS NULL")
     assert {r.q for r in stats.benjamini_hochberg(only.withColumn("all", F.lit(1)), "p", ["all"], ["i"]).collect()} == {None}
+
+
+@pytest.fixture
+def small_parts(spark, monkeypatch):
+    """Parts of about 200 rows in a session of two shuffle partitions; the rows of each part of each table that is parted."""
+    monkeypatch.setattr(scans, "PART_ROWS", 200, raising=False)
+    old, plain, sizes = spark.conf.get("spark.sql.shuffle.partitions"), scans.parted, []
+
+    def seen(*args):
+        rows = plain(*args)
+        sizes.append([r["count"] for r in rows.groupBy("__part").count().collect()])
+        return rows
+
+    monkeypatch.setattr(scans, "parted", seen)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield sizes
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_ranks_in_parts_that_do_not_grow(spark, small_parts):
+    rows = [(None if i % 50 == 0 else "hot", i, None if i % 7 == 0 else float(i * 37 % 500)) for i in range(3000)]
+    got = windows.rank_normalise(spark.createDataFrame(rows, "g string, i int, v double"), "v", ["g"])
+    assert "Join" not in plan(got)
+    in_task = [r["count"] for r in got.where("v IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(map(max, [*small_parts, in_task])) <= 400 and len(in_task) >= 8
+    found = {r.i: r.scaled for r in got.collect()}
+    for g in (None, "hot"):
+        own = sorted(v for k, _, v in rows if k == g and v is not None)
+        first, count = {}, {}
+        for k, v in enumerate(own):
+            first.setdefault(v, k)
+            count[v] = count.get(v, 0) + 1
+        for k, i, v in rows:
+            if k == g:
+                assert found[i] == (None if v is None else pytest.approx((first[v] + (count[v] - 1) / 2) / (len(own) - 1)))
