@@ -3,7 +3,7 @@
 Rows are parted by ranges of (keys, order), so one large group spreads over many tasks and equal rows stay together. Each part is
 numbered by itself; counts of the parts, a row for each group and part, give the offsets, and minima or maxima of the parts carry a
 scan from part to part. What a part gets from the others heads its rows as one more row, so nothing is joined. No window holds more
-than one part, or one group's list of parts, and the size of a part does not grow with the table.
+than one part, or one group's list of parts, and the size of a part is bounded.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 
-PART_ROWS = 1 << 18  # rows of a part, about; equal rows can make it more
+PART_ROWS = 1 << 18  # rows of a part, about, up to FEW parts; equal rows can make it more
+FEW = 200  # parts that a shuffle writes straight to their files; for more it holds and sorts a task's rows
+MOST_ROWS = 1 << 23  # rows of a part, about, in tables of more than FEW such parts
 
 
 def parted(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``df`` written in ranges of (keys, order): ``__part`` is the range, ascending within a group. ``df`` is counted first."""
-    n = -(-df.count() // PART_ROWS)
+    rows = df.count()
+    n = max(min(FEW, -(-rows // PART_ROWS)), -(-rows // MOST_ROWS))
     ranges = df.repartitionByRange(n, *keys, *order) if n > 1 else df.repartitionByRange(*keys, *order)
     return cut(ranges.withColumn("__part", F.spark_partition_id()))
 
