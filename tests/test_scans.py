@@ -125,3 +125,27 @@ def test_ranks_in_parts_that_do_not_grow(spark, small_parts):
         for k, i, v in rows:
             if k == g:
                 assert found[i] == (None if v is None else pytest.approx((first[v] + (count[v] - 1) / 2) / (len(own) - 1)))
+
+
+def test_hierarchical_fdr_in_parts_that_do_not_grow(spark, small_parts):
+    rng = random.Random(5)
+    rows = [(f, t, None if t == 2 and f % 9 == 0 else round(rng.random() ** (8 if f % 4 == 0 else 1), 4)) for f in range(700) for t in range(3)]
+    got = stats.hierarchical_fdr(spark.createDataFrame(rows, "f int, t int, p double"), "p", "f", ["t"])
+    assert max(map(max, small_parts)) <= 400 and len(small_parts) == 2  # the rows once, the families once
+    assert plan(got).split("== Physical Plan ==")[1].count("Join") == 1  # of the families to their rows
+    want, simes = {}, []
+    for f, v in families(rows).items():
+        low = 1.0
+        for k in range(len(v), 0, -1):
+            low = min(low, v[k - 1][0] * len(v) / k)
+            want[f, v[k - 1][1]] = low
+        simes.append((min(p * len(v) / k for k, (p, _) in enumerate(v, 1)), f))
+    low, gate = 1.0, {}
+    for k, (p, f) in reversed([*enumerate(sorted(simes), 1)]):
+        gate[f] = low = min(low, p * len(simes) / k)
+    found = {(r.f, r.t): r for r in got.collect()}
+    assert len(found) == len(rows) and any(r.reject for r in found.values())
+    for (f, t), r in found.items():
+        q = want.get((f, t))
+        assert r.q == (None if q is None else pytest.approx(q)) and r.family_q == pytest.approx(gate[f])
+        assert r.reject == (q is not None and q < 0.05 and gate[f] < 0.05)
