@@ -101,6 +101,18 @@ def test_label_permutation_of_a_nested_net(rows):
     assert r.observed > 0.5 and r.p == pytest.approx(1 / 20)
 
 
+def test_permutations_without_a_slope_tie_with_the_observed(spark):
+    made = np.random.default_rng(6).normal(size=(2000, 5)) + 1e4
+    rows = [(g, 5 * g + k, float(k), float(v)) for g, own in enumerate(made) for k, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "g int, i int, x double, y double").repartition(4, "i")
+    fit = lambda d, keys, y: crossval.nested_net(d, keys, "g", ["x"], y, [(100.0, 1.0)])
+    r = crossval.label_permutation(df, "g", ["g"], "i", ["x"], "y", 0.0, 9, fit).first()
+    near = made - 1e4
+    guess = np.repeat((near.sum() - near.sum(axis=1)) / (near.size - 5), 5)
+    assert r.observed == pytest.approx(np.corrcoef(near.ravel(), guess)[0, 1], abs=1e-12)
+    assert (r.n_perm, r.extreme, r.p) == (9, 9, 1.0)
+
+
 def test_scores_by_metric(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 2.0), (1, 3.0, 5.0), (2, 4.0, 4.0), (2, 4.0, 5.0)], "g int, y double, p double")
     got = {m: {r.g: r[m] for r in crossval.fold_scores(df, "g", "y", "p", "x", m).collect()} for m in ("mse", "mae", "r2", "r")}
